@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +84,40 @@ def blocks(batches: Iterator[pa.RecordBatch], text_bytes: int, text: str = "text
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a text column, one row after the other, and where each row begins; null counts as empty."""
+    column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def padded_rows(data: np.ndarray, offsets: np.ndarray, unit: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's bytes followed by `extra` zeros at least, up to a multiple of unit (one unit at least).
+
+    Returns the bytes as rows of `unit`, and how many of those each input row has.
+    """
+    lengths = np.diff(offsets)
+    units = np.maximum(1, -(-(lengths + extra) // unit))
+    starts = np.concatenate([[0], np.cumsum(units * unit)])
+    out = np.zeros(starts[-1], np.uint8)
+    out[np.arange(len(data)) + np.repeat(starts[:-1] - offsets[:-1], lengths)] = data
+    return out.reshape(-1, unit), units
+
+
+def fold(column: str, k: int) -> Column:
+    """crc32 of the id's text, modulo k."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % k
+
+
+def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """At most `each` rows for every value of `by`, those with the smallest hashes of their doc_id; it is for fitting
+    only, and `by` has few values."""
+    values = [r[0] for r in rows.select(by).where(F.col(by).isNotNull()).distinct().limit(100).collect()]
+    parts = [rows.where(F.col(by) == v).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(each) for v in sorted(values)]
+    out = rows.limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -6,22 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, licenses
+from trajecta.llm import decontaminate, language, licenses, quality
 from trajecta.session import table
 
 
+def op2_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, root: str) -> DataFrame:
     """Documents that contain a benchmark item, with the item and its containment."""
     return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op6_language(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(table(spark, root, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, root: str) -> DataFrame:
     """License phrases and passages of every document."""
     return licenses.summary(table(spark, root, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op6_language": op6_language,
     "op7_license_scan": op7_license_scan,
 }
 
