@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, language, licenses, quality
+from trajecta.llm import decontaminate, language, licenses, pii, quality
 from trajecta.session import table
 
 
@@ -20,6 +20,11 @@ def op3_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text with pseudonyms, how many values moved and of which kinds."""
+    return pii.protect(table(spark, root, "documents"), report=True)
+
+
 def op6_language(spark: SparkSession, root: str) -> DataFrame:
     """Language of every document."""
     return language.identify(table(spark, root, "documents"))
@@ -33,6 +38,7 @@ def op7_license_scan(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op5_pii": op5_pii,
     "op6_language": op6_language,
     "op7_license_scan": op7_license_scan,
 }
