@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, language, licenses, pii, quality
+from trajecta.llm import decontaminate, jaccard, language, licenses, pii, quality
 from trajecta.session import table
 
 
@@ -35,12 +35,18 @@ def op7_license_scan(spark: SparkSession, root: str) -> DataFrame:
     return licenses.summary(table(spark, root, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    """Group of every document under links of Jaccard similarity 0.9 on word trigrams."""
+    return jaccard.join(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op5_pii": op5_pii,
     "op6_language": op6_language,
     "op7_license_scan": op7_license_scan,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
