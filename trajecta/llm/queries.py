@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, jaccard, language, licenses, pii, quality
+from trajecta.llm import decontaminate, jaccard, language, licenses, packing, pii, quality
 from trajecta.session import table
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The path of one of the public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality score of every document."""
     return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))
@@ -35,6 +42,11 @@ def op7_license_scan(spark: SparkSession, root: str) -> DataFrame:
     return licenses.summary(table(spark, root, "documents"))
 
 
+def op8_packing(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, root, "documents"), tokenizer(), with_ids=False)
+
+
 def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     """Group of every document under links of Jaccard similarity 0.9 on word trigrams."""
     return jaccard.join(table(spark, root, "documents"))
@@ -46,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_language": op6_language,
     "op7_license_scan": op7_license_scan,
+    "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
