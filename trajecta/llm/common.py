@@ -112,12 +112,13 @@ def fold(column: str, k: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
 
 
-def bounded_sample(rows: DataFrame, by: str, each: int) -> DataFrame:
-    """At most `each` rows for every value of `by`, those with the smallest hashes of their doc_id; it is for fitting
-    only, and `by` has few values."""
-    values = [r[0] for r in rows.select(by).where(F.col(by).isNotNull()).distinct().limit(100).collect()]
-    parts = [rows.where(F.col(by) == v).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(each) for v in sorted(values)]
-    out = rows.limit(0)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+def bounded_sample(known: DataFrame, docs: DataFrame, by: str, each: int) -> DataFrame:
+    """Rows of docs, with the value of `by`, for at most `each` documents of every value; for fitting only.
+
+    known: (doc_id, by), with few values; the ids with the smallest hashes are taken. Only ids are ordered and sent to
+    the driver, `each` for a value, and only those are joined with the texts.
+    """
+    values = [r[0] for r in known.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).limit(100).collect()]
+    ids = [tuple(r) for v in values for r in known.where(F.col(by) == v).select("doc_id", by).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
+    picked = known.sparkSession.createDataFrame(sorted(set(ids)), known.select("doc_id", by).schema)
+    return docs.join(F.broadcast(picked), "doc_id")

@@ -153,12 +153,12 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, chunks: int = SAMPLE
 
     The bound: `documents` rows of each language, `chunks` chunks spread over each of them.
     """
-    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     n = F.octet_length("text")
     size = CHUNK * chunks
     # a long text gives its first and last bytes and some between, so the sample's size is bounded too
     picked = F.when(n <= size, F.col("text")).otherwise(F.concat(*(F.substring("text", (F.length("text") * F.lit(k) / chunks).cast("int") + 1, F.lit(CHUNK)) for k in range(chunks))))
-    rows = bounded_sample(known, "lang", documents).select("lang", picked.alias("text")).toPandas()
+    rows = bounded_sample(known.select("doc_id", "lang"), known.select("doc_id", picked.alias("text")), "lang", documents).orderBy("doc_id", "text").toPandas()
     if not len(rows):
         return None
     langs = sorted(rows.lang.unique())

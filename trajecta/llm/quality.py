@@ -142,8 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, c
     not at all.
     """
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars)).join(marks, "doc_id")
-    rows = bounded_sample(known, "quality", documents).select("text", "quality").toPandas()
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    known = short.select("doc_id").join(marks, "doc_id")
+    rows = bounded_sample(known, short.select("doc_id", "text"), "quality", documents).orderBy("doc_id", "text").select("text", "quality").toPandas()
     if not len(rows):
         return None
     target = rows.quality.to_numpy().astype(float)
