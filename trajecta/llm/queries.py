@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, jaccard, language, licenses, packing, pii, quality
+from trajecta.llm import decontaminate, hmm, jaccard, language, licenses, packing, pii, quality
 from trajecta.session import table
 
 
@@ -17,6 +17,11 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_hmm(spark: SparkSession, root: str) -> DataFrame:
+    """Hidden Markov and unigram log probabilities of every document."""
+    return hmm.held_out_scores(table(spark, root, "documents"))
+
+
 def op2_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality score of every document."""
     return quality.classify(table(spark, root, "documents"), table(spark, root, "labels"))
@@ -53,6 +58,7 @@ def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm": op1_hmm,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op5_pii": op5_pii,
