@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, hmm, jaccard, language, licenses, packing, pii, quality
+from trajecta.llm import decontaminate, hmm, jaccard, language, licenses, media, packing, pii, quality
 from trajecta.session import table
 
 
@@ -57,6 +57,11 @@ def op9_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.join(table(spark, root, "documents"))
 
 
+def op10_webp(spark: SparkSession, root: str) -> DataFrame:
+    """Every document stored as lossless WebP and read back: sizes, digests and features."""
+    return media.describe(media.encode_texts(table(spark, root, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_quality": op2_quality,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_webp": op10_webp,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
