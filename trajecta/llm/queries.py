@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, hmm, jaccard, language, licenses, media, packing, pii, quality
+from trajecta.llm import decontaminate, hmm, html, jaccard, language, licenses, media, packing, pii, quality
 from trajecta.session import table
 
 
@@ -32,6 +32,11 @@ def op3_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
+def op4_main_text(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, root, "pages"))
+
+
 def op5_pii(spark: SparkSession, root: str) -> DataFrame:
     """Every document's text with pseudonyms, how many values moved and of which kinds."""
     return pii.protect(table(spark, root, "documents"), report=True)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_main_text": op4_main_text,
     "op5_pii": op5_pii,
     "op6_language": op6_language,
     "op7_license_scan": op7_license_scan,
