@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from trajecta.plans import event_queries
+
+_ALL = [event_queries.registry]
+QUERIES: dict = {k: v for r in _ALL for k, v in r.queries.items()}
+ORACLES: dict = {k: v for r in _ALL for k, v in r.oracles.items()}
