@@ -17,7 +17,7 @@ def matches(products: DataFrame, goals: DataFrame, most: int | None = None) -> D
     wanted = goals.select("goal", "price_upper", F.size("wanted").alias("n"), F.posexplode("wanted").alias("j", "option"))
     offered = products.select("asin", "price", F.explode(F.array_distinct("options")).alias("option"))
     met = offered.join(wanted, "option").where(F.col("price") <= F.col("price_upper"))
-    covered = met.groupBy("goal", "asin", "n").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("j"))).alias("mask"), F.first("price").alias("price"))
+    covered = met.groupBy("goal", "asin", "n").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"), F.first("price").alias("price"))
     full = covered.where(F.col("mask") == F.expr("shiftleft(1L, n)") - 1).select("goal", "asin", "price")
     if most is None:
         return full

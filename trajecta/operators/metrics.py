@@ -36,7 +36,7 @@ def best_checkpoint(scores: DataFrame) -> DataFrame:
 
 def coverage(found: DataFrame, tasks: DataFrame, reps: int) -> DataFrame:
     """(task, rep, n) of the expected grid of tasks and repetitions where exactly one result is not what there is."""
-    grid = tasks.select("task").distinct().select("task", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).cast("long").alias("rep")) if reps else tasks.limit(0)
+    grid = tasks.select("task").distinct().select("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep")) if reps else tasks.limit(0)
     counted = found.groupBy("task", "rep").agg(F.count("*").alias("n"))
     both = grid.withColumn("expected", F.lit(True)).join(counted, ["task", "rep"], "full")
     return both.select("task", "rep", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("expected", F.lit(False)).alias("expected")).where("n <> 1 OR NOT expected")
