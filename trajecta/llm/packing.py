@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,12 @@ from trajecta.llm.common import blocks, flat_bytes
 
 LENGTH = 2048
 END = 1
+_END = END.to_bytes(4, "little")
 #: Dimensions and bits of the curve; their product is under 63.
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 4096
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,20 +85,42 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Ids(dict):
-    """Token ids by word. Tokens don't cross ASCII white space, so a text's ids are its words' ids one after the other."""
+    """Token ids by word, as bytes. Tokens don't cross ASCII white space, so a text's ids are its words' ids one after
+    the other, and the new words of a text can be looked up as one text of their own."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        ids = self[word] = tuple(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        return ids
+            new = list(words)
+        if not new:
+            return
+        texts = [w.decode() for w in new]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        owner = np.searchsorted(begins, [at for at, _ in found.offsets], side="right") - 1
+        ends = (4 * np.cumsum(np.bincount(owner.astype(np.int64), minlength=len(new)))).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        for word, begin, end in zip(new, [0, *ends], ends, strict=False):
+            self[word] = raw[begin:end]
 
     def of(self, text: bytes) -> np.ndarray:
-        return np.fromiter(itertools.chain(itertools.chain.from_iterable(map(self.__getitem__, text.split())), (END,)), np.uint32)
+        words = text.split()
+        self.learn(set(words))
+        return np.frombuffer(b"".join([*map(self.__getitem__, words), _END]), "<u4")
+
+
+@lru_cache(maxsize=1)
+def _known(spec: str) -> Ids:
+    """What a worker process has learned of a tokenizer stays for its next tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Ids(Tokenizer.from_str(spec))
 
 
 def powers(n: int) -> list[int]:
@@ -176,12 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
         return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        known, packer, done, size = Ids(Tokenizer.from_str(spec)), Packer(length, TaskContext.get().partitionId()), [], 0
+        known, packer, done, size = _known(spec), Packer(length, TaskContext.get().partitionId()), [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for piece in packer.add(doc, known.of((text or "").encode())):
