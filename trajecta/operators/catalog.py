@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +74,11 @@ def plans(choices: DataFrame, n: int) -> DataFrame:
     if not 0 < n <= 16:
         raise ValueError("between 1 and 16 options")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas()
         groups = [[(int(m), v) for m, v in zip(g["mask"], g["value"], strict=True)] for _, g in frame.sort_values(["grp", "ord"]).groupby("grp")]
         found = covers(groups, n)
-        return pd.DataFrame({"asin": [frame["asin"].iloc[0]], "plan": [found]}) if found is not None else pd.DataFrame({"asin": [], "plan": []}).astype({"asin": "int64"})
+        own = [] if found is None else [int(frame["asin"].iloc[0])]
+        return pa.table({"asin": pa.array(own, pa.int64()), "plan": pa.array([found] if own else [], pa.list_(pa.string()))})
 
-    return choices.groupBy("asin").applyInPandas(run, "asin long, plan array<string>")
+    return choices.groupBy("asin").applyInArrow(run, "asin long, plan array<string>")

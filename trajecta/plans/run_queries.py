@@ -82,7 +82,7 @@ def split_summary(spark, root):
     return rounded(metrics.by_seed(runs(spark, root).withColumn("seed", F.col("rep") % 4).withColumn("split", split), ["split", "seed"]), "split", "seed")
 
 
-@registry.add(RUNS + f", s AS (SELECT rep % 4 AS seed, {_SEED} FROM runs GROUP BY rep % 4), u AS (UNPIVOT (SELECT seed, success, progress, rounds, success_rounds, failure_rounds FROM s) ON success, progress, rounds, success_rounds, failure_rounds INTO NAME metric VALUE v), c AS (SELECT metric, count(*) AS k, avg(v) AS m, stddev_samp(v) AS d FROM u GROUP BY metric) SELECT metric, round(CASE WHEN k = 4 THEN m END, 9) AS mean, round(CASE WHEN k = 4 THEN d END, 9) AS sample_std FROM c")
+@registry.add(RUNS + f", s AS (SELECT rep % 4 AS seed, {_SEED} FROM runs GROUP BY rep % 4), u AS (UNPIVOT INCLUDE NULLS (SELECT seed, success, progress, rounds, success_rounds, failure_rounds FROM s) ON success, progress, rounds, success_rounds, failure_rounds INTO NAME metric VALUE v), c AS (SELECT metric, count(v) AS k, avg(v) AS m, stddev_samp(v) AS d FROM u GROUP BY metric) SELECT metric, round(CASE WHEN k = (SELECT count(*) FROM s) THEN m END, 9) AS mean, round(CASE WHEN k = (SELECT count(*) FROM s) THEN d END, 9) AS sample_std FROM c")
 def across_seed_summary(spark, root):
     """A13."""
     out = metrics.across_seeds(metrics.by_seed(runs(spark, root).withColumn("seed", F.col("rep") % 4), ["seed"]))
