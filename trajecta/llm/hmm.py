@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -195,15 +196,18 @@ class HMM:
         return counts
 
 
-def encoded(texts: list[str | None], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each with its end, and where each begins."""
+def encoded(texts: list[str | None], symbols: Symbols, rare: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, each with its end, and where each begins. rare takes each text's words without a symbol of
+    their own."""
     lists = []
     for text in texts:
         w = words(text)
-        row = np.full(len(w) + 1, END, np.int64)
-        row[:-1] = np.fromiter(map(symbols.__getitem__, w), np.int64, len(w))
+        row = np.full(len(w) + 1, END, np.int32)
+        row[:-1] = np.fromiter(map(symbols.__getitem__, w), np.int32, len(w))
         lists.append(row)
-    return np.concatenate([*lists, np.empty(0, np.int64)]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        if rare is not None:
+            rare.append(Counter([w[i] for i in np.flatnonzero(row > symbols.frequent).tolist()]))
+    return np.concatenate([*lists, np.empty(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
 
 class Model:
@@ -245,22 +249,45 @@ def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Model
     return Model(frequent, top.c.to_numpy(np.int64) if top is not None else np.empty(0, np.int64), class_tokens, class_words, documents)
 
 
+def sequence_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many symbols, one row at least."""
+    for batch in batches:
+        lengths = np.diff(np.asarray(batch.column(0).offsets, np.int64))
+        group = (np.cumsum(lengths) - 1) // most
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """Expected counts over all rows, summed across tasks, `rounds` times; the first guess comes from a bounded sample."""
     hmm, frequent = model.hmm, model.frequent
-    guess = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(GUESS_DOCUMENTS).select(F.substring("text", 1, 20_000).alias("text")).toPandas().text.tolist()
+    ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(GUESS_DOCUMENTS).collect()]
+    guess = docs.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").select(F.substring("text", 1, 20_000).alias("text")).toPandas().text.tolist()
     flat, offsets = encoded(guess, Symbols(frequent))
     for _ in range(GUESS_ROUNDS if len(offsets) > 1 else 0):
         hmm.update(hmm.expected(flat, offsets))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(frequent)
+        for batch in blocks(batches, 6_000_000):
+            flat, offsets = encoded(batch.column(0).to_pylist(), symbols)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["symbols"])
+
+    # every round reads the symbols, which are smaller than the texts and need no look-up
+    sequences = stored(docs.select("text").mapInArrow(encode, "symbols array<int>"))
     states = len(hmm.start)
     columns = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
         # row -1 has the starts, rows -2-k the moves from state k, others the symbols
 
         def run(batches: Iterator[pa.RecordBatch], hmm: HMM = hmm) -> Iterator[pa.RecordBatch]:
-            symbols, total = Symbols(frequent), None
-            for batch in blocks(batches, 6_000_000):
-                own = hmm.expected(*encoded(batch.column(0).to_pylist(), symbols))
+            total = None
+            for batch in sequence_blocks(batches, 1_000_000):
+                column = batch.column(0)
+                offsets = np.asarray(column.offsets, np.int64)
+                own = hmm.expected(np.asarray(column.flatten()), offsets - offsets[0])
                 total = own if total is None else {k: total[k] + own[k] for k in own}
             if total is None:
                 return
@@ -269,7 +296,7 @@ def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             rows = np.concatenate([total["start"][None], total["move"], total["emit"][used]])
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(rows[:, k]) for k in range(states))], ["key", *columns])
 
-        sums = docs.select("text").mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        sums = sequences.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         if not len(sums):
             break
         key, rows = sums.key.to_numpy(), sums[columns].to_numpy()
@@ -300,27 +327,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, own, row = Symbols(model.frequent), len(model.frequent), TaskContext.get().partitionId() << 40
+        names = ["row", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
+
+        def table(row: np.ndarray, docs: pa.Array, word: list[bytes], tf: np.ndarray, n: np.ndarray, seen: np.ndarray, base: np.ndarray, likely: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row), docs, pa.array(word, pa.binary()), pa.array(tf), pa.array(n), pa.array(seen), pa.array(base), pa.array(likely)], names)
+
         for batch in blocks(batches, 6_000_000):
-            texts = batch.column(1).to_pylist()
-            flat, offsets = encoded(texts, symbols)
+            rare: list[Counter] = []
+            flat, offsets = encoded(batch.column(1).to_pylist(), symbols, rare)
             likelihood = model.hmm.log10_likelihood(flat, offsets)
-            out: list[list] = [[] for _ in range(8)]
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                s = flat[offsets[k] : offsets[k + 1]]
-                rare = s > own
-                common = s[~rare]
-                row += 1
-                # the key of the document's own row is no word, since words have no blanks
-                values = (row, doc, b" %d" % row, 0, len(s), int((known[common] > 0).sum()), float(base_of[common].sum()), float(likelihood[k] - shares[s[rare] - own - 1].sum()))
-                for c, v in zip(out, values, strict=True):
-                    c.append(v)
-                if rare.any():
-                    w = words(texts[k])
-                    for word, n in Counter(w[i] for i in np.flatnonzero(rare)).items():
-                        for c, v in zip(out, (row, doc, word, n, 0, 0, 0.0, 0.0), strict=True):
-                            c.append(v)
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["row", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"])
+            n = np.diff(offsets)
+            common = flat <= own
+            starts = offsets[:-1]  # every text has its end, so no range is empty
+            seen = np.add.reduceat(common & (known[np.where(common, flat, 0)] > 0), starts, dtype=np.int64)
+            base = np.add.reduceat(np.where(common, base_of[np.where(common, flat, 0)], 0.0), starts)
+            likelihood -= np.add.reduceat(np.where(common, 0.0, shares[np.where(common, 0, flat - own - 1)]), starts)
+            rows = row + np.arange(len(n))
+            row += len(n)
+            # the key of the document's own row is no word, since words have no blanks
+            yield table(rows, batch.column(0), [b" %d" % r for r in rows], np.zeros(len(n), np.int64), n, seen, base, likelihood)
+            sizes = np.array([len(c) for c in rare])
+            at = np.repeat(np.arange(len(n)), sizes)
+            zero, none = np.zeros(len(at), np.int64), np.zeros(len(at))
+            tf = np.fromiter(chain.from_iterable(c.values() for c in rare), np.int64, len(at))
+            yield table(rows[at], batch.column(0).take(pa.array(at)), list(chain.from_iterable(rare)), tf, zero, zero, none, none)
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
