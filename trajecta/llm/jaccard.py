@@ -181,7 +181,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
     """The pairs (x, y) whose sets, made of the words themselves, are similar enough."""
     pairs = cut(pairs)
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # written first, so that both sides of the joins are plain exchanges and a document of very many pairs can be split
+    texts = stored(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("b")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
