@@ -82,7 +82,7 @@ def split_summary(spark, root):
     return rounded(metrics.by_seed(runs(spark, root).withColumn("seed", F.col("rep") % 4).withColumn("split", split), ["split", "seed"]), "split", "seed")
 
 
-@registry.add(RUNS + f", s AS (SELECT rep % 4 AS seed, {_SEED} FROM runs GROUP BY rep % 4), u AS (UNPIVOT INCLUDE NULLS (SELECT seed, success, progress, rounds, success_rounds, failure_rounds FROM s) ON success, progress, rounds, success_rounds, failure_rounds INTO NAME metric VALUE v), c AS (SELECT metric, count(v) AS k, avg(v) AS m, stddev_samp(v) AS d FROM u GROUP BY metric) SELECT metric, round(CASE WHEN k = (SELECT count(*) FROM s) THEN m END, 9) AS mean, round(CASE WHEN k = (SELECT count(*) FROM s) THEN d END, 9) AS sample_std FROM c")
+@registry.add(RUNS + f", s AS (SELECT rep % 4 AS seed, {_SEED} FROM runs GROUP BY rep % 4), u AS (SELECT metric, v FROM (SELECT seed, success, progress, rounds, success_rounds, failure_rounds FROM s) UNPIVOT INCLUDE NULLS (v FOR metric IN (success, progress, rounds, success_rounds, failure_rounds))), c AS (SELECT metric, count(v) AS k, avg(v) AS m, stddev_samp(v) AS d FROM u GROUP BY metric) SELECT metric, round(CASE WHEN k = (SELECT count(*) FROM s) THEN m END, 9) AS mean, round(CASE WHEN k = (SELECT count(*) FROM s) THEN d END, 9) AS sample_std FROM c")
 def across_seed_summary(spark, root):
     """A13."""
     out = metrics.across_seeds(metrics.by_seed(runs(spark, root).withColumn("seed", F.col("rep") % 4), ["seed"]))
@@ -96,7 +96,7 @@ def best_checkpoint(spark, root):
     return metrics.best_checkpoint(scores).select("step", F.round("success", 9).alias("success"))
 
 
-@registry.add(RUNS + ", g AS (SELECT *, CASE WHEN won THEN 1.0 ELSE 0.0 END AS r FROM runs) SELECT task, rep, round((r - avg(r) OVER w) / (stddev_samp(r) OVER w + 0.000001), 9) AS advantage FROM g WINDOW w AS (PARTITION BY task)")
+@registry.add(RUNS + ", g AS (SELECT *, CASE WHEN won THEN 1.0 ELSE 0.0 END AS r FROM runs) SELECT task, rep, round(CASE WHEN count(*) OVER w = 1 THEN r / 1.000001 ELSE (r - avg(r) OVER w) / (stddev_samp(r) OVER w + 0.000001) END, 9) AS advantage FROM g WINDOW w AS (PARTITION BY task)")
 def group_advantage(spark, root):
     """A15."""
     rewards = runs(spark, root).withColumn("r", F.col("won").cast("double"))
