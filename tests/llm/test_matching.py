@@ -1,0 +1,275 @@
+"""Joins, scans, pseudonyms, packing and media against brute force and round trips."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.oracle import duck, spark_rows
+from trajecta.llm import decontaminate, jaccard, licenses, media, packing, pii, queries
+from trajecta.llm.components import components
+from trajecta.llm.webp import CROSS, GREEN, PALETTE, PREDICT, decode, encode
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_groups(rows, num=90, den=100):
+    sets = {i: jaccard.exact_set(t, 3) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if den * n >= num * len(sets[a] | sets[b]):
+                    x, y = sorted((top(a), top(b)))
+                    group[y] = x
+    return {i: top(i) for i in sets}
+
+
+def noisy(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.integers(len(out))] = f"e{rng.integers(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_equals_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, k = [], 0
+    for size in (12, 40, 90, 200):
+        base = [f"w{rng.integers(300)}" for _ in range(size)]
+        for _ in range(14):
+            rows.append((k, noisy(rng, base, int(rng.integers(0, 5)))))
+            k += 1
+    shared = " ".join(f"p{j}" for j in range(60))
+    for _ in range(30):
+        rows.append((k, shared + " " + noisy(rng, ["z"] * 8, 8)))
+        k += 1
+    rows += [(k, "a"), (k + 1, "A"), (k + 2, "a b"), (k + 3, "a b c"), (k + 4, "A B\tc")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_frequent_tokens_do_not_change_the_result(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    monkeypatch.setattr(jaccard, "LEAST", 10**9)
+    assert a == {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert a == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+@pytest.mark.parametrize("root", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_contamination_equals_oracle(spark, root):
+    assert spark_rows(queries.op3_decontamination(spark, root)) == duck(root, queries.ORACLES["op3_decontamination"])
+
+
+def test_contamination_at_the_threshold(spark):
+    item = [f"i{k}" for k in range(24)]  # 20 shingles
+    docs = [(n, " ".join(["x"] * 5000 + item[:n] + ["y"] * 10)) for n in range(17, 25)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item).upper() + "!")], "item_id long, text string"))
+    assert {r["doc_id"]: r["n_shared"] for r in got.collect()} == {n: n - 4 for n in range(20, 25)}
+
+
+def test_licenses_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = [(10**6, "CC-BY NC cc by nc cc by\nnc under the MIT license under the MIT license"), (10**6 + 1, "apache license version 2"), (10**6 + 2, "apache license, version 3")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in licenses.summary(docs).collect()}
+    for r in docs.collect():
+        w = WORD.findall(r["text"].translate(LOWER))
+        places = [(k, label) for label, p in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        got = rows[r["doc_id"]]
+        assert (got["n_words"], got["n_base"], got["base_labels"]) == (len(w), len(places), ",".join(sorted({x[1] for x in places})))
+        assert (got["first_word"], got["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(got["base_labels"].split(",")) <= set(got["labels"].split(",")) or not places
+
+
+def test_license_passage_with_changes(spark):
+    text = dict((b, a) for a, b in licenses.TEMPLATES)
+    mit = next(t for t in text if t.startswith("permission is hereby granted")).split()
+    changed = mit[:8] + ["really"] + mit[8:20] + mit[21:]
+    rows = spark.createDataFrame([(1, "x " * 50 + " ".join(changed)), (2, " ".join(reversed(mit)))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["n_base"]) for r in licenses.summary(rows).collect()}
+    assert got == {1: ("mit", 0), 2: ("", 0)}
+
+
+@given(st.integers(2, 10**12), st.data())
+@settings(max_examples=60, deadline=None)
+def test_feistel_inverts(size, data):
+    value = data.draw(st.integers(0, size - 1))
+    moved = pii.permute(value, size, b"k", "t")
+    assert 0 <= moved < size and pii.permute(moved, size, b"k", "t", back=True) == value
+
+
+def test_feistel_is_a_permutation():
+    assert sorted(pii.permute(k, 1000, b"k", "t") for k in range(1000)) == list(range(1000))
+
+
+@pytest.mark.parametrize(
+    "kind, value",
+    [("number", "4111 1111 1111 1111"), ("number", "9807915762804490"), ("ip", "97.51.17.173"), ("date", "1999-12-31"), ("date", "28 May 2001"), ("date", "28/02/1987"), ("phone", "+1 (017) 555-7713"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "ann.b2@mail.example.com"), ("ssn", "123-45-6789"), ("key", "04dbebab91ab85687d33eeaaf9ac699e1188f962")],
+)
+def test_pseudonyms_keep_the_format(kind, value):
+    f = pii.KINDS[kind]
+    moved = f(value, pii.KEY)
+    assert moved != value and f(moved, pii.KEY, back=True) == value and f(value, b"another key") != moved
+    text, kinds = pii.pseudonyms(f"Name: {value}, and {value}!")
+    assert value not in text and kinds == [kind, kind] and text.count(moved) == 2
+    if kind == "number":
+        luhn = lambda s: pii.luhn_digit(re.sub(r"\D", "", s)[:-1]) == s[-1]
+        assert luhn(value) == luhn(moved)
+
+
+@pytest.mark.parametrize("text", ["Version 2.0, CC BY-NC 4.0", "999.1.1.1", "2021-02-30", "in 1999 and 2001", "GB00 0000 0000 0000 00 x"])
+def test_what_is_not_valid_stays(text):
+    assert pii.pseudonyms(text) == (text, [])
+
+
+def test_no_value_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    values = re.compile(r"\b\d{16}\b|[\w.]+@[\w.]+\.com|\d+\.\d+\.\d+\.\d+|\+\d \(\d+\) \d+-\d+|\b[0-9a-f]{40}\b")
+    masked = {r["doc_id"]: r["text"] for r in pii.protect(docs).collect()}
+    found = Counter()
+    for r in docs.collect():
+        for v in values.findall(r["text"]):
+            found[v] += 1
+            assert v not in masked[r["doc_id"]]
+    assert len(found) > 30
+
+
+def test_hilbert_steps_are_neighbours():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    keys = packing.hilbert_keys(grid, 3)
+    assert sorted(keys) == list(range(512))
+    assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("text", ["", "a\x0bb\x0cc d", "ΑΣ. ΣΑΣ", "é ́x", "<|endoftext|> a<|startoftext|>b", "I'll don't 12 ..!!  x y \x1c z", "ǆİ ß", "x y"])
+def test_ids_of_words_are_ids_of_the_text(text):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer())
+    assert packing.Ids(whole).of(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids + [packing.END]
+
+
+def test_pieces_make_up_the_documents(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = packing.pack(docs, queries.tokenizer()).collect()
+    tok = Tokenizer.from_file(queries.tokenizer())
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+        assert zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"]
+    for r in docs.collect():
+        own = sorted(by_doc[r["doc_id"]], key=lambda p: p["start"])
+        ids = [i for p in own for i in p["ids"]]
+        assert ids == tok.encode(r["text"], add_special_tokens=False).ids + [1]
+        assert [p["start"] for p in own] == np.cumsum([0] + [p["length"] for p in own])[:-1].tolist() and own[0]["doc_tokens"] == len(ids)
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in own] == np.cumsum([0] + [p["length"] for p in own])[:-1].tolist()
+        n = sum(p["length"] for p in own)
+        assert n == 2048 or n & (n - 1) == 0
+
+
+SHAPES = [(1, 1), (1, 5), (7, 3), (20, 33), (9, 1)]
+
+
+@pytest.mark.parametrize("options", [{}, {"runs": False}, {"cache_bits": 4}, {"cache_bits": 1}, {"transforms": [GREEN]}, {"transforms": [PREDICT]}, {"transforms": [CROSS]}, {"transforms": [PREDICT, CROSS, GREEN]}, {"tile_bits": 2}, {"tile_bits": 3, "cache_bits": 5, "transforms": [GREEN, PREDICT]}, {"transforms": [PALETTE]}, {"transforms": [PALETTE, PREDICT], "cache_bits": 2}], ids=str)
+def test_webp_round_trip(options):
+    rng = np.random.default_rng(1)
+    for shape in SHAPES:
+        images = [np.full(shape, 0xFF112233, np.uint32), (rng.integers(0, 1 << 24, shape).astype(np.uint32) | np.uint32(0xFF000000)), rng.integers(0, 1 << 32, shape, dtype=np.uint64).astype(np.uint32)]
+        images += [rng.integers(0, n, shape).astype(np.uint32) * np.uint32(123457) | np.uint32(0xFF000000) for n in (2, 4, 14, 40)]
+        for image in images:
+            if PALETTE not in options.get("transforms", []) or len(np.unique(image)) <= 256:
+                assert (decode(encode(image, **options)) == image).all()
+
+
+def test_webp_of_known_bytes():
+    # a 1 x 1 opaque image of one colour, written out by hand: all codes have one symbol
+    bits = "".join(format(0x2F, "08b")[::-1]) + "0" * 28 + "0" + "000" + "0" + "0" + "0"
+    for symbol in (0x22, 0x11, 0x33, 0xFF):
+        bits += "1" + "0" + "1" + format(symbol, "08b")[::-1]
+    bits += "1" + "0" + "0" + "0"
+    raw = bytes(int(bits[k : k + 8][::-1].rjust(8, "0"), 2) for k in range(0, len(bits), 8))
+    raw += bytes(len(raw) & 1)
+    file = b"RIFF" + (12 + len(raw)).to_bytes(4, "little") + b"WEBPVP8L" + len(raw).to_bytes(4, "little") + raw
+    assert decode(file).tolist() == [[0xFF112233]]
+
+
+def test_webp_refuses_broken_files():
+    good = encode(np.arange(64, dtype=np.uint32).reshape(8, 8) * np.uint32(65537) | np.uint32(0xFF000000))
+    for bad in (b"", good[:25], b"RIFX" + good[4:], good[:40]):
+        with pytest.raises((ValueError, IndexError)):
+            decode(bad)
+
+
+@given(st.binary(max_size=700))
+@settings(max_examples=60, deadline=None)
+def test_payload_round_trip(data):
+    p = media.payload(data)
+    assert len(p) % 64 == 0 and len(p) > 0 and p.startswith(data)
+    assert b"".join(media.samples(i).tobytes() for i in media.images(media.store(p))) == p
+
+
+def test_long_payload_has_several_images():
+    p = media.payload(bytes(range(256)) * 5000)
+    stored = media.store(p)
+    assert len(list(media.images(stored))) == 2 and hashlib.sha256(b"".join(media.samples(i).tobytes() for i in media.images(stored))).digest() == hashlib.sha256(p).digest()
+
+
+def test_media_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r["doc_id"]: r for r in media.describe(media.encode_texts(docs)).collect()}
+    for r in docs.collect():
+        p = media.payload(r["text"].encode())
+        got = rows[r["doc_id"]]
+        assert (got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert hashlib.sha256(media.store(p)).hexdigest() == got["media_sha256"]
+
+
+def test_pipeline_equals_its_stages_by_hand(spark):
+    import corpus_pipeline as cp
+
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    good = cp.STAGES[0][1](spark, docs, root)
+    assert good.columns == docs.columns
+    rows = {r["doc_id"]: r["text"] for r in good.collect()}
+    groups = brute_groups(list(rows.items()))
+    kept = {i for i, g in groups.items() if i == g}
+    one = cp.STAGES[1][1](spark, good, root)
+    assert {r["doc_id"] for r in one.collect()} == kept and one.schema == docs.schema
+    bad = {r["doc_id"] for r in decontaminate.contaminated(good, spark.read.parquet(f"{root}/benchmark.parquet")).collect()}
+    clean = cp.STAGES[2][1](spark, one, root)
+    assert {r["doc_id"] for r in clean.collect()} == kept - bad
+    private = cp.STAGES[3][1](spark, clean, root)
+    assert private.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in private.collect()} == {i: pii.pseudonyms(rows[i])[0] for i in kept - bad}
+    final = cp.run(spark, root)
+    got = final.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"] for r in got} == kept - bad and all(r["n"] == r["t"] for r in got)

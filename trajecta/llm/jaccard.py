@@ -110,12 +110,14 @@ def frequent_tokens(docs: DataFrame, n: int = WORDS, most: int = FREQUENT) -> np
 
     found = cut(docs.select("text").where("text IS NOT NULL").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")))
     sizes = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()}
-    total, least = 0, 63
+    total, least = 0, None
     for b in sorted(sizes, reverse=True):
         total += sizes[b]
         if total > most:
             break
         least = b
+    if least is None:
+        return np.empty(0, np.uint64)
     rows = found.where(F.col("count") >= 2**least).orderBy("count", "token").select("token").toPandas()
     return rows.token.to_numpy(np.int64).view(np.uint64)
 
@@ -209,7 +211,7 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
     feats = stored(features(docs, frequent_tokens(docs, n), n, num, den))
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("class"))
-    sets = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    sets = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
     reps = stored(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
 
     entries = reps.select(F.col("doc_id").alias("x"), "n", F.posexplode_outer("p0").alias("at", "token"))

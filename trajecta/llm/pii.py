@@ -145,7 +145,8 @@ def _day(year: int, month: int, day: int) -> int | None:
 
 
 def date(text: str, key: bytes, back: bool = False) -> str | None:
-    """A day of 1900 to 2099 moves to another one, written as it was: the order of fields, padding, month names."""
+    """A day of 1900 to 2099 moves to another one, written as it was: the order of fields, padding, month names. Two
+    fields of two digits count as padded, so a date without leading zeros may come back with them."""
     fields = re.findall(r"[0-9]+|[A-Za-z]+", text)
     named = next((k for k, x in enumerate(fields) if x[0].isalpha()), None)
     if named is not None:
