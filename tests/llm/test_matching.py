@@ -79,8 +79,9 @@ def test_components_of_paths_and_stars(spark):
 
 
 @pytest.mark.parametrize("root", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_contamination_equals_oracle(spark, root):
-    assert spark_rows(queries.op3_decontamination(spark, root)) == duck(root, queries.ORACLES["op3_decontamination"])
+def test_native_queries_equal_oracles(spark, root):
+    for name in ("op3_decontamination", "op7_license_scan"):
+        assert spark_rows(queries.QUERIES[name](spark, root)) == duck(root, queries.ORACLES[name])
 
 
 def test_contamination_at_the_threshold(spark):
