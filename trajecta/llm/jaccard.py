@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

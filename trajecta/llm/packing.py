@@ -28,8 +28,8 @@ _END = END.to_bytes(4, "little")
 #: Dimensions and bits of the curve; their product is under 63.
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 4096
-#: Words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Words whose ids a worker process remembers; if there are more, the first half stays, which has the frequent ones.
+REMEMBERED = 200_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -94,11 +94,12 @@ class Ids(dict):
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
         if not new:
             return
+        if len(self) + len(new) > REMEMBERED:
+            for word in list(itertools.islice(self, REMEMBERED // 2, None)):
+                del self[word]
+            new = [w for w in words if w not in self]
         texts = [w.decode() for w in new]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
