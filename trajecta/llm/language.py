@@ -190,7 +190,7 @@ def predict(docs: DataFrame, fitted: tuple[BiGRU, list[str]] | None) -> DataFram
     could be learned. Rows that repeat a doc_id each get a row; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 4_000_000):
+        for batch in blocks(batches, 1_000_000):
             ids, texts = batch.column(0), batch.column(1)
             if fitted is None:
                 best, top = ["und"] * len(ids), np.zeros(len(ids))

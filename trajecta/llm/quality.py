@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     doc_id each get a row; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 4_000_000):
+        for batch in blocks(batches, 1_000_000):
             p = model.probability(*flat_bytes(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 4_000_000):
+        for batch in blocks(batches, 1_000_000):
             kept = model.probability(*flat_bytes(batch.column(names.index("text")))) >= KEEP if model else np.ones(batch.num_rows, bool)
             yield batch.filter(pa.array(kept))
 
