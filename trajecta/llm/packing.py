@@ -29,7 +29,7 @@ _END = END.to_bytes(4, "little")
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 4096
 #: Words whose ids a worker process remembers; if there are more, the first half stays, which has the frequent ones.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -84,6 +84,22 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.minimum((coordinates(data, offsets) * 2**BITS).astype(np.int64), 2**BITS - 1))
 
 
+#: ASCII signs that the tokenizer takes as runs of their own; the apostrophe isn't one, since it begins contractions.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def parts(word: bytes) -> tuple[bytes, ...]:
+    """A word of letters with signs at its end as the two, and ASCII letters in lower case: the tokenizer takes letters
+    and signs apart and lowers them, so their ids are known from other words. Any other word is its own part."""
+    text = word.decode()
+    letters = text.rstrip(SIGNS)
+    if not letters.isalpha():
+        return (word,)
+    base = (letters.lower() if letters.isascii() else letters).encode()
+    signs = text[len(letters) :].encode()
+    return (base, signs) if signs else (base,)
+
+
 class Ids(dict):
     """Token ids by word, as bytes. Tokens don't cross ASCII white space, so a text's ids are its words' ids one after
     the other, and the new words of a text can be looked up as one text of their own."""
@@ -100,6 +116,15 @@ class Ids(dict):
             for word in list(itertools.islice(self, REMEMBERED // 2, None)):
                 del self[word]
             new = [w for w in words if w not in self]
+        made = [(w, parts(w)) for w in new]
+        self._encode(list({p for _, ps in made for p in ps if p not in self}))
+        for word, ps in made:
+            if len(ps) > 1 or ps[0] != word:
+                self[word] = b"".join([self[p] for p in ps])
+
+    def _encode(self, new: list[bytes]) -> None:
+        if not new:
+            return
         texts = [w.decode() for w in new]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
