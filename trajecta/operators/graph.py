@@ -33,13 +33,17 @@ SHOP = Variant(loops=True, every_node_won=True)
 HOUSEHOLD = Variant(final_state_ok=False, needs_continuity=False, self_needs_match=True)
 
 
-def visits(steps: DataFrame) -> DataFrame:
-    """(task, rep, t, key, ...): T + 1 states of T decisions. The last row of an execution has no decision."""
+def visits(steps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(task, rep, t, key, ...): T + 1 states of T decisions. The last row of an execution has no decision, so what is
+    carried along from the decisions is null there."""
     shared = ["task", "rep", "won", "n", "student"]
-    last = F.col("t") == F.col("n") - 1
+    own = ("rejected", *carry)
+    kinds = {f.name: f.dataType for f in steps.schema.fields}
+    here = F.struct("t", F.col("key_before").alias("key"), *own)
+    final = F.struct((F.col("t") + 1).alias("t"), F.col("key_after").alias("key"), *(F.lit(None).cast(kinds[c]).alias(c) for c in own))
     # one pass: the last decision gives its own visit and the final one
-    both = F.when(last, F.array(F.struct("t", F.col("key_before").alias("key"), "rejected"), F.struct((F.col("t") + 1).alias("t"), F.col("key_after").alias("key"), F.lit(None).cast("boolean").alias("rejected"))))
-    return steps.withColumn("v", F.explode(F.coalesce(both, F.array(F.struct("t", F.col("key_before").alias("key"), "rejected"))))).select(*shared, "v.*")
+    both = F.when(F.col("t") == F.col("n") - 1, F.array(here, final)).otherwise(F.array(here))
+    return steps.select(*shared, F.explode(both).alias("v")).select(*shared, "v.*")
 
 
 def continuous(steps: DataFrame) -> DataFrame:

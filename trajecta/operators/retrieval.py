@@ -14,12 +14,11 @@ from trajecta.operators.graph import SCIENCE, Variant, continuous, visits
 
 def source_visits(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     """Visits of the sources with `cost` to their end and `eligible`: a success may be followed from here."""
-    flagged = continuous(steps.where(~F.col("student")))
-    seen = visits(flagged.withColumn("action_ok", ~F.col("rejected")))
-    joined = seen.join(flagged.select("task", "rep", "t", F.col("continuous").alias("goes_on")), ["task", "rep", "t"], "left") if variant.needs_continuity else seen.withColumn("goes_on", F.lit(True))
+    own = steps.where(~F.col("student"))
+    seen = visits(continuous(own), ("continuous",)) if variant.needs_continuity else visits(own).withColumn("continuous", F.lit(True))
     final = F.col("t") == F.col("n")
-    follows = F.coalesce(F.col("goes_on"), F.lit(True)) & F.when(final, F.lit(variant.final_state_ok)).otherwise(~F.col("rejected"))
-    return joined.withColumn("cost", F.col("n") - F.col("t")).withColumn("eligible", F.col("won") & follows)
+    follows = F.coalesce(F.col("continuous"), F.lit(True)) & F.when(final, F.lit(variant.final_state_ok)).otherwise(~F.col("rejected"))
+    return seen.withColumn("cost", F.col("n") - F.col("t")).withColumn("eligible", F.col("won") & follows)
 
 
 def best_candidates(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
