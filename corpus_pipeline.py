@@ -13,6 +13,9 @@ from trajecta.llm.common import stored
 from trajecta.llm.queries import tokenizer
 from trajecta.session import table
 
+#: Near duplicates: words of a shingle, and the least similarity as a share of two whole numbers.
+NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR = 5, 80, 100
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labelled ones among them."""
@@ -21,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_WORDS, NEAR_NUMERATOR, NEAR_DENOMINATOR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,44 @@ def test_frequent_tokens_do_not_change_the_result(spark, monkeypatch):
     assert a == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def brute_near(rows):
+    """Ids that a smaller one stands for, by links of 0.8 on five words; every pair that shares a shingle is compared."""
+    sets = {i: jaccard.exact_set(t, 5) for i, t in rows}
+    places, group = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            places.setdefault(x, []).append(i)
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, s in sets.items():
+        for b, n in Counter(b for x in s for b in places[x] if b > a).items():
+            if 10 * n >= 8 * (len(s) + len(sets[b]) - n):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    return {i for i in sets if top(i) != i}
+
+
+def test_pipeline_links_near_copies_at_five_words(spark):
+    import corpus_pipeline as cp
+
+    root = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    rng = np.random.default_rng(3)
+    extra = []
+    for k in range(24):  # pairs with 1 to 4 words changed: similarities around 0.8 on five words
+        base = [f"b{k}-{j}" for j in range(104)]
+        extra += [(10**6 + 2 * k, " ".join(base)), (10**6 + 2 * k + 1, noisy(rng, base, 1 + k % 4))]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    gone = brute_near(rows)
+    assert {255, 770, 875, 944} <= gone
+    assert {r["doc_id"] for r in cp.one_of_each_group(spark, docs, root).collect()} == {i for i, _ in rows} - gone
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
