@@ -12,7 +12,7 @@ import pytest
 
 from trajecta.llm import hmm, html, language, quality
 from trajecta.llm.boost import Boosted
-from trajecta.llm.common import flat_bytes, padded_rows
+from trajecta.llm.common import bounded_sample, flat_bytes, padded_rows
 
 
 @pytest.fixture
@@ -121,6 +121,12 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
 
 
+def test_every_language_is_sampled(spark):
+    known = spark.createDataFrame([(3 * k + j, f"l{k:03d}") for k in range(130) for j in range(3)], "doc_id long, lang string").coalesce(1)
+    rows = bounded_sample(known, known.select("doc_id"), "lang", 2).collect()
+    assert Counter(r["lang"] for r in rows) == {f"l{k:03d}": 2 for k in range(130)}
+
+
 def test_convolution_equals_brute_force():
     net = quality.ByteCNN()
     texts = ["", "abc", "x" * 300, "some words " * 40]

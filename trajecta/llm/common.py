@@ -118,7 +118,7 @@ def bounded_sample(known: DataFrame, docs: DataFrame, by: str, each: int) -> Dat
     known: (doc_id, by), with few values; the ids with the smallest hashes are taken. Only ids are ordered and sent to
     the driver, `each` for a value, and only those are joined with the texts.
     """
-    values = [r[0] for r in known.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).limit(100).collect()]
+    values = [r[0] for r in known.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
     ids = [tuple(r) for v in values for r in known.where(F.col(by) == v).select("doc_id", by).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
     picked = known.sparkSession.createDataFrame(sorted(set(ids)), known.select("doc_id", by).schema)
     return docs.join(F.broadcast(picked), "doc_id")
