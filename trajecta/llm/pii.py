@@ -30,7 +30,7 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 _MONTH = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
 
 #: A text without any of these has no personal data and is passed on as it is.
-HINT = r"(?i)[0-9@]|token|secret|passw|api.?key"
+HINT = r"(?i)[0-9@]|token|secret|passw|api.?key|access.?key|AKIA|gh[pousr]_|sk-"
 
 PATTERN = re.compile(
     rf"""
