@@ -74,6 +74,17 @@ def test_scores_equal_brute_force(spark, data):
         assert rows[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
 
 
+def test_first_guess_reads_whole_texts(spark):
+    texts = ["a b " * 6000 + "c d e " * 3000, "b a c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = lambda: hmm.Model([b"a", b"b", b"c", b"d", b"e"], np.array([6001, 6001, 3001, 3000, 3000]), np.zeros(hmm.CLASSES, np.int64), np.zeros(hmm.CLASSES, np.int64), 2)
+    got, own = hmm.baum_welch(docs, start(), 0).hmm, start().hmm
+    flat, offsets = hmm.encoded(texts, hmm.Symbols(start().frequent))
+    for _ in range(hmm.GUESS_ROUNDS):
+        own.update(own.expected(flat, offsets))
+    assert np.allclose(got.move, own.move) and np.allclose(got.emit, own.emit) and np.allclose(got.start, own.start)
+
+
 def test_shares_of_a_class_sum_to_one():
     model = hmm.Model([b"a"], np.array([5]), np.bincount([3, 3, 7], minlength=hmm.CLASSES) * 2, np.bincount([3, 3, 7], minlength=hmm.CLASSES), 4)
     # two words seen twice each in class 3, and the share left for words not seen

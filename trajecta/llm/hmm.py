@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -249,7 +249,7 @@ def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Model
     return Model(frequent, top.c.to_numpy(np.int64) if top is not None else np.empty(0, np.int64), class_tokens, class_words, documents)
 
 
-def sequence_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def sequence_blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many symbols, one row at least."""
     for batch in batches:
         lengths = np.diff(np.asarray(batch.column(0).offsets, np.int64))
@@ -260,14 +260,28 @@ def sequence_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
                 yield batch.slice(a, b - a)
 
 
+def total_counts(hmm: HMM, batches: Iterable[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    """Expected counts of all rows; None without rows."""
+    total = None
+    for batch in sequence_blocks(batches, 1_000_000):
+        column = batch.column(0)
+        offsets = np.asarray(column.offsets, np.int64)
+        own = hmm.expected(np.asarray(column.flatten()), offsets - offsets[0])
+        total = own if total is None else {k: total[k] + own[k] for k in own}
+    return total
+
+
 def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Expected counts over all rows, summed across tasks, `rounds` times; the first guess comes from a bounded sample."""
+    """Expected counts over all rows, summed across tasks, `rounds` times; the first guess comes from
+    the whole texts of at most GUESS_DOCUMENTS documents."""
     hmm, frequent = model.hmm, model.frequent
     ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(GUESS_DOCUMENTS).collect()]
-    guess = docs.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").select(F.substring("text", 1, 20_000).alias("text")).toPandas().text.tolist()
+    guess = docs.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").select("text").toPandas().text.tolist()
     flat, offsets = encoded(guess, Symbols(frequent))
+    # whole texts, some at a time, to bound what one pass holds at once
+    table = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["symbols"])
     for _ in range(GUESS_ROUNDS if len(offsets) > 1 else 0):
-        hmm.update(hmm.expected(flat, offsets))
+        hmm.update(total_counts(hmm, [table]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(frequent)
@@ -283,12 +297,7 @@ def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         # row -1 has the starts, rows -2-k the moves from state k, others the symbols
 
         def run(batches: Iterator[pa.RecordBatch], hmm: HMM = hmm) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in sequence_blocks(batches, 1_000_000):
-                column = batch.column(0)
-                offsets = np.asarray(column.offsets, np.int64)
-                own = hmm.expected(np.asarray(column.flatten()), offsets - offsets[0])
-                total = own if total is None else {k: total[k] + own[k] for k in own}
+            total = total_counts(hmm, batches)
             if total is None:
                 return
             used = np.flatnonzero(total["emit"].any(axis=1))
