@@ -107,3 +107,14 @@ def test_interaction_modes(spark):
     rows = [(1, 1, t, t, a, 1.0, r, x, y, False, 4, y, x, False) for t, (a, r, x, y) in enumerate(acts)]
     got = history.interaction(spark.createDataFrame(rows, ROW)).orderBy("t").collect()
     assert [r["mode"] for r in got] == ["pending", "pending", "unknown", "normal"]
+
+
+def test_catalog_with_every_part_as_goal(spark, data):
+    from trajecta.plans import registry
+
+    parts = [r for r in spark.read.parquet(f"{data}/part.parquet").collect()]
+    want = sorted((g["p_partkey"], p["p_partkey"], p["p_retailprice"]) for g in parts for p in parts if (g["p_brand"], g["p_type"]) == (p["p_brand"], p["p_type"]) and p["p_retailprice"] <= g["p_retailprice"])
+    got = sorted(tuple(r) for r in registry.QUERIES["catalog_matches_all"](spark, data).collect())
+    assert got == want and {g for g, _, _ in got} == {p["p_partkey"] for p in parts}
+    first = [x for k, x in enumerate(want) if sum(y[0] == x[0] for y in want[max(0, k - 2) : k]) < 2]
+    assert sorted(tuple(r) for r in registry.QUERIES["catalog_capped_all"](spark, data).collect()) == first

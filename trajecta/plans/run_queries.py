@@ -146,8 +146,12 @@ def object_diff(spark, root):
 _GOALS = "g AS (SELECT p_partkey AS goal, p_retailprice AS price_upper, p_brand, p_type FROM part WHERE p_partkey % 101 = 0)"
 
 
+def all_goals(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "part").select(F.col("p_partkey").alias("goal"), F.col("p_retailprice").alias("price_upper"), F.array("p_brand", "p_type").alias("wanted"))
+
+
 def goals(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").where("p_partkey % 101 = 0").select(F.col("p_partkey").alias("goal"), F.col("p_retailprice").alias("price_upper"), F.array("p_brand", "p_type").alias("wanted"))
+    return all_goals(spark, root).where("goal % 101 = 0")
 
 
 @registry.add(f"WITH {_GOALS} SELECT goal, p_partkey AS asin, p_retailprice AS price FROM part JOIN g ON p_retailprice <= price_upper AND part.p_brand = g.p_brand AND part.p_type = g.p_type")
@@ -162,6 +166,18 @@ def catalog_capped(spark, root):
     return catalog.matches(adapters.products(table(spark, root, "part")), goals(spark, root), most=2)
 
 
+@registry.add(None)
+def catalog_matches_all(spark, root):
+    """J10, R23, F36 with every part as a goal; the tests hold it against brute force."""
+    return catalog.matches(adapters.products(table(spark, root, "part")), all_goals(spark, root))
+
+
+@registry.add(None)
+def catalog_capped_all(spark, root):
+    """O4 with every part as a goal; the tests hold it against brute force."""
+    return catalog.matches(adapters.products(table(spark, root, "part")), all_goals(spark, root), most=2)
+
+
 @registry.add("SELECT p_partkey AS asin, round(p_retailprice, 2) AS lower FROM part")
 def price_floor(spark, root):
     """F34."""
