@@ -221,3 +221,34 @@ def test_provenance(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, expected string")
     known = spark.createDataFrame([(1, "x"), (2, "q")], "k int, sha256 string")
     assert {r["k"]: r["issue"] for r in store.with_provenance(rows, known, ["k"]).collect()} == {1: None, 2: "source_changed", 3: "source_missing"}
+
+
+def test_all_queries_of_every_product(spark, data):
+    from trajecta.plans import registry
+
+    got = {r["asin"]: r["queries"] for r in registry.QUERIES["query_candidates_all"](spark, data).collect()}
+    parts = spark.read.parquet(f"{data}/part.parquet").collect()
+    assert len(got) == len(parts)
+    for r in parts:
+        w = r["p_name"].replace("[", " ").replace("]", " ").lower().split()
+        core = [x for x in w if x not in T.STOP]
+        longest = sorted(core, key=lambda x: -len(x))[:6]
+        made = [str(r["p_partkey"]), '"' + " ".join(w) + '"', *(" ".join(x) for x in (w[:4], w[:8], w[-8:], core[:10], longest, w[:2] + w[-4:]))]
+        assert got[r["p_partkey"]] == list(dict.fromkeys(q for q in made if q))
+
+
+def test_parentheses_of_pages(spark):
+    from trajecta.plans import registry
+
+    def closed(text):
+        depth = 0
+        for c in text:
+            depth += (c == "(") - (c == ")")
+            if depth < 0:
+                return False
+        return depth == 0
+
+    root = "/root/testdata/sf0.01"
+    want = {r["page_id"]: closed(r["html"]) for r in spark.read.parquet(f"{root}/pages.parquet").collect()}
+    got = {r["page_id"]: r["balanced"] for r in registry.QUERIES["balanced_parentheses_pages"](spark, root).collect()}
+    assert got == want

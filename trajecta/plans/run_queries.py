@@ -191,6 +191,12 @@ def query_candidates(spark, root):
     return adapters.products(table(spark, root, "part")).select("asin", (F.size(made) > 1).alias("named"), made[0].alias("first_query"))
 
 
+@registry.add(None)
+def query_candidates_all(spark, root):
+    """all of a product's queries, in order; the tests hold it against brute force."""
+    return adapters.products(table(spark, root, "part")).select("asin", T.queries_of(F.col("asin").cast("string"), F.col("name"), F.lit("")).alias("queries"))
+
+
 @registry.add(None)
 def option_masks(spark, root):
     """distinct part types against wanted options by word sets."""

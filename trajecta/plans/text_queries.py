@@ -206,6 +206,12 @@ def balanced_parentheses(spark, root):
     return table(spark, root, "pages").select("page_id", T.balanced(made).alias("balanced"))
 
 
+@registry.add(None)
+def balanced_parentheses_pages(spark, root):
+    """F9 on the pages' own text; the tests hold it against brute force."""
+    return table(spark, root, "pages").select("page_id", T.balanced(F.col("html")).alias("balanced"))
+
+
 @registry.add("WITH f AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN ' No known action matches that input.' WHEN 1 THEN 'I''m not sure how to use ' || role WHEN 2 THEN 'THE ' || role || ' is not openable.' WHEN 3 THEN 'There is only one thing (x)' ELSE role END AS s FROM conversations) SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'unknown_command' WHEN 1 THEN 'unsupported_use' WHEN 2 THEN 'not_openable' WHEN 3 THEN 'single_item_mix' END AS reason FROM f")
 def rejection_reason(spark, root):
     """P9."""
