@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trajecta.llm import hmm, html, language, quality
 from trajecta.llm.boost import Boosted
-from trajecta.llm.common import bounded_sample, flat_bytes, padded_rows
+from trajecta.llm.common import bounded_sample, flat_bytes, held_out, padded_rows
 
 
 @pytest.fixture
@@ -134,8 +135,38 @@ def test_language_held_out(spark):
 
 def test_every_language_is_sampled(spark):
     known = spark.createDataFrame([(3 * k + j, f"l{k:03d}") for k in range(130) for j in range(3)], "doc_id long, lang string").coalesce(1)
-    rows = bounded_sample(known, known.select("doc_id"), "lang", 2).collect()
-    assert Counter(r["lang"] for r in rows) == {f"l{k:03d}": 2 for k in range(130)}
+    rows, counts = bounded_sample(known, known.select("doc_id"), "lang", 2)
+    assert Counter(r["lang"] for r in rows.collect()) == {f"l{k:03d}": 2 for k in range(130)}
+    assert counts == {f"l{k:03d}": 3 for k in range(130)}
+
+
+def test_sample_of_many_rows_is_full(spark):
+    known = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS quality")
+    rows, counts = bounded_sample(known, known.select("doc_id"), "quality", 300)
+    assert Counter(r["quality"] for r in rows.collect()) == {0: 300, 1: 300} and counts == {1: 6667, 0: 13333}
+
+
+def test_held_out_labels_change_no_score(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    other = labels.withColumn("quality", F.when(held_out("doc_id", 5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = other.unionByName(spark.createDataFrame([(10**9 + k, 1, 0) for k in range(50)], labels.schema))
+    scores = [{r["doc_id"]: r["score"] for r in quality.classify(docs, marks).collect()} for marks in (labels, other)]
+    assert scores[0] == scores[1]
+
+
+def test_long_texts_are_learned_from(spark):
+    good, bad = "plain words of a good text. " * 400, "zzz !! xx 99 " * 900
+    docs = spark.createDataFrame([(k, f"{k} " + (good if k % 2 else bad)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rows = quality.classify(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows)
+
+
+def test_spread_reaches_both_ends(spark):
+    text = "".join(chr(0x4E00 + k) for k in range(9000))
+    rows = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(quality.spread(F.col("text")).alias("s")).collect()
+    assert rows[0]["s"][0] == text[0] and rows[0]["s"][-1] == text[-1] and len(rows[0]["s"]) == quality.SAMPLE_CHARS
+    assert rows[1]["s"] == "short" and rows[2]["s"] is None
 
 
 def test_convolution_equals_brute_force():

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trajecta-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -60,10 +64,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a columnar table in the shared folder, for wide rows of which later steps read a few columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """The rows as a columnar table in the shared folder, for wide rows of which later steps read a few columns. The
+    application owns the table: it is deleted when the driver ends, since a lazy result may be read until then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; at the end of a task, its worker gives free memory back to the system. Workers stay
+    for later tasks, so what they keep would add up with the executor's own memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -108,17 +132,33 @@ def padded_rows(data: np.ndarray, offsets: np.ndarray, unit: int, extra: int = 0
 
 
 def fold(column: str, k: int) -> Column:
-    """crc32 of the id's text, modulo k."""
+    """crc32 of the id's text, modulo k; null without an id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % k
 
 
-def bounded_sample(known: DataFrame, docs: DataFrame, by: str, each: int) -> DataFrame:
-    """Rows of docs, with the value of `by`, for at most `each` documents of every value; for fitting only.
+def held_out(column: str, k: int, remainder: int) -> Column:
+    """Whether a row is kept from learning: its fold is the remainder, or it has no id."""
+    return F.coalesce(fold(column, k) == remainder, F.lit(True))
+
+
+def bounded_sample(known: DataFrame, docs: DataFrame, by: str, each: int) -> tuple[DataFrame, dict]:
+    """(rows, counts): rows of docs, with the value of `by`, for at most `each` documents of every value, for fitting
+    only; and the number of known rows of every value.
 
-    known: (doc_id, by), with few values; the ids with the smallest hashes are taken. Only ids are ordered and sent to
-    the driver, `each` for a value, and only those are joined with the texts.
+    known: (doc_id, by), with few values. Two passes over known, whatever the number of values: one counts, one keeps
+    the ids whose hashes lie under a share that lets about twice `each` of a value through, of which the smallest are
+    taken. So few ids are ordered or sent to the driver, and only theirs are joined with the texts.
     """
-    values = [r[0] for r in known.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
-    ids = [tuple(r) for v in values for r in known.where(F.col(by) == v).select("doc_id", by).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]
-    picked = known.sparkSession.createDataFrame(sorted(set(ids)), known.select("doc_id", by).schema)
-    return docs.join(F.broadcast(picked), "doc_id")
+    spark = known.sparkSession
+    known = known.where(F.col(by).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", by)
+    counts = {r[0]: r[1] for r in known.groupBy(by).count().collect()}
+    if not counts:
+        return docs.join(known.limit(0), "doc_id"), counts
+    scale = 1 << 40
+    limits = spark.createDataFrame([(v, min(scale, math.ceil(scale * (2 * each + 50) / n))) for v, n in counts.items()], f"{by} {known.schema[by].dataType.simpleString()}, below long")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    thin = known.withColumn("place", place).join(F.broadcast(limits), by).where(F.col("place") < F.col("below")).distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("place", "doc_id"))
+    ids = [tuple(r) for r in thin.withColumn("k", rank).where(F.col("k") <= each).select("doc_id", by).collect()]
+    picked = spark.createDataFrame(sorted(ids), known.schema)
+    return docs.join(F.broadcast(picked), "doc_id"), counts

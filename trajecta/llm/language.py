@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, bounded_sample, flat_bytes, fold, padded_rows
+from trajecta.llm.common import blocks, bounded_sample, flat_bytes, held_out, padded_rows, released
 
 CHUNK = 128
 HIDDEN = 8
@@ -158,7 +158,8 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, chunks: int = SAMPLE
     size = CHUNK * chunks
     # a long text gives its first and last bytes and some between, so the sample's size is bounded too
     picked = F.when(n <= size, F.col("text")).otherwise(F.concat(*(F.substring("text", (F.length("text") * F.lit(k) / chunks).cast("int") + 1, F.lit(CHUNK)) for k in range(chunks))))
-    rows = bounded_sample(known.select("doc_id", "lang"), known.select("doc_id", picked.alias("text")), "lang", documents).orderBy("doc_id", "text").toPandas()
+    rows, _ = bounded_sample(known.select("doc_id", "lang"), known.select("doc_id", picked.alias("text")), "lang", documents)
+    rows = rows.orderBy("doc_id", "text").toPandas()
     if not len(rows):
         return None
     langs = sorted(rows.lang.unique())
@@ -202,10 +203,11 @@ def predict(docs: DataFrame, fitted: tuple[BiGRU, list[str]] | None) -> DataFram
                 top = np.where(letters, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(best, pa.string()), pa.array(top, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Fit on the rows outside the held-out fold (crc32 of doc_id mod 5 is 0) and predict every row."""
-    fitted = fit(docs.where(fold("doc_id", 5) != 0))
-    return predict(docs, fitted).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    """Fit on the rows outside the held-out fold (crc32 of doc_id mod 5 is 0) and predict every row. Rows without a
+    doc_id aren't learned from, so they count as held out."""
+    fitted = fit(docs.where(~held_out("doc_id", 5, 0)))
+    return predict(docs, fitted).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")

@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, bounded_sample, flat_bytes, fold, padded_rows
+from trajecta.llm.common import blocks, bounded_sample, flat_bytes, held_out, padded_rows, released
 
 #: Bytes that a chunk begins at its own place; its last filters read into the next chunk (the overlap).
 CHUNK = 128
 FILTERS, SPAN = 16, 6
-#: Most documents of either label that the network is fitted on, and the most characters of one that still counts.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 1600, 8192
+#: Most documents of either label that the network is fitted on, and the most characters of one; a longer one gives so
+#: many pieces, spread evenly from its first to its last character.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_PIECES = 1600, 8192, 8
 EPOCHS = 14
 #: A document is kept if its score reaches this.
 KEEP = 0.3
@@ -134,23 +135,29 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, units, real
 
 
+def spread(text: Column, chars: int = SAMPLE_CHARS, pieces: int = SAMPLE_PIECES) -> Column:
+    """The text, or of a text over `chars` characters, `pieces` pieces from all over it that make up as many."""
+    size, n = chars // pieces, F.length(text)
+    parts = [F.substring(text, (F.floor((n - size) * F.lit(k) / max(1, pieces - 1)) + 1).cast("int"), F.lit(size)) for k in range(pieces)]
+    return F.when(n <= chars, text).otherwise(F.concat(*parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> ByteCNN | None:
     """A network fitted on a bounded sample of labelled rows; None if no row is labelled 0 or 1.
 
-    The bound: `documents` rows of each label, only texts of up to `chars` characters; they are weighted so that the
-    labels keep their proportion among all labelled rows. Repeated label rows of a document count once; null labels
-    not at all.
+    The bound: `documents` rows of each label, `chars` characters of each, spread over longer texts. They are weighted
+    so that the labels keep their proportion among all rows of docs that have one; labels of other documents play no
+    part. Repeated label rows of a document count once (1 before 0); null labels not at all.
     """
     marks = labels.select("doc_id", "quality").where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    known = short.select("doc_id").join(marks, "doc_id")
-    rows = bounded_sample(known, short.select("doc_id", "text"), "quality", documents).orderBy("doc_id", "text").select("text", "quality").toPandas()
+    texts = docs.where(F.col("text").isNotNull())
+    rows, n = bounded_sample(texts.select("doc_id").join(marks, "doc_id"), texts.select("doc_id", spread(F.col("text"), chars).alias("text")), "quality", documents)
+    rows = rows.orderBy("doc_id", "text").select("text", "quality").toPandas()
     if not len(rows):
         return None
     target = rows.quality.to_numpy().astype(float)
     model = ByteCNN()
     data, offsets = flat_bytes(pa.array(rows.text.tolist(), pa.string()))
-    n = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
     weight = np.array([n[int(y)] / max(1, (target == y).sum()) for y in (0.0, 1.0)] if len(n) == 2 else [1.0, 1.0])
     model.fit(data, offsets, target, weight[target.astype(int)], epochs)
     return model
@@ -165,18 +172,23 @@ def score(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
             p = model.probability(*flat_bytes(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on labelled rows outside the held-out fold (crc32 of doc_id mod 5 is 0) and score every row."""
-    scored = score(docs, fit(docs.where(fold("doc_id", 5) != 0), labels))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+    """Fit on labelled rows outside the held-out fold (crc32 of doc_id mod 5 is 0) and score every row. Rows without a
+    doc_id aren't learned from, so they count as held out."""
+    scored = score(docs, fit(docs.where(~held_out("doc_id", 5, 0)), labels))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject; it is fitted as in classify()."""
-    model = fit(docs.where(fold("doc_id", 5) != 0), labels)
+    """The documents that the classifier doesn't reject; it is fitted as in classify().
+
+    Every row is judged on its own text: rows that repeat a doc_id may fare differently, and equal texts fare alike. A
+    null text is judged as an empty one. Without a label nothing is rejected. All columns stay as they are.
+    """
+    model = fit(docs.where(~held_out("doc_id", 5, 0)), labels)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +196,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kept = model.probability(*flat_bytes(batch.column(names.index("text")))) >= KEEP if model else np.ones(batch.num_rows, bool)
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
