@@ -9,6 +9,7 @@ no padding either.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import os
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from trajecta.llm.common import blocks, flat_bytes
+from trajecta.llm.common import blocks, flat_bytes, released
 
 LENGTH = 2048
 END = 1
@@ -28,6 +29,8 @@ _END = END.to_bytes(4, "little")
 #: Dimensions and bits of the curve; their product is under 63.
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 4096
+#: Bytes of input for which a range of the curve is cut, where that makes more ranges than the session's partitions.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
 #: Words whose ids a worker process remembers; if there are more, the first half stays, which has the frequent ones.
 REMEMBERED = 500_000
 
@@ -88,25 +91,55 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
+#: Letters beyond ASCII that are taken apart from signs: Latin, Greek and Cyrillic, which all Unicode tables agree on.
+_PLAIN = [(0xAA, 0x24F), (0x370, 0x52F)]
+
+# How the one tokenizer reads texts whose words are looked up one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def wordwise(spec: str) -> bool:
+    """Whether a text's ids are known to be its words' ids one after the other: so of a tokenizer that is read as WORDWISE
+    and has no added tokens with white space. Texts of any other are encoded whole."""
+    read = json.loads(spec)
+    added = [t["content"] for t in read.get("added_tokens") or []]
+    return all(read.get(k) == v for k, v in WORDWISE.items()) and not any(t.split() != [t] for t in added)
+
+
 def parts(word: bytes) -> tuple[bytes, ...]:
     """A word of letters with signs at its end as the two, and ASCII letters in lower case: the tokenizer takes letters
-    and signs apart and lowers them, so their ids are known from other words. Any other word is its own part."""
+    and signs apart and lowers them, so their ids are known from other words. Any other word is its own part, such as
+    one whose lower-cased letters aren't all letters (a dot over an i is a sign to the tokenizer, and joins others)."""
     text = word.decode()
     letters = text.rstrip(SIGNS)
     if not letters.isalpha():
         return (word,)
-    base = (letters.lower() if letters.isascii() else letters).encode()
+    if letters.isascii():
+        base = letters.lower().encode()
+    elif letters.lower().isalpha() and all(c < "\x80" or any(a <= ord(c) <= b for a, b in _PLAIN) for c in letters):
+        base = letters.encode()
+    else:
+        return (word,)
     signs = text[len(letters) :].encode()
     return (base, signs) if signs else (base,)
 
 
 class Ids(dict):
-    """Token ids by word, as bytes. Tokens don't cross ASCII white space, so a text's ids are its words' ids one after
-    the other, and the new words of a text can be looked up as one text of their own."""
+    """Token ids by word, as bytes. If words: tokens don't cross ASCII white space, so a text's ids are its words' ids one
+    after the other, and the new words of a text can be looked up as one text of their own."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, words: bool):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.words = tokenizer, words
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
@@ -135,6 +168,8 @@ class Ids(dict):
             self[word] = raw[begin:end]
 
     def of(self, text: bytes) -> np.ndarray:
+        if not self.words:
+            return np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, END], "<u4")
         words = text.split()
         self.learn(set(words))
         return np.frombuffer(b"".join([*map(self.__getitem__, words), _END]), "<u4")
@@ -146,7 +181,7 @@ def _known(spec: str) -> Ids:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Ids(Tokenizer.from_str(spec))
+    return Ids(Tokenizer.from_str(spec), wordwise(spec))
 
 
 def powers(n: int) -> list[int]:
@@ -194,6 +229,15 @@ class Packer:
             yield from self.close(taken)
 
 
+def ranges(docs: DataFrame) -> list[int]:
+    """The number of ranges, if the input's size asks for more than the session's shuffles have; by the sizes of the
+    files or tables that are read, without reading rows. Inputs of unknown size leave it to the session."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    n = min(MOST_RANGES, -(-size // RANGE_BYTES))
+    return [n] if int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n and size < 1 << 60 else []
+
+
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -214,7 +258,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["doc_id", "text", "curve"])
 
     # equal documents have equal keys; the id lets the ranges part them, so that many copies don't meet in one task
-    ordered = docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, text string, curve long").repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    rows_by_key = docs.select("doc_id", "text").mapInArrow(released(keyed), "doc_id long, text string, curve long")
+    ordered = rows_by_key.repartitionByRange(*ranges(docs), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, pa.int64()) for c in list(zip(*pieces, strict=True))[:7]]
@@ -240,7 +285,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
         if done:
             yield rows(done)
 
-    return ordered.mapInArrow(cut, FIELDS + (", ids array<int>" if with_ids else ""))
+    return ordered.mapInArrow(released(cut), FIELDS + (", ids array<int>" if with_ids else ""))
 
 
 def padding(pieces: DataFrame, length: int = LENGTH) -> float:

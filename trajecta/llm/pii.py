@@ -2,26 +2,33 @@
 
 Every value found is checked (octets of an address, days of a month, check digits), then moved by a permutation of all
 values of its own format: the same number of digits, a valid date, a valid check digit. Equal values get equal
-pseudonyms in all documents, different values different ones, and who has the key can invert them. The key is a
-parameter; it is never written anywhere.
+pseudonyms in all documents, different values different ones, and who has the key can invert them. The key comes from
+the caller or from a setting of the session; no key is part of this module, and none is written anywhere.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 import re
+import unicodedata
+import warnings
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trajecta.llm.common import blocks
+from trajecta.llm.common import blocks, released
 
-KEY = b"a key of this installation"
+#: The setting that holds the key; by this name Spark leaves it out of what it logs and shows.
+SETTING = "spark.trajecta.pii.secret"
 ROUNDS = 10
+#: Characters that are permuted as one number; longer values go in blocks that are chained, so time stays linear.
+BLOCK = 48
 #: Days of this range map to days of this range.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -36,7 +43,7 @@ PATTERN = re.compile(
     rf"""
     (?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{{8,}}))
   | (?P<key>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|sk-[A-Za-z0-9]{{20,}}|(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}})(?![A-Za-z0-9]))
-  | (?P<email>[\w.+%-]{{1,64}}@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}})
+  | (?P<email>[\w.+%\u0300-\u036F-]{{1,64}}@(?:[\w\u0300-\u036F-]{{1,63}}\.){{1,8}}[^\W\d_]{{2,24}})
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
   | (?P<date>(?<![0-9./-])(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?![0-9]|[./-][0-9])
         |(?<![0-9])[0-9]{{1,2}}[ ](?:{_MONTH})[ ][0-9]{{4}}(?![0-9])|(?<![A-Za-z])(?:{_MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}}(?![0-9]))
@@ -76,21 +83,59 @@ def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
             return value
 
 
-# The alphabets within which a character is moved.
+# The ASCII alphabets within which a character is moved.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 
-def permute_text(text: str, key: bytes, tweak: str, alphabets: list[str] = ALPHABETS, back: bool = False) -> str:
-    """Each character stays in its alphabet, others stay as they are; the characters are permuted together."""
-    places = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
-    number, size = 0, 1
-    for i, a in places:
-        number, size = number * len(a) + a.index(text[i]), size * len(a)
-    number = permute(number, size, key, f"{tweak}|{''.join(str(alphabets.index(a)) for _, a in places)}", back)
+@lru_cache(maxsize=8192)
+def alphabet(c: str) -> str | None:
+    """The characters that c may become: an ASCII alphabet, or beyond ASCII the letters, marks or numbers of its category
+    in its page of 256 code points (so Cyrillic stays Cyrillic and capitals stay capitals). None if c stays."""
+    if c < "\x80":
+        return next((a for a in ALPHABETS if c in a), None)
+    kind, page = unicodedata.category(c), ord(c) & ~255
+    if kind[0] not in "LMN":
+        return None
+    others = [chr(x) for x in range(max(page, 128), page + 256) if unicodedata.category(chr(x))[0] == kind[0]]
+    alike = [x for x in others if unicodedata.category(x) == kind]
+    return "".join(alike if len(alike) > 3 else others)
+
+
+def permute_text(text: str, key: bytes, tweak: str, alphabets: list[str] | None = None, back: bool = False) -> str:
+    """Each character stays in its alphabet, those without one stay as they are; the characters are permuted together.
+
+    A long text goes in blocks: once from its start and once from its end, each block under a digest of what the blocks
+    before it became, so every character depends on all, and a copy with the key can still go back.
+    """
+    places = [(i, a) for i, c in enumerate(text) if (a := alphabet(c) if alphabets is None else next((x for x in alphabets if c in x), None)) is not None]
+    own = [a for _, a in places]
+    digits = [a.index(text[i]) for i, a in places]
+    shape = f"{tweak}|{''.join(str(ALPHABETS.index(a)) if a in ALPHABETS else f'<{ord(a[0]):x}.{len(a)}>' for a in own)}"
+
+    def move(a: int, b: int, under: str) -> None:
+        number, size = 0, 1
+        for k in range(a, b):
+            number, size = number * len(own[k]) + digits[k], size * len(own[k])
+        number = permute(number, size, key, under, back)
+        for k in range(b - 1, a - 1, -1):
+            number, digits[k] = divmod(number, len(own[k]))
+
+    if len(places) <= BLOCK:
+        move(0, len(places), shape)
+    else:
+        cuts = [(a, min(a + BLOCK, len(places))) for a in range(0, len(places), BLOCK)]
+        shape = hashlib.blake2b(shape.encode(), digest_size=16).hexdigest()
+        passes = [("on", cuts), ("off", cuts[::-1])]
+        for name, order in reversed(passes) if back else passes:
+            chain = hashlib.blake2b(f"{name}|{shape}".encode(), digest_size=16).digest()
+            for a, b in order:
+                before = digits[a:b]
+                move(a, b, chain.hex())
+                # the digest is of what the block became: on the way back, that is what it was
+                chain = hashlib.blake2b(chain + repr(before if back else digits[a:b]).encode(), digest_size=16).digest()
     out = list(text)
-    for i, a in reversed(places):
-        number, digit = divmod(number, len(a))
-        out[i] = a[digit]
+    for (i, a), d in zip(places, digits, strict=True):
+        out[i] = a[d]
     return "".join(out)
 
 
@@ -145,8 +190,11 @@ def _day(year: int, month: int, day: int) -> int | None:
 
 
 def date(text: str, key: bytes, back: bool = False) -> str | None:
-    """A day of 1900 to 2099 moves to another one, written as it was: the order of fields, padding, month names. Two
-    fields of two digits count as padded, so a date without leading zeros may come back with them."""
+    """A day of 1900 to 2099 moves to another one that is written alike: the order of fields, leading zeros, month names.
+
+    It is walked on until the new day can be written so: without zeros only if a field has one digit, as before; with
+    the month first only if the day is over 12, as else it would be read the other way. So every spelling goes back.
+    """
     fields = re.findall(r"[0-9]+|[A-Za-z]+", text)
     named = next((k for k, x in enumerate(fields) if x[0].isalpha()), None)
     if named is not None:
@@ -159,10 +207,18 @@ def date(text: str, key: bytes, back: bool = False) -> str | None:
         n = _day(int(fields[at["y"]]), month or int(fields[at["m"]]), int(fields[at["d"]]))
         if n is None:
             continue
-        moved = dt.date.fromordinal(FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date" + "".join(sorted(at, key=at.get)), back))
-        # two fields of two digits are the padded form
-        padded = all(len(fields[at[x]]) == 2 for x in "dm" if at[x] != named)
-        new = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}" if padded else str(moved.month), "d": f"{moved.day:02d}" if padded else str(moved.day)}
+        written = {x: fields[at[x]] for x in "dm" if at[x] != named}
+        short, zero = [any(len(f) == 1 for f in written.values()), any(f[0] == "0" for f in written.values())]
+        month_first = at["m"] == 0 and named is None
+        while True:
+            n = FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date" + "".join(sorted(at, key=at.get)), back)
+            moved = dt.date.fromordinal(n)
+            low = [{"d": moved.day, "m": moved.month}[x] < 10 for x in written]
+            if (not short or (all(low) if zero else any(low))) and (not month_first or moved.day > 12):
+                break
+        new = {"y": f"{moved.year:04d}", "m": str(moved.month), "d": str(moved.day)}
+        for x, f in written.items():
+            new[x] = new[x].zfill(2) if not short or f[0] == "0" else new[x]
         if named is not None:
             full = MONTHS[moved.month - 1]
             new["m"] = full if len(fields[named]) > 3 else full[:3]
@@ -203,7 +259,23 @@ def email(text: str, key: bytes, back: bool = False) -> str:
 KINDS: dict[str, Callable[..., str | None]] = {"date": date, "email": email, "iban": iban, "ip": ip, "number": number, "phone": phone, "ssn": lambda text, key, back=False: permute_text(text, key, "ssn", back=back), "key": secret}
 
 
-def pseudonyms(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
+_DRAWN: dict[str, bytes] = {}
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The key named by the setting. Without one, a key is drawn for this application alone and held in the driver's
+    memory: equal values stay linked within it, but its pseudonyms can be neither inverted nor linked later."""
+    named = spark.conf.get(SETTING, None)
+    if named:
+        return named.encode()
+    app = spark.sparkContext.applicationId
+    if app not in _DRAWN:
+        warnings.warn(f"{SETTING} isn't set: pseudonyms are made with a key of this application alone", stacklevel=2)
+        _DRAWN[app] = os.urandom(32)
+    return _DRAWN[app]
+
+
+def pseudonyms(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with its personal data moved, and the kinds found, in order. A value that isn't valid for its kind
     (an octet over 255, no such day) stays."""
     kinds: list[str] = []
@@ -223,9 +295,11 @@ def pseudonyms(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
     return PATTERN.sub(one, text), kinds
 
 
-def protect(docs: DataFrame, key: bytes = KEY, report: bool = False) -> DataFrame:
-    """The same rows and columns with pseudonyms in `text`; null and empty texts stay. With report: also n_values
-    (long) and kinds (distinct, sorted, comma-joined) in place of all columns but doc_id and text."""
+def protect(docs: DataFrame, key: bytes | None = None, report: bool = False) -> DataFrame:
+    """The same rows and columns with pseudonyms in `text`; null and empty texts stay, and so does every other column,
+    also one named like a result. Rows that repeat a doc_id each keep their row. With report: also n_values (long) and
+    kinds (distinct, sorted, comma-joined) in place of all columns but doc_id and text. key: by default secret_key()."""
+    key = secret_key(docs.sparkSession) if key is None else key
     docs = docs.select("doc_id", "text") if report else docs
     names = docs.columns
     place = names.index("text")
@@ -250,4 +324,4 @@ def protect(docs: DataFrame, key: bytes = KEY, report: bool = False) -> DataFram
                 columns += [pa.array([len(found.get(k, ())) for k in n], pa.int64()), pa.array([",".join(sorted(set(found.get(k, ())))) for k in n], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
