@@ -35,11 +35,12 @@ def test_hmm(docs, none):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[2]["n_tokens"] == rows[3]["n_tokens"] == rows[6]["n_tokens"] == 1 and rows[4]["n_tokens"] == 60_001
     assert rows[1]["score"] == rows[5]["score"] and all(r["score"] < 0 for r in rows.values())
+    assert rows[5]["n_tokens"] == 5 and rows[None]["held_out"] is True
     assert hmm.held_out_scores(none).count() == 0
 
 
 def test_hmm_without_training_rows(spark):
-    only = spark.createDataFrame([(k, "a b") for k in range(200)], "doc_id long, text string").where(hmm.fold("doc_id", 7) == 2)
+    only = spark.createDataFrame([(k, "a b") for k in range(200)], "doc_id long, text string").where(hmm.held_out("doc_id", 7, 2))
     rows = hmm.held_out_scores(only).collect()
     assert rows and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in rows)
 

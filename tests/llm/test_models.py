@@ -53,6 +53,48 @@ def test_expected_counts_equal_all_paths(tiny):
     assert got["move"] == pytest.approx(move / total, abs=1e-5) and got["emit"] == pytest.approx(emit / total, abs=1e-5)
 
 
+def test_expected_counts_across_pieces(tiny, monkeypatch):
+    m, seqs = tiny
+    flat, offsets = np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    whole = m.expected(flat, offsets)
+    for piece in (1, 4, 7):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        got = m.expected(flat, offsets)
+        for k in whole:
+            assert got[k] == pytest.approx(whole[k], abs=1e-4), (piece, k)
+    assert whole["start"].sum() == pytest.approx(len(seqs), abs=1e-4) and whole["move"].sum() == pytest.approx(len(flat) - len(seqs), abs=1e-3)
+
+
+def test_vocabulary_takes_just_as_many_words(spark):
+    rows = spark.range(40_000).selectExpr("CAST(CAST(id + 100000 AS string) AS binary) AS word", "CAST(7 AS long) AS c")
+    more = spark.createDataFrame([(bytearray(b"often"), 50), (bytearray(b"once"), 1)], "word binary, c long")
+    model = hmm.vocabulary(rows.unionByName(more), 3)
+    assert len(model.frequent) == hmm.FREQUENT and model.frequent[0] == b"often" and model.frequent[1:] == [str(100_000 + k).encode() for k in range(hmm.FREQUENT - 1)]
+    assert model.class_words.sum() == 40_002 - hmm.FREQUENT and model.tokens == 40_000 * 7 + 51 + 3
+    assert len(hmm.vocabulary(more, 1).frequent) == 2
+
+
+def test_score_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model, counts = hmm.fit(docs.where(~held_out("doc_id", 7, 2)))
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    rows = {r["doc_id"]: r["score"] for r in hmm.score(docs, model, counts).collect()}
+    place, h = {w: k for k, w in enumerate(model.frequent, 1)}, model.hmm
+    for r in docs.collect():
+        words = (r["text"] or "").encode().lower().split()
+        # the plain forward recursion, one token at a time, in logarithms
+        alpha, log = h.start, 0.0
+        for t, w in enumerate([*words, None]):
+            k = 0 if w is None else place.get(w, 1 + len(place) + hmm.class_of(w))
+            alpha = (alpha if t == 0 else alpha @ h.move) * h.emit[k]
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in place:
+                own = hmm.class_of(w)
+                log += math.log10((c.get(w, 0) + 1) / (model.class_tokens[own] + model.class_words[own] + 1))
+        assert rows[r["doc_id"]] == pytest.approx(log, rel=1e-6)
+
+
 def test_rounds_never_lose_likelihood(tiny):
     m, seqs = tiny
     flat, offsets = np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])])

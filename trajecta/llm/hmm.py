@@ -20,11 +20,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, fold, stored
+from trajecta.llm.common import blocks, held_out, released, stored
 
 STATES = 8
 #: Most words that are symbols of their own, and the classes of all others.
@@ -32,7 +31,7 @@ FREQUENT, CLASSES = 30_000, 1024
 SUFFIX = 3
 #: Documents of which a first guess is made (the bound of the only sample), its rounds, and the rounds over all.
 GUESS_DOCUMENTS, GUESS_ROUNDS, ROUNDS = 400, 12, 3
-#: Baum-Welch takes a longer text as pieces of so many tokens; the forward recursion combines them exactly.
+#: Longer texts run as pieces of so many tokens at the same time, whose messages are combined exactly.
 PIECE = 1024
 #: Weight of the corpus-wide distribution in each state's, in tokens.
 SMOOTH = 50.0
@@ -67,7 +66,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(released(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Symbols(dict):
@@ -129,59 +128,87 @@ class HMM:
             last[: len(alpha)] = alpha
         return logs, last, messages, scales, seen, active
 
+    def _pieces(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequences cut into pieces of at most PIECE symbols: where each begins, its length, its sequence, and whether
+        another piece of the sequence comes before it."""
+        lengths = np.diff(offsets).astype(np.int64)
+        count = -(-lengths // PIECE)
+        owner = np.repeat(np.arange(len(lengths)), count)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        starts = offsets[:-1][owner].astype(np.int64) + place * PIECE
+        return starts, np.minimum(PIECE, offsets[1:][owner] - starts).astype(np.int64), owner, place > 0
+
+    def _across(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces run at the same time, a first one from the start and a later one from each state: (logs, last
+        messages) of all runs, and where each piece's runs begin."""
+        copies = np.where(later, len(self.start), 1)
+        first = np.concatenate([self.move if x else self.start[None] for x in later] or [np.empty((0, len(self.start)))])
+        starts, lengths = np.repeat(starts, copies), np.repeat(lengths, copies)
+        order = np.argsort(-lengths, kind="stable")
+        logs, last = np.empty(len(order)), np.empty((len(order), len(self.start)))
+        logs[order], last[order] = self._forward(flat, starts[order], lengths[order], first[order], False)[:2]
+        return logs, last, np.cumsum(copies) - copies
+
     def log10_likelihood(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each sequence of symbols, exactly. Long ones run in pieces at the same time: a later piece is run once
         from each state, and the pieces' results are combined in order."""
-        states = len(self.start)
-        runs, first = [], []
-        for k in range(len(offsets) - 1):
-            for at in range(int(offsets[k]), int(offsets[k + 1]), PIECE):
-                n = min(PIECE, int(offsets[k + 1]) - at)
-                if at == offsets[k]:
-                    runs.append((k, at, n, 1))
-                    first.append(self.start[None])
-                else:
-                    runs.append((k, at, n, states))
-                    first.append(self.move)
-        if not runs:
-            return np.zeros(len(offsets) - 1)
-        copies = np.array([r[3] for r in runs])
-        starts, lengths = (np.repeat([r[c] for r in runs], copies) for c in (1, 2))
-        order = np.argsort(-lengths, kind="stable")
-        logs, last = np.empty(len(order)), np.empty((len(order), states))
-        logs[order], last[order] = self._forward(flat, starts[order], lengths[order], np.concatenate(first)[order], False)[:2]
-        out, where, state = np.zeros(len(offsets) - 1), 0, None
-        for k, at, _, n in runs:
-            if n == 1 and at == offsets[k]:
-                out[k], state = logs[where], last[where]
-            else:
-                top = logs[where : where + n].max()
-                weights = state * np.exp(logs[where : where + n] - top)
-                state = weights @ last[where : where + n]
-                out[k] += top + math.log(weights.sum())
-                state = state / weights.sum()
-            where += n
+        states, out = len(self.start), np.zeros(len(offsets) - 1)
+        starts, lengths, owner, later = self._pieces(offsets)
+        logs, last, where = self._across(flat, starts, lengths, later)
+        out[owner[~later]] = logs[where[~later]]
+        for p in np.flatnonzero(later):
+            if not later[p - 1]:
+                state = last[where[p - 1]]
+            rows = slice(where[p], where[p] + states)
+            top = logs[rows].max()
+            weights = state * np.exp(logs[rows] - top)
+            state = weights @ last[rows]
+            out[owner[p]] += top + math.log(weights.sum())
+            state = state / weights.sum()
         return out / math.log(10)
 
     def expected(self, flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        """Expected counts of starts, moves and emissions (the E step) over sequences of symbols."""
+        """Expected counts of starts, moves and emissions (the E step) over sequences of symbols, exactly.
+
+        Pieces of a long sequence run at the same time here too: the messages at their borders come first, from what
+        each piece does to every state, and then each piece runs once between the messages on its two sides.
+        """
         states, symbols = len(self.start), len(self.emit)
-        starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] or [np.empty(0, np.int64)]).astype(np.int64)
-        ends = np.concatenate([np.minimum(np.arange(a, b, PIECE) + PIECE, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] or [np.empty(0, np.int64)])
-        lengths = (ends - starts).astype(np.int64)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        starts, lengths, owner, later = self._pieces(offsets)
         counts = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((symbols, states)), "log": np.zeros(1)}
         if not len(starts):
             return counts
-        logs, _, messages, scales, seen, active = self._forward(flat, starts, lengths, np.tile(self.start, (len(starts), 1)), True)
+        # of each piece: the distribution before its first symbol, that at the end of the piece before, and the backward
+        # message at its end
+        initial, before, final = np.tile(self.start, (len(starts), 1)), np.zeros((len(starts), states)), np.ones((len(starts), states))
+        cut_up = np.flatnonzero(np.bincount(owner)[owner] > 1)
+        if len(cut_up):
+            logs, last, where = self._across(flat, starts[cut_up], lengths[cut_up], later[cut_up])
+            ends, steps = {}, {}
+            for p, at in zip(cut_up.tolist(), where.tolist(), strict=True):
+                if not later[p]:
+                    ends[p] = last[at]
+                    continue
+                rows = slice(at, at + states)
+                steps[p] = np.exp(logs[rows] - logs[rows].max())[:, None] * last[rows]
+                before[p], initial[p] = ends[p - 1], ends[p - 1] @ self.move
+                ends[p] = ends[p - 1] @ steps[p]
+                ends[p] /= ends[p].sum()
+            ahead = np.ones(states)
+            for p in cut_up[::-1].tolist():
+                final[p] = ahead / (ends[p] @ ahead)
+                ahead = steps[p] @ ahead if later[p] else np.ones(states)
+                ahead = ahead / ahead.sum()
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, later, initial, before, final = (x[order] for x in (starts, lengths, later, initial, before, final))
+        logs, _, messages, scales, seen, active = self._forward(flat, starts, lengths, initial, True)
         counts["log"][0] = logs.sum()
         base = np.concatenate([[0], np.cumsum(active)])
         beta = np.ones((0, states))
         pairs = np.zeros((states, states))
         for t in range(len(active) - 1, -1, -1):
             n, a = active[t], base[t]
-            new = np.ones((n, states))
+            new = final[:n].copy()
             if len(beta):
                 m = len(beta)
                 ahead = beta * self.emit[seen[base[t + 1] : base[t + 1] + m]] / scales[base[t + 1] : base[t + 1] + m, None]
@@ -189,8 +216,11 @@ class HMM:
                 new[:m] = ahead @ self.move.T
             beta = new
             messages[a : a + n] *= beta
+        n = active[0]
+        if later.any():  # the moves from one piece into the next
+            pairs += before[later].T @ (beta * self.emit[seen[:n]] / scales[:n, None])[later]
         counts["move"] = pairs * self.move
-        counts["start"] = messages[: active[0]].sum(axis=0, dtype=np.float64)
+        counts["start"] = messages[:n][~later].sum(axis=0, dtype=np.float64)
         for s in range(states):
             counts["emit"][:, s] = np.bincount(seen, messages[:, s], symbols)
         return counts
@@ -222,19 +252,33 @@ class Model:
         self.hmm = HMM(mass / mass.sum())
 
 
-def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Model:
-    """The most frequent words, at most `most`, and the number of tokens and words in each class of the others."""
-    step = F.floor(F.log2("c") * 8)
-    sizes = {r[0]: r[1] for r in counts.groupBy(step.alias("b")).count().collect()}
-    total, least = 0, None
+def most_frequent(counts: DataFrame, most: int) -> Column:
+    """Whether a row (word, c) is among the `most` with the largest counts, of equal counts the first by their bytes."""
+    band = F.floor(F.log2("c") * 8)
+    sizes = {r[0]: r[1] for r in counts.groupBy(band.alias("b")).count().collect()}
+    above = 0
     for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > most:
+        if above + sizes[b] > most:
+            break
+        above += sizes[b]
+    else:
+        return F.lit(True)
+    # the counts within the band in which the bound is passed, then the words with just that count
+    for r in counts.where(band == b).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        if above + r["n"] > most:
             break
-        least = b
-    top = counts.where(step >= least).orderBy(F.desc("c"), "word").toPandas() if least is not None else None
-    frequent = [bytes(w) for w in top.word] if top is not None else []
-    rest = counts.where(step < least) if least is not None else counts
+        above += r["n"]
+    ties = counts.where(F.col("c") == r["c"]).select("word").orderBy("word").limit(most - above).agg(F.max("word")).first()[0]
+    more = F.col("c") > r["c"]
+    return more if ties is None else more | ((F.col("c") == r["c"]) & (F.col("word") <= F.lit(bytearray(ties))))
+
+
+def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Model:
+    """The most frequent words, at most `most`, and the number of tokens and words in each class of the others."""
+    chosen = most_frequent(counts, most)
+    top = counts.where(chosen).orderBy(F.desc("c"), "word").toPandas()
+    frequent = [bytes(w) for w in top.word]
+    rest = counts.where(~chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -244,9 +288,9 @@ def vocabulary(counts: DataFrame, documents: int, most: int = FREQUENT) -> Model
             kinds += np.bincount(own, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(tokens), pa.array(kinds)], ["k", "tokens", "kinds"])
 
-    sums = {r[0]: r for r in rest.mapInArrow(run, "k long, tokens long, kinds long").groupBy("k").agg(F.sum("tokens"), F.sum("kinds")).collect()}
+    sums = {r[0]: r for r in rest.mapInArrow(released(run), "k long, tokens long, kinds long").groupBy("k").agg(F.sum("tokens"), F.sum("kinds")).collect()}
     class_tokens, class_words = (np.array([sums[k][c] if k in sums else 0 for k in range(CLASSES)], np.int64) for c in (1, 2))
-    return Model(frequent, top.c.to_numpy(np.int64) if top is not None else np.empty(0, np.int64), class_tokens, class_words, documents)
+    return Model(frequent, top.c.to_numpy(np.int64), class_tokens, class_words, documents)
 
 
 def sequence_blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -290,7 +334,7 @@ def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["symbols"])
 
     # every round reads the symbols, which are smaller than the texts and need no look-up
-    sequences = stored(docs.select("text").mapInArrow(encode, "symbols array<int>"))
+    sequences = stored(docs.select("text").mapInArrow(released(encode), "symbols array<int>"))
     states = len(hmm.start)
     columns = [f"s{k}" for k in range(states)]
     for _ in range(rounds):
@@ -305,7 +349,7 @@ def baum_welch(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             rows = np.concatenate([total["start"][None], total["move"], total["emit"][used]])
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(rows[:, k]) for k in range(states))], ["key", *columns])
 
-        sums = sequences.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        sums = sequences.mapInArrow(released(run), "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         if not len(sums):
             break
         key, rows = sums.key.to_numpy(), sums[columns].to_numpy()
@@ -328,6 +372,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     A null text is an empty one and has only its end. base_score is the add-one unigram model's. Rows that repeat a
     doc_id each get a row; other columns are ignored. Without training text every word is unknown.
+
+    A document's parts are brought together by its id and a hash of its text, which don't depend on the order in which
+    a task reads, so a task that is run again gives the same parts. Rows that repeat both are counted and spelled out
+    again at the end.
     """
     den = math.log10(model.tokens + model.distinct + 1)
     shares = np.log10(model.class_tokens + model.class_words + 1.0)
@@ -335,7 +383,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     base_of = np.log10(known + 1.0) - den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, own, row = Symbols(model.frequent), len(model.frequent), TaskContext.get().partitionId() << 40
+        symbols, own = Symbols(model.frequent), len(model.frequent)
         names = ["row", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"]
 
         def table(row: np.ndarray, docs: pa.Array, word: list[bytes], tf: np.ndarray, n: np.ndarray, seen: np.ndarray, base: np.ndarray, likely: np.ndarray) -> pa.RecordBatch:
@@ -343,7 +391,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
         for batch in blocks(batches, 6_000_000):
             rare: list[Counter] = []
-            flat, offsets = encoded(batch.column(1).to_pylist(), symbols, rare)
+            texts = batch.column(1).to_pylist()
+            flat, offsets = encoded(texts, symbols, rare)
             likelihood = model.hmm.log10_likelihood(flat, offsets)
             n = np.diff(offsets)
             common = flat <= own
@@ -351,8 +400,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             seen = np.add.reduceat(common & (known[np.where(common, flat, 0)] > 0), starts, dtype=np.int64)
             base = np.add.reduceat(np.where(common, base_of[np.where(common, flat, 0)], 0.0), starts)
             likelihood -= np.add.reduceat(np.where(common, 0.0, shares[np.where(common, 0, flat - own - 1)]), starts)
-            rows = row + np.arange(len(n))
-            row += len(n)
+            rows = np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64).view(np.int64)
             # the key of the document's own row is no word, since words have no blanks
             yield table(rows, batch.column(0), [b" %d" % r for r in rows], np.zeros(len(n), np.int64), n, seen, base, likelihood)
             sizes = np.array([len(c) for c in rare])
@@ -361,15 +409,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             tf = np.fromiter(chain.from_iterable(c.values() for c in rare), np.int64, len(at))
             yield table(rows[at], batch.column(0).take(pa.array(at)), list(chain.from_iterable(rare)), tf, zero, zero, none, none)
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double").join(counts, "word", "left")
+    parts = docs.select("doc_id", "text").mapInArrow(released(run), "row long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     gain = F.col("tf") * F.log10(c + 1)
-    summed = parts.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("base") + gain - F.col("tf") * den).alias("base_score"), F.sum(F.col("score") + gain).alias("score"))
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = {"copies": F.when(F.col("n_tokens") > 0, 1), "n_tokens": F.col("n_tokens"), "n_known": F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0), "base_score": F.col("base") + gain - F.col("tf") * den, "score": F.col("score") + gain}
+    summed = parts.groupBy("row", "doc_id").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    each = summed.select("*", F.explode(F.expr("array_repeat(0, CAST(copies AS int))")))
+    return each.select("doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.expr("base_score / copies").alias("base_score"), F.expr("score / copies").alias("score"))
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
-    """Learn from the rows outside the held-out fold (crc32 of doc_id mod 7 is 2) and score every row."""
-    model, counts = fit(docs.where(fold("doc_id", FOLD) != HELD_OUT))
+    """Learn from the rows outside the held-out fold (crc32 of doc_id mod 7 is 2) and score every row. Rows without a
+    doc_id aren't learned from, so they count as held out."""
+    model, counts = fit(docs.where(~held_out("doc_id", FOLD, HELD_OUT)))
     scored = score(docs, model, counts)
-    return scored.select("doc_id", (fold("doc_id", FOLD) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out("doc_id", FOLD, HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
