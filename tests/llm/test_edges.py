@@ -63,10 +63,18 @@ def test_language(docs, none):
 
 
 def test_contamination(docs, none, spark):
-    items = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10"), (2, None), (3, ""), (4, "one two three four"), (1, "w5 w6 w7 w8 w9 w10"), (None, "w5 w6 w7 w8 w9")], "item_id long, text string")
-    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contaminated(docs, items).collect()] == [(4, 1, 1.0)]
+    items = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10"), (2, None), (3, ""), (4, "One, two three FOUR"), (1, "w5 w6 w7 w8 w9 w10"), (None, "w5 w6 w7 w8 w9"), (5, "two three four one"), (6, "w8 w9 w10")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 4, 1.0), (4, 1, 1.0), (4, 6, 1.0), (5, 4, 1.0)]
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    assert ids(decontaminate.clean(docs, items)) == [1, 2, 3, 5, 5, 6, 7, None]
+    assert ids(decontaminate.clean(docs, items.where("item_id < 4"))) == [1, 2, 3, 5, 5, 6, 7, None]
+
+
+def test_contamination_by_items_with_ties_and_other_columns(docs, spark):
+    items = spark.createDataFrame([(1, "w5 w6 w7 w8 w9", 7, "x"), (2, "w5 w6 w7 w8 w9", 7, "x"), (2, "nothing like it in there", 7, "x")], "item_id long, text string, doc_id int, shingle string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_item"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(4, 1, 1)]  # item 2 has two sets under one id, of which no document holds 0.8
+    assert ids(decontaminate.clean(docs, items.where("item_id IS NULL"))) == ALL
 
 
 def test_html(spark):

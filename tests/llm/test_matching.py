@@ -132,6 +132,20 @@ def test_contamination_at_the_threshold(spark):
     assert {r["doc_id"]: r["n_shared"] for r in got.collect()} == {n: n - 4 for n in range(20, 25)}
 
 
+def test_contamination_by_short_items_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r["doc_id"]: " ".join(WORD.findall(r["text"].translate(LOWER))) for r in docs.collect()}
+    some = [t.split() for t in rows.values() if len(t.split()) > 30]
+    items = [(k, " ".join(w[7 : 7 + n])) for k, (w, n) in enumerate((w, 1 + k % 6) for k, w in enumerate(some[:30]))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for i, text in items:
+        w = text.split()
+        own = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        want |= {(d, i) for d, t in rows.items() if sum(f" {x} " in f" {t} " for x in own) >= 0.8 * len(own)}
+    assert got == want and len(got) > 30
+
+
 def test_licenses_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = [(10**6, "CC-BY NC cc by nc cc by\nnc under the MIT license under the MIT license"), (10**6 + 1, "apache license version 2"), (10**6 + 2, "apache license, version 3")]
@@ -392,8 +406,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     good = cp.STAGES[0][1](spark, docs, root)
     assert good.columns == docs.columns
     rows = {r["doc_id"]: r["text"] for r in good.collect()}
-    groups = brute_groups(list(rows.items()))
-    kept = {i for i, g in groups.items() if i == g}
+    kept = set(rows) - brute_near(list(rows.items()))
     one = cp.STAGES[1][1](spark, good, root)
     assert {r["doc_id"] for r in one.collect()} == kept and one.schema == docs.schema
     bad = {r["doc_id"] for r in decontaminate.contaminated(good, spark.read.parquet(f"{root}/benchmark.parquet")).collect()}
@@ -405,3 +418,25 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     final = cp.run(spark, root)
     got = final.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r["doc_id"] for r in got} == kept - bad and all(r["n"] == r["t"] for r in got)
+
+
+def test_pipeline_stages_on_edges(spark):
+    import corpus_pipeline as cp
+
+    root = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, curve int, n_values long"
+    long = " ".join(f"w{k % 977}" for k in range(40_000))
+    rows = [(1, None), (None, "one two three four five six"), (2, ""), (3, long), (3, long), (4, "one two three four five six"), (5, "one two three four five six")]
+    docs = spark.createDataFrame([(i, t, None, "a", None, 0.5, "x", 1, 2) for i, t in rows], schema).repartition(3)
+    for name, stage in cp.STAGES:
+        none = stage(spark, docs.limit(0), root)
+        assert none.count() == 0, name
+        out = stage(spark, docs, root)
+        assert name == "packing" or out.schema == docs.schema, name
+        got = sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=lambda x: (x is None, x))
+        if name == "near_duplicates":
+            assert got == [1, 2, 3, 3, 4, None]
+        elif name in ("decontamination", "pii"):
+            assert got == [1, 2, 3, 3, 4, 5, None], name
+        elif name == "packing":
+            assert set(got) == {1, 2, 3, 4, 5, None} and out.selectExpr("sum(length)").first()[0] > 80_000

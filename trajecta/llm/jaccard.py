@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajecta.llm.common import blocks, cut, small, stored
+from trajecta.llm.common import blocks, cut, released, small, stored
 from trajecta.llm.components import components
 
 WORDS = 3
@@ -108,7 +108,7 @@ def frequent_tokens(docs: DataFrame, n: int = WORDS, most: int = FREQUENT) -> np
         kept = counts >= LEAST
         yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(counts[kept])], ["token", "count"])
 
-    found = cut(docs.select("text").where("text IS NOT NULL").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")))
+    found = cut(docs.select("text").where("text IS NOT NULL").mapInArrow(released(run), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")))
     sizes = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()}
     total, least = 0, None
     for b in sorted(sizes, reverse=True):
@@ -156,7 +156,7 @@ def features(docs: DataFrame, frequent: np.ndarray, n: int = WORDS, num: int = N
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", *(f"p{k}" for k in range(ORDERS))])
 
     rest = ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, key binary, p0 array<long>, {rest}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id long, n long, key binary, p0 array<long>, {rest}")
 
 
 def _possible(num: int, den: int) -> Column:
@@ -191,7 +191,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
         last, known = None, set()
         for batch in batches:
             kept = []
-            for y, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            # row by row: the texts of a batch are many times the size of its ids, and most repeat the row before
+            for y, a, b in zip(batch.column(1).to_pylist(), *((x.as_py() for x in batch.column(k)) for k in (2, 3)), strict=True):
                 if y != last:
                     last, known = y, exact_set(b, n)
                 own = exact_set(a, n)
@@ -199,7 +200,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                 kept.append(shared > 0 and den * shared >= num * (len(own) + len(known) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    return both.select("x", "y", "a", "b").mapInArrow(released(run), "x long, y long")
 
 
 def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
@@ -247,6 +248,10 @@ def join(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DENOM
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """The documents without those that a document of smaller id in their group stands for."""
+    """The documents without those that a document of smaller id in their group stands for, with all their columns.
+
+    Of equal documents the smallest id stays. Rows that repeat a doc_id stay or go together: they go if any of their
+    texts is linked with a smaller id. Rows without a doc_id, and null, empty and blank texts, are in no group and stay.
+    """
     gone = cut(join(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)

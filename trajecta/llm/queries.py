@@ -84,9 +84,10 @@ _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFG
 
 _OP3 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM d),
-s0 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM i),
+i AS (SELECT item_id, least(len(w), 5) AS g, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT g FROM i),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - g + 2), lambda k: array_to_string(w[k:k + g - 1], ' '))) AS s FROM d, sizes),
+s0 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - g + 2), lambda k: array_to_string(w[k:k + g - 1], ' '))) AS s FROM i),
 n AS (SELECT item_id, count(*) AS n_item FROM s0 GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM ds JOIN s0 USING (s) JOIN n USING (item_id)
