@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -382,9 +383,47 @@ def test_payload_round_trip(data):
     assert b"".join(media.samples(i).tobytes() for i in media.images(media.store(p))) == p
 
 
-def test_long_payload_has_several_images():
+def test_repeats_at_any_distance_are_found():
+    rng = np.random.default_rng(4)
+    piece = rng.integers(0, 256, 500).astype(np.uint8).tobytes()
+    data = piece + rng.integers(0, 256, 70_036).astype(np.uint8).tobytes() + piece + piece[:300] + b"abc" * 400
+    data += bytes(-len(data) % 64)
+    stored = media.store(data)
+    assert b"".join(media.samples(i).tobytes() for i in media.images(stored)) == data
+    assert len(stored) < 71_800  # the random part can't get smaller; the three repeats take next to nothing
+
+
+def test_the_table_goes_through_every_part_of_the_format(monkeypatch):
+    from trajecta.llm import webp
+
+    seen = Counter()
+
+    def noting(name, old):
+        def new(*args):
+            seen[name] += 1
+            return old(*args)
+
+        return new
+
+    for name in ("undo_prediction", "undo_palette", "subtract_green", "_copy"):
+        monkeypatch.setattr(webp, name, noting(name, getattr(webp, name)))
+    monkeypatch.setattr(webp, "cross", noting("cross", webp.cross))
+    cache = webp.Cache
+    monkeypatch.setattr(webp, "Cache", lambda bits: seen.update(["cache"]) or cache(bits))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    for text in texts:
+        p = media.payload((text or "").encode())
+        stored = media.store(p)
+        before = seen["cache"]
+        assert b"".join(media.samples(i).tobytes() for i in media.images(stored)) == p
+        seen["cache read"] += seen["cache"] - before
+    assert min(seen[k] for k in ("undo_prediction", "undo_palette", "subtract_green", "cross", "_copy", "cache read")) > 0
+
+
+def test_long_payload_is_one_animation():
     p = media.payload(bytes(range(256)) * 5000)
     stored = media.store(p)
+    assert stored[:4] == b"RIFF" and int.from_bytes(stored[4:8], "little") + 8 == len(stored) and stored[8:16] == b"WEBPVP8X"
     assert len(list(media.images(stored))) == 2 and hashlib.sha256(b"".join(media.samples(i).tobytes() for i in media.images(stored))).digest() == hashlib.sha256(p).digest()
 
 
