@@ -3,8 +3,11 @@
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +284,12 @@ def test_pages_of_new_layouts():
         ("<nav><a href=x>m</a></nav><article><p>Long enough text of an article, with words. And more of them.</p></article><footer>&copy; f</footer>", "Long enough text of an article, with words. And more of them."),
         ("<article><p>x</p><!-- no", "x"),
         ("<article><p>a < b</p><p class='cut", "a < b"),
+        ('<article><p title="x>three</p><p>four</p>', "three four"),
+        ('<article><p title="x>three</p><p title="y">four</p>', "three four"),
+        ('<article><p data-x="<b>no</b>" title=\'a > b\'>five</p>', "five"),
+        ("<article><p>x <math><mi>y</mi></math> <noscript>z</noscript><svg><text>u</text></svg></p><template>v</template></article>", "x y zu v"),
+        ("<article><p>a<wbr>b<my-word>c</my-word></p>d</p>e<hr>f<textarea>no</textarea></article>", "abc d e f"),
+        ("<article>&lt;p&gt; &#x41;&eacute;<![CDATA[ no ]]><? no ?></ no>yes</article>", "<p> A\u00e9yes"),
     ],
 )
 def test_parsing(source, text):
@@ -290,6 +299,68 @@ def test_parsing(source, text):
     assert html.main_text(page, kept) == text
 
 
+@pytest.mark.parametrize("source", ["<div>" * 80_000 + "</foo>" * 80_000, "<a x='y " * 120_000, '<a x="y ' * 120_000, "<p title='x>" * 80_000, "<li><div>" + "<h1>" * 80_000 + "</li>" * 80_000, "<" * 1_000_000, "<!-- " * 200_000, "<script>" * 100_000, "</" * 400_000, "&amp" * 250_000, "<a =" * 250_000, "<p " + " " * 1_000_000, "<b" + "/ =" * 300_000], ids=lambda s: s[:12])
+def test_hostile_pages_take_linear_time(source):
+    start = time.process_time()
+    page = html.parse(source)
+    html.decode(page, np.zeros(len(page.tag)))
+    html.features(page)
+    assert time.process_time() - start < 30
+
+
+def test_nothing_of_a_deep_page_is_lost():
+    page = html.parse("<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>after</p>")
+    assert [t for t in page.text if t] == ["deep", "after"]
+
+
+PAGES_BY_HAND = [
+    (
+        """<!doctype html><html><head><title>Baking | Bread club</title><style>b{}</style></head><body class="home page-template">
+<header id="masthead"><a href="/">Bread club</a><nav class="main-navigation"><ul><li><a href="/a">Recipes</a><li><a href="/b">About us</a><li><a href="/c">Contact</a></ul></nav></header>
+<div id="cookie-notice"><p>We use cookies to make this site better. By going on you agree to that.</p><button>Fine</button></div>
+<div class="content-area"><article class="post"><h1>How to bake a loaf</h1>
+<p>Mix the flour with water, and leave it for an hour. Then add salt &amp; yeast, and knead it well until it is smooth.</p>
+<ul><li>500 g of flour</li><li>350 g of water</li></ul>
+<p>Bake it at 230&deg;C, for <b>forty</b> minutes, in a pot with its lid on. It is done when it sounds hollow.</p>
+<script>ga('send')</script></article></div>
+<section class="comments"><h3>2 comments</h3><ol><li class="comment"><p>Ann</p><p>Mine came out flat, what did I do wrong with it?</p></li><li class="comment"><p>Bob</p><p>Too little yeast, I would think, or a cold kitchen.</p></li></ol></section>
+<aside class="sidebar widget-area"><h3>Popular posts</h3><ul><li><a href="/x">Ten cakes for spring</a></li><li><a href="/y">All about rye</a></li></ul></aside>
+<footer class="site-footer"><p>&copy; 2020 Bread club. All rights reserved.</p></footer></body></html>""",
+        "How to bake a loaf Mix the flour with water, and leave it for an hour. Then add salt & yeast, and knead it well until it is smooth. 500 g of flour 350 g of water Bake it at 230\u00b0C, for forty minutes, in a pot with its lid on. It is done when it sounds hollow.",
+    ),
+    (
+        """<html><body><div class="topbar"><a href="/">Home</a> | <a href="/news">News</a> | <a href="/sport">Sport</a></div>
+<div class="ad-banner"><p>Buy two, get one free. Only today at Shoeland.</p></div>
+<main><h1>River rises after rain</h1><p>The river rose by two metres on Monday, said the council, and the lower road is closed.</p>
+<blockquote>We have not seen such water in years, said a farmer who lives by the bridge.</blockquote>
+<p>More rain is likely on Tuesday. Schools stay open, and buses go by the upper road for now.</p></main>
+<form class="newsletter-signup"><label>Get our letter every week</label><input name="m"><button>Sign up</button></form>
+<div class="footer"><a href="/imprint">Imprint</a> <a href="/privacy">Privacy</a> <p>All rights reserved by the paper.</p></div></body></html>""",
+        "River rises after rain The river rose by two metres on Monday, said the council, and the lower road is closed. We have not seen such water in years, said a farmer who lives by the bridge. More rain is likely on Tuesday. Schools stay open, and buses go by the upper road for now.",
+    ),
+    ("<article><p>Only one paragraph of a page, which has nothing around it at all.</p></article>", "Only one paragraph of a page, which has nothing around it at all."),
+]
+
+
+def test_pages_by_hand(spark):
+    rows = spark.createDataFrame([(k, "u", h) for k, (h, _) in enumerate(PAGES_BY_HAND)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(rows).collect()}
+    assert got == {k: (t, len(t)) for k, (_, t) in enumerate(PAGES_BY_HAND)}
+
+
+def test_query_equals_the_articles_of_the_pages(spark):
+    # a second reading of the table: between the article's tags, all markup taken out by plain patterns
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    same = 0
+    for r in rows:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)
+        inner = re.sub(r"<[^>]*\Z", "", inner[1]) if inner else ""
+        blocks = re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") == "b" else " ", inner)
+        same += got[r["page_id"]] == " ".join(unescape(blocks).split())
+    assert same / len(rows) > 0.97
+
+
 def ancestors(page, k):
     while k > 0:
         yield k

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,29 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trajecta.llm.boost import Boosted
-from trajecta.llm.common import blocks
+from trajecta.llm.common import blocks, released
 
-# Elements by how they are read.
+# Elements by how they are read. Elements that are named nowhere are read as inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select noframes noembed object audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What they hold is script, style, the page's title, a form's own value, or markup that is never shown as text.
+RAW = frozenset("script style title textarea select iframe noframes noembed".split())
+BLOCK = frozenset("html head body address article aside blockquote button caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Starting one of these ends an open element of its group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 #: An open paragraph ends where one of these starts.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An implied end doesn't reach beyond these.
 SCOPE = frozenset("html body table td th div article section main aside nav header footer form ul ol dl blockquote figure #root".split())
+#: Elements that are often left open; their end tags don't reach beyond SCOPE.
+ENDED = frozenset("p li td tr dd dt".split())
 KINDS = ["nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "ul", "ol", "li", "form", "h1", "h2", "h3", "blockquote", "pre", "table", "tr", "td", "figure", "button", "body", "#text"]
 GOOD = frozenset("article articles body blog content contents copy entry main page post posts story text hentry longform prose single richtext reading".split())
 BAD = frozenset("ad ads adv advert adverts advertisement alert author aux banner bar bottom breadcrumb breadcrumbs byline captcha comment comments consent contact cookie cookies copyright discuss disqus disclaimer feedback follow foot footer form gdpr head header legal links login masthead menu meta modal more nav navbar navigation newsletter notice notification overlay pager pagination popular popup promo recommended recommendations rail related reply replies respond search share sharing sidebar side signup skip social sponsor sponsored subscribe tags teaser toolbar top topbar trending widget widgets".split())
 HARD = frozenset("nav footer aside form button menu dialog".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
-ATTRIBUTES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-CUT_OFF = re.compile(r"<(?:[a-zA-Z/!][^>]*)?\Z")
-END_OF_RAW: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\s*(?:>|/[^>]*>|\Z)", re.I) for t in RAW}
+NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: Attributes whose words tell what an element is for.
+TELLING = frozenset(["class", "id", "role", "itemprop", "aria-label"])
+BLANKS, ATTRIBUTE, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+END_OF_RAW: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
+#: Elements nested deeper than this are read as if they weren't nested; their text stays.
+DEEPEST = 512
 
 
 class Page:
@@ -50,25 +57,84 @@ class Page:
     def __init__(self):
         self.tag, self.parent, self.depth, self.good, self.bad, self.hidden, self.text, self.linked = ["#root"], [-1], [0], [0], [0], [0], [""], [0]
 
-    def add(self, tag: str, parent: int, attributes: str = "", text: str = "", linked: int = 0) -> int:
-        words = {w.lower() for m in ATTRIBUTES.findall(attributes) for w in WORD.findall("".join(m))} if attributes else ()
+    def add(self, tag: str, parent: int, named: str = "", hidden: bool = False, text: str = "", linked: int = 0) -> int:
+        words = {w.lower() for w in WORD.findall(named)} if named else ()
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
         self.good.append(len(GOOD.intersection(words)))
         self.bad.append(len(BAD.intersection(words)))
-        self.hidden.append(int(bool(attributes and HIDDEN.search(attributes))))
+        self.hidden.append(int(hidden))
         self.text.append(text)
         self.linked.append(linked)
         return len(self.tag) - 1
 
 
+class Tags:
+    """Reads the tags of a source, each from where its name ends. Every character is looked at a fixed number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.gone = source, set()
+
+    def quote(self, mark: str, at: int) -> int:
+        """The next such quote, or -1; that there is none is found out once."""
+        if mark in self.gone:
+            return -1
+        place = self.source.find(mark, at)
+        if place < 0:
+            self.gone.add(mark)
+        return place
+
+    def read(self, at: int) -> tuple[int, str, bool]:
+        """Where the tag ends, the words of its telling attributes, and whether it is hidden.
+
+        A quote that is never closed, or only by the first quote of a later tag, doesn't reach beyond the tag's own `>`.
+        """
+        source, n = self.source, len(self.source)
+        close = source.find(">", at)
+        if close < 0:
+            return n, "", False
+        if source.find("=", at, close) < 0:
+            return close + 1, "", " hidden" in source[at:close]
+        named, hidden = [], False
+        while True:
+            at = BLANKS.match(source, at).end()
+            if at >= n:
+                return n, " ".join(named), hidden
+            if source[at] == ">":
+                return at + 1, " ".join(named), hidden
+            m = ATTRIBUTE.match(source, at)
+            name, at = m[0].lower(), m.end()
+            m = EQUALS.match(source, at)
+            if not m:
+                hidden = hidden or name == "hidden"
+                continue
+            at = m.end()
+            mark = source[at : at + 1]
+            if mark in ('"', "'"):
+                end = self.quote(mark, at + 1)
+                inner = source.find(">", at + 1, end if end >= 0 else n)
+                if inner >= 0 and (end < 0 or source[end + 1 : end + 2] not in (" ", "\t", "\n", "\r", "\f", "/", ">", "")):
+                    return inner + 1, " ".join(named), hidden
+                if end < 0:
+                    return n, " ".join(named), hidden
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = BARE.match(source, at)
+                value, at = m[0], m.end()
+            if name in TELLING:
+                named.append(value)
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(NONE_SHOWN.search(value))
+
+
 def parse(source: str) -> Page:
-    """The tree of block elements; markup that is never closed, or cut off, is read as browsers do, roughly."""
+    """The tree of block elements; markup that is never closed, or cut off, is read as browsers do, roughly. Takes time in
+    proportion to the source, whatever it holds."""
     page, at, n = Page(), 0, len(source)
-    stack = [0]
+    stack, open_now = [0], Counter()
     run: list[str] = []
     links = linked = 0
+    tags = Tags(source)
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -82,64 +148,78 @@ def parse(source: str) -> Page:
         if run:
             words = " ".join(html.unescape("".join(run)).split())
             if words:
-                page.add("#text", stack[-1], "", words, min(linked, len(words)))
+                page.add("#text", stack[-1], text=words, linked=min(linked, len(words)))
             run.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for node in stack[k:]:
+            open_now[page.tag[node]] -= 1
+        del stack[k:]
+
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None:
-            rest = source[at:]
-            cut = CUT_OFF.search(rest)
-            text(rest[: cut.start()] if cut else rest)
+        begin = source.find("<", at)
+        if begin < 0:
+            text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        text(source[at:begin])
+        closing = source.startswith("/", begin + 1)
+        m = NAME.match(source, begin + 1 + closing)
+        if m is None:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+            elif source[begin + 1 : begin + 2] in ("!", "?", "/") or begin + 1 == n:
+                end = source.find(">", begin + 1)
+                at = end + 1 if end >= 0 else n
+            else:  # no markup, just the sign
+                text("<")
+                at = begin + 1
             continue
-        tag = tag.lower()
-        if m[1]:
+        tag = m[0].lower()
+        at, named, hidden = tags.read(m.end())
+        if closing:
             if tag == "a":
                 links = 0
-            elif tag in INLINE or tag in VOID:
-                if tag == "br":
-                    text(" ")
-            else:
+            elif tag == "br":
+                text(" ")
+            elif tag in BLOCK:
                 end_block()
-                for k in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if tag in ("p", "li", "td", "tr", "dd", "dt") and page.tag[stack[k]] in SCOPE - {tag}:
-                        break
                 links = 0
+                if open_now[tag]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        own = page.tag[stack[k]]
+                        if own == tag:
+                            leave(k)
+                            break
+                        if tag in ENDED and own in SCOPE:
+                            break
             continue
         if tag in RAW:
-            end = END_OF_RAW[tag].search(source, at)
-            at = end.end() if end else n
+            m = END_OF_RAW[tag].search(source, at)
+            at = m.end() if m else n
             text(" ")
+        elif tag == "hr":
+            end_block()
         elif tag in VOID:
-            if tag == "hr":
-                end_block()
-            else:
-                text(" " if tag in ("br", "img", "input", "wbr")[:1] else "")
-        elif tag in INLINE:
-            links = 1 if tag == "a" else links
-        else:
+            text(" " if tag == "br" else "")
+        elif tag in BLOCK:
             end_block()
             links = 0
             ends = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
             for k in range(len(stack) - 1, 0, -1):
                 own = page.tag[stack[k]]
                 if own in ends:
-                    del stack[k:]
+                    leave(k)
                     break
                 if own in SCOPE or own not in ENDS and own not in ("thead", "tbody"):
                     break
-            node = page.add(tag, stack[-1], m[3])
-            if not m[3].rstrip().endswith("/") or tag not in ("path", "circle"):
+            node = page.add(tag, stack[-1], named, hidden)
+            if len(stack) < DEEPEST:
                 stack.append(node)
+                open_now[tag] += 1
+        else:
+            links = 1 if tag == "a" else links
     end_block()
     return page
 
@@ -252,6 +332,8 @@ class Layout:
     def box(self, tags: list[str], names: list[str], inner: str) -> str:
         tag = self.r.choice(tags)
         name = self.r.choice(names) if self.named and names and self.r.random() < 0.85 else self.r.choice(["", "", "x1", "col-6", "row"])
+        if name and self.r.random() < 0.5:  # as site builders decorate such names
+            name = self.r.choice(["", "js-", "c-", "site-", "block__", "wp-"]) + name + self.r.choice(["", "-wrap", "__inner", "Box", "-2", " clearfix", " is-open"])
         attribute = f' {self.r.choice(["class", "class", "id"])}="{name}"' if name else ""
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
@@ -289,8 +371,11 @@ class Layout:
         text = self.words(*self.r.choice([(1, 3), (3, 15), (15, 60), (40, 140), (60, 300)]))
         if self.r.random() < 0.2:
             text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(2, 20)}'
-        if self.r.random() < 0.15:
-            text = f"<b>{text}<br>" if self.r.random() < 0.5 else f"<em>{text}</em>"
+        if self.r.random() < 0.2:
+            style = self.r.choice(["b", "strong", "em", "i", "span", "small"])
+            words = text.split(" ")
+            k = self.r.randint(0, len(words) - 1)
+            text = " ".join([*words[:k], f"<{style}>{words[k]}", *words[k + 1 :]]) + f"</{style}>" + self.r.choice(["", "", "<br>", f"<br>{self.words(2, 20)}"])
         mark = f"\x01{text}\x02"
         kind = self.r.random()
         if kind < 0.72:
@@ -341,6 +426,8 @@ class Layout:
         if self.r.random() < 0.25:
             middle = self.box(["div", "main", "section"], ["container", "wrapper", "layout", "page"], middle + (after.pop(0)))
         page = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>" + "".join(before) + middle + "".join(after) + "</body></html>"
+        if self.r.random() < 0.3:  # end tags that writers leave out
+            page = re.sub(r"</(?:p|li|b|em|i|span|strong|td|tr|a)>", lambda m: "" if self.r.random() < 0.15 else m[0], page)
         return page[: -self.r.randint(1, 60)] if self.r.random() < 0.1 else page
 
 
@@ -392,4 +479,4 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
