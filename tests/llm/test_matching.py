@@ -161,6 +161,20 @@ def test_licenses_equal_brute_force(spark):
         assert set(got["base_labels"].split(",")) <= set(got["labels"].split(",")) or not places
 
 
+def test_whole_license_texts_with_fields(spark):
+    by_label = {}
+    for label, text in licenses.TEMPLATES:
+        by_label.setdefault(label, []).append(text)
+    bsd = "Copyright (c) 2001, Some One\n" + " ".join(t.capitalize() + "." for t in by_label["bsd"])
+    texts = {
+        1: ("word " * 300) + bsd + " tail" * 300,
+        2: "MIT License. Copyright 2020 X.\n" + ".\n".join(t for t in by_label["mit"] if len(t) > 60),
+        3: by_label["cc-by-nc-sa"][0].replace("noncommercial", "NonCommercial").replace(" 4 0 ", " 4.0 "),
+    }
+    rows = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.summary(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert rows[1] == {"bsd"} and rows[2] == {"mit"} and "cc-by-nc-sa" in rows[3]
+
+
 def test_license_passage_with_changes(spark):
     text = dict((b, a) for a, b in licenses.TEMPLATES)
     mit = next(t for t in text if t.startswith("permission is hereby granted")).split()
