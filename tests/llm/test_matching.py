@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import duck, spark_rows
 from trajecta.llm import decontaminate, jaccard, licenses, media, packing, pii, queries
+from trajecta.llm.common import flat_bytes
 from trajecta.llm.components import components
 from trajecta.llm.webp import CROSS, GREEN, PALETTE, PREDICT, decode, encode
 
@@ -318,6 +319,8 @@ def test_ids_of_random_texts_equal_direct_encoding():
     texts = []
     for _ in range(20_000):
         texts.append("".join(str(x) for x in rng.choice(letters + signs if rng.random() < 0.5 else letters, rng.integers(1, 6))) + "".join(str(x) for x in rng.choice(signs, rng.integers(0, 3))))
+    latin = list("aZ09'sdm.,- \t\n") + [chr(c) for c in (0xC0, 0xD6, 0xD7, 0xDF, 0xE9, 0xF7, 0xFF, 0x1C, 0x0B)] + ["'ll", "'RE", "'ve", "''"]
+    texts += ["".join(str(x) for x in rng.choice(latin, rng.integers(1, 30))) for _ in range(20_000)]
     found = whole.encode_batch(texts, add_special_tokens=False)
     assert [t for t, e in zip(texts, found) if ids.of(t.encode()).tolist() != [*e.ids, packing.END]] == []
 
@@ -333,6 +336,23 @@ def test_other_tokenizers_encode_whole_texts(tmp_path, spark):
     assert [i for r in sorted(rows, key=lambda r: r["start"]) for i in r["ids"]] == [5, 2, 1]
 
 
+def test_ranges_part_equal_keys_and_keep_the_order():
+    rng = np.random.default_rng(2)
+    rows = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 50))) for _ in range(500))
+    curves, ids = (np.array(x) for x in zip(*rows[40::40], strict=True))
+    got = packing.range_of(*(np.array(x) for x in zip(*rows, strict=True)), curves, ids)
+    assert got.tolist() == [sum((c, i) <= r for c, i in zip(curves.tolist(), ids.tolist(), strict=True)) for r in rows] and (np.diff(got) >= 0).all()
+
+
+def test_packing_follows_the_curve(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.pack(docs, queries.tokenizer(), with_ids=False).where("start = 0").orderBy("sequence_id", "offset").collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = [p["doc_id"] for p in pieces]
+    keys = packing.curve_keys(*flat_bytes(pa.array([texts[i] for i in order])))
+    assert [(k, i) for k, i in zip(keys, order)] == sorted((k, i) for k, i in zip(keys, order)) and sorted(order) == sorted(texts)
+
+
 def test_pieces_make_up_the_documents(spark):
     from tokenizers import Tokenizer
 

@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,19 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return wrapped
 
 
+@contextmanager
+def few_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
+    """While it lasts, tasks hand texts to their Python workers in batches of at most so many rows, so that neither side
+    holds many texts at once. For actions within an operator; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, min(most, int(old)) if int(old) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it was counted and has at most so many rows; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -103,7 +103,9 @@ class HMM:
         self.start, self.move, self.emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
 
     def _forward(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, keep: bool):
-        """Scaled forward messages of many sequences at once, the longest first; first: distributions before each."""
+        """Scaled forward messages of many sequences at once, the longest first; first: distributions before each. They
+        are as precise as those are."""
+        move, emit = self.move.astype(first.dtype), self.emit.astype(first.dtype)
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
         logs = np.zeros(len(lengths))
@@ -111,13 +113,13 @@ class HMM:
         messages = np.empty((total, len(self.start)), np.float32) if keep else None
         scales, seen = (np.empty(total, np.float32), np.empty(total, np.int64)) if keep else (None, None)
         alpha, base = first, 0
-        last = np.empty((len(lengths), len(self.start)))
+        last = np.empty((len(lengths), len(self.start)), first.dtype)
         for t in range(steps):
             n = active[t]
             if n < len(alpha):
                 last[n : len(alpha)] = alpha[n:]
             symbols = flat[starts[:n] + t]
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * self.emit[symbols]
+            alpha = (alpha[:n] if t == 0 else alpha[:n] @ move) * emit[symbols]
             scale = alpha.sum(axis=1)
             alpha /= scale[:, None]
             logs[:n] += np.log(scale)
@@ -138,7 +140,7 @@ class HMM:
         starts = offsets[:-1][owner].astype(np.int64) + place * PIECE
         return starts, np.minimum(PIECE, offsets[1:][owner] - starts).astype(np.int64), owner, place > 0
 
-    def _across(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _across(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, later: np.ndarray, precise: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces run at the same time, a first one from the start and a later one from each state: (logs, last
         messages) of all runs, and where each piece's runs begin."""
         copies = np.where(later, len(self.start), 1)
@@ -146,7 +148,7 @@ class HMM:
         starts, lengths = np.repeat(starts, copies), np.repeat(lengths, copies)
         order = np.argsort(-lengths, kind="stable")
         logs, last = np.empty(len(order)), np.empty((len(order), len(self.start)))
-        logs[order], last[order] = self._forward(flat, starts[order], lengths[order], first[order], False)[:2]
+        logs[order], last[order] = self._forward(flat, starts[order], lengths[order], first[order].astype(precise), False)[:2]
         return logs, last, np.cumsum(copies) - copies
 
     def log10_likelihood(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ class HMM:
         initial, before, final = np.tile(self.start, (len(starts), 1)), np.zeros((len(starts), states)), np.ones((len(starts), states))
         cut_up = np.flatnonzero(np.bincount(owner)[owner] > 1)
         if len(cut_up):
-            logs, last, where = self._across(flat, starts[cut_up], lengths[cut_up], later[cut_up])
+            logs, last, where = self._across(flat, starts[cut_up], lengths[cut_up], later[cut_up], np.float32)
             ends, steps = {}, {}
             for p, at in zip(cut_up.tolist(), where.tolist(), strict=True):
                 if not later[p]:
@@ -201,24 +203,26 @@ class HMM:
                 ahead = ahead / ahead.sum()
         order = np.argsort(-lengths, kind="stable")
         starts, lengths, later, initial, before, final = (x[order] for x in (starts, lengths, later, initial, before, final))
-        logs, _, messages, scales, seen, active = self._forward(flat, starts, lengths, initial, True)
+        # single precision does for messages of counts, which are summed in double precision
+        logs, _, messages, scales, seen, active = self._forward(flat, starts, lengths, initial.astype(np.float32), True)
+        move, emit, final = self.move.T.astype(np.float32), self.emit.astype(np.float32), final.astype(np.float32)
         counts["log"][0] = logs.sum()
         base = np.concatenate([[0], np.cumsum(active)])
-        beta = np.ones((0, states))
+        beta = np.ones((0, states), np.float32)
         pairs = np.zeros((states, states))
         for t in range(len(active) - 1, -1, -1):
             n, a = active[t], base[t]
             new = final[:n].copy()
             if len(beta):
                 m = len(beta)
-                ahead = beta * self.emit[seen[base[t + 1] : base[t + 1] + m]] / scales[base[t + 1] : base[t + 1] + m, None]
-                pairs += messages[a : a + m].T.astype(np.float64) @ ahead
-                new[:m] = ahead @ self.move.T
+                ahead = beta * emit[seen[base[t + 1] : base[t + 1] + m]] / scales[base[t + 1] : base[t + 1] + m, None]
+                pairs += messages[a : a + m].T @ ahead
+                new[:m] = ahead @ move
             beta = new
             messages[a : a + n] *= beta
         n = active[0]
         if later.any():  # the moves from one piece into the next
-            pairs += before[later].T @ (beta * self.emit[seen[:n]] / scales[:n, None])[later]
+            pairs += before[later].T @ (beta * emit[seen[:n]] / scales[:n, None])[later]
         counts["move"] = pairs * self.move
         counts["start"] = messages[:n][~later].sum(axis=0, dtype=np.float64)
         for s in range(states):

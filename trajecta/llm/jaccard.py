@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajecta.llm.common import blocks, cut, released, small, stored
+from trajecta.llm.common import blocks, cut, few_rows, released, small, stored
 from trajecta.llm.components import components
 
 WORDS = 3
@@ -209,6 +209,11 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
     A class holds the documents of equal sets and goes by the smallest doc_id. Null and empty texts have empty sets
     and no class; rows without a doc_id have no class either. Rows that repeat a doc_id count as one document.
     """
+    with few_rows(docs.sparkSession):
+        return _linked(docs, n, num, den)
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     feats = stored(features(docs, frequent_tokens(docs, n), n, num, den))
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("class"))

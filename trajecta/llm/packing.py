@@ -12,14 +12,17 @@ import itertools
 import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trajecta.llm.common import blocks, flat_bytes, released
 
@@ -31,8 +34,12 @@ DIMENSIONS, BITS = 4, 12
 BUCKETS = 4096
 #: Bytes of input for which a range of the curve is cut, where that makes more ranges than the session's partitions.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
+#: Rows of a range in the sample that shares out the ranges.
+BOUND_ROWS = 60
+#: Stands for a missing id in the order of the ranges.
+NO_ID = -(1 << 63)
 #: Words whose ids a worker process remembers; if there are more, the first half stays, which has the frequent ones.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -107,6 +114,12 @@ WORDWISE = {
 }
 
 
+#: A text of ASCII and the letters of Latin-1 alone: normal forms change nothing in it, and what is a letter is plain.
+PLAIN = re.compile(rb"(?:[\x00-\x7f]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+")
+#: How WORDWISE splits such a text once A-Z are lowered, as bytes.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\s\x80-\xff]+")
+
+
 def wordwise(spec: str) -> bool:
     """Whether a text's ids are known to be its words' ids one after the other: so of a tokenizer that is read as WORDWISE
     and has no added tokens with white space. Texts of any other are encoded whole."""
@@ -135,20 +148,26 @@ def parts(word: bytes) -> tuple[bytes, ...]:
 
 class Ids(dict):
     """Token ids by word, as bytes. If words: tokens don't cross ASCII white space, so a text's ids are its words' ids one
-    after the other, and the new words of a text can be looked up as one text of their own."""
+    after the other, and the new words of a text can be looked up as one text of their own. A plain text is split into
+    the tokenizer's own pieces, of which there are fewer."""
 
     def __init__(self, tokenizer, words: bool):
         super().__init__()
         self.tokenizer, self.words = tokenizer, words
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+    def learn(self, words: set[bytes], pieces: bool) -> None:
+        """Looks up the words that aren't known; pieces are the tokenizer's own, others may come in parts."""
+        new = list(itertools.filterfalse(self.__contains__, words))
         if not new:
             return
         if len(self) + len(new) > REMEMBERED:
             for word in list(itertools.islice(self, REMEMBERED // 2, None)):
                 del self[word]
-            new = [w for w in words if w not in self]
+            new = list(itertools.filterfalse(self.__contains__, words))
+        if pieces:
+            self._encode(new)
+            return
         made = [(w, parts(w)) for w in new]
         self._encode(list({p for _, ps in made for p in ps if p not in self}))
         for word, ps in made:
@@ -158,7 +177,7 @@ class Ids(dict):
     def _encode(self, new: list[bytes]) -> None:
         if not new:
             return
-        texts = [w.decode() for w in new]
+        texts = b" ".join(new).decode().split(" ")
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         owner = np.searchsorted(begins, [at for at, _ in found.offsets], side="right") - 1
@@ -167,12 +186,22 @@ class Ids(dict):
         for word, begin, end in zip(new, [0, *ends], ends, strict=False):
             self[word] = raw[begin:end]
 
-    def of(self, text: bytes) -> np.ndarray:
+    def of_many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text with its end; the new words of all texts are looked up together."""
         if not self.words:
-            return np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, END], "<u4")
-        words = text.split()
-        self.learn(set(words))
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), _END]), "<u4")
+            return [np.array([*self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, END], "<u4") for t in texts]
+        out: list[np.ndarray] = [None] * len(texts)
+        plain = [bool(PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
+        for pieces in (True, False):
+            own = [k for k, p in enumerate(plain) if p == pieces]
+            split = [PIECES.findall(texts[k].decode().lower().encode() if b"\xc3" in texts[k] else texts[k].lower()) if pieces else texts[k].split() for k in own]
+            self.learn(set().union(*split), pieces)
+            for k, words in zip(own, split, strict=True):
+                out[k] = np.frombuffer(b"".join([*map(self.__getitem__, words), _END]), "<u4")
+        return out
+
+    def of(self, text: bytes) -> np.ndarray:
+        return self.of_many([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -229,13 +258,39 @@ class Packer:
             yield from self.close(taken)
 
 
-def ranges(docs: DataFrame) -> list[int]:
-    """The number of ranges, if the input's size asks for more than the session's shuffles have; by the sizes of the
+def ranges(docs: DataFrame) -> int:
+    """The number of ranges: that of the session's shuffles, or more if the input's size asks for it; by the sizes of the
     files or tables that are read, without reading rows. Inputs of unknown size leave it to the session."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    n = min(MOST_RANGES, -(-size // RANGE_BYTES))
-    return [n] if int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n and size < 1 << 60 else []
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, min(MOST_RANGES, -(-size // RANGE_BYTES))) if size < 1 << 60 else n
+
+
+def bounds(docs: DataFrame, n: int, each: int = BOUND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Where n ranges of the curve begin, as (curve, doc_id): quantiles of a sample of about `each` rows a range, by the
+    hash of their ids. The bounds only share out the work; every row lies in one range, whatever they are."""
+    total = docs.select(F.count("*")).first()[0]
+    share = min(1.0, each * n / max(1, total))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    sample = docs.select("doc_id", "text").where(place < int(share * (1 << 40)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 2_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(*flat_bytes(batch.column(1))), pa.int64())], ["doc_id", "curve"])
+
+    rows = sample.mapInArrow(released(keyed), "doc_id long, curve long").toPandas().sort_values(["curve", "doc_id"], na_position="first")
+    picked = rows.iloc[[len(rows) * k // n for k in range(1, n)]] if len(rows) else rows
+    return picked.curve.to_numpy(np.int64), picked.doc_id.fillna(NO_ID).to_numpy(np.int64)
+
+
+def range_of(curve: np.ndarray, ids: np.ndarray, curves: np.ndarray, first_ids: np.ndarray) -> np.ndarray:
+    """The range of each (curve, id): the number of bounds that aren't above it."""
+    low, high = np.searchsorted(curves, curve, "left"), np.searchsorted(curves, curve, "right")
+    out = low.copy()
+    for k in np.flatnonzero(low < high):  # bounds within equal keys: copies are parted by their ids
+        out[k] += np.searchsorted(first_ids[low[k] : high[k]], ids[k], "right")
+    return out
 
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -247,19 +302,25 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
 
     tokenizer: path of a tokenizers file, read here and sent to the tasks. Null and empty texts have only the end id,
     and so does a text without tokens. Every row is packed, rows that repeat a doc_id each on their own; other columns
-    are ignored. Sequence ids are unique, but not gapless; a sequence never crosses a range of the curve.
+    are ignored. Sequence ids are unique, but not gapless; a sequence never crosses a range of the curve. The ranges are
+    fixed here, by a sample of their keys, so keys are made once for every row and once more for the sample.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
 
+    n = ranges(docs)
+    curves, first_ids = bounds(docs, n)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 2_000_000):
             keys = curve_keys(*flat_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["doc_id", "text", "curve"])
+            ids = pa.compute.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False)
+            place = range_of(keys, ids, curves, first_ids).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(place)], ["doc_id", "text", "curve", "place"])
 
     # equal documents have equal keys; the id lets the ranges part them, so that many copies don't meet in one task
-    rows_by_key = docs.select("doc_id", "text").mapInArrow(released(keyed), "doc_id long, text string, curve long")
-    ordered = rows_by_key.repartitionByRange(*ranges(docs), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    placed = docs.select("doc_id", "text").mapInArrow(released(keyed), "doc_id long, text string, curve long, place int")
+    ordered = placed.repartitionById(n, "place").drop("place").sortWithinPartitions("curve", "doc_id", "text")
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, pa.int64()) for c in list(zip(*pieces, strict=True))[:7]]
@@ -273,9 +334,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, packer, done, size = _known(spec), Packer(length, TaskContext.get().partitionId()), [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in packer.add(doc, known.of((text or "").encode())):
+        for batch in blocks(batches, 500_000):
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), known.of_many(texts), strict=True):
+                for piece in packer.add(doc, ids):
                     done.append(piece)
                     size += piece[2]
                 if size > 1_000_000:
