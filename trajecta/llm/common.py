@@ -75,6 +75,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """stored(), for tables that only what is computed meanwhile reads: they are deleted at the end."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(stored(df))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in kept:
+            jvm = df.sparkSession._jvm
+            for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                place = jvm.org.apache.hadoop.fs.Path(file)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function of batches; at the end of a task, its worker gives free memory back to the system. Workers stay
     for later tasks, so what they keep would add up with the executor's own memory."""

@@ -13,7 +13,7 @@ only then are classes compared that share a prefix token and aren't connected ye
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajecta.llm.common import blocks, cut, few_rows, released, small, stored
+from trajecta.llm.common import blocks, cut, few_rows, released, scratch, small, stored
 from trajecta.llm.components import components
 
 WORDS = 3
@@ -180,11 +180,16 @@ def meet(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets, made of the words themselves, are similar enough."""
-    pairs = cut(pairs)
+    """The pairs (x, y) whose sets, made of the words themselves, are similar enough; as a table without lineage."""
+    with scratch() as keep:
+        return _verified(pairs, docs, n, num, den, keep)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    pairs = keep(pairs)
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     # written first, so that both sides of the joins are plain exchanges and a document of very many pairs can be split
-    texts = stored(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = keep(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("b")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +205,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> D
                 kept.append(shared > 0 and den * shared >= num * (len(own) + len(known) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.select("x", "y", "a", "b").mapInArrow(released(run), "x long, y long")
+    return cut(both.select("x", "y", "a", "b").mapInArrow(released(run), "x long, y long"))
 
 
 def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
@@ -209,32 +214,32 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
     A class holds the documents of equal sets and goes by the smallest doc_id. Null and empty texts have empty sets
     and no class; rows without a doc_id have no class either. Rows that repeat a doc_id count as one document.
     """
-    with few_rows(docs.sparkSession):
-        return _linked(docs, n, num, den)
+    with few_rows(docs.sparkSession), scratch() as keep:
+        return _linked(docs, n, num, den, keep)
 
 
-def _linked(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, n: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     feats = stored(features(docs, frequent_tokens(docs, n), n, num, den))
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("class"))
     sets = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    reps = stored(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
+    reps = keep(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
 
     entries = reps.select(F.col("doc_id").alias("x"), "n", F.posexplode_outer("p0").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     by_doc = Window.partitionBy("x").orderBy("at")
-    posted = stored(entries.join(shared, "token").withColumn("before", F.row_number().over(by_doc) - 1))
+    posted = keep(entries.join(shared, "token").withColumn("before", F.row_number().over(by_doc) - 1))
 
     # the document with the fewest tokens of its own before a token stands for all that have the token
     centres = posted.groupBy("token").agg(F.min(F.struct((F.col("at") - F.col("before")).alias("own"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("before").alias("before2"))).alias("c")).select("token", "c.*")
     near = posted.join(centres, "token").where(F.col("x") != F.col("y")).where(_possible(num, den))
     first = near.groupBy("x").agg(F.min(F.struct("own", "y")).alias("c")).select("x", F.col("c.y").alias("y"))
-    links = cut(verified(meet(first, reps), docs, n, num, den))
+    links = verified(meet(first, reps), docs, n, num, den)
 
     found = cut(components(links, "x", "y"))
     placed = posted.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    rest = cut(placed.join(open_tokens, "token"))
+    rest = keep(placed.join(open_tokens, "token"))
     other = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "at", "before", "component")))
     pairs = rest.join(other, "token").where((F.col("x") < F.col("x2")) & (F.col("component") != F.col("component2"))).where(_possible(num, den))
     more = verified(meet(pairs.select("x", F.col("x2").alias("y")).distinct(), reps), docs, n, num, den)

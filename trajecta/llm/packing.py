@@ -111,6 +111,7 @@ WORDWISE = {
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
+    "model": {"type": "BPE", "end_of_word_suffix": "</w>", "unk_token": None},
 }
 
 
@@ -125,7 +126,8 @@ def wordwise(spec: str) -> bool:
     and has no added tokens with white space. Texts of any other are encoded whole."""
     read = json.loads(spec)
     added = [t["content"] for t in read.get("added_tokens") or []]
-    return all(read.get(k) == v for k, v in WORDWISE.items()) and not any(t.split() != [t] for t in added)
+    model = {k: read["model"].get(k) for k in WORDWISE["model"]}
+    return all((read | {"model": model}).get(k) == v for k, v in WORDWISE.items()) and not any(t.split() != [t] for t in added)
 
 
 def parts(word: bytes) -> tuple[bytes, ...]:
@@ -154,6 +156,9 @@ class Ids(dict):
     def __init__(self, tokenizer, words: bool):
         super().__init__()
         self.tokenizer, self.words = tokenizer, words
+        tokens = tokenizer.get_vocab(with_added_tokens=False) if words else {}
+        self.last = np.zeros(max(tokens.values(), default=-1) + 1, bool)
+        self.last[[k for t, k in tokens.items() if t.endswith(WORDWISE["model"]["end_of_word_suffix"])]] = True
         self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
 
     def learn(self, words: set[bytes], pieces: bool) -> None:
@@ -166,7 +171,7 @@ class Ids(dict):
                 del self[word]
             new = list(itertools.filterfalse(self.__contains__, words))
         if pieces:
-            self._encode(new)
+            self._encode_pieces(new)
             return
         made = [(w, parts(w)) for w in new]
         self._encode(list({p for _, ps in made for p in ps if p not in self}))
@@ -174,6 +179,16 @@ class Ids(dict):
             if len(ps) > 1 or ps[0] != word:
                 self[word] = b"".join([self[p] for p in ps])
 
+    def _encode_pieces(self, new: list[bytes]) -> None:
+        """Each piece ends with its first token that is marked as the end of a piece, so places in the text aren't needed."""
+        found = self.tokenizer.encode_batch_fast([b" ".join(new).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(new):
+            return self._encode(new)
+        raw = ids.tobytes()
+        self.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
     def _encode(self, new: list[bytes]) -> None:
         if not new:
             return
