@@ -78,28 +78,36 @@ def test_splice_and_align(spark):
 ROOM = "This room is called the hall. In it, you see:\n"
 
 
-@pytest.mark.parametrize(
-    "a, b, equal, rule",
-    [
-        ("x ", " x", True, "literal"),
-        (ROOM + "\ta cup\n\tthe door", ROOM + "\tthe door\n\ta cup", True, "items"),
-        (ROOM + "\ta cup\n\ta cup", ROOM + "\ta cup", False, "items"),
-        (ROOM + "\ta table. On the table is: a cup (in it, a fly), an apple.", ROOM + "\ta table. On the table is: an apple, a cup (in it, a fly).", True, "items"),
-        ("On the table is: a cup, an apple.", "On the table is: an apple, a cup.", True, "items"),
-        ("On the table is: a cup, that is red", "On the table is: that is red, a cup", False, "layout"),
-        ("a\n  b", "a\n b", False, "layout"),
-        ("Ambiguous request:\n0: a\n1: b", "Ambiguous request:\n0: b\n1: a", True, "menu"),
-        ("Ambiguous request:\n0: a\n1: a", "Ambiguous request:\n0: a\n1: a.", False, "menu"),
-        (None, "", True, "literal"),
-    ],
-)
-def test_observations(a, b, equal, rule):
-    assert O.compare(a, b) == (equal, rule)
-
-
-@pytest.mark.parametrize("text, reason", [("", "empty_text"), ("hello", "unrecognized_observation_scope"), (ROOM + "a cup", "unexpected_unindented_line"), (ROOM + "\ta cup\n\t\tan ant", "nested_indentation"), (ROOM + "\tcup", "line_without_object"), (ROOM + "\ta cup (", "unbalanced_parentheses")])
-def test_unreadable_observations(text, reason):
-    assert O.read(text) == (False, None, reason)
+OBSERVATIONS = [
+    ("x ", " x", True, O.LITERAL),
+    (ROOM + "\ta cup\n\tthe door", ROOM + "\tthe door\n\ta cup", True, O.SAME),
+    (ROOM + "\ta cup\n\ta cup", ROOM + "\ta cup", False, O.DIFFERENT),
+    (ROOM + "\ta table. On the table is: a cup (in it, a fly), an apple.", ROOM + "\ta table. On the table is: an apple, a cup (in it, a fly).", True, O.SAME),
+    ("On the table is: a cup, an apple.", "On the table is: an apple, a cup.", True, O.SAME),
+    ("On the table is: a cup, that is red", "On the table is: that is red, a cup", False, O.LAYOUT),
+    ("a\n  b", "a\n b", False, O.LAYOUT),
+    ("a\n\tb  c", "a\r\n    b c", True, O.LAYOUT),
+    ("a\n  \tb", "a\n    b", True, O.LAYOUT),
+    ("Ambiguous request:\n0: a\n1: b", "Ambiguous request:\n0: b\n1: a", True, O.MENU),
+    ("Ambiguous request:\n0: a\n1: a", "Ambiguous request:\n0: a\n1: a.", False, O.MENU),
+    (None, "", True, O.LITERAL),
+]
+
+
+def test_observations(spark):
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _, _) in enumerate(OBSERVATIONS)], "k int, a string, b string")
+    got = {r["k"]: (r["e"]["equal"], r["e"]["rule"]) for r in rows.select("k", O.equivalent("a", "b").alias("e")).collect()}
+    assert got == {k: (equal, rule) for k, (_, _, equal, rule) in enumerate(OBSERVATIONS)}
+
+
+def test_unreadable_observations(spark):
+    texts = [("", O.NO_TEXT), (None, O.NO_TEXT), ("hello", O.NO_SCOPE), (ROOM + "a cup", O.UNINDENTED), (ROOM + "\ta cup\n\t\tan ant", O.NESTED), (ROOM + "\tcup", O.NO_OBJECT), (ROOM + "\ta cup (", O.BAD_LINE)]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["c"] for r in rows.select("k", O.canonical("t").alias("c")).collect()}
+    assert {k: (c["supported"], c["canonical"], c["reason"]) for k, c in got.items()} == {k: (False, None, why) for k, (_, why) in enumerate(texts)}
+    for text, why in (("a cup, cup", O.NO_ARTICLE), ("a cup,, a b", O.NO_ITEM), ("a cup that is red, a b", O.NOT_ATOM), ('a "b"', O.BAD_LIST), ("a (b", O.BAD_LIST)):
+        with pytest.raises(O.Unreadable, match=why):
+            O.item_list(text)
 
 
 def test_weights_sum_to_rows_over_episodes(spark):
@@ -141,11 +149,56 @@ def test_across_seeds(spark):
     assert (single["mean"], single["sample_std"]) == (3.0, None)
 
 
-def test_covers():
-    assert catalog.covers([[(1, "a"), (3, "ab")], [(2, "b")]], 2) == ["ab"]
-    assert catalog.covers([[(1, "a")], [(2, "b")]], 2) == ["a", "b"]
-    assert catalog.covers([[(1, "a"), (2, "b")]], 2) is None
-    assert catalog.covers([], 1) is None
+def brute_cover(groups, n, fewest):
+    """Every choice of at most one value a group, in the order in which groups and then values are gone through."""
+    from itertools import product
+
+    found = []
+    for picks in product(*([None, *range(len(g))] for g in groups)):
+        chosen = [g[k] for g, k in zip(groups, picks, strict=True) if k is not None]
+        mask = 0
+        for m, _ in chosen:
+            mask |= m
+        if mask == (1 << n) - 1:
+            found.append([v for _, v in chosen])
+    return found
+
+
+def test_covers(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [([[(1, "a"), (3, "ab")], [(2, "b")]], 2), ([[(1, "a")], [(2, "b")]], 2), ([[(1, "a"), (2, "b")]], 2), ([], 1)]
+    cases += [([[(rng.randint(0, 7), f"{g}-{k}") for k in range(rng.randint(1, 4))] for g in range(rng.randint(1, 4))], 3) for _ in range(60)]
+    schema = "k int, n int, g array<array<struct<mask:bigint,value:string>>>"
+    rows = spark.createDataFrame([(k, n, [[{"mask": m, "value": v} for m, v in g] for g in groups]) for k, (groups, n) in enumerate(cases)], schema)
+    for n in (1, 2, 3):
+        own = rows.where(F.col("n") == n).select("k", catalog.cover(F.col("g"), n).alias("first"), catalog.cover(F.col("g"), n, True).alias("few")).collect()
+        for r in own:
+            found = brute_cover(*cases[r["k"]], False)
+            assert (r["first"] in found and r["few"] in found) if found else r["first"] is r["few"] is None
+            assert not found or len(r["few"]) == min(map(len, found))
+    first = {r["k"]: r["p"] for r in rows.where("n = 2").select("k", catalog.cover(F.col("g"), 2).alias("p")).collect()}
+    assert first == {0: ["ab"], 1: ["a", "b"], 2: None}
+
+
+@pytest.mark.parametrize("a, b, ratio", [("new york mets", "new york meats", 96), ("fuzzy was a bear", "fuzzy fuzzy was a bear", 100), ("light blue", "blue", 100), ("", "x", 0), ("abc", "xyz", 0), ("dark red", "red dark", 100)])
+def test_likeness_of_phrases(a, b, ratio):
+    assert catalog.token_set_ratio(a, b) == ratio == catalog.token_set_ratio(b, a)
+
+
+def test_common_subsequence():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert catalog.common_subsequence(a, b) == best[-1][-1]
+
 
 
 def test_plans(spark):

@@ -1,12 +1,16 @@
 """Column functions over the texts of executions: normalisation, tags, menus, rejections, formats, seeds.
 
-All run in the JVM. Patterns carry (?U) where white space means any Unicode white space.
+All but the decoding of character references run in the JVM. Patterns carry (?U) where white space means any Unicode white space.
 """
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as white space beyond Java's Unicode class.
 SPACE = r"[\s\x1c-\x1f]"
@@ -165,3 +169,13 @@ def aligned(values: Column, teacher_prompt: Column, prompt: Column, response: Co
     """Values that predict the response, moved from the teacher's prompt length to the student's; zeros elsewhere."""
     zero = F.lit(0.0)
     return F.concat(F.array_repeat(zero, prompt - 1), F.slice(values, teacher_prompt, response), F.array_repeat(zero, F.lit(1)))
+
+
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def html_norm(text: Column) -> Column:
+    """Character references decoded, lowered, runs of white space as one blank. Only texts with a reference leave the JVM."""
+    return F.lower(norm(F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)))

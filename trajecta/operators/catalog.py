@@ -2,83 +2,116 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def matches(products: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
     """(goal, asin, price): products that cost no more than the goal allows and cover all its options.
 
-    products: asin, price, options array; goals: goal, price_upper, wanted array (one or more). A product must share an
-    option with the goal, so both sides are joined on options and the covered ones are put together as bits: no
-    product meets a goal it has nothing in common with. most: only so many of the smallest asin for each goal.
+    products: asin, price, options array; goals: goal, price_upper, wanted array (one or more). A goal meets only the
+    products that have its rarest option, by a count of all products; the other options are looked up in the product's
+    own list. So the rows that the join makes are bounded by what the rarest option lets through, not by a common one.
+    most: only so many of the smallest asin for each goal.
     """
-    wanted = goals.select("goal", "price_upper", F.size("wanted").alias("n"), F.posexplode("wanted").alias("j", "option"))
-    offered = products.select("asin", "price", F.explode(F.array_distinct("options")).alias("option"))
-    met = offered.join(wanted, "option").where(F.col("price") <= F.col("price_upper"))
-    covered = met.groupBy("goal", "asin", "n").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"), F.first("price").alias("price"))
-    full = covered.where(F.col("mask") == F.expr("shiftleft(1L, n)") - 1).select("goal", "asin", "price")
+    offered = products.select("asin", "price", F.array_distinct("options").alias("options"))
+    seen = offered.select(F.explode("options").alias("option")).groupBy("option").agg(F.count("*").alias("c"))
+    rare = goals.select("goal", F.explode("wanted").alias("option")).join(seen, "option", "left")
+    rare = rare.groupBy("goal").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "option")).alias("r")).where("r.c > 0").select("goal", F.col("r.option").alias("option"))
+    wanted = goals.join(rare, "goal").select("goal", "price_upper", "wanted", "option")
+    met = offered.withColumn("option", F.explode("options")).join(wanted, "option")
+    full = met.where((F.col("price") <= F.col("price_upper")) & F.forall("wanted", lambda w: F.array_contains("options", w))).select("goal", "asin", "price")
     if most is None:
         return full
-    best = full.groupBy("goal").agg(F.slice(F.array_sort(F.collect_list(F.struct("asin", "price"))), 1, most).alias("b"))
-    return best.select("goal", F.explode("b").alias("x")).select("goal", "x.*")
+    first = Window.partitionBy("goal").orderBy("asin")
+    return full.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
+
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a word of bits at a time."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Likeness of two phrases from 0 to 100, blind to the order and repeats of words: words that only one has count
-    against the words that both have."""
-    from difflib import SequenceMatcher
 
-    x, y = set(a.split()), set(b.split())
+def token_set_ratio(a: str, b: str) -> int:
+    """Likeness of two phrases from 0 to 100, rounded, blind to the order and repeats of words.
+
+    Phrases are taken as the words they share, followed by those of their own; the likeness of two strings is the share
+    of characters that stay when one is edited into the other by insertions and deletions alone.
+    """
+    x, y = (Counter(s.split()).keys() for s in (a, b))
     if not x or not y:
-        return 0.0
+        return 0
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not left or not right):
-        return 100.0
-    pairs = [(left, right)] if not both else [(both, f"{both} {left}"), (both, f"{both} {right}"), (f"{both} {left}", f"{both} {right}")]
-    return max(100 * SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in pairs)
+    if both and not (left and right):
+        return 100
+    joined = len(both) + bool(both)
+    sides = [joined + len(left), joined + len(right)]
+    # what is shared comes first on both sides, so only the rests are edited
+    likeness = [(2 * joined + 2 * common_subsequence(left, right)) / sum(sides)]
+    likeness += [2 * len(both) / (len(both) + side) for side in sides if both]
+    return round(100 * max(likeness))
 
 
-def option_masks(values: DataFrame, wanted: list[str], least: float = 85.0) -> DataFrame:
-    """(value, mask): the wanted options that each distinct value is like. Values are made distinct first, so the
-    costly comparison runs once for each."""
+def first_colour(value: str, colours: list[str]) -> str:
+    """The first of the colours that the value names; the value itself if it names none."""
+    return next((c for c in colours if c in value), value)
+
+
+def option_masks(values: DataFrame, wanted: list[str], least: float = 85.0, colours: list[str] | None = None) -> DataFrame:
+    """(value, mask): the wanted options that each distinct value is like, both reduced to a colour they name. Values are
+    made distinct first, so the costly comparison runs once for each."""
+    known = [w.lower() for w in wanted]
 
     @F.pandas_udf("long")
     def mask(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: sum(1 << j for j, w in enumerate(wanted) if token_set_ratio(v.lower(), w.lower()) > least))
+        own = [first_colour(w, colours or []) for w in known]
+        return column.map(lambda v: sum(1 << j for j, w in enumerate(own) if token_set_ratio(first_colour(v.lower(), colours or []), w) > least))
 
     return values.select("value").where("value IS NOT NULL").distinct().withColumn("mask", mask("value"))
 
 
-def covers(groups: list[list[tuple[int, str]]], n: int) -> list[str] | None:
-    """The fewest choices, at most one (mask, value) of each group, that together cover n options; null if none do."""
-    reach: dict[int, list[str]] = {0: []}
-    for group in groups:
-        grown = dict(reach)
-        for mask, value in group:
-            for had, chosen in reach.items():
-                made = [*chosen, value]
-                if mask and (had | mask not in grown or len(made) < len(grown[had | mask])):
-                    grown[had | mask] = made
-        reach = grown
-    return reach.get((1 << n) - 1)
+def cover(groups: Column, n: int, fewest: bool = False) -> Column:
+    """The values that together cover n options, at most one of each group; null if none do.
 
+    groups: array of arrays of struct(mask, value), in order. Of several choices that reach the same options, the first
+    one found stays; with fewest, the one of the fewest values. Reached masks are kept in the order in which they were
+    reached, so which one is first doesn't depend on how Spark runs this.
+    """
+    start = F.array(F.struct(F.lit(0).cast("long").alias("mask"), F.array().cast("array<string>").alias("plan")))
 
-def plans(choices: DataFrame, n: int) -> DataFrame:
+    def join(had: Column, choice: Column) -> Column:
+        return F.struct(had["mask"].bitwiseOR(choice["mask"]).cast("long").alias("mask"), F.concat(had["plan"], F.array(choice["value"])).alias("plan"))
+
+    def grow(reached: Column, group: Column) -> Column:
+        made = F.flatten(F.transform(reached, lambda had: F.transform(F.filter(group, lambda c: c["mask"] != 0), lambda c: join(had, c))))
+        every = F.concat(reached, made)
+        size = (lambda x: F.size(x["plan"])) if fewest else (lambda x: F.lit(0))
+        return F.filter(every, lambda x, i: ~F.exists(F.transform(every, lambda y, k: F.struct(y["mask"].alias("mask"), size(y).alias("s"), k.alias("k"))), lambda y: (y["mask"] == x["mask"]) & (F.struct(y["s"], y["k"]) < F.struct(size(x), i))))
+
+    reached = F.aggregate(groups, start, grow)
+    return F.try_element_at(F.filter(reached, lambda x: x["mask"] == (1 << n) - 1), F.lit(1))["plan"]
+
+
+def plans(choices: DataFrame, n: int, fewest: bool = False) -> DataFrame:
     """(asin, plan) of products with (asin, grp, ord, mask, value) choices: the values that cover n options, if any.
 
-    n is at most 16, so a product has at most 2^16 reachable masks.
+    n is at most 16. What is gathered is one product's own options; of values with one mask in a group only the first
+    can be chosen, so at most 2^n of a group are kept.
     """
     if not 0 < n <= 16:
         raise ValueError("between 1 and 16 options")
-
-    def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        groups = [[(int(m), v) for m, v in zip(g["mask"], g["value"], strict=True)] for _, g in frame.sort_values(["grp", "ord"]).groupby("grp")]
-        found = covers(groups, n)
-        own = [] if found is None else [int(frame["asin"].iloc[0])]
-        return pa.table({"asin": pa.array(own, pa.int64()), "plan": pa.array([found] if own else [], pa.list_(pa.string()))})
-
-    return choices.groupBy("asin").applyInArrow(run, "asin long, plan array<string>")
+    first = choices.where("mask <> 0").groupBy("asin", "grp", "mask").agg(F.min(F.struct("ord", "value")).alias("v"))
+    groups = first.groupBy("asin", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("v.ord").alias("ord"), F.col("mask").cast("long").alias("mask"), F.col("v.value").alias("value")))).alias("g"))
+    rows = groups.groupBy("asin").agg(F.array_sort(F.collect_list(F.struct("grp", "g"))).alias("l"))
+    made = rows.select("asin", cover(F.transform("l", lambda x: x["g"]), n, fewest).alias("plan"))
+    return made.where("plan IS NOT NULL")
