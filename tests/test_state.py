@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from trajecta.functions import identity as I
 from trajecta.operators import attempts as A
-from trajecta.operators import objects
-from trajecta.plans import state_queries
+from trajecta.operators import objects, records, render
+from trajecta.plans import registry, state_queries
 from trajecta.sources import catalogs
 
 
@@ -157,3 +157,62 @@ def test_settings_and_resources(spark):
     for bad in ((10, 100, 5), (4, 4, 5), (0, 1, 1)):
         with pytest.raises(ValueError):
             catalogs.check_inference(*bad)
+
+
+def by_hand(run, t, packed):
+    """The record of one execution, line after line."""
+    seen = {}
+
+    def show(text, owner):
+        if not packed or text is None:
+            return text or records.NOTHING
+        if text in seen:
+            return f"[Exact same recorded observation text as OBS{seen[text][0]} ({seen[text][1]}) above; no state identity or shared knowledge is implied.]"
+        seen[text] = (len(seen), owner)
+        return f"[OBS{len(seen) - 1}: {owner}]\n{text}"
+
+    won = run[0]["won"]
+    out = [records.STUDENT_HEAD, records.STUDENT_WON if won else records.STUDENT_LOST, f"Actual student events: {len(run)}; current scored decision: {t + 1}.", records.STUDENT_NOTE, "Student initial observation:", show(run[0]["observation"], "student initial")]
+    for i, r in enumerate(run):
+        out.append(f"Student event {i + 1}" + (records.SCORED if i == t else ""))
+        if i == 0 or r["observation"] != run[i - 1]["feedback"]:
+            out += ["Actual input observation:", show(r["observation"], f"student event {i + 1} before")]
+        out.append(f"Recorded action: {r['action']}")
+        if r["semantic_action"] != r["action"]:
+            out.append(f"Recorded action binding: {r['semantic_action']}")
+        if r["format_error"]:
+            out.append(f"Actual format failure: {r['format_error']}")
+        if r["rejection"]:
+            out.append(f"Actual environment rejection: {r['rejection']}")
+        out += ["Actual feedback:", show(r["feedback"], f"student event {i + 1} feedback")]
+    return "\n".join([*out, "END OF COMPLETE STUDENT EXECUTION: " + ("SUCCESS" if won else "FAILURE")])
+
+
+def test_student_records_by_hand(spark, data):
+    rows = state_queries.written(spark, data).where("student").collect()
+    runs = {}
+    for r in sorted(rows, key=lambda r: r["t"]):
+        runs.setdefault((r["task"], r["rep"]), []).append(r)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    got = {(r["task"], r["rep"], r["t"]): (r["plain"], r["packed"]) for r in registry.QUERIES["student_records"](spark, data).collect()}
+    assert got == {(*k, t): (md5(by_hand(run, t, False)), md5(by_hand(run, t, True))) for k, run in runs.items() for t in range(len(run))}
+
+
+def test_source_record_by_hand(spark):
+    schema = "task long, rep long, seq long, source_step long, kind_of_event string, committed boolean, action string, observation_before string, feedback string, reason string"
+    events = spark.createDataFrame([(1, 2, 0, 0, "not_executable", False, None, None, None, "no"), (1, 2, 1, 0, "committed", True, "go", "hall", "room", None), (1, 2, 2, 1, "committed", True, "look", "room", "room", None)], schema)
+    source = spark.createDataFrame([(1, 2, "planner_x", "2.json", "selected", True, True, 1, 2, "hall")], "task long, rep long, kind string, file string, role string, won boolean, trusted boolean, anchor long, n_steps long, initial string")
+    sid = "planner_actual_replay:2"
+    want = ["COMPLETE SOURCE ACTION/OBSERVATION EXECUTION: " + sid, "Original file: 2.json; role: selected.", records.SOURCE_WON, "Complete source replay trusted: True. Displaying ALL 3 recorded events and all 2 committed steps.", records.SOURCE_NOTE, "Source anchor: before zero-based committed step 1. Its COMPLETE prefix and COMPLETE remaining recorded execution are both retained.", "Source initial observation:", f"[OBS0: {sid} initial]\nhall"]
+    want += ["Source event 1; committed-step slot 0 [source prefix; not_executable]", "Recorded action: [no valid source action recorded]", records.NOT_COMMITTED, "Recorded event status: no", "Recorded feedback:", records.NOTHING]
+    want += ["Source event 2; committed-step slot 0 [source prefix; committed]", "Actual source input observation:", f"[Exact same recorded observation text as OBS0 ({sid} initial) above; no state identity or shared knowledge is implied.]", "Recorded action: go", "Recorded feedback:", f"[OBS1: {sid} event 2 feedback]\nroom"]
+    want += ["Source event 3; committed-step slot 1 [source anchor; committed]", "Recorded action: look", "Recorded feedback:", f"[Exact same recorded observation text as OBS1 ({sid} event 2 feedback) above; no state identity or shared knowledge is implied.]", f"END OF COMPLETE SOURCE {sid}: SUCCESS", records.SOURCE_TAIL]
+    assert records.source_records(events, source, True).first()["text"].split("\n") == "\n".join(want).split("\n")
+
+
+def test_a_strict_budget_raises(spark):
+    long, short = (spark.createDataFrame([(1, t)], "k int, text string") for t in ("a b c d", "a b c"))
+    assert render.budgeted(long, short, 3, ["k"], strict=True).first()["form"] == "compressed"
+    assert render.budgeted(long, short, 4, ["k"], size=F.length).first()["over"]
+    with pytest.raises(Exception, match="needs 3, budget 2"):
+        render.budgeted(long, short, 2, ["k"], strict=True).collect()

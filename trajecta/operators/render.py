@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,15 @@ def runs(steps: DataFrame, compress: bool) -> DataFrame:
     return listed.select(*key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def budgeted(plain: DataFrame, compressed: DataFrame, budget: int, keys: list[str]) -> DataFrame:
-    """The plain text if it has at most `budget` words, else the compressed one if that has, else null with `over` set;
-    nothing is ever cut off."""
-    words = lambda c: F.size(F.split(c, r"\s+"))
+def budgeted(plain: DataFrame, compressed: DataFrame, budget: int, keys: list[str], size: Callable[[Column], Column] | None = None, strict: bool = False) -> DataFrame:
+    """The plain text if its size is at most the budget, else the compressed one if its is, else null with `over` set, or
+    (strict) an error; nothing is ever cut off. size: what counts, such as the tokens of a text; by default its words."""
+    size = size or (lambda c: F.size(F.split(c, r"\s+")))
     both = plain.withColumnRenamed("text", "plain").join(compressed.withColumnRenamed("text", "packed"), keys)
-    fits = F.when(words("plain") <= budget, "plain").when(words("packed") <= budget, "compressed")
+    fits = F.when(size(F.col("plain")) <= budget, "plain").when(size(F.col("packed")) <= budget, "compressed")
+    if strict:
+        needs = F.concat(F.lit("complete evidence needs "), size(F.col("packed")).cast("string"), F.lit(f", budget {budget}; nothing is left out"))
+        fits = F.coalesce(fits, F.raise_error(needs).cast("string"))
     return both.withColumn("form", fits).select(*keys, "form", F.when(F.col("form") == "plain", F.col("plain")).when(F.col("form") == "compressed", F.col("packed")).alias("text"), F.col("form").isNull().alias("over"))
 
 

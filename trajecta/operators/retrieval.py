@@ -39,19 +39,27 @@ def case_of(variant: Variant) -> Column:
     return F.when(F.col("best").isNotNull(), a).when(F.col("n_visits").isNotNull(), b).when(F.col("won"), c).otherwise(d)
 
 
+def chosen(rows: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
+    """Decisions from matched() with `case` and `chosen`: the success to follow as (cost, is_self, rep, at)."""
+    rows = rows.withColumn("own_cost", F.col("n") - F.col("t"))
+    source = F.struct(F.col("best.cost").alias("cost"), F.lit(0).alias("is_self"), F.col("best.rep").alias("rep"), F.col("best.t").alias("at"))
+    own = F.struct(F.col("own_cost").alias("cost"), F.lit(1).alias("is_self"), F.lit(-1).cast("long").alias("rep"), F.col("t").alias("at"))
+    source, own = F.when(F.col("best").isNotNull(), source), F.when(F.col("won") & (F.col("best").isNotNull() if variant.self_needs_match else F.lit(True)), own)
+    return rows.withColumn("chosen", F.when(source.isNull() | (own < source), own).otherwise(source)).withColumn("case", case_of(variant))
+
+
+def _choice() -> list[Column | str]:
+    said = F.when(F.col("chosen").isNotNull(), F.when(F.col("chosen.is_self") == 1, "student_self").otherwise("source"))
+    return ["task", "rep", "t", "case", F.col("chosen.cost").alias("selected_cost"), said.alias("selected"), F.col("chosen.rep").alias("selected_rep"), F.col("chosen.at").alias("selected_at")]
+
+
 def four_case(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     """The case of each decision and the success chosen for it: a source's, or the rest of the own execution.
 
     Order of choice: cost, own after others, rep, place. In the household variant the own rest competes only with a
     matching source success, and wins only if it is shorter.
     """
-    rows = matched(steps, variant).withColumn("own_cost", F.col("n") - F.col("t"))
-    source = F.struct(F.col("best.cost").alias("cost"), F.lit(0).alias("is_self"), F.col("best.rep").alias("rep"), F.col("best.t").alias("at"))
-    own = F.struct(F.col("own_cost").alias("cost"), F.lit(1).alias("is_self"), F.lit(-1).cast("long").alias("rep"), F.col("t").alias("at"))
-    source, own = F.when(F.col("best").isNotNull(), source), F.when(F.col("won") & (F.col("best").isNotNull() if variant.self_needs_match else F.lit(True)), own)
-    chosen = F.when(source.isNull() | (own < source), own).otherwise(source)
-    rows = rows.withColumn("chosen", chosen)
-    return rows.select("task", "rep", "t", case_of(variant).alias("case"), F.col("chosen.cost").alias("selected_cost"), F.when(F.col("chosen").isNotNull(), F.when(F.col("chosen.is_self") == 1, "student_self").otherwise("source")).alias("selected"), F.col("chosen.rep").alias("selected_rep"), F.col("chosen.at").alias("selected_at"))
+    return chosen(matched(steps, variant), variant).select(*_choice())
 
 
 def four_case_summary(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
@@ -59,15 +67,20 @@ def four_case_summary(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame
     return rows.groupBy("case").agg(F.count("*").alias("n_steps"), F.coalesce(F.sum("selected_cost"), F.lit(0)).cast("long").alias("sum_cost"), F.count_if(F.col("selected") == "student_self").alias("n_self"))
 
 
-def success_anchor(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
-    """The latest state up to each decision from which a success is known, and the best success there.
+def anchored(rows: DataFrame) -> DataFrame:
+    """Decisions from matched() with `a`: the latest state up to each from which a success is known, and the best there.
 
-    A backward as-of join: states of each execution meet the reduced candidates in one equi-join, then a running
-    last non-null value looks back.
+    A backward as-of join: states met the reduced candidates in one equi-join, and a running last non-null value looks
+    back.
     """
     back = Window.partitionBy("task", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.when(F.col("best").isNotNull(), F.struct(F.col("t").alias("anchor_t"), F.col("best.cost").alias("cost"), F.col("best.rep").alias("source_rep"), F.col("best.t").alias("source_t")))
-    return matched(steps, variant).withColumn("a", F.last(here, ignorenulls=True).over(back)).select("task", "rep", "t", "a.*")
+    return rows.withColumn("a", F.last(here, ignorenulls=True).over(back))
+
+
+def success_anchor(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
+    """The latest state up to each decision from which a success is known, and the best success there."""
+    return anchored(matched(steps, variant)).select("task", "rep", "t", "a.*")
 
 
 def failure_anchor(steps: DataFrame) -> DataFrame:
@@ -99,7 +112,9 @@ def references(steps: DataFrame, runs: DataFrame, variant: Variant = SCIENCE) ->
     twice is shown once, in its first role.
     """
     keys = ["task", "rep", "t"]
-    rows = four_case(steps, variant).join(success_anchor(steps, variant).select(*keys, F.col("source_rep").alias("h_rep"), F.col("source_t").alias("h_at")), keys).join(failure_anchor(steps).select(*keys, F.col("source_rep").alias("f_rep"), F.col("source_t").alias("f_at")), keys).join(fallbacks(runs), "task", "left")
+    # the cases and both looks back share one matching of states; only failures are matched on their own
+    own = chosen(anchored(matched(steps, variant)), variant).select(*_choice(), F.col("a.source_rep").alias("h_rep"), F.col("a.source_t").alias("h_at"))
+    rows = own.join(failure_anchor(steps).select(*keys, F.col("source_rep").alias("f_rep"), F.col("source_t").alias("f_at")), keys).join(fallbacks(runs), "task", "left")
     inside, without, outside_won, outside_failed = (F.col("case") == c for c in CASES[variant.self_needs_match])
     failing = without | outside_failed
     shown = F.array(

@@ -217,12 +217,20 @@ def attempt_summary(spark, root):
     return steps(spark, root).groupBy("task", "rep").agg(F.count_if(~F.col("rejected") & ~still).alias("accepted"), F.count_if("rejected").alias("environment_rejection"), F.count_if(~F.col("rejected") & still).alias("not_executable"), F.count("*").alias("n"))
 
 
-@registry.add("SELECT CAST(c_custkey % 3 AS BIGINT) AS split, count(*) AS n, 0 AS n_shared FROM customer GROUP BY c_custkey % 3")
+@registry.add("WITH r AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS split FROM lineitem), m AS (SELECT k, count(*) AS n FROM r GROUP BY k) SELECT split, count(*) AS n, count(*) FILTER (m.n > 1) AS n_shared FROM r JOIN m USING (k) GROUP BY split")
+def split_overlap(spark, root):
+    """The keys of each split, and how many of them another split has too."""
+    rows = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("split")).distinct()
+    shared = rows.groupBy("k").agg(F.count("*").alias("m"))
+    return rows.join(shared, "k").groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("m") > 1).alias("n_shared"))
+
+
+@registry.add("SELECT CAST(c_custkey % 3 AS BIGINT) AS split, count(*) AS n FROM customer GROUP BY c_custkey % 3")
 def split_disjoint(spark, root):
-    """Three splits that share no key, and their sizes."""
+    """Three splits, checked to share no key (a shared one raises), and their sizes."""
     rows = table(spark, root, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("split"))
     store.disjoint({str(k): rows.where(F.col("split") == k) for k in range(3)}, "c_custkey")
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.lit(0).alias("n_shared"))
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
 # --- extras, beyond the engine's model ------------------------------------------------------------------------------

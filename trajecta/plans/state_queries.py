@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import identity as I
 from trajecta.functions import text as T
 from trajecta.operators import attempts as A
-from trajecta.operators import catalog, objects
+from trajecta.operators import catalog, objects, records
 from trajecta.plans.event_queries import STEPS, steps
 from trajecta.plans.names import Registry
 from trajecta.session import table
@@ -324,3 +324,29 @@ def snapshot_keys(spark, root):
     own = parts_as_objects(spark, root)
     control = own.groupBy("state").agg(F.min("name").alias("focus")).select("state", F.when(F.col("state") % 2 == 0, F.col("focus")).alias("focus"), F.array(F.array(F.lit("0"), F.lit("true"))).alias("goal_flags"), F.when(F.col("state") % 7 == 3, "no tree").alias("error"))
     return objects.state_keys(own, control)
+
+
+def written(spark, root) -> DataFrame:
+    """Steps as records write them: every seventh in a wrong format, every eleventh bound to another action."""
+    more = {"semantic_action": F.expr("CASE WHEN event_id % 11 = 0 THEN concat('menu ', action) ELSE action END"), "format_error": F.expr("CASE WHEN event_id % 7 = 0 THEN 'no tag' END"), "rejection": F.expr("CASE WHEN rejected THEN 'not now' END")}
+    return steps(spark, root).withColumns(more)
+
+
+@registry.add(None)
+def student_records(spark, root):
+    """Each new execution as shown with each of its decisions, plain and with pointers; the tests write them by
+    hand."""
+    rows = written(spark, root).where("student")
+    plain, packed = (records.student_records(rows, c) for c in (False, True))
+    return plain.withColumnRenamed("text", "plain").join(packed, ["task", "rep", "t"]).select("task", "rep", "t", F.md5(F.col("plain").cast("binary")).alias("plain"), F.md5(F.col("text").cast("binary")).alias("packed"))
+
+
+@registry.add(None)
+def source_records(spark, root):
+    """Each source with all its events, committed or not."""
+    rows, tries = tried(spark, root)
+    facts = rows.where("NOT student").groupBy("task", "rep").agg(F.bool_or("won").alias("won"), F.max("n").alias("n_steps"), F.min_by("observation", "t").alias("initial"))
+    facts = facts.withColumns({"kind": F.lit("teacher"), "file": F.concat(F.col("rep").cast("string"), F.lit(".json")), "role": F.lit("selected"), "trusted": F.expr("rep % 5 <> 4"), "anchor": F.expr("CASE WHEN rep % 3 <> 0 THEN 1 END")})
+    events = A.merged(rows, tries).withColumnRenamed("kind", "kind_of_event")
+    out = records.source_records(events, facts, True)
+    return out.select("task", "rep", F.md5(F.col("text").cast("binary")).alias("text"))

@@ -212,10 +212,15 @@ def balanced_parentheses_pages(spark, root):
     return table(spark, root, "pages").select("page_id", T.balanced(F.col("html")).alias("balanced"))
 
 
-@registry.add("WITH f AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN ' No known action matches that input.' WHEN 1 THEN 'I''m not sure how to use ' || role WHEN 2 THEN 'THE ' || role || ' is not openable.' WHEN 3 THEN 'There is only one thing (x)' ELSE role END AS s FROM conversations) SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'unknown_command' WHEN 1 THEN 'unsupported_use' WHEN 2 THEN 'not_openable' WHEN 3 THEN 'single_item_mix' END AS reason FROM f")
+#: Feedback texts by the reason for which they reject; the last has none.
+_FEEDBACK = [("unknown_command", "Unknown action."), ("unsupported_use", "I'm not sure how to use it"), ("unsupported_operation", "It's not clear how to flush that."), ("invalid_destination", "That can't be moved there, because"), ("liquid_pickup", "You can't pick up a liquid directly."), ("no_liquid", "The cup does not contain any liquids to dunk into."), ("not_openable", "THE door is not moveable."), ("not_activatable", "The cup is not something that can be activated."), ("closed_container", "The box isn't open, so you can't see inside."), ("empty_mix", "That container is empty, so there are no items to mix."), ("single_item_mix", "There is only one thing (x)"), (None, "You see: The door is not moveable.")]
+_QUOTED = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@registry.add("SELECT conv_id, turn, CASE length(text) % 12 " + " ".join(f"WHEN {k} THEN {_QUOTED(why)}" for k, (why, _) in enumerate(_FEEDBACK)) + " END AS reason FROM conversations")
 def rejection_reason(spark, root):
-    """P9."""
-    said = F.expr("CASE turn % 5 WHEN 0 THEN ' No known action matches that input.' WHEN 1 THEN \"I'm not sure how to use \" || role WHEN 2 THEN 'THE ' || role || ' is not openable.' WHEN 3 THEN 'There is only one thing (x)' ELSE role END")
+    """Every reason, by the length of a turn."""
+    said = F.element_at(F.array(*(F.lit(f"  {x}") for _, x in _FEEDBACK)), (F.length("text") % 12 + 1).cast("int"))
     return table(spark, root, "conversations").select("conv_id", "turn", T.rejection(said).alias("reason"))
 
 
