@@ -110,6 +110,24 @@ def test_unreadable_observations(spark):
             O.item_list(text)
 
 
+SCENES = [
+    ("This room is called the hall.\n\tthe door\n\ta cup", "This room is called the hall.\n\ta cup\n\tthe door", True),
+    ("This room is called the hall.\n\ta table. On the table is: a cup, an apple (in it, a fly).", "This room is called the hall.\n\ta table. On the table is: an apple (in it, a fly), a cup.", True),
+    ("This room is called the hall.\nYou also see: a cup, red, the door.", "This room is called the hall.\nYou also see: the door, a cup, red.", True),
+    ("This room is called the hall.\n\ta 'x', a b\n", "This room is called the hall.\n\ta b, a 'x'", False),
+    ("a\nb", "b\na", False),
+    ("Ambiguous request:\n0: a\n1: a", "Ambiguous request:\n0: a\n1: a", True),
+    ("Ambiguous request:\n0: a\n1: a", "Ambiguous request:\n0: a", False),
+    (" x", "x ", True),
+]
+
+
+def test_the_collectors_rule(spark):
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(SCENES)], "k int, a string, b string")
+    got = {r["k"]: r["e"] for r in rows.select("k", O.collector_equivalent("a", "b").alias("e")).collect()}
+    assert got == {k: same for k, (_, _, same) in enumerate(SCENES)}
+
+
 def test_weights_sum_to_rows_over_episodes(spark):
     rows = spark.createDataFrame([(1, 0, [1], [2, 3]), (1, 1, [1], [4]), (2, 0, [1, 2], [5])], "episode long, step int, prompt_ids array<int>, response_ids array<int>")
     got = batching.token_weights(rows, 4).collect()

@@ -35,3 +35,28 @@ def object_changes(before: DataFrame, after: DataFrame, key: str, fields: list[s
 
     both = long(before, "old").join(long(after, "new"), [key, "field"], "full")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+# Why a recorded planner execution isn't taken over, in the order in which it is judged.
+INCOMPLETE, NOT_EXECUTED, DIFFERS, OUTCOME = "not_a_completed_execution", "not_only_executed_actions", "replay_differs", "inconsistent_outcome"
+
+
+def planner_verdict(steps: DataFrame, replayed: DataFrame, runs: DataFrame, most: int = 15, tolerance: float = 1e-9) -> DataFrame:
+    """(task, rep, problem): null for executions that may serve as sources.
+
+    steps and replayed: task, rep, t, observation, key, done, reward (steps also executed, format_error); runs: task, rep,
+    complete, done, score, won. Decision by decision the replay must show the same, its reward within the tolerance.
+    """
+    keys = ["task", "rep"]
+    other = replayed.select(*keys, "t", *(F.col(c).alias(f"{c}_again") for c in ("observation", "key", "done", "reward")))
+    both = steps.withColumn("here", F.lit(True)).join(other.withColumn("there", F.lit(True)), [*keys, "t"], "full_outer")
+    same = F.col("here").isNotNull() & F.col("there").isNotNull() & F.coalesce(F.abs(F.col("reward") - F.col("reward_again")) <= tolerance, F.lit(False))
+    for c in ("observation", "key", "done"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_again"))
+    ran = F.col("executed").eqNullSafe(True) & (F.coalesce("format_error", F.lit("")) == "")
+    facts = both.groupBy(*keys).agg(F.count_if("here").alias("n"), F.bool_and(F.when(F.col("here"), ran)).alias("ran"), F.bool_and(same).alias("same"), F.max(F.when(F.col("here"), F.struct("t", "done", "reward"))).alias("l"))
+    rows = runs.join(facts, keys, "left")
+    score = F.when(F.col("l.done"), F.col("l.reward")).otherwise(0.0)
+    sound = ~F.isnan(score) & (F.abs(score) < float("inf")) & F.col("done").eqNullSafe(F.col("l.done")) & (F.abs(F.col("score") - score) <= tolerance) & F.col("won").eqNullSafe(F.col("done") & (score >= 1 - tolerance))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select(*keys, F.when(~ok(F.col("n").between(1, most) & F.col("complete")), INCOMPLETE).when(~ok(F.col("ran")), NOT_EXECUTED).when(~ok(F.col("same")), DIFFERS).when(~ok(sound), OUTCOME).alias("problem"))

@@ -178,10 +178,11 @@ def catalog_capped_all(spark, root):
     return catalog.matches(adapters.products(table(spark, root, "part")), all_goals(spark, root), most=2)
 
 
-@registry.add("SELECT p_partkey AS asin, round(p_retailprice, 2) AS lower FROM part")
+@registry.add("SELECT p_partkey AS asin, CASE p_size % 7 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 WHEN 4 THEN 2.25 WHEN 5 THEN 1299.99 ELSE round(p_retailprice, 2) END AS lower FROM part")
 def price_floor(spark, root):
-    """F34."""
-    return adapters.products(table(spark, root, "part")).select("asin", F.round(T.price_floor(F.concat("pricing", F.lit(" to $999999.00"))), 2).alias("lower"))
+    """no price, an empty one, unreadable ones, several, and plain ones."""
+    pricing = F.expr("CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'ask us' WHEN 3 THEN '$3 or $x' WHEN 4 THEN 'from $3.50 to $2.25 and $1' WHEN 5 THEN '$1,299.99' ELSE concat('$', format_string('%.2f', p_retailprice), ' to $999999.00') END")
+    return table(spark, root, "part").select(F.col("p_partkey").alias("asin"), F.round(T.price_floor(pricing), 2).alias("lower"))
 
 
 @registry.add("WITH w AS (SELECT p_partkey AS asin, string_split(p_name, ' ') AS w FROM part) SELECT asin, len(w) > 0 AS named, CAST(asin AS VARCHAR) AS first_query FROM w")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import identity as I
 from trajecta.functions import text as T
 from trajecta.operators import attempts as A
-from trajecta.operators import catalog, objects, records
+from trajecta.operators import catalog, objects, records, verify
 from trajecta.plans.event_queries import STEPS, steps
 from trajecta.plans.names import Registry
 from trajecta.session import table
@@ -350,3 +350,13 @@ def source_records(spark, root):
     events = A.merged(rows, tries).withColumnRenamed("kind", "kind_of_event")
     out = records.source_records(events, facts, True)
     return out.select("task", "rep", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@registry.add(STEPS + """, r AS (SELECT task, rep, max(n) AS n, bool_or(event_id % 53 = 0) AS odd, bool_or(event_id % 59 = 0) AS gap FROM st GROUP BY task, rep)
+SELECT task, rep, CASE WHEN n > 15 OR rep % 9 = 8 THEN 'not_a_completed_execution' WHEN odd THEN 'not_only_executed_actions' WHEN gap THEN 'replay_differs' WHEN rep % 7 = 6 THEN 'inconsistent_outcome' END AS problem FROM r""")
+def planner_verdicts(spark, root):
+    """Recorded planner executions that may serve as sources, or why not."""
+    rows = steps(spark, root).select("task", "rep", "t", "event_id", "n", "observation", F.col("key_after").alias("key"), (F.col("t") == F.col("n") - 1).alias("done"), F.lit(1.0).alias("reward"), F.expr("event_id % 53 <> 0").alias("executed"), F.lit(None).cast("string").alias("format_error"))
+    again = rows.withColumn("reward", F.when(F.col("event_id") % 59 == 0, 0.5).otherwise(1.0 + 1e-12))
+    ends = rows.groupBy("task", "rep").agg(F.count("*").alias("n")).select("task", "rep", F.expr("rep % 9 <> 8").alias("complete"), F.lit(True).alias("done"), F.lit(1.0).alias("score"), F.expr("rep % 7 <> 6").alias("won"))
+    return verify.planner_verdict(rows.drop("n", "event_id"), again.select("task", "rep", "t", "observation", "key", "done", "reward"), ends)
