@@ -178,6 +178,39 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
 
 
+def test_language_scores_equal_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model, langs = language.fit(docs.where(~held_out("doc_id", 5, 0)), documents=30, epochs=2)
+    odd = spark.createDataFrame([(10**6, "é"), (10**6 + 1, "12 !"), (10**6 + 2, None), (10**6 + 3, "ab " * 100)], "doc_id long, text string")
+    some = docs.where("doc_id % 17 = 0").select("doc_id", "text").unionByName(odd)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(some, (model, langs)).collect()}
+    w, h = {k: v.astype(float) for k, v in model.w.items()}, model.h
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for r in some.collect():
+        text = r["text"] or ""
+        if not language.LETTER.search(text):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        raw = text.encode()
+        total = np.zeros(len(langs))
+        for at in range(0, len(raw), language.CHUNK):
+            own = raw[at : at + language.CHUNK]
+            padded = own + bytes(language.CHUNK - len(own))
+            logits = np.zeros((language.CHUNK, len(langs))) + w["c"]
+            for d in (0, 1):
+                state = np.zeros(h)
+                for t in range(language.CHUNK) if d == 0 else range(language.CHUNK - 1, -1, -1):
+                    x, u = w[f"X{d}"][padded[t]], state @ w[f"U{d}"]
+                    reset, keep = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                    new = np.tanh(x[2 * h :] + reset * u[2 * h :])
+                    state = (1 - keep) * new + keep * state
+                    logits[t] += state @ w[f"V{d}"]
+            p = np.exp(logits[: len(own)])
+            total += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+        total /= total.sum()
+        assert got[r["doc_id"]][0] == langs[total.argmax()] and got[r["doc_id"]][1] == pytest.approx(total.max(), abs=1e-3)
+
+
 def test_every_language_is_sampled(spark):
     known = spark.createDataFrame([(3 * k + j, f"l{k:03d}") for k in range(130) for j in range(3)], "doc_id long, lang string").coalesce(1)
     rows, counts = bounded_sample(known, known.select("doc_id"), "lang", 2)
