@@ -73,8 +73,9 @@ def padded_tasks(tasks: DataFrame, multiple: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    part = F.spark_partition_id()
-    ranged = tasks.select("task").distinct().repartitionByRange("task").sortWithinPartitions("task").withColumn("p", part)
+    # a given number of ranges isn't merged at run time, so both uses below see the same ones
+    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tasks.select("task").distinct().repartitionByRange(n, "task").sortWithinPartitions("task").withColumn("p", F.spark_partition_id())
     counts = ranged.groupBy("p").agg(F.count("*").alias("c"))
     before = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
     numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("task")) - 1).join(F.broadcast(before), "p").select((F.col("base") + F.col("k")).alias("idx"), "task", F.lit(False).alias("padding"))
