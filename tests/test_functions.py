@@ -297,7 +297,7 @@ def test_provenance(spark):
 def test_all_queries_of_every_product(spark, data):
     from trajecta.plans import registry
 
-    got = {r["asin"]: r["queries"] for r in registry.QUERIES["query_candidates_all"](spark, data).collect()}
+    got = {r["asin"]: r["queries"].split("\n") for r in registry.QUERIES["query_candidates"](spark, data).collect()}
     parts = spark.read.parquet(f"{data}/part.parquet").collect()
     assert len(got) == len(parts)
     for r in parts:
@@ -321,5 +321,5 @@ def test_parentheses_of_pages(spark):
 
     root = "/root/testdata/sf0.01"
     want = {r["page_id"]: closed(r["html"]) for r in spark.read.parquet(f"{root}/pages.parquet").collect()}
-    got = {r["page_id"]: r["balanced"] for r in registry.QUERIES["balanced_parentheses_pages"](spark, root).collect()}
+    got = {r["page_id"]: r["balanced"] for r in registry.QUERIES["balanced_parentheses"](spark, root).collect()}
     assert got == want

@@ -114,7 +114,25 @@ def test_catalog_with_every_part_as_goal(spark, data):
 
     parts = [r for r in spark.read.parquet(f"{data}/part.parquet").collect()]
     want = sorted((g["p_partkey"], p["p_partkey"], p["p_retailprice"]) for g in parts for p in parts if (g["p_brand"], g["p_type"]) == (p["p_brand"], p["p_type"]) and p["p_retailprice"] <= g["p_retailprice"])
-    got = sorted(tuple(r) for r in registry.QUERIES["catalog_matches_all"](spark, data).collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["catalog_matches"](spark, data).collect())
     assert got == want and {g for g, _, _ in got} == {p["p_partkey"] for p in parts}
     first = [x for k, x in enumerate(want) if sum(y[0] == x[0] for y in want[max(0, k - 2) : k]) < 2]
-    assert sorted(tuple(r) for r in registry.QUERIES["catalog_capped_all"](spark, data).collect()) == first
+    assert sorted(tuple(r) for r in registry.QUERIES["catalog_capped"](spark, data).collect()) == first
+
+
+def test_every_event_is_a_decision(spark):
+    rows = [(k, k // 4 * 10, k % 2, "purchase" if k in (20, 21, 130) else "view", 80.0) for k in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double")
+    got = adapters.steps(events, cap=30).collect()
+    assert sorted(r["event_id"] for r in got) == list(range(200))
+    want = {}
+    for user in (0, 1):
+        e = t = 0
+        for k in range(user, 200, 2):
+            want[k] = (user + 8 * e, 0, t)
+            done = k in (20, 21, 130) or t == 29
+            e, t = (e + 1, 0) if done else (e, t + 1)
+    assert {r["event_id"]: (r["task"], r["rep"], r["t"]) for r in got} == want
+    ends = {(r["task"], r["rep"]): r for r in got if r["t"] == r["n"] - 1}
+    assert len(ends) == len({(r["task"], r["rep"]) for r in got})
+    assert {r["event_id"] for r in ends.values() if r["won"]} == {20, 21, 130} and all(r["key_before"] == "start" for r in got if r["t"] == 0)

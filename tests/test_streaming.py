@@ -15,11 +15,12 @@ def test_stream_equals_batch(spark, data, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = episodes.decisions(stream).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = {(r["user_id"], r["t"]): (r["action"], r["key_before"], r["key_after"], r["mode"]) for r in spark.table("decided").collect()}
+    got = {(r["user_id"], r["episode"], r["t"]): (r["action"], r["key_before"], r["key_after"], r["mode"]) for r in spark.table("decided").collect()}
     batch = adapters.steps(events)
     modes = history.interaction(batch)
-    rows = batch.join(modes, ["task", "rep", "t"]).withColumn("user_id", F.col("rep") * 8 + F.col("task")).collect()
-    assert got == {(r["user_id"], r["t"]): (r["action"], r["key_before"], r["key_after"], r["mode"]) for r in rows}
+    rows = batch.join(modes, ["task", "rep", "t"]).withColumn("user_id", F.col("rep") * 8 + F.col("task") % 8).withColumn("episode", F.floor(F.col("task") / 8)).collect()
+    assert len(got) == events.count()
+    assert got == {(r["user_id"], r["episode"], r["t"]): (r["action"], r["key_before"], r["key_after"], r["mode"]) for r in rows}
 
 
 def test_windows(spark, data):

@@ -15,10 +15,11 @@ registry = Registry()
 
 #: The adapter in SQL: steps, visits of all executions, source visits with eligibility by variant.
 STEPS = """
-WITH ord AS (SELECT user_id % 8 AS task, (user_id - user_id % 8) // 8 AS rep, event_id, event_type AS action, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
-win AS (SELECT task, rep, min(t) AS t_win FROM ord WHERE action = 'purchase' AND value >= 75 GROUP BY task, rep),
-kept AS (SELECT o.task, o.rep, o.t, o.event_id, o.action, o.value, o.action = 'error' AS rejected, o.action || '|' || CAST(floor(o.value / 40) AS BIGINT) AS key_after, coalesce(t_win < 16, false) AS won,
-  count(*) OVER (PARTITION BY o.task, o.rep) AS n, o.rep % 4 = 0 AS student FROM ord o LEFT JOIN win USING (task, rep) WHERE t < 16 AND (t_win IS NULL OR t <= t_win)),
+WITH num AS (SELECT *, event_type = 'purchase' AND value >= 75 AS wins, coalesce(count(*) FILTER (event_type = 'purchase' AND value >= 75) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w FROM events),
+pl0 AS (SELECT *, (row_number() OVER (PARTITION BY user_id, w ORDER BY ts, event_id) - 1) % 30 AS t FROM num),
+ord AS (SELECT *, CAST(sum(CASE WHEN t = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS e FROM pl0),
+kept AS (SELECT user_id % 8 + 8 * e AS task, (user_id - user_id % 8) // 8 AS rep, t, event_id, event_type AS action, value, event_type = 'error' AS rejected, event_type || '|' || CAST(floor(value / 40) AS BIGINT) AS key_after, bool_or(wins) OVER (PARTITION BY user_id, e) AS won,
+  count(*) OVER (PARTITION BY user_id, e) AS n, (user_id - user_id % 8) // 8 % 4 = 0 AS student FROM ord),
 st AS (SELECT *, coalesce(lag(key_after) OVER (PARTITION BY task, rep ORDER BY t), 'start') AS key_before, key_after || CASE WHEN event_id % 97 = 0 THEN '?' ELSE '' END AS feedback FROM kept),
 ok AS (SELECT *, coalesce(lag(feedback) OVER (PARTITION BY task, rep ORDER BY t) = key_before, true) AS ok FROM st),
 ste AS (SELECT *, coalesce(bool_and(ok) OVER (PARTITION BY task, rep ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS goes_on FROM ok),

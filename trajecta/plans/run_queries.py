@@ -143,41 +143,25 @@ def object_diff(spark, root):
     return verify.object_changes(orders.where("o_orderkey % 89 <> 0"), after, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-_GOALS = "g AS (SELECT p_partkey AS goal, p_retailprice AS price_upper, p_brand, p_type FROM part WHERE p_partkey % 101 = 0)"
-
-
-def all_goals(spark: SparkSession, root: str) -> DataFrame:
+def goals(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select(F.col("p_partkey").alias("goal"), F.col("p_retailprice").alias("price_upper"), F.array("p_brand", "p_type").alias("wanted"))
 
 
-def goals(spark: SparkSession, root: str) -> DataFrame:
-    return all_goals(spark, root).where("goal % 101 = 0")
+_MATCHES = "SELECT g.p_partkey AS goal, p.p_partkey AS asin, p.p_retailprice AS price FROM part p JOIN part g ON p.p_retailprice <= g.p_retailprice AND p.p_brand = g.p_brand AND p.p_type = g.p_type"
 
 
-@registry.add(f"WITH {_GOALS} SELECT goal, p_partkey AS asin, p_retailprice AS price FROM part JOIN g ON p_retailprice <= price_upper AND part.p_brand = g.p_brand AND part.p_type = g.p_type")
+@registry.add(_MATCHES)
 def catalog_matches(spark, root):
-    """Products within a goal's price that cover its options."""
+    """Products within a goal's price that cover its options; every part is a goal."""
     return catalog.matches(adapters.products(table(spark, root, "part")), goals(spark, root))
 
 
-@registry.add(f"WITH {_GOALS} SELECT goal, p_partkey AS asin, p_retailprice AS price FROM part JOIN g ON p_retailprice <= price_upper AND part.p_brand = g.p_brand AND part.p_type = g.p_type QUALIFY row_number() OVER (PARTITION BY goal ORDER BY p_partkey) <= 2")
+@registry.add(_MATCHES + " QUALIFY row_number() OVER (PARTITION BY g.p_partkey ORDER BY p.p_partkey) <= 2")
 def catalog_capped(spark, root):
-    """At most two candidates of a goal, in order."""
+    """At most two candidates of a goal, in order; every part is a goal."""
     return catalog.matches(adapters.products(table(spark, root, "part")), goals(spark, root), most=2)
 
 
-@registry.add(None)
-def catalog_matches_all(spark, root):
-    """J10, R23, F36 with every part as a goal; the tests hold it against brute force."""
-    return catalog.matches(adapters.products(table(spark, root, "part")), all_goals(spark, root))
-
-
-@registry.add(None)
-def catalog_capped_all(spark, root):
-    """O4 with every part as a goal; the tests hold it against brute force."""
-    return catalog.matches(adapters.products(table(spark, root, "part")), all_goals(spark, root), most=2)
-
-
 @registry.add("SELECT p_partkey AS asin, CASE p_size % 7 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 WHEN 4 THEN 2.25 WHEN 5 THEN 1299.99 ELSE round(p_retailprice, 2) END AS lower FROM part")
 def price_floor(spark, root):
     """no price, an empty one, unreadable ones, several, and plain ones."""
@@ -185,17 +169,21 @@ def price_floor(spark, root):
     return table(spark, root, "part").select(F.col("p_partkey").alias("asin"), F.round(T.price_floor(pricing), 2).alias("lower"))
 
 
-@registry.add("WITH w AS (SELECT p_partkey AS asin, string_split(p_name, ' ') AS w FROM part) SELECT asin, len(w) > 0 AS named, CAST(asin AS VARCHAR) AS first_query FROM w")
-def query_candidates(spark, root):
-    """the first of a product's queries is its number."""
-    made = T.queries_of(F.col("asin").cast("string"), F.col("name"), F.lit(""))
-    return adapters.products(table(spark, root, "part")).select("asin", (F.size(made) > 1).alias("named"), made[0].alias("first_query"))
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
+_JOINED = lambda *lists: ", ".join(f"array_to_string({x}, ' ')" for x in lists)
 
 
-@registry.add(None)
-def query_candidates_all(spark, root):
-    """all of a product's queries, in order; the tests hold it against brute force."""
-    return adapters.products(table(spark, root, "part")).select("asin", T.queries_of(F.col("asin").cast("string"), F.col("name"), F.lit("")).alias("queries"))
+@registry.add(
+    rf"""WITH w AS (SELECT p_partkey AS asin, string_split(trim(regexp_replace(replace(replace(p_name, '[', ' '), ']', ' '), '\s+', ' ', 'g')), ' ') AS w FROM part),
+c AS (SELECT *, list_filter(w, lambda x: NOT list_contains({_STOP}, lower(x))) AS core FROM w),
+l AS (SELECT *, list_transform(list_sort(list_transform(core, lambda x, i: {{'l': -len(x), 'i': i, 'w': x}}))[1:6], lambda x: x.w) AS longest FROM c),
+m AS (SELECT asin, list_transform([CAST(asin AS VARCHAR), '"' || array_to_string(w, ' ') || '"', {_JOINED("w[1:4]", "w[1:8]", "w[greatest(len(w) - 7, 1):]", "core[1:10]", "longest", "list_concat(w[1:2], w[greatest(len(w) - 3, 1):])")}], lambda q: lower(trim(q))) AS m FROM l)
+SELECT asin, array_to_string(list_filter(m, lambda q, i: q <> '' AND list_position(m, q) = i), chr(10)) AS queries FROM m"""
+)
+def query_candidates(spark, root):
+    """all of a product's queries, in order, one a line."""
+    made = T.queries_of(F.col("asin").cast("string"), F.col("name"), F.lit(""))
+    return adapters.products(table(spark, root, "part")).select("asin", F.array_join(made, "\n").alias("queries"))
 
 
 @registry.add(None)

@@ -1,9 +1,8 @@
 """Queries over states, attempts, sources and catalogs, with their SQL oracles.
 
-The events give the rows (FIXTURES.md, so 16 decisions of an execution at most); flags that they lack come from their
-ids: a state is captured unless event_id % 7 = 0, may be matched unless event_id % 11 = 0, its parser waits for a choice
-where event_id % 5 = 0 and is unknown where event_id % 13 = 0, and the state before a decision is unrecorded where
-event_id % 3 = 0.
+The events give the rows, all of them; flags that they lack come from their ids: a state is captured unless
+event_id % 7 = 0, may be matched unless event_id % 11 = 0, its parser waits for a choice where event_id % 5 = 0 and is
+unknown where event_id % 13 = 0, and the state before a decision is unrecorded where event_id % 3 = 0.
 """
 
 from __future__ import annotations

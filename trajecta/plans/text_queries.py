@@ -199,16 +199,12 @@ def shop_formats(spark, root):
     return table(spark, root, "conversations").select("conv_id", "turn", T.shown_page(page, F.lit("task")).alias("page"), T.shown_actions(F.array("role"), F.col("turn") % 2 == 0).alias("actions"))
 
 
-@registry.add("SELECT page_id, page_id % 3 <> 0 AS balanced FROM pages")
+@registry.add(
+    """WITH p AS (SELECT page_id, html IS NULL AS none, regexp_replace(coalesce(html, ''), '[^()]', '', 'g') AS q FROM pages), c AS (SELECT page_id, q, unnest(range(1, len(q) + 1)) AS k FROM p), d AS (SELECT page_id, k, sum(CASE WHEN q[k] = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY k) AS depth FROM c),
+e AS (SELECT page_id, min(depth) >= 0 AND arg_max(depth, k) = 0 AS closes FROM d GROUP BY page_id) SELECT page_id, CASE WHEN NOT none THEN coalesce(closes, true) END AS balanced FROM p LEFT JOIN e USING (page_id)"""
+)
 def balanced_parentheses(spark, root):
-    """F9."""
-    made = F.when(F.col("page_id") % 3 == 0, F.lit("a) (b")).otherwise(F.lit("(a (b)) c"))
-    return table(spark, root, "pages").select("page_id", T.balanced(made).alias("balanced"))
-
-
-@registry.add(None)
-def balanced_parentheses_pages(spark, root):
-    """F9 on the pages' own text; the tests hold it against brute force."""
+    """F9 on the pages' own text."""
     return table(spark, root, "pages").select("page_id", T.balanced(F.col("html")).alias("balanced"))
 
 

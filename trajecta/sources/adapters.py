@@ -1,6 +1,7 @@
 """Recorded tables as trajectories: steps, visits, prompt turns, products.
 
-The rules that make executions of plain event rows are those of FIXTURES.md.
+Every event belongs to an execution: a user's events in order of time are cut after each win and after every CAP
+decisions, so executions are bounded as an environment bounds them, and no event is left out.
 """
 
 from __future__ import annotations
@@ -8,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most decisions of an execution.
-CAP = 16
+#: Most decisions of an execution; the next event of the user begins another one.
+CAP = 30
 TASKS = 8
 #: A purchase of this value or more wins.
 WIN_VALUE = 75
@@ -19,32 +20,37 @@ BAND = 40
 ODD = 97
 
 
-def steps(events: DataFrame) -> DataFrame:
+def steps(events: DataFrame, cap: int = CAP) -> DataFrame:
     """One row per decision of each execution (task, rep), in order of t.
 
-    n: kept decisions; won; key_before, key_after: states; rejected; feedback and observation: what was shown after and
-    before (they differ where a recording has a gap); student: executions to be annotated. All windows share one
-    partitioning by execution, so the events are shuffled once.
+    The first executions of all users are tasks 0 to 7 (by user_id), the second ones tasks 8 to 15, and so on; rep tells
+    the users of a task apart. n: decisions; won: the last one wins; key_before, key_after: states; rejected; feedback
+    and observation: what was shown after and before (they differ where a recording has a gap); student: executions to
+    be annotated. All windows share one partitioning by user, so the events are shuffled once.
     """
-    by_user = Window.partitionBy("user_id")
-    ordered = by_user.orderBy("ts", "event_id")
-    numbered = events.select("user_id", "ts", "event_id", F.col("event_type").alias("action"), "value").withColumn("t", (F.row_number().over(ordered) - 1).cast("long"))
-    winning = (F.col("action") == "purchase") & (F.col("value") >= WIN_VALUE)
-    kept = numbered.withColumn("t_win", F.min(F.when(winning, F.col("t"))).over(by_user)).where((F.col("t") < CAP) & (F.col("t_win").isNull() | (F.col("t") <= F.col("t_win"))))
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = by_user.rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.coalesce((F.col("event_type") == "purchase") & (F.col("value") >= WIN_VALUE), F.lit(False))
+    numbered = events.select("user_id", "ts", "event_id", F.col("event_type").alias("action"), "value", wins.alias("wins")).withColumn("place", F.row_number().over(by_user).cast("long"))
+    # decisions since the last win, then cut at the cap
+    since = numbered.withColumn("k", F.col("place") - 1 - F.coalesce(F.max(F.when(F.col("wins"), F.col("place"))).over(before), F.lit(0)))
+    cut = since.withColumn("t", F.col("k") % cap).withColumn("e", F.count_if(F.col("t") == 0).over(by_user) - 1)
+    run = Window.partitionBy("user_id", "e").orderBy("t")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     key = F.concat_ws("|", "action", F.floor(F.col("value") / BAND).cast("string"))
-    task = F.col("user_id") % TASKS
-    out = kept.select(
-        task.alias("task"),
-        ((F.col("user_id") - task) / TASKS).cast("long").alias("rep"),
+    first = F.col("user_id") % TASKS
+    out = cut.select(
+        (first + TASKS * F.col("e")).alias("task"),
+        ((F.col("user_id") - first) / TASKS).cast("long").alias("rep"),
         "t",
         "event_id",
         "action",
         "value",
         (F.col("action") == "error").alias("rejected"),
-        F.coalesce(F.lag(key).over(ordered), F.lit("start")).alias("key_before"),
+        F.coalesce(F.lag(key).over(run), F.lit("start")).alias("key_before"),
         key.alias("key_after"),
-        F.coalesce(F.col("t_win") < CAP, F.lit(False)).alias("won"),
-        F.count("*").over(by_user).alias("n"),
+        F.bool_or("wins").over(whole).alias("won"),
+        F.count("*").over(whole).alias("n"),
         F.when(F.col("event_id") % ODD == 0, F.concat(key, F.lit("?"))).otherwise(key).alias("feedback"),
     )
     return out.withColumn("observation", F.col("key_before")).withColumn("student", F.col("rep") % 4 == 0)

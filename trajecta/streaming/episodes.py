@@ -1,6 +1,7 @@
 """Executions as a stream: decisions arrive as events, an execution's state lives until it ends.
 
-The same rules as the batch adapter, one event at a time; an execution ends with a win or at its cap, not by time.
+The same rules as the batch adapter, one event at a time; an execution ends with a win or at its cap, not by time, and
+the user's next event begins another one.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trajecta.sources.adapters import BAND, CAP, WIN_VALUE
 
-OUTPUT = "user_id long, t long, action string, key_before string, key_after string, mode string, won boolean, done boolean"
-STATE = "t long, key string, mode string, done boolean"
+OUTPUT = "user_id long, episode long, t long, action string, key_before string, key_after string, mode string, won boolean, done boolean"
+STATE = "episode long, t long, key string, mode string"
 
 
 def mode_after(mode: str, action: str, rejected: bool, still: bool) -> str:
@@ -28,19 +29,17 @@ def mode_after(mode: str, action: str, rejected: bool, still: bool) -> str:
 
 
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    t, last, mode, done = state.get if state.exists else (0, "start", "normal", False)
+    episode, t, last, mode = state.get if state.exists else (0, 0, "start", "normal")
     rows = []
     arrived = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for action, value in zip(arrived["event_type"], arrived["value"], strict=True):
-        if done:
-            break
         now = f"{action}|{int(value // BAND)}"
         won = bool(action == "purchase" and value >= WIN_VALUE)
         mode = mode_after(mode, action, action == "error", now == last)
         done = won or t + 1 >= CAP
-        rows.append((key[0], t, action, last, now, mode, won, done))
-        t, last = t + 1, now
-    state.update((t, last, mode, done))
+        rows.append((key[0], episode, t, action, last, now, mode, won, done))
+        episode, t, last, mode = (episode + 1, 0, "start", "normal") if done else (episode, t + 1, now, mode)
+    state.update((episode, t, last, mode))
     if rows:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
@@ -48,7 +47,7 @@ def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def decisions(events: DataFrame) -> DataFrame:
     """One row per decision of a stream (or table) of events, in the order of arrival of each execution.
 
-    An ended execution keeps a few bytes of state, so that later events of it are known to be late and dropped.
+    What is kept of a user is the place in the running execution: a few bytes, however many events there were.
     """
     return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
