@@ -77,6 +77,14 @@ def test_frequent_tokens_do_not_change_the_result(spark, monkeypatch):
     assert a == brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_frequent_tokens_fill_the_room_of_a_band_that_is_too_large(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(3000)) + (" hot words here" * (k > 3))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert len(jaccard.frequent_tokens(docs, 1, 10**4)) == 3003
+    assert 800 <= len(jaccard.frequent_tokens(docs, 1, 1000)) <= 1000
+    assert len(jaccard.frequent_tokens(docs, 1, 0)) == 0
+
+
 def brute_near(rows):
     """Ids that a smaller one stands for, by links of 0.8 on five words; every pair that shares a shingle is compared."""
     sets = {i: jaccard.exact_set(t, 5) for i, t in rows}

@@ -36,6 +36,8 @@ FREQUENT = 200_000
 COUNTED = 1_000_000
 #: Least rows with a token, in one task, for it to count as frequent.
 LEAST = 4
+#: Parts of the tokens' hashes, of which so many are taken as make up a share.
+SHARES = 1_000_003
 _ONE = np.uint64(1)
 
 
@@ -110,16 +112,16 @@ def frequent_tokens(docs: DataFrame, n: int = WORDS, most: int = FREQUENT) -> np
 
     found = cut(docs.select("text").where("text IS NOT NULL").mapInArrow(released(run), "token long, count long").groupBy("token").agg(F.sum("count").alias("count")))
     sizes = {r[0]: r[1] for r in found.groupBy(F.floor(F.log2("count")).alias("b")).count().collect()}
-    total, least = 0, None
+    total, chosen = 0, F.lit(False)
     for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > most:
+        band = F.floor(F.log2("count")) == b
+        if total + sizes[b] > most:
+            # of a band that is too large, an even share by the tokens' hashes, a tenth short of the room that is left
+            chosen = chosen | (band & (F.pmod("token", F.lit(SHARES)) < int(0.9 * SHARES * (most - total) / sizes[b])))
             break
-        least = b
-    if least is None:
-        return np.empty(0, np.uint64)
-    rows = found.where(F.col("count") >= 2**least).orderBy("count", "token").select("token").toPandas()
-    return rows.token.to_numpy(np.int64).view(np.uint64)
+        total, chosen = total + sizes[b], chosen | band
+    rows = found.where(chosen).orderBy("count", "token").select("token").toPandas()
+    return rows.token.to_numpy(np.int64).view(np.uint64)[-most:] if most else np.empty(0, np.uint64)
 
 
 def features(docs: DataFrame, frequent: np.ndarray, n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
