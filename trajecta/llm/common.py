@@ -110,17 +110,18 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return wrapped
 
 
-@contextmanager
-def few_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
-    """While it lasts, tasks hand texts to their Python workers in batches of at most so many rows, so that neither side
-    holds many texts at once. For actions within an operator; the session's own setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, min(most, int(old)) if int(old) > 0 else most)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old)
+#: Bytes of rows that a task hands to its Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on, tasks of this session hand rows to their Python workers in batches of about so many bytes (one row at
+    least), so that neither side holds many long texts at once. A smaller bound of the session's own stays. The setting
+    lasts, since results are computed after the operator returned; it changes no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < own <= most:
+        spark.conf.set(name, str(most))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajecta.llm.common import blocks, cut, few_rows, released, scratch, small, stored
+from trajecta.llm.common import blocks, cut, released, scratch, small, small_batches, stored
 from trajecta.llm.components import components
 
 WORDS = 3
@@ -216,7 +216,8 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
     A class holds the documents of equal sets and goes by the smallest doc_id. Null and empty texts have empty sets
     and no class; rows without a doc_id have no class either. Rows that repeat a doc_id count as one document.
     """
-    with few_rows(docs.sparkSession), scratch() as keep:
+    small_batches(docs.sparkSession)
+    with scratch() as keep:
         return _linked(docs, n, num, den, keep)
 
 

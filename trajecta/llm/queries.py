@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import decontaminate, hmm, html, jaccard, language, licenses, media, packing, pii, quality
+from trajecta.llm import decontaminate, hmm, html, jaccard, language, licenses, media, packing, pii, quality, substrings
 from trajecta.session import table
 
 
@@ -67,6 +67,11 @@ def op10_webp(spark: SparkSession, root: str) -> DataFrame:
     return media.describe(media.encode_texts(table(spark, root, "documents")))
 
 
+def op13_substrings(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the 50-word passages that documents of smaller id have."""
+    return substrings.summary(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm": op1_hmm,
     "op2_quality": op2_quality,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_webp": op10_webp,
+    "op13_substrings": op13_substrings,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -115,4 +121,14 @@ sums AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (bas
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN sums USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op7_license_scan": _OP7}
+_OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, r, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda k: array_to_string(w[k:k + 49], ' '))) AS s FROM d WHERE doc_id IS NOT NULL),
+firsts AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+later AS (SELECT r, list(p) AS starts FROM win JOIN firsts USING (s) WHERE doc_id > first GROUP BY r),
+gone AS (SELECT r, list_distinct(flatten(list_transform(starts, lambda p: range(p, p + 50)))) AS at_ FROM later),
+kept AS (SELECT doc_id, len(w) AS n, CASE WHEN at_ IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(at_, k))) END AS k FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op7_license_scan": _OP7, "op13_substrings": _OP13}
