@@ -64,15 +64,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a columnar table in the shared folder, for wide rows of which later steps read a few columns. The
-    application owns the table: it is deleted when the driver ends, since a lazy result may be read until then."""
-    spark = df.sparkSession
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that the application owns: it is deleted when the driver ends, since a
+    lazy result may be read until then."""
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a columnar table of its own, for wide rows of which later steps read a few columns."""
+    path = new_table(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trajecta.llm import decontaminate, hmm, html, jaccard, language, licenses, media, packing, pii, quality, substrings
+from trajecta.llm import decontaminate, hmm, html, jaccard, language, licenses, media, mining, packing, pii, quality, substrings, whitening
 from trajecta.session import table
 
 
@@ -67,6 +68,16 @@ def op10_webp(spark: SparkSession, root: str) -> DataFrame:
     return media.describe(media.encode_texts(table(spark, root, "documents")))
 
 
+def op11_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """First components of every embedding, whitened."""
+    return whitening.whiten(table(spark, root, "embeddings"))
+
+
+def op12_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives of every anchor (a row whose vec_id is divisible by 100) and each of its positives."""
+    return mining.hard_negatives(mining.relabelled(table(spark, root, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op13_substrings(spark: SparkSession, root: str) -> DataFrame:
     """Every document without the 50-word passages that documents of smaller id have."""
     return substrings.summary(table(spark, root, "documents"))
@@ -83,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_webp": op10_webp,
+    "op11_whitening": op11_whitening,
+    "op12_negatives": op12_negatives,
     "op13_substrings": op13_substrings,
 }
 
@@ -131,4 +144,13 @@ kept AS (SELECT doc_id, len(w) AS n, CASE WHEN at_ IS NULL THEN w ELSE list_sele
 SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op7_license_scan": _OP7, "op13_substrings": _OP13}
+_OP12 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id AS anchor_id, label AS own, v AS av FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT anchor_id, own = label AS same, vec_id, list_dot_product(av, v)::BIGINT AS score FROM a, e WHERE anchor_id <> vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+h AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3, "op7_license_scan": _OP7, "op12_negatives": _OP12, "op13_substrings": _OP13}
