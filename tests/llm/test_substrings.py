@@ -104,3 +104,10 @@ def test_a_saturated_sketch_changes_nothing(spark, data, monkeypatch):
     monkeypatch.setattr(substrings, "LEAST_CELLS", 64)
     monkeypatch.setattr(substrings, "MOST_CELLS", 64)
     assert spark_rows(substrings.summary(docs)) == expected
+
+
+def test_many_repeated_texts_change_nothing(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    expected = spark_rows(substrings.summary(docs))
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 1)
+    assert spark_rows(substrings.summary(docs)) == expected

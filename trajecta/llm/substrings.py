@@ -2,6 +2,9 @@
 
 A window is a run of consecutive words. Two passes find the windows that documents share:
 
+Texts that an earlier document has as a whole are told first, by digests of the texts: they lose every window, and no
+other document needs theirs. For the rest:
+
 1. Every task counts its windows in a count-min sketch; the sketches are merged into one, whose estimates are never less
    than the true counts.
 2. Windows estimated to be in one document alone are let go. The others, and nothing else, are grouped exactly.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, flat_bytes, released, scratch, small_batches, stored
+from trajecta.llm.common import BROADCAST_ROWS, blocks, flat_bytes, released, scratch, small_batches, stored
 from trajecta.llm.jaccard import mix
 
 WORDS = 50
@@ -178,6 +181,17 @@ class Block:
         return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text, copy): `row` is a hash of the text, so that rows that repeat a doc_id are told apart, and `copy`
+    says whether a document of smaller doc_id has the same text (by 128 bits)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"), F.xxhash64(F.lit(1), "text").alias("more"))
+    several = docs.where("text IS NOT NULL").groupBy("row", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    several = stored(several.where("first < last").drop("last"))
+    few = several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(several) if few else several, ["row", "more"], "left").select("doc_id", "row", "text", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"))
+    return joined if few else stored(joined)  # with the texts shuffled, once is enough
+
+
 def sketched(docs: DataFrame, n: int) -> np.ndarray:
     """The merged sketch of all windows: for every cell, whether two or more were counted there."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -210,7 +224,7 @@ def sketched(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = pa.schema([("place", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
     merged = pa.schema([("place", pa.int32()), ("twice", pa.binary())])
-    parts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").coalesce(MOST_TASKS).mapInArrow(released(build), "place int, once binary, twice binary")
+    parts = docs.select("text").coalesce(MOST_TASKS).mapInArrow(released(build), "place int, once binary, twice binary")
     out = np.zeros((DEPTH, cells // 8), np.uint8)
     flat = out.reshape(-1)
     for place, bits in parts.repartition("place").mapInArrow(merge, "place int, twice binary").toLocalIterator():
@@ -219,10 +233,7 @@ def sketched(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, n: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, row, at, h1, h2): windows estimated to be in several documents, with 128 bits of their words.
-
-    `row` is a hash of the text, so that rows that repeat a doc_id are told apart.
-    """
+    """(doc_id, row, at, h1, h2): windows estimated to be in several documents, with 128 bits of their words."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,12 +250,13 @@ def candidates(docs: DataFrame, n: int, sketch: np.ndarray) -> DataFrame:
             cols += [pa.array(h.view(np.int64)) for h in block.digests(which)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "at", "h1", "h2"])
 
-    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(released(run), "doc_id long, row long, at int, h1 long, h2 long")
+    return docs.select("doc_id", "row", "text").mapInArrow(released(run), "doc_id long, row long, at int, h1 long, h2 long")
 
 
 def marks(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, row, starts): where windows begin that also begin in a document of smaller doc_id; a table of its own."""
-    small_batches(docs.sparkSession)
+    """(doc_id, row, starts): where windows of the keyed documents begin that also begin in a document of smaller doc_id,
+    but for copies; a table of its own."""
+    docs = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND NOT copy")
     with scratch() as keep:
         found = keep(candidates(docs, n, sketched(docs, n)))
         firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
@@ -262,17 +274,19 @@ def without_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
     that repeat a doc_id are judged one by one and take nothing from each other; rows without a doc_id take nothing from
     any other row and lose nothing. Other columns of docs don't matter. An empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    joined = keyed.join(marks(docs, n), ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    small_batches(docs.sparkSession)
+    docs = keyed(docs)
+    joined = docs.join(marks(docs, n), ["doc_id", "row"], "left").select("doc_id", "text", "copy", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK):
             rows = []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, copy, starts in zip(*(batch.column(k).to_pylist() for k in (1, 2)), batch.column(3), strict=True):
                 words = text.encode().split() if text else []
                 total, gone = len(words), []
-                if starts.is_valid:
+                if copy and total >= n:
+                    words, gone = [], [{"start": 0, "length": total}]
+                elif starts.is_valid:
                     edge = np.zeros(total + 1, np.int64)
                     at = np.asarray(starts.values)
                     np.add.at(edge, at, 1)
