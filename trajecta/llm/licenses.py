@@ -75,38 +75,50 @@ def template_table(spark: SparkSession, phrases: list, templates: list) -> DataF
     return spark.createDataFrame(rows, "template int, label string, base boolean, words array<string>")
 
 
+#: What tells texts apart: the id (0 if there is none), whether there is none, and a hash of the text.
+KEY = ["id_", "none_", "text_"]
+
+
+def keyed(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """KEY and more columns of the documents."""
+    return docs.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id_"), F.col("doc_id").isNull().alias("none_"), F.xxhash64("text").alias("text_"), *more)
+
+
 def spans(docs: DataFrame, phrases: list | None = None, templates: list | None = None, gram: int = GRAM, drift: int = DRIFT, cover: float = COVER) -> DataFrame:
-    """One row per verified place: doc_id, label, base, start and length in words, cover (share of the template held).
+    """One row per verified place: KEY, doc_id, label, base, start and length in words, cover (share of the template held).
 
     A phrase of the base needs all its words in a row; a passage needs `cover` of its k-grams on merged diagonals.
     Phrases have `gram` words at least. Null and empty texts, and documents of fewer words than a k-gram, have no
-    places. Rows that repeat a doc_id are taken as one document each, and their places are merged by doc_id, so ids
-    should be unique; other columns are ignored.
+    places. Texts are told apart by KEY: rows that repeat a doc_id with other texts have places of their own, rows that
+    are equal share theirs, and rows without a doc_id are scanned like all others. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = template_table(spark, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     grams = known.select("template", "label", "base", "words", F.size("words").alias("n"), F.posexplode_outer(gram_hashes("words", gram)).alias("at", "h"))
-    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rolled = docs.select("doc_id", alnum_words(F.col("text")).alias("w")).select("doc_id", F.posexplode_outer(gram_hashes("w", gram)).alias("i", "h"))
+    docs = keyed(docs.where(F.col("text").isNotNull()), "doc_id", "text")
+    rolled = docs.select(*KEY, alnum_words(F.col("text")).alias("w")).select(*KEY, F.posexplode_outer(gram_hashes("w", gram)).alias("i", "h"))
     # the templates are constants of this module or of the caller, so their k-grams are few
-    hits = rolled.join(F.broadcast(grams.select("template", "at", "h")), "h").select("doc_id", "template", "at", "i", (F.col("i") - F.col("at")).alias("diagonal"))
-    votes = cut(hits.groupBy("doc_id", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi")))
+    hits = rolled.join(F.broadcast(grams.select("template", "at", "h")), "h").select(*KEY, "template", "at", "i", (F.col("i") - F.col("at")).alias("diagonal"))
+    # distinct places, since equal rows give each of them again
+    votes = cut(hits.groupBy(*KEY, "template", "diagonal").agg(F.count_distinct("i").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi")))
 
     facts = F.broadcast(known.select("template", "label", "base", "words", (F.size("words") - gram + 1).alias("n_grams"), F.size("words").alias("n")))
-    full = votes.join(facts, "template").where("base AND votes = n_grams").select("doc_id", "template", F.col("diagonal").alias("start"), F.col("n").alias("length"))
-    by_place = Window.partitionBy("doc_id", "template").orderBy("diagonal", "lo")
+    full = votes.join(facts, "template").where("base AND votes = n_grams").select(*KEY, "template", F.col("diagonal").alias("start"), F.col("n").alias("length"))
+    by_place = Window.partitionBy(*KEY, "template").orderBy("diagonal", "lo")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_place) > drift) | (F.col("lo") - F.lag("hi").over(by_place) > F.col("n")), F.lit(True))
     runs = votes.join(facts.drop("words", "label"), "template").where("NOT base").withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(by_place))
-    merged = runs.groupBy("doc_id", "template", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n_grams").alias("n_grams"))
+    merged = runs.groupBy(*KEY, "template", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n_grams").alias("n_grams"))
     merged = merged.where(F.col("votes") >= F.col("n_grams") * cover - 1e-9)
-    likely = merged.select("doc_id", "template", F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + gram).alias("length"))
+    likely = merged.select(*KEY, "template", F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + gram).alias("length"))
     places = cut(full.unionByName(likely))
 
-    texts = docs.join(small(places.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", alnum_words(F.col("text")).alias("w"))
-    seen = places.join(texts, "doc_id").join(facts, "template").select("doc_id", "label", "base", "start", "length", "n", "words", F.expr("slice(w, start + 1, length)").alias("span"))
+    marked = docs.join(small(places.select(*KEY).distinct()), KEY, "left_semi")
+    # equal rows count once: a place would else be verified as often as its text is there
+    texts = marked.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select(*KEY, "doc_id", alnum_words(F.col("text")).alias("w"))
+    seen = places.join(texts, KEY).join(facts, "template").select(*KEY, "doc_id", "label", "base", "start", "length", "n", "words", F.expr("slice(w, start + 1, length)").alias("span"))
     share = F.size(F.array_intersect(gram_texts("span", gram), gram_texts("words", gram))) / F.size(F.array_distinct(gram_texts("words", gram)))
     judged = seen.withColumn("cover", F.when(F.col("base"), (F.col("span") == F.col("words")).cast("double")).otherwise(share))
-    return judged.where(F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(cover) - 1e-9).select("doc_id", "label", "base", "start", "length", "cover")
+    return judged.where(F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(cover) - 1e-9).select(*KEY, "doc_id", "label", "base", "start", "length", "cover")
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:
@@ -117,7 +129,7 @@ def summary(docs: DataFrame, **options) -> DataFrame:
         return F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), ",")
 
     base = F.col("base")
-    per_doc = found.groupBy("doc_id").agg(F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"), labels(base).alias("base_labels"), labels(F.lit(True)).alias("labels"), F.max("cover").alias("score"))
-    sizes = docs.select("doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    per_doc = found.groupBy(*KEY).agg(F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"), labels(base).alias("base_labels"), labels(F.lit(True)).alias("labels"), F.max("cover").alias("score"))
+    sizes = keyed(docs, "doc_id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
     zero = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
-    return sizes.join(per_doc, "doc_id", "left").fillna(zero).select("doc_id", "n_words", F.col("n_base").cast("long"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), "base_labels", "labels", "score")
+    return sizes.join(per_doc, KEY, "left").fillna(zero).select("doc_id", "n_words", F.col("n_base").cast("long"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), "base_labels", "labels", "score")
