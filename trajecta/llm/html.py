@@ -11,7 +11,6 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trajecta.llm.boost import Boosted
-from trajecta.llm.common import blocks, released
+from trajecta.llm.common import blocks, released, small_batches
 
 # Elements by how they are read. Elements that are named nowhere are read as inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +46,7 @@ NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 TELLING = frozenset(["class", "id", "role", "itemprop", "aria-label"])
 BLANKS, ATTRIBUTE, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 END_OF_RAW: dict[str, re.Pattern] = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
-#: Elements nested deeper than this are read as if they weren't nested; their text stays.
+#: Depths beyond this count as this in the features; the tree itself is as deep as the page.
 DEEPEST = 512
 
 
@@ -131,7 +130,10 @@ def parse(source: str) -> Page:
     """The tree of block elements; markup that is never closed, or cut off, is read as browsers do, roughly. Takes time in
     proportion to the source, whatever it holds."""
     page, at, n = Page(), 0, len(source)
-    stack, open_now = [0], Counter()
+    stack = [0]
+    # places in the stack, so that no end has to be looked for: of each tag, of SCOPE, and of what an implied end can't pass
+    places: dict[str, list[int]] = {}
+    scopes, walls = [0], [0]
     run: list[str] = []
     links = linked = 0
     tags = Tags(source)
@@ -152,10 +154,25 @@ def parse(source: str) -> Page:
             run.clear()
         linked = 0
 
+    def enter(node: int, tag: str) -> None:
+        at = len(stack)
+        stack.append(node)
+        places.setdefault(tag, []).append(at)
+        if tag in SCOPE:
+            scopes.append(at)
+        if tag in SCOPE or tag not in ENDS and tag not in ("thead", "tbody"):
+            walls.append(at)
+
     def leave(k: int) -> None:
         for node in stack[k:]:
-            open_now[page.tag[node]] -= 1
+            places[page.tag[node]].pop()
         del stack[k:]
+        for held in (scopes, walls):
+            while held[-1] >= k:
+                held.pop()
+
+    def last(tag: str) -> int:
+        return held[-1] if (held := places.get(tag)) else 0
 
     while at < n:
         begin = source.find("<", at)
@@ -186,14 +203,9 @@ def parse(source: str) -> Page:
             elif tag in BLOCK:
                 end_block()
                 links = 0
-                if open_now[tag]:
-                    for k in range(len(stack) - 1, 0, -1):
-                        own = page.tag[stack[k]]
-                        if own == tag:
-                            leave(k)
-                            break
-                        if tag in ENDED and own in SCOPE:
-                            break
+                k = last(tag)
+                if k and (tag not in ENDED or k >= scopes[-1]):
+                    leave(k)
             continue
         if tag in RAW:
             m = END_OF_RAW[tag].search(source, at)
@@ -207,17 +219,10 @@ def parse(source: str) -> Page:
             end_block()
             links = 0
             ends = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[k]]
-                if own in ends:
-                    leave(k)
-                    break
-                if own in SCOPE or own not in ENDS and own not in ("thead", "tbody"):
-                    break
-            node = page.add(tag, stack[-1], named, hidden)
-            if len(stack) < DEEPEST:
-                stack.append(node)
-                open_now[tag] += 1
+            k = max(map(last, ends), default=0)
+            if k and k >= walls[-1]:
+                leave(k)
+            enter(page.add(tag, stack[-1], named, hidden), tag)
         else:
             links = 1 if tag == "a" else links
     end_block()
@@ -274,7 +279,7 @@ def features(page: Page) -> np.ndarray:
     some = np.maximum(1, length)
     columns = [
         np.array(page.linked, float), np.log1p(length), linked / some, np.log1p(words), length / np.maximum(1, words), stops / np.maximum(1, words), commas / np.maximum(1, words), upper, symbols / np.maximum(1, words),
-        np.log1p(nodes), np.log1p(length / nodes), paragraphs, items, np.array(page.depth, float), place / total, np.log1p(place), length / total, children[up], index, alike,
+        np.log1p(nodes), np.log1p(length / nodes), paragraphs, items, np.minimum(page.depth, DEEPEST).astype(float), place / total, np.log1p(place), length / total, children[up], index, alike,
         good, bad, hidden, above[:, 0], above[:, 1], above[:, 2], above[:, 3], hard, bad[up] + hard[up], np.log1p(length[up]),
     ]
     return np.concatenate([np.stack(columns, axis=1), own, own[up]], axis=1)
@@ -479,4 +484,5 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
