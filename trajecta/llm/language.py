@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, bounded_sample, flat_bytes, held_out, padded_rows, released
+from trajecta.llm.common import blocks, bounded_sample, flat_bytes, held_out, padded_rows, released, small_batches
 
 CHUNK = 128
 HIDDEN = 8
@@ -24,7 +24,12 @@ WIDTH = 1024
 #: Most documents of a language, and most chunks of a document, that the network is fitted on.
 SAMPLE_DOCUMENTS, SAMPLE_CHUNKS = 300, 6
 EPOCHS = 9
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a letter category (superscripts, fractions and other numbers have none)."""
+    return bool(text) and (LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 class BiGRU:
@@ -198,11 +203,12 @@ def predict(docs: DataFrame, fitted: tuple[BiGRU, list[str]] | None) -> DataFram
             else:
                 model, langs = fitted
                 p = document_probabilities(model, *flat_bytes(texts))
-                letters = np.array([bool(x and LETTER.search(x)) for x in texts.to_pylist()], bool)
+                letters = np.array([has_letter(x) for x in texts.to_pylist()], bool)
                 best = [langs[c] if ok else "und" for c, ok in zip(p.argmax(axis=1), letters, strict=True)]
                 top = np.where(letters, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(best, pa.string()), pa.array(top, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
