@@ -191,7 +191,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, kee
     pairs = keep(pairs)
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     # written first, so that both sides of the joins are plain exchanges and a document of very many pairs can be split
-    texts = keep(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    digests = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    named = docs.where("text IS NOT NULL").select("doc_id", "text", *digests).join(small(ids), "doc_id", "left_semi")
+    # of an id with several texts all count, each once
+    texts = keep(named.dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text"))
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("a")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("b")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +203,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, kee
             kept = []
             # row by row: the texts of a batch are many times the size of its ids, and most repeat the row before
             for y, a, b in zip(batch.column(1).to_pylist(), *((x.as_py() for x in batch.column(k)) for k in (2, 3)), strict=True):
-                if y != last:
-                    last, known = y, exact_set(b, n)
+                if (y, b) != last:
+                    last, known = (y, b), exact_set(b, n)
                 own = exact_set(a, n)
                 shared = len(own & known)
                 kept.append(shared > 0 and den * shared >= num * (len(own) + len(known) - shared))
@@ -214,7 +217,8 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
     """(sets, links): doc_id, n and class of each row, and links (x, y) that connect the classes as all links would.
 
     A class holds the documents of equal sets and goes by the smallest doc_id. Null and empty texts have empty sets
-    and no class; rows without a doc_id have no class either. Rows that repeat a doc_id count as one document.
+    and no class; rows without a doc_id have no class either. Rows that repeat a doc_id are one document, which is linked
+    with what any of its texts is linked with.
     """
     small_batches(docs.sparkSession)
     with scratch() as keep:
@@ -226,18 +230,22 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, keep: Callable[[DataFra
     full = feats.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("class"))
     sets = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    reps = keep(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi"))
+    # ids with several sets: their classes belong together, and their sets are told apart by a part of their digests
+    several = keep(full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id"))
+    own = sets.where("class IS NOT NULL").join(small(several), "doc_id", "left_semi").select("doc_id", "class").distinct()
+    together = own.join(own.groupBy("doc_id").agg(F.min("class").alias("x")), "doc_id").where("x <> class").select("x", F.col("class").alias("y"))
+    reps = keep(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").join(small(several.withColumn("some", F.lit(True))), "doc_id", "left").withColumn("which", F.when(F.col("some"), F.xxhash64("key")).otherwise(F.lit(0).cast("long"))).drop("some"))
 
-    entries = reps.select(F.col("doc_id").alias("x"), "n", F.posexplode_outer("p0").alias("at", "token"))
+    entries = reps.select(F.col("doc_id").alias("x"), "n", "which", F.posexplode_outer("p0").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    by_doc = Window.partitionBy("x").orderBy("at")
-    posted = keep(entries.join(shared, "token").withColumn("before", F.row_number().over(by_doc) - 1))
+    by_doc = Window.partitionBy("x", "which").orderBy("at")
+    posted = keep(entries.join(shared, "token").withColumn("before", F.row_number().over(by_doc) - 1).drop("which"))
 
     # the document with the fewest tokens of its own before a token stands for all that have the token
     centres = posted.groupBy("token").agg(F.min(F.struct((F.col("at") - F.col("before")).alias("own"), F.col("x").alias("y"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("before").alias("before2"))).alias("c")).select("token", "c.*")
     near = posted.join(centres, "token").where(F.col("x") != F.col("y")).where(_possible(num, den))
     first = near.groupBy("x").agg(F.min(F.struct("own", "y")).alias("c")).select("x", F.col("c.y").alias("y"))
-    links = verified(meet(first, reps), docs, n, num, den)
+    links = cut(verified(meet(first, reps), docs, n, num, den).unionByName(together))
 
     found = cut(components(links, "x", "y"))
     placed = posted.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
