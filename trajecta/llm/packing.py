@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.common import blocks, flat_bytes, released
+from trajecta.llm.common import blocks, flat_bytes, released, small_batches
 
 LENGTH = 2048
 END = 1
@@ -36,6 +36,8 @@ BUCKETS = 4096
 RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
 #: Rows of a range in the sample that shares out the ranges.
 BOUND_ROWS = 60
+#: Rows of the sample that bounds are taken from, about, where ranges are many; and the least a range.
+SAMPLE_ROWS, LEAST_ROWS = 600_000, 6
 #: Stands for a missing id in the order of the ranges.
 NO_ID = -(1 << 63)
 #: Words whose ids a worker process remembers; if there are more, the first half stays, which has the frequent ones.
@@ -284,7 +286,9 @@ def ranges(docs: DataFrame) -> int:
 
 def bounds(docs: DataFrame, n: int, each: int = BOUND_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Where n ranges of the curve begin, as (curve, doc_id): quantiles of a sample of about `each` rows a range, by the
-    hash of their ids. The bounds only share out the work; every row lies in one range, whatever they are."""
+    hash of their ids; fewer a range where there are very many ranges, so that the driver's sample stays bounded. The
+    bounds only share out the work; every row lies in one range, whatever they are."""
+    each = min(each, max(LEAST_ROWS, SAMPLE_ROWS // max(1, n)))
     total = docs.select(F.count("*")).first()[0]
     share = min(1.0, each * n / max(1, total))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
@@ -323,6 +327,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
 
+    small_batches(docs.sparkSession)
     n = ranges(docs)
     curves, first_ids = bounds(docs, n)
 
