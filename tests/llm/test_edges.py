@@ -60,6 +60,7 @@ def test_language(docs, none):
     by = {r["doc_id"]: r for r in rows}
     assert by[2]["lang_pred"] == by[3]["lang_pred"] == by[6]["lang_pred"] == "und" and by[7]["lang_pred"] != "und"
     assert language.identify(none).count() == 0
+    assert [language.has_letter(t) for t in ("\u00b2\u00bd", "\u2460", "\u2167", "12_", "", None, "\u00e9", "\u0436", "\u4e00", "1x")] == [False] * 6 + [True] * 4
 
 
 def test_contamination(docs, none, spark):
@@ -84,15 +85,47 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_of_deep_pages():
+    deep = "<div id=page><article>" + "<div>" * 600 + "deep" + "</div>" * 600 + "<p>tail</p></article></div><p>after</p>"
+    page = html.parse(deep)
+
+    def above(text):
+        k, out = page.text.index(text), []
+        while k > 0:
+            out.append(page.tag[k])
+            k = page.parent[k]
+        return out
+
+    assert above("tail") == ["#text", "p", "article", "div"] and above("after") == ["#text", "p"] and above("deep").count("div") == 601
+    assert len(html.features(page)) == len(page.tag)
+
+
+@pytest.mark.parametrize("source", ["<div>" + "<h1>" * 60_000 + "</li>" * 60_000, "<li>" + "<h1>" * 60_000 + "</li>" * 60_000, "<tbody>" * 60_000 + "<p>" * 60_000])
+def test_html_takes_linear_time_however_deep(source):
+    import time
+
+    began = time.time()
+    html.parse(source)
+    assert time.time() - began < 15
+
+
 def test_pii(docs, none):
-    assert pii.protect(docs).schema == docs.schema and ids(pii.protect(docs)) == ALL
-    assert {r["n_values"] for r in pii.protect(docs, report=True).collect()} == {0}
-    assert pii.protect(none).count() == 0
+    key = b"k"
+    assert pii.protect(docs, key).schema == docs.schema and ids(pii.protect(docs, key)) == ALL
+    assert {r["n_values"] for r in pii.protect(docs, key, report=True).collect()} == {0}
+    assert pii.protect(none, key).count() == 0
+    some = [(1, "ann@example.com and ann@example.com, 123-45-6789"), (1, "ann@example.com and ann@example.com, 123-45-6789"), (2, "123-45-6789"), (None, "ann@example.com"), (3, None), (4, "x " * 50_000 + "ann@example.com")]
+    rows = sorted(map(tuple, pii.protect(docs.sparkSession.createDataFrame(some, "doc_id long, text string"), key, report=True).collect()), key=str)
+    mail, number = pii.email("ann@example.com", key), pii.ssn("123-45-6789", key)
+    assert rows == sorted([(1, f"{mail} and {mail}, {number}", 3, "email,ssn")] * 2 + [(2, number, 1, "ssn"), (None, mail, 1, "email"), (3, None, 0, ""), (4, "x " * 50_000 + mail, 1, "email")], key=str)
 
 
 def test_licenses(docs, none, spark):
     rows = {r["doc_id"]: r for r in licenses.summary(docs).collect()}
     assert rows[4]["n_words"] == 60_000 and rows[2]["n_words"] == 0 and rows[1]["labels"] == "" and rows[1]["first_word"] is None
+    some = [(1, "x under the mit license y"), (1, "x under the mit license y"), (None, "under the mit license"), (None, "no word of it"), (2, "cc by nc cc by nc"), (2, "nothing here")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"], r["base_labels"]) for r in licenses.summary(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 4, 0, ""), (0, 4, 1, "mit"), (1, 6, 1, "mit"), (1, 6, 1, "mit"), (2, 2, 0, ""), (2, 6, 2, "cc-by-nc")]
     assert licenses.summary(none).count() == 0
 
 
@@ -110,6 +143,16 @@ def test_jaccard(docs, none):
     assert ids(jaccard.keep_one(docs)) == [1, 2, 3, 4, 6, 7, None]
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_jaccard_of_ids_with_several_texts(spark, order):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (5, a + " z"), (5, b), (9, b + " q"), (7, a), (5, a), (12, "x y"), (12, None), (None, a), (13, "u v w")]
+    docs = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()), key=str)
+    assert got == sorted([(1, 58, 1), (5, 59, 1), (5, 48, 1), (9, 49, 1), (7, 58, 1), (5, 58, 1), (12, 1, 12), (12, 0, 12), (None, 58, None), (13, 1, 13)], key=str)
+    assert ids(jaccard.keep_one(docs)) == [1, 12, 12, 13, None]
+
+
 def test_media(docs, none):
     rows = {r["doc_id"]: r for r in media.describe(media.encode_texts(docs)).collect()}
     assert rows[2]["payload_bytes"] == 64 and rows[2]["payload_sha256"] == rows[3]["payload_sha256"]

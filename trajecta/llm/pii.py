@@ -3,17 +3,16 @@
 Every value found is checked (octets of an address, days of a month, check digits), then moved by a permutation of all
 values of its own format: the same number of digits, a valid date, a valid check digit. Equal values get equal
 pseudonyms in all documents, different values different ones, and who has the key can invert them. The key comes from
-the caller or from a setting of the session; no key is part of this module, and none is written anywhere.
+the caller or from a setting of the session; no key is part of this module, none is drawn, and none is written anywhere.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import os
+import ipaddress
 import re
 import unicodedata
-import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trajecta.llm.common import blocks, released
+from trajecta.llm.common import blocks, released, small_batches
 
 #: The setting that holds the key; by this name Spark leaves it out of what it logs and shows.
 SETTING = "spark.trajecta.pii.secret"
@@ -34,22 +33,26 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 
 # Month names in English, in the order of the calendar.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-_MONTH = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
+_MONTH = "|".join([*(f"{m}|{m[:3]}[.]?" for m in MONTHS), "Sept[.]?"])
 
 #: A text without any of these has no personal data and is passed on as it is.
-HINT = r"(?i)[0-9@]|token|secret|passw|api.?key|access.?key|AKIA|gh[pousr]_|sk-"
+HINT = r"(?i)[0-9@]|token|secret|passw|api.?key|access.?key|AKIA|gh[pousr]_|sk-|bearer|eyJ|PRIVATE KEY"
 
 PATTERN = re.compile(
     rf"""
-    (?P<secret>(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{{8,}}))
-  | (?P<key>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|sk-[A-Za-z0-9]{{20,}}|(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}})(?![A-Za-z0-9]))
+    (?P<pem>-----BEGIN[ ](?:[A-Z]+[ ]){{0,3}}PRIVATE[ ]KEY-----(?:[^-]|-(?!----))+-----END[ ](?:[A-Z]+[ ]){{0,3}}PRIVATE[ ]KEY-----)
+  | (?P<secret>(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?|(?<![A-Za-z])(?i:bearer)[ ]+(?=[^\s"'<>]{{16}}))
+        (?P<value>(?=[^\s"'<>]*[^\sA-Za-z"'<>,.;:)])[^\s"'<>]{{5,}}[^\s"'<>,.;:)]|[A-Za-z0-9+/_\-]{{8,}}))
+  | (?P<key>(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,}}|sk-[A-Za-z0-9]{{20,}}|(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}})(?![A-Za-z0-9]))
   | (?P<email>[\w.+%\u0300-\u036F-]{{1,64}}@(?:[\w\u0300-\u036F-]{{1,63}}\.){{1,8}}[^\W\d_]{{2,24}})
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
   | (?P<date>(?<![0-9./-])(?:[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?![0-9]|[./-][0-9])
         |(?<![0-9])[0-9]{{1,2}}[ ](?:{_MONTH})[ ][0-9]{{4}}(?![0-9])|(?<![A-Za-z])(?:{_MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}}(?![0-9]))
+  | (?P<ipv6>(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{{1,4}}:|:){{2,8}}(?:[0-9A-Fa-f]{{1,4}})?(?![0-9A-Za-z:]|\.[0-9]))
   | (?P<ip>(?<![0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9]))
   | (?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .-]?)?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}(?![0-9])
-        |(?<![0-9A-Za-z])\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}(?![0-9-]))
+        |(?<![0-9A-Za-z])\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{2,5}}(?![0-9])|(?<![0-9A-Za-z-])[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}(?![0-9-])
+        |(?<![0-9A-Za-z.,-])[2-9][0-9]{{2}}[2-9][0-9]{{6}}(?![0-9A-Za-z-]|[.,][0-9]))
   | (?P<ssn>(?<![0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))
   | (?P<number>(?<![0-9])[0-9]{{4}}(?:[ -][0-9]{{4}}){{2,3}}(?:[ -][0-9]{{1,4}})?(?![0-9])|(?<![0-9])[0-9]{{13,19}}(?![0-9]))
     """,
@@ -166,8 +169,26 @@ def number(text: str, key: bytes, back: bool = False) -> str:
             return _in_place(text, digits)
 
 
-def phone(text: str, key: bytes, back: bool = False) -> str:
-    """The country code stays."""
+def _walked(digits: str, key: bytes, tweak: str, valid: Callable[[str], bool], back: bool) -> str | None:
+    """The permutation of valid numbers of so many digits; None for one that isn't valid."""
+    if not valid(digits):
+        return None
+    while True:
+        digits = permute_text(digits, key, tweak, back=back)
+        if valid(digits):
+            return digits
+
+
+def ssn(text: str, key: bytes, back: bool = False) -> str | None:
+    """Only numbers that can be given: no area 000, 666 or from 900 on, no group 00, no serial 0000."""
+    moved = _walked(re.sub("[^0-9]", "", text), key, "ssn", lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000", back)
+    return moved and _in_place(text, moved)
+
+
+def phone(text: str, key: bytes, back: bool = False) -> str | None:
+    """The country code stays. Ten digits without any sign only where area and exchange can be dialled, which stays so."""
+    if text.isdigit():
+        return _walked(text, key, "phone10", lambda d: d[0] > "1" and d[3] > "1" and d[1:3] != "11" and d[4:6] != "11", back)
     code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
     head = code[0] if code else ""
     return head + permute_text(text[len(head) :], key, f"phone{head}", back=back)
@@ -181,6 +202,31 @@ def ip(text: str, key: bytes, back: bool = False) -> str | None:
     return ".".join(map(str, moved.to_bytes(4, "big")))
 
 
+def ipv6(text: str, key: bytes, back: bool = False) -> str | None:
+    """Every spelling of an address moves to the shortest spelling of one other address; capitals stay capitals. What has
+    no digit is rather a name in a program, and the first 2^32 addresses are of this machine or mean none: these stay."""
+
+    def valid(address: ipaddress.IPv6Address) -> bool:
+        return int(address) >> 32 > 0 and any(c.isdigit() for c in str(address))
+
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if not valid(address):
+        return None
+    while True:
+        address = ipaddress.IPv6Address(permute(int(address), 1 << 128, key, "ipv6", back))
+        if valid(address):
+            return str(address).upper() if text != text.lower() else str(address)
+
+
+def pem(text: str, key: bytes, back: bool = False) -> str:
+    """The lines between the marks of a private key."""
+    begin, end = text.index("-----", 10) + 5, text.rindex("-----END")
+    return text[:begin] + permute_text(text[begin:end], key, "pem", back=back) + text[end:]
+
+
 def _day(year: int, month: int, day: int) -> int | None:
     try:
         n = dt.date(year, month, day).toordinal()
@@ -221,7 +267,7 @@ def date(text: str, key: bytes, back: bool = False) -> str | None:
             new[x] = new[x].zfill(2) if not short or f[0] == "0" else new[x]
         if named is not None:
             full = MONTHS[moved.month - 1]
-            new["m"] = full if len(fields[named]) > 3 else full[:3]
+            new["m"] = full if len(fields[named]) > 3 and fields[named] in MONTHS else full[:3]
         values = iter([new[x] for x in sorted(at, key=at.get)])
         return re.sub(r"[0-9]+|[A-Za-z]+", lambda _: next(values), text)
     return None
@@ -256,23 +302,16 @@ def email(text: str, key: bytes, back: bool = False) -> str:
     return f"{permute_text(local, key, 'local', back=back)}@{permute_text(host, key, 'host', back=back)}.{top}"
 
 
-KINDS: dict[str, Callable[..., str | None]] = {"date": date, "email": email, "iban": iban, "ip": ip, "number": number, "phone": phone, "ssn": lambda text, key, back=False: permute_text(text, key, "ssn", back=back), "key": secret}
-
-
-_DRAWN: dict[str, bytes] = {}
+KINDS: dict[str, Callable[..., str | None]] = {"date": date, "email": email, "iban": iban, "ip": ip, "ipv6": ipv6, "number": number, "pem": pem, "phone": phone, "ssn": ssn, "key": secret}
 
 
 def secret_key(spark: SparkSession) -> bytes:
-    """The key named by the setting. Without one, a key is drawn for this application alone and held in the driver's
-    memory: equal values stay linked within it, but its pseudonyms can be neither inverted nor linked later."""
+    """The key named by the setting. There is no other: a key drawn here would be lost with the application, and with it
+    the links between what it and the next one wrote."""
     named = spark.conf.get(SETTING, None)
-    if named:
-        return named.encode()
-    app = spark.sparkContext.applicationId
-    if app not in _DRAWN:
-        warnings.warn(f"{SETTING} isn't set: pseudonyms are made with a key of this application alone", stacklevel=2)
-        _DRAWN[app] = os.urandom(32)
-    return _DRAWN[app]
+    if not named:
+        raise ValueError(f"pseudonyms need a key: set {SETTING}, or pass one")
+    return named.encode()
 
 
 def pseudonyms(text: str, key: bytes) -> tuple[str, list[str]]:
@@ -298,7 +337,9 @@ def pseudonyms(text: str, key: bytes) -> tuple[str, list[str]]:
 def protect(docs: DataFrame, key: bytes | None = None, report: bool = False) -> DataFrame:
     """The same rows and columns with pseudonyms in `text`; null and empty texts stay, and so does every other column,
     also one named like a result. Rows that repeat a doc_id each keep their row. With report: also n_values (long) and
-    kinds (distinct, sorted, comma-joined) in place of all columns but doc_id and text. key: by default secret_key()."""
+    kinds (distinct, sorted, comma-joined) in place of all columns but doc_id and text. key: by default secret_key(),
+    which raises where none is set."""
+    small_batches(docs.sparkSession)
     key = secret_key(docs.sparkSession) if key is None else key
     docs = docs.select("doc_id", "text") if report else docs
     names = docs.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,20 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: For tables of invented persons alone: who has this module can invert pseudonyms that were made with it.
+PUBLIC_KEY = b"a public key for tables of invented persons"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key of pseudonyms, or the public one, with a warning. Either way it is the same in every session, so
+    that what one has written stays linked with what another writes."""
+    try:
+        return pii.secret_key(spark)
+    except ValueError:
+        warnings.warn(f"{pii.SETTING} isn't set: pseudonyms are made with the public key of the tests", stacklevel=2)
+        return PUBLIC_KEY
+
+
 def op1_hmm(spark: SparkSession, root: str) -> DataFrame:
     """Hidden Markov and unigram log probabilities of every document."""
     return hmm.held_out_scores(table(spark, root, "documents"))
@@ -40,7 +55,7 @@ def op4_main_text(spark: SparkSession, root: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, root: str) -> DataFrame:
     """Every document's text with pseudonyms, how many values moved and of which kinds."""
-    return pii.protect(table(spark, root, "documents"), report=True)
+    return pii.protect(table(spark, root, "documents"), pii_key(spark), report=True)
 
 
 def op6_language(spark: SparkSession, root: str) -> DataFrame:
@@ -117,21 +132,21 @@ _GRAMS = "list_transform(range(1, len({w}) - 1), lambda k: array_to_string({w}[k
 _KNOWN = ", ".join(f"({k}, '{label}', {k < len(licenses.PHRASES)}, '{text}')" for k, (label, text) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]))
 
 _OP7 = rf"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 known AS (SELECT template, label, base, string_split(phrase, ' ') AS words FROM (VALUES {_KNOWN}) AS t(template, label, base, phrase)),
 facts AS (SELECT *, len(words) - 2 AS n_grams, len(words) AS n, {_GRAMS.format(w="words")} AS grams FROM known),
 kg AS (SELECT template, unnest(grams) AS g, generate_subscripts(grams, 1) - 1 AS at_ FROM facts),
-dgl AS (SELECT doc_id, {_GRAMS.format(w="w")} AS l FROM d),
-dg AS (SELECT doc_id, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS i FROM dgl),
-votes AS (SELECT doc_id, template, i - at_ AS diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM dg JOIN kg USING (g) GROUP BY ALL),
-steps AS (SELECT v.*, f.n_grams, coalesce(diagonal - lag(diagonal) OVER p > {licenses.DRIFT} OR lo - lag(hi) OVER p > f.n, true) AS apart FROM votes v JOIN facts f USING (template) WHERE NOT f.base WINDOW p AS (PARTITION BY doc_id, template ORDER BY diagonal, lo)),
-runs AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal, lo) AS run FROM steps),
-merged AS (SELECT doc_id, template, min(lo) AS lo, max(hi) AS hi FROM runs GROUP BY doc_id, template, run, n_grams HAVING sum(votes) >= n_grams * {licenses.COVER} - 1e-9),
-span AS (SELECT doc_id, template, lo, {_GRAMS.format(w="s")} AS g FROM (SELECT doc_id, template, lo, w[lo + 1:hi + 3] AS s FROM merged JOIN d USING (doc_id))),
-found AS (SELECT doc_id, label, false AS base, lo AS start, len(list_distinct(list_intersect(g, grams))) / len(list_distinct(grams)) AS cover FROM span JOIN facts USING (template)
-  UNION ALL SELECT doc_id, label, true, diagonal, 1.0 FROM votes JOIN facts USING (template) WHERE base AND votes = n_grams),
-sums AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM found WHERE base OR cover >= {licenses.COVER} - 1e-9 GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN sums USING (doc_id)
+dgl AS (SELECT r, {_GRAMS.format(w="w")} AS l FROM d),
+dg AS (SELECT r, unnest(l) AS g, generate_subscripts(l, 1) - 1 AS i FROM dgl),
+votes AS (SELECT r, template, i - at_ AS diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM dg JOIN kg USING (g) GROUP BY ALL),
+steps AS (SELECT v.*, f.n_grams, coalesce(diagonal - lag(diagonal) OVER p > {licenses.DRIFT} OR lo - lag(hi) OVER p > f.n, true) AS apart FROM votes v JOIN facts f USING (template) WHERE NOT f.base WINDOW p AS (PARTITION BY r, template ORDER BY diagonal, lo)),
+runs AS (SELECT *, sum(apart::INT) OVER (PARTITION BY r, template ORDER BY diagonal, lo) AS run FROM steps),
+merged AS (SELECT r, template, min(lo) AS lo, max(hi) AS hi FROM runs GROUP BY r, template, run, n_grams HAVING sum(votes) >= n_grams * {licenses.COVER} - 1e-9),
+span AS (SELECT r, template, lo, {_GRAMS.format(w="s")} AS g FROM (SELECT r, template, lo, w[lo + 1:hi + 3] AS s FROM merged JOIN d USING (r))),
+found AS (SELECT r, label, false AS base, lo AS start, len(list_distinct(list_intersect(g, grams))) / len(list_distinct(grams)) AS cover FROM span JOIN facts USING (template)
+  UNION ALL SELECT r, label, true, diagonal, 1.0 FROM votes JOIN facts USING (template) WHERE base AND votes = n_grams),
+sums AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM found WHERE base OR cover >= {licenses.COVER} - 1e-9 GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN sums USING (r)
 """
 
 _OP13 = r"""
