@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import decontaminate, jaccard, packing, pii, quality
 from trajecta.llm.common import stored
-from trajecta.llm.queries import tokenizer
+from trajecta.llm.queries import pii_key, tokenizer
 from trajecta.session import table
 
 #: Near duplicates: words of a shingle, and the least similarity as a share of two whole numbers.
@@ -44,7 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format, under the session's key; n_chars follows the new text.
     Every row stays; a null text stays null, and so does its n_chars."""
-    return pii.protect(docs).selectExpr(*("char_length(text) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns)).to(docs.schema)
+    return pii.protect(docs, pii_key(spark)).selectExpr(*("char_length(text) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns)).to(docs.schema)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
