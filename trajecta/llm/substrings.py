@@ -259,7 +259,8 @@ def marks(docs: DataFrame, n: int = WORDS) -> DataFrame:
     docs = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND NOT copy")
     with scratch() as keep:
         found = keep(candidates(docs, n, sketched(docs, n)))
-        firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        # a table of its own, so that both sides of the join are plain exchanges and a passage of very many documents is split
+        firsts = keep(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
         later = found.join(firsts, ["h1", "h2"]).where("doc_id > first")
         # a set, since rows may repeat as a whole; it has at most the words of one text
         return stored(later.groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts")))
