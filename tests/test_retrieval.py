@@ -7,12 +7,14 @@ from trajecta.operators import graph, history, retrieval, verify
 from trajecta.operators.graph import HOUSEHOLD, SCIENCE
 from trajecta.sources import adapters
 
-ROW = "task long, rep long, t long, event_id long, action string, value double, rejected boolean, key_before string, key_after string, won boolean, n long, feedback string, observation string, student boolean"
+ROW = "task long, rep long, t long, event_id long, action string, value double, rejected boolean, key_before string, key_after string, won boolean, n long, feedback string, observation string, student boolean, command string, shown string, rejection string, format_error string, executed boolean, complete boolean, positive boolean, loc_before string, loc_after string"
 
 
-def run(task, rep, keys, won, rejected=(), gaps=()):
+def run(task, rep, keys, won, rejected=(), gaps=(), complete=True, unseen=()):
+    """The states of an execution as letters; places in `unseen` have no locator."""
     n = len(keys) - 1
-    return [(task, rep, t, 100 * rep + t, "act", 1.0, t in rejected, keys[t], keys[t + 1], won, n, keys[t + 1] + ("?" if t in gaps else ""), keys[t], rep % 4 == 0) for t in range(n)]
+    loc = [None if k in unseen else x for k, x in enumerate(keys)]
+    return [(task, rep, t, 100 * rep + t, "act", 1.0, t in rejected, keys[t], keys[t + 1], won, n, keys[t + 1] + ("?" if t in gaps else ""), keys[t], rep % 4 == 0, "go", "Here.", "no" if t in rejected else None, None, True, complete, t not in rejected, loc[t], loc[t + 1]) for t in range(n)]
 
 
 @pytest.fixture(scope="module")
@@ -72,15 +74,15 @@ def test_anchor_looks_back(tiny):
 
 
 def test_references_have_no_source_twice(tiny):
-    refs = retrieval.references(tiny, tiny.groupBy("task", "rep").agg(F.max("n").alias("n"), F.bool_or("won").alias("won"), F.bool_or("student").alias("student")))
+    refs = retrieval.references(tiny)
     assert refs.count() == refs.dropDuplicates(["task", "rep", "t", "source_rep"]).count()
     assert {r["role"] for r in refs.where("rep = 4").collect()} == {"selected"}
 
 
 def test_selected_is_never_dearer_than_a_candidate(spark, data):
     s = adapters.steps(spark.read.parquet(f"{data}/events.parquet"))
-    chosen = retrieval.four_case(s).join(s.select("task", "rep", "t", "key_before"), ["task", "rep", "t"])
-    worse = chosen.join(retrieval.source_visits(s).where("eligible").select("task", F.col("key").alias("key_before"), "cost"), ["task", "key_before"]).where("selected_cost > cost")
+    chosen = retrieval.four_case(s).join(s.select("task", "rep", "t", "loc_before"), ["task", "rep", "t"])
+    worse = chosen.join(retrieval.source_visits(s).where("eligible").select("task", F.col("loc").alias("loc_before"), "cost"), ["task", "loc_before"]).where("selected_cost > cost")
     assert worse.count() == 0
     assert chosen.count() == s.where("student").count()
 
@@ -103,10 +105,38 @@ def test_order_of_input_does_not_matter(tiny):
 
 
 def test_interaction_modes(spark):
-    acts = [("click", False, "k", "k"), ("view", False, "k", "k"), ("error", True, "k", "e"), ("click", False, "e", "k")]
-    rows = [(1, 1, t, t, a, 1.0, r, x, y, False, 4, y, x, False) for t, (a, r, x, y) in enumerate(acts)]
-    got = history.interaction(spark.createDataFrame(rows, ROW)).orderBy("t").collect()
-    assert [r["mode"] for r in got] == ["pending", "pending", "unknown", "normal"]
+    menu = "Ambiguous request: which?\n0: a\n1:  b  c"
+    acts = [("Unknown action.", True), (menu, True), ("That can't be", False), ("That can't be moved.", True), ("x", False), ("The door is not open.", True), ("You see.", True), (None, True), (menu, False), (menu, True), ("Done.", True)]
+    got = history.interaction(spark.createDataFrame([(1, 1, t, s, e) for t, (s, e) in enumerate(acts)], "task long, rep long, t long, shown string, executed boolean")).orderBy("t").collect()
+    n, p, u = "normal", "pending_menu", "unknown"
+    assert [r["mode"] for r in got] == [n, p, p, u, u, u, n, n, n, p, n]
+    assert [r["previous_mode"] for r in got] == [None] * 3 + [p, p, u] + [None] * 5
+    assert [r["last_known"] for r in got] == [{}] * 3 + [{"0": "a", "1": "b c"}] * 3 + [{}] * 5 and got[2]["options"] == {"0": "a", "1": "b c"}
+    assert [r["preserved"] for r in got] == [not e for _, e in acts]
+
+
+def test_untrusted_sources_and_states_without_identity_match_nothing(spark):
+    def case(*rows):
+        return by_place(retrieval.four_case(spark.createDataFrame([x for r in rows for x in r], ROW)), 0)[0]
+
+    student = run(1, 0, "ax", False)
+    assert case(run(1, 1, "abc", True), student)["selected_cost"] == 2
+    assert case(run(1, 1, "abc", True, complete=False), student)["case"] == "graph_inside_without_usable_success_suffix"
+    assert case(run(1, 1, "abc", True, unseen={0}), student)["case"] == "graph_outside_student_failed"
+    assert case(run(1, 1, "abc", True), run(1, 0, "ax", False, unseen={0}))["case"] == "graph_outside_student_failed"
+    # neither does one state without identity match another
+    assert case(run(1, 1, "abc", True, unseen={0}), run(1, 0, "ax", False, unseen={0}))["case"] == "graph_outside_student_failed"
+    assert case(run(1, 1, "abc", True, complete=False), run(1, 2, "ab", False, complete=False), student)["selected"] is None
+    rows = spark.createDataFrame(run(1, 1, "ab", True, complete=False) + run(1, 2, "abcd", True) + run(1, 3, "ab", False, complete=False) + student, ROW)
+    assert retrieval.fallbacks(retrieval.starts(rows)).first().asDict() == {"task": 1, "success_cost": 3, "success_rep": 2, "failure_cost": None, "failure_rep": None}
+
+
+def test_a_change_comes_before_a_rejection(spark):
+    rows = [(1, 1, t, "ab"[t % 2], "ab"[(t + c) % 2], "x", command, shown, no, bad, no is None and bad is None) for t, (c, command, shown, no, bad) in enumerate([(1, "go", "Unknown action.", "unknown_command", None), (0, "go", "Unknown action.", "unknown_command", None), (0, "look around", "You see.", None, None), (1, "Read book", "It says.", None, None), (0, "3", "Taken.", None, None), (0, "go", "Here.", None, "tags"), (1, "go", "Here.", None, "tags"), (0, "inspect it", "A door.", None, None), (0, "go", "Here.", None, None)])]
+    steps = spark.createDataFrame(rows, "task long, rep long, t long, key_before string, key_after string, action string, command string, shown string, rejection string, format_error string, positive boolean")
+    got = [(r["kind"], r["passive_during_rejection"], r["is_observation"]) for r in graph.kind(steps).orderBy("t").collect()]
+    assert got == [("state_change", True, False), ("rejection", False, False), ("internal_observation", False, True), ("state_change", False, True), ("binding", False, False), ("format_invalid", False, False), ("state_change", False, False), ("internal_observation", False, True), ("unchanged_non_observation", False, False)]
+    assert [r["kind"] for r in graph.kind(steps, graph.SHOP).orderBy("t").collect()] == ["rejection", "rejection", "unchanged", "state_change", "unchanged", "format_invalid", "format_invalid", "unchanged", "unchanged"]
 
 
 def test_catalog_with_every_part_as_goal(spark, data):

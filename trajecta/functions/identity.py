@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from trajecta.functions import text as T
 
 # The modes of a parser in which a state may be matched, and the verbs that only look.
-NORMAL, PENDING = "normal", "pending_menu"
-READ_VERBS = ["look", "examine", "inventory", "task"]
+NORMAL, PENDING, UNKNOWN = "normal", "pending_menu", "unknown"
+READ_VERBS = ["look", "read", "inventory", "task", "inspect", "examine"]
 
 
 def json_of(value: Column) -> Column:

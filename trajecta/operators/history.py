@@ -5,36 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions import identity as I
+from trajecta.functions import text as T
+
 RUN = ("task", "rep")
+# Fixed value: answers that reject an action, after which a menu that isn't shown again may be gone.
+TURNED_DOWN = r"(?i)\A(?:No known action|Unknown action|I'm not sure|You must |The .+ (?:is not|isn't)|That can't|You can't|Connections must)"
 
 
-def focus(steps: DataFrame) -> DataFrame:
-    """Adds `focus`, carried forward: a struct tells "set to null" from "not set"."""
-    set_ = F.when(F.col("action") == "view", F.struct(F.col("key_after").alias("v"))).when(F.col("action") == "error", F.struct(F.lit(None).cast("string").alias("v")))
+def focus(steps: DataFrame, feedback: str = "shown") -> DataFrame:
+    """Adds `focus`, carried forward: what the last answer that named a focus named, null after a reset. A struct tells
+    "set to null" from "not set"."""
+    text = F.coalesce(F.col(feedback), F.lit(""))
+    # The sentences that set and reset it.
+    named = F.regexp_extract(text, r"You focus on (?:the )?(.+?)\.", 1)
+    set_ = F.when(F.contains(text, F.lit("You reset the goal progress and focus.")), F.struct(F.lit(None).cast("string").alias("v"))).when(named != "", F.struct(T.strip(named).alias("v")))
     back = Window.partitionBy(*RUN).orderBy("t")
     return steps.withColumn("f", F.last(set_, ignorenulls=True).over(back)).withColumn("focus", F.col("f.v")).drop("f")
 
 
 def prior_evidence(steps: DataFrame) -> DataFrame:
-    """Adds the states that informative decisions before this one led to."""
+    """Adds the states that decisions before this one observed: where a look led to, unless the answer rejected it, and
+    where a look was made that changed nothing. steps: as graph.kind gives them."""
     before = Window.partitionBy(*RUN).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    informative = F.when(~F.col("rejected") & (F.col("key_before") != F.col("key_after")), F.col("key_after"))
-    return steps.withColumn("n_prior", F.count(informative).over(before)).withColumn("prior", F.array_join(F.collect_list(informative).over(before), ","))
+    moved = (F.col("kind") == "state_change") & F.col("is_observation") & F.col("rejection").isNull()
+    seen = F.when(moved, F.col("key_after")).when(F.col("kind") == "internal_observation", F.col("key_before"))
+    return steps.withColumn("n_prior", F.count(seen).over(before)).withColumn("prior", F.array_join(F.collect_list(seen).over(before), ","))
+
 
+def interaction(steps: DataFrame, feedback: str = "shown", executed: str = "executed") -> DataFrame:
+    """One row per decision with the parser after it: mode, options, last_known, previous_mode, preserved.
 
-def interaction(steps: DataFrame) -> DataFrame:
-    """One row per decision with the parser's mode after it.
+    A menu makes it wait for a choice (pending_menu); an answer that rejects the action without showing the menu again
+    leaves it unknown, as long as it was waiting or unknown before; any other answer makes it normal. What wasn't
+    executed leaves all as it was.
 
-    normal; pending after an ambiguous request (here: a click within its state); unknown after a rejection while
-    pending; a look is not executed by the environment, so it preserves the mode. The machine is a fold over the
-    execution's decisions in order, so it runs in the JVM on one bounded array per execution.
+    Every decision is a map of the parser's states, and maps compose: a menu and a normal answer are constant, so what
+    came before them doesn't matter; what wasn't executed is the identity; and any number of rejections one after the
+    other do what the first one did. So the state follows from the last constant map, whether a rejection came since, and
+    how many: two running windows, no fold.
     """
-    runs = steps.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("t", "action", "rejected", (F.col("key_before") == F.col("key_after")).alias("still")))).alias("s"))
-    mode = """aggregate(s, array(named_struct('t', -1L, 'mode', 'normal')), (a, x) -> array_append(a, named_struct('t', x.t, 'mode',
-      CASE WHEN x.action = 'view' THEN element_at(a, -1).mode
-           WHEN x.rejected THEN CASE WHEN element_at(a, -1).mode = 'pending' THEN 'unknown' ELSE element_at(a, -1).mode END
-           WHEN x.action = 'click' AND x.still THEN 'pending' ELSE 'normal' END)))"""
-    return runs.select(*RUN, F.explode(F.expr(f"slice({mode}, 2, size(s))")).alias("m")).select(*RUN, "m.t", "m.mode")
+    options, text = T.menu(F.coalesce(F.col(feedback), F.lit(""))), T.strip(F.coalesce(F.col(feedback), F.lit("")))
+    ran = F.coalesce(F.col(executed), F.lit(True))
+    turned_down = ran & (F.size(options) == 0) & text.rlike(TURNED_DOWN)
+    upto = Window.partitionBy(*RUN).orderBy("t")
+    rows = steps.select(*RUN, "t", ran.alias("ran"), turned_down.alias("no"), F.when(ran & ~turned_down, options).alias("options"))
+    rows = rows.withColumn("noes", F.count_if("no").over(upto))
+    rows = rows.withColumn("base", F.last(F.when(F.col("options").isNotNull(), F.struct("options", "noes")), ignorenulls=True).over(upto))
+    none = F.create_map().cast("map<string,string>")
+    shown, since = F.coalesce(F.col("base.options"), none), F.col("noes") - F.coalesce(F.col("base.noes"), F.lit(0))
+    lost = (F.size(shown) > 0) & (since > 0)
+    mode = F.when(lost, I.UNKNOWN).when(F.size(shown) > 0, I.PENDING).otherwise(I.NORMAL)
+    return rows.select(*RUN, "t", mode.alias("mode"), F.when(lost, none).otherwise(shown).alias("options"), F.when(lost, shown).otherwise(none).alias("last_known"), F.when(lost, F.when(since == 1, I.PENDING).otherwise(I.UNKNOWN)).alias("previous_mode"), (~F.col("ran")).alias("preserved"))
 
 
 def digests(steps: DataFrame) -> DataFrame:

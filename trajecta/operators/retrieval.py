@@ -1,7 +1,8 @@
 """Evidence retrieval: for each decision of a new execution, what earlier ones did from the same state.
 
 Candidates are reduced to the best one of each task and state before any join with the decisions, which is legal since
-their rank doesn't depend on the decision; so a state that all executions share doesn't multiply rows.
+their rank doesn't depend on the decision; so a state that all executions share doesn't multiply rows. States are matched
+by locators (key and parser), and a state without one matches nothing; sources count by whether they are trusted.
 """
 
 from __future__ import annotations
@@ -9,26 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators.attempts import trust
 from trajecta.operators.graph import SCIENCE, Variant, continuous, visits
 
 
+def judged() -> Column:
+    """The trust in a source: its replay was complete and it won, or didn't."""
+    return trust(F.col("complete"), F.col("won"), F.lit(None).cast("boolean"), F.lit(False))
+
+
 def source_visits(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     """Visits of the sources with `cost` to their end and `eligible`: a success may be followed from here."""
     own = steps.where(~F.col("student"))
     seen = visits(continuous(own), ("continuous",)) if variant.needs_continuity else visits(own).withColumn("continuous", F.lit(True))
     final = F.col("t") == F.col("n")
-    follows = F.coalesce(F.col("continuous"), F.lit(True)) & F.when(final, F.lit(variant.final_state_ok)).otherwise(~F.col("rejected"))
-    return seen.withColumn("cost", F.col("n") - F.col("t")).withColumn("eligible", F.col("won") & follows)
+    follows = F.coalesce(F.col("continuous"), F.lit(True)) & F.when(final, F.lit(variant.final_state_ok)).otherwise(F.col("positive"))
+    return seen.withColumn("cost", F.col("n") - F.col("t")).withColumn("eligible", judged()["successful"] & follows)
 
 
 def best_candidates(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
-    """One row per task and state: visits, and the best eligible success as (cost, rep, t), null if there is none."""
-    return source_visits(steps, variant).groupBy("task", "key").agg(F.count("*").alias("n_visits"), F.count_if("eligible").alias("n_candidates"), F.min(F.when(F.col("eligible"), F.struct("cost", "rep", "t"))).alias("best"))
+    """One row per task and locator: visits, and the best eligible success as (cost, rep, t), null if there is none."""
+    return source_visits(steps, variant).where("loc IS NOT NULL").groupBy("task", "loc").agg(F.count("*").alias("n_visits"), F.count_if("eligible").alias("n_candidates"), F.min(F.when(F.col("eligible"), F.struct("cost", "rep", "t"))).alias("best"))
 
 
 def matched(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     """Each decision of the new executions with the best candidate of its state."""
-    return steps.where("student").join(best_candidates(steps, variant).withColumnRenamed("key", "key_before"), ["task", "key_before"], "left")
+    return steps.where("student").join(best_candidates(steps, variant).withColumnRenamed("loc", "loc_before"), ["task", "loc_before"], "left")
 
 
 CASES = {True: ("matched_success_suffix", "matched_no_recorded_success", "outside_self_success", "outside_student_failure"), False: ("graph_inside_with_success_suffix", "graph_inside_without_usable_success_suffix", "graph_outside_student_succeeded", "graph_outside_student_failed")}
@@ -86,25 +93,34 @@ def success_anchor(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
 def failure_anchor(steps: DataFrame) -> DataFrame:
     """The latest state up to each decision that a failed source was in, and the failed visit nearest to it in time;
     ties go to the shorter execution, then rep, then place."""
-    failed = visits(steps.where("NOT student AND NOT won")).select("task", F.col("key").alias("key_before"), F.col("rep").alias("source_rep"), F.col("t").alias("source_t"), F.col("n").alias("cost"))
-    # of the visits of one place in time only the first counts; that bounds what a shared state can multiply
-    reduced = failed.groupBy("task", "key_before", "source_t").agg(F.min(F.struct("cost", "source_rep")).alias("f")).select("task", "key_before", "source_t", "f.*")
-    near = steps.where("student").select("task", "rep", "t", "key_before").join(reduced, ["task", "key_before"], "left")
-    best = near.groupBy("task", "rep", "t").agg(F.min(F.when(F.col("source_rep").isNotNull(), F.struct(F.abs(F.col("source_t") - F.col("t")).alias("apart"), "cost", "source_rep", "source_t"))).alias("f"))
+    failed = visits(steps.where(~F.col("student") & judged()["failed"])).where("loc IS NOT NULL")
+    # of the visits of one place in time only the first counts; places are bounded by the length of executions, so the
+    # ones of a state fit an array, and a decision meets one row however many failures share its state
+    reduced = failed.groupBy("task", F.col("loc").alias("loc_before"), F.col("t").alias("source_t")).agg(F.min(F.struct(F.col("n").alias("cost"), F.col("rep").alias("source_rep"))).alias("f"))
+    places = reduced.groupBy("task", "loc_before").agg(F.collect_list(F.struct("source_t", "f.cost", "f.source_rep")).alias("places"))
+    near = F.array_min(F.transform("places", lambda p: F.struct(F.abs(p["source_t"] - F.col("t")).alias("apart"), p["cost"].alias("cost"), p["source_rep"].alias("source_rep"), p["source_t"].alias("source_t"))))
+    best = steps.where("student").select("task", "rep", "t", "loc_before").join(places, ["task", "loc_before"], "left").withColumn("f", near)
     back = Window.partitionBy("task", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.when(F.col("f").isNotNull(), F.struct(F.col("t").alias("anchor_t"), "f.apart", "f.cost", "f.source_rep", "f.source_t"))
     return best.withColumn("a", F.last(here, ignorenulls=True).over(back)).select("task", "rep", "t", "a.*")
 
 
-def fallbacks(runs: DataFrame) -> DataFrame:
-    """Per task, what serves where no state is shared: the shortest won and the shortest failed source."""
-    sources = runs.where(~F.col("student"))
+def fallbacks(runs: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
+    """Per task, what serves where no state is shared: the shortest success that can be followed from its start, and the
+    shortest failure. runs: task, rep, n, won, student, complete, positive (of the first decision), continuous."""
+    sources = runs.where(~F.col("student")).withColumn("j", judged())
     best = F.struct(F.col("n").alias("cost"), "rep")
-    out = sources.groupBy("task").agg(F.min(F.when(F.col("won"), best)).alias("s"), F.min(F.when(~F.col("won"), best)).alias("f"))
+    whole = F.col("positive") & (F.col("continuous") if variant.needs_continuity else F.lit(True))
+    out = sources.groupBy("task").agg(F.min(F.when(F.col("j.successful") & whole, best)).alias("s"), F.min(F.when(F.col("j.failed"), best)).alias("f"))
     return out.select("task", F.col("s.cost").alias("success_cost"), F.col("s.rep").alias("success_rep"), F.col("f.cost").alias("failure_cost"), F.col("f.rep").alias("failure_rep"))
 
 
-def references(steps: DataFrame, runs: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
+def starts(steps: DataFrame) -> DataFrame:
+    """One row per execution, its first decision, as fallbacks() takes them."""
+    return continuous(steps).where("t = 0")
+
+
+def references(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     """(task, rep, t, role, source_rep, source_at): what is shown with each decision.
 
     Selected success; a historical one only where no source success matches; a failure in the two cases without a
@@ -114,7 +130,7 @@ def references(steps: DataFrame, runs: DataFrame, variant: Variant = SCIENCE) ->
     keys = ["task", "rep", "t"]
     # the cases and both looks back share one matching of states; only failures are matched on their own
     own = chosen(anchored(matched(steps, variant)), variant).select(*_choice(), F.col("a.source_rep").alias("h_rep"), F.col("a.source_t").alias("h_at"))
-    rows = own.join(failure_anchor(steps).select(*keys, F.col("source_rep").alias("f_rep"), F.col("source_t").alias("f_at")), keys).join(fallbacks(runs), "task", "left")
+    rows = own.join(failure_anchor(steps).select(*keys, F.col("source_rep").alias("f_rep"), F.col("source_t").alias("f_at")), keys).join(fallbacks(starts(steps), variant), "task", "left")
     inside, without, outside_won, outside_failed = (F.col("case") == c for c in CASES[variant.self_needs_match])
     failing = without | outside_failed
     shown = F.array(

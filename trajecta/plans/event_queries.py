@@ -13,20 +13,25 @@ from trajecta.sources import adapters
 
 registry = Registry()
 
+_COMMAND = adapters.COMMAND
+_SHOWN = adapters.SHOWN.replace("nl ||", "chr(10) ||")
+#: The locator after an event.
+_LOCATOR = """CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 THEN key_after || '~' || CASE WHEN action = 'click' AND event_id % 5 = 0 THEN '["pending_menu",[["0","open door ' || band || '"],["1","b"]]]' ELSE '["normal",[]]' END END"""
 #: The adapter in SQL: steps, visits of all executions, source visits with eligibility by variant.
-STEPS = """
+STEPS = f"""
 WITH num AS (SELECT *, event_type = 'purchase' AND value >= 75 AS wins, coalesce(count(*) FILTER (event_type = 'purchase' AND value >= 75) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w FROM events),
 pl0 AS (SELECT *, (row_number() OVER (PARTITION BY user_id, w ORDER BY ts, event_id) - 1) % 30 AS t FROM num),
 ord AS (SELECT *, CAST(sum(CASE WHEN t = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS e FROM pl0),
-kept AS (SELECT user_id % 8 + 8 * e AS task, (user_id - user_id % 8) // 8 AS rep, t, event_id, event_type AS action, value, event_type = 'error' AS rejected, event_type || '|' || CAST(floor(value / 40) AS BIGINT) AS key_after, bool_or(wins) OVER (PARTITION BY user_id, e) AS won,
+kept AS (SELECT user_id % 8 + 8 * e AS task, (user_id - user_id % 8) // 8 AS rep, t, event_id, event_type AS action, value, props, event_type = 'error' AS rejected, event_type || '|' || CAST(floor(value / 40) AS BIGINT) AS key_after, CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) AS band, bool_or(wins) OVER (PARTITION BY user_id, e) AS won,
   count(*) OVER (PARTITION BY user_id, e) AS n, (user_id - user_id % 8) // 8 % 4 = 0 AS student FROM ord),
-st AS (SELECT *, coalesce(lag(key_after) OVER (PARTITION BY task, rep ORDER BY t), 'start') AS key_before, key_after || CASE WHEN event_id % 97 = 0 THEN '?' ELSE '' END AS feedback FROM kept),
+said AS (SELECT *, {_COMMAND} AS command, {_SHOWN} AS shown, CASE WHEN action = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'unknown_command' ELSE 'unsupported_use' END END AS rejection, CASE WHEN event_id % 41 = 0 THEN 'tags' END AS format_error, event_id % 23 <> 0 AS executed, {_LOCATOR} AS loc_after FROM kept),
+st AS (SELECT *, coalesce(lag(key_after) OVER r, 'start') AS key_before, CASE WHEN t = 0 THEN 'start~["normal",[]]' ELSE lag(loc_after) OVER r END AS loc_before, key_after || CASE WHEN event_id % 97 = 0 THEN '?' ELSE '' END AS feedback, bool_and(event_id % 97 <> 0) OVER (PARTITION BY task, rep) AS complete, rejection IS NULL AND format_error IS NULL AS positive FROM said WINDOW r AS (PARTITION BY task, rep ORDER BY t)),
 ok AS (SELECT *, coalesce(lag(feedback) OVER (PARTITION BY task, rep ORDER BY t) = key_before, true) AS ok FROM st),
 ste AS (SELECT *, coalesce(bool_and(ok) OVER (PARTITION BY task, rep ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS goes_on FROM ok),
-vis AS (SELECT task, rep, t, key_before AS key, won, n, student, rejected, goes_on FROM ste UNION ALL SELECT task, rep, n, key_after, won, n, student, NULL, true FROM ste WHERE t = n - 1)
+vis AS (SELECT task, rep, t, key_before AS key, loc_before AS loc, won, n, student, complete, positive, goes_on FROM ste UNION ALL SELECT task, rep, n, key_after, loc_after, won, n, student, complete, NULL, true FROM ste WHERE t = n - 1)
 """
-SOURCES = {True: ", sv AS (SELECT *, n - t AS cost, won AND goes_on AND (t = n OR NOT rejected) AS eligible FROM vis WHERE NOT student)", False: ", sv AS (SELECT *, n - t AS cost, won AND t < n AND NOT coalesce(rejected, false) AS eligible FROM vis WHERE NOT student)"}
-BEST = ", best AS (SELECT task, key AS key_before, count(*) AS n_visits, count(*) FILTER (eligible) AS n_candidates, min({'cost': cost, 'rep': rep, 't': t}) FILTER (eligible) AS best FROM sv GROUP BY task, key), m AS (SELECT s.*, b.n_visits, b.n_candidates, b.best, s.n - s.t AS own_cost FROM ste s LEFT JOIN best b USING (task, key_before) WHERE s.student)"
+SOURCES = {True: ", sv AS (SELECT *, n - t AS cost, won AND complete AND goes_on AND (t = n OR positive) AS eligible FROM vis WHERE NOT student)", False: ", sv AS (SELECT *, n - t AS cost, won AND complete AND t < n AND coalesce(positive, false) AS eligible FROM vis WHERE NOT student)"}
+BEST = ", best AS (SELECT task, loc AS loc_before, count(*) AS n_visits, count(*) FILTER (eligible) AS n_candidates, min({'cost': cost, 'rep': rep, 't': t}) FILTER (eligible) AS best FROM sv WHERE loc IS NOT NULL GROUP BY task, loc), m AS (SELECT s.*, b.n_visits, b.n_candidates, b.best, s.n - s.t AS own_cost FROM ste s LEFT JOIN best b USING (task, loc_before) WHERE s.student)"
 
 
 def chosen(household: bool) -> str:
@@ -97,8 +102,11 @@ def node_table_shop(spark, root):
     return graph.nodes(steps(spark, root), SHOP)
 
 
-_KIND = "CASE WHEN key_before <> key_after AND NOT rejected THEN 'state_change' WHEN rejected THEN 'rejection' WHEN action = 'view' THEN 'read' ELSE 'unchanged' END"
-_EDGES = "SELECT task, key_before AS source, key_after AS target, action, count(*) AS n_members, count(*) FILTER (NOT rejected) AS n_positive, bool_or(rejected) AS any_rejected, arg_min({kind}, {{'rep': rep, 't': t}}) AS first_kind FROM st {where} GROUP BY task, key_before, key_after, action"
+#: Kinds by a parser's rules and by a shop's. Answers with a menu and commands that are numbers bind; looks observe.
+_BINDING = "(command = '0' OR shown LIKE 'Ambiguous%')"
+_KIND = f"CASE WHEN key_before <> key_after THEN 'state_change' WHEN format_error IS NOT NULL THEN 'format_invalid' WHEN {_BINDING} AND rejection IS NULL THEN 'binding' WHEN command = 'look around' AND rejection IS NULL THEN 'internal_observation' WHEN rejection IS NOT NULL THEN 'rejection' ELSE 'unchanged_non_observation' END"
+_SHOP_KIND = "CASE WHEN format_error IS NOT NULL THEN 'format_invalid' WHEN rejection IS NOT NULL THEN 'rejection' WHEN key_before = key_after THEN 'unchanged' ELSE 'state_change' END"
+_EDGES = "SELECT task, key_before AS source, key_after AS target, action, count(*) AS n_members, count(*) FILTER (positive) AS n_positive, bool_or(rejection IS NOT NULL) AS any_rejected, bool_or(key_before <> key_after AND rejection IS NOT NULL) AS passive, arg_min(command = 'look around', {{'rep': rep, 't': t}}) AS observation_with_change, arg_min({kind}, {{'rep': rep, 't': t}}) AS first_kind FROM st {where} GROUP BY task, key_before, key_after, action"
 
 
 @registry.add(STEPS + _EDGES.format(kind=_KIND, where="WHERE key_before <> key_after"))
@@ -107,7 +115,7 @@ def edge_table(spark, root):
     return graph.edges(steps(spark, root), SCIENCE)
 
 
-@registry.add(STEPS + _EDGES.format(kind=_KIND, where=""))
+@registry.add(STEPS + _EDGES.format(kind=_SHOP_KIND, where=""))
 def edge_table_with_loops(spark, root):
     """A4."""
     return graph.edges(steps(spark, root), SHOP)
@@ -122,11 +130,11 @@ def internal_observations(spark, root):
 @registry.add(
     STEPS
     + f""", k AS (SELECT *, {_KIND} AS kind FROM st),
-a AS (SELECT task, count(*) FILTER (kind = 'state_change') AS n_state_change, count(*) FILTER (kind = 'rejection') AS n_rejection, count(*) FILTER (kind = 'read') AS n_read, count(*) FILTER (kind = 'unchanged') AS n_unchanged, count(DISTINCT rep) AS n_runs, count(DISTINCT CASE WHEN won THEN rep END) AS n_won FROM k GROUP BY task),
+a AS (SELECT task, count(*) AS n_decisions, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in graph.PARSER_KINDS)}, count(*) FILTER (key_before <> key_after AND rejection IS NOT NULL) AS n_passive, count(DISTINCT rep) AS n_runs, count(DISTINCT CASE WHEN won THEN rep END) AS n_won, count(DISTINCT CASE WHEN won AND complete THEN rep END) AS n_trusted_won FROM k GROUP BY task),
 nd AS (SELECT task, key, count(*) AS v, count(DISTINCT rep) AS r FROM vis GROUP BY task, key),
 b AS (SELECT task, count(*) AS n_nodes, CAST(sum(v) AS BIGINT) AS n_visits, count(*) FILTER (r >= 2) AS n_shared FROM nd GROUP BY task),
 e AS (SELECT task, count(DISTINCT {{'s': key_before, 'e': key_after, 'a': action}}) AS n_edges FROM st WHERE key_before <> key_after GROUP BY task)
-SELECT * FROM a JOIN b USING (task) JOIN e USING (task)"""
+SELECT a.*, b.* EXCLUDE (task), coalesce(n_edges, 0) AS n_edges FROM a JOIN b USING (task) LEFT JOIN e USING (task)"""
 )
 def graph_stats(spark, root):
     """A7, A8."""
@@ -160,8 +168,8 @@ def anchor_success_asof(spark, root):
     return retrieval.success_anchor(steps(spark, root))
 
 
-FAILURE = """, fv AS (SELECT task, key AS key_before, rep AS source_rep, t AS source_t, n AS cost FROM vis WHERE NOT student AND NOT won),
-fn AS (SELECT s.task, s.rep, s.t, min({'apart': abs(f.source_t - s.t), 'cost': f.cost, 'source_rep': f.source_rep, 'source_t': f.source_t}) FILTER (f.source_rep IS NOT NULL) AS f FROM ste s LEFT JOIN fv f USING (task, key_before) WHERE s.student GROUP BY s.task, s.rep, s.t),
+FAILURE = """, fv AS (SELECT task, loc AS loc_before, rep AS source_rep, t AS source_t, n AS cost FROM vis WHERE NOT student AND NOT won AND complete AND loc IS NOT NULL),
+fn AS (SELECT s.task, s.rep, s.t, min({'apart': abs(f.source_t - s.t), 'cost': f.cost, 'source_rep': f.source_rep, 'source_t': f.source_t}) FILTER (f.source_rep IS NOT NULL) AS f FROM ste s LEFT JOIN fv f USING (task, loc_before) WHERE s.student GROUP BY s.task, s.rep, s.t),
 fa AS (SELECT task, rep, t, a.t AS anchor_t, a.f.apart AS apart, a.f.cost AS cost, a.f.source_rep AS source_rep, a.f.source_t AS source_t FROM (SELECT *, last_value(CASE WHEN f IS NOT NULL THEN {'t': t, 'f': f} END IGNORE NULLS) OVER (PARTITION BY task, rep ORDER BY t) AS a FROM fn))"""
 
 
@@ -171,13 +179,13 @@ def anchor_failure_asof(spark, root):
     return retrieval.failure_anchor(steps(spark, root))
 
 
-FALLBACK = ", fb AS (SELECT task, s.cost AS success_cost, s.rep AS success_rep, f.cost AS failure_cost, f.rep AS failure_rep FROM (SELECT task, min({'cost': n, 'rep': rep}) FILTER (won) AS s, min({'cost': n, 'rep': rep}) FILTER (NOT won) AS f FROM st WHERE NOT student AND t = 0 GROUP BY task))"
+FALLBACK = ", fb AS (SELECT task, s.cost AS success_cost, s.rep AS success_rep, f.cost AS failure_cost, f.rep AS failure_rep FROM (SELECT task, min({'cost': n, 'rep': rep}) FILTER (won AND complete AND positive AND goes_on) AS s, min({'cost': n, 'rep': rep}) FILTER (NOT won AND complete) AS f FROM ste WHERE NOT student AND t = 0 GROUP BY task))"
 
 
 @registry.add(STEPS + FALLBACK + " SELECT * FROM fb")
 def unanchored_fallback(spark, root):
     """J5."""
-    return retrieval.fallbacks(adapters.executions(table(spark, root, "events")))
+    return retrieval.fallbacks(retrieval.starts(steps(spark, root)))
 
 
 @registry.add(STEPS + SOURCES[True] + " SELECT task, key, rep, t, cost, row_number() OVER (PARTITION BY task, key ORDER BY cost, rep, t) AS rank FROM sv WHERE eligible")
@@ -200,8 +208,7 @@ refs AS (SELECT task, rep, t, role, source_rep, source_at FROM l WHERE source_re
 @registry.add(science(REFERENCES + " SELECT * FROM refs"))
 def evidence_references(spark, root):
     """References of each decision, suppressed and without repeats."""
-    s = steps(spark, root)
-    return retrieval.references(s, adapters.executions(table(spark, root, "events")))
+    return retrieval.references(steps(spark, root))
 
 
 @registry.add(STEPS + " SELECT task, rep, t, feedback AS recorded, key_after AS replayed, feedback = key_after AS same FROM st")
@@ -226,24 +233,26 @@ def trusted_steps(spark, root):
     return verify.cut(s, verify.trusted_prefix(verify.compare(*verify.replay(s)))).select("task", "rep", "t", "action")
 
 
-@registry.add(STEPS + ", f AS (SELECT *, CASE WHEN action = 'view' THEN {'v': key_after} WHEN action = 'error' THEN {'v': NULL} END AS u FROM st) SELECT task, rep, t, w.v AS focus FROM (SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY task, rep ORDER BY t) AS w FROM f)")
+@registry.add(STEPS + ", f AS (SELECT *, CASE WHEN contains(shown, 'You reset the goal progress and focus.') THEN {'v': NULL} WHEN shown LIKE 'You focus on%' THEN {'v': regexp_extract(shown, 'You focus on (?:the )?([^.]+)[.]', 1)} END AS u FROM st) SELECT task, rep, t, w.v AS focus FROM (SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY task, rep ORDER BY t) AS w FROM f)")
 def focus_carry(spark, root):
-    """A look sets the focus, an error clears it, everything else leaves it."""
+    """An answer that names a focus sets it, a reset clears it, everything else leaves it."""
     from trajecta.operators import history
 
     return history.focus(steps(spark, root)).select("task", "rep", "t", "focus")
 
 
-@registry.add(STEPS + " SELECT task, rep, t, count(*) FILTER (NOT rejected AND key_before <> key_after) OVER w AS n_prior, coalesce(string_agg(key_after, ',') FILTER (NOT rejected AND key_before <> key_after) OVER w, '') AS prior FROM st WINDOW w AS (PARTITION BY task, rep ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@registry.add(STEPS + f", k AS (SELECT *, {_KIND} AS kind FROM st), o AS (SELECT *, CASE WHEN kind = 'state_change' AND command = 'look around' AND rejection IS NULL THEN key_after WHEN kind = 'internal_observation' THEN key_before END AS seen FROM k) SELECT task, rep, t, count(seen) OVER w AS n_prior, coalesce(string_agg(seen, ',') OVER w, '') AS prior FROM o WINDOW w AS (PARTITION BY task, rep ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def prior_evidence(spark, root):
     """W3."""
     from trajecta.operators import history
 
-    return history.prior_evidence(steps(spark, root)).select("task", "rep", "t", "n_prior", "prior")
+    return history.prior_evidence(graph.kind(steps(spark, root))).select("task", "rep", "t", "n_prior", "prior")
 
 
-@registry.add(STEPS + " SELECT task, rep, t, action, key_before, key_after, key_before <> key_after AS changed, split_part(key_before, '|', 1) <> split_part(key_after, '|', 1) AS coarse_changed, " + _KIND + " AS kind FROM st")
+@registry.add(STEPS + f" SELECT task, rep, t, command, key_before, key_after, key_before <> key_after AS changed, split_part(key_before, '|', 1) <> split_part(key_after, '|', 1) AS coarse_changed, {_KIND} AS kind, {_SHOP_KIND} AS shop_kind, {_BINDING} AS is_binding, command = 'look around' AND NOT {_BINDING} AS is_observation, key_before <> key_after AND rejection IS NOT NULL AS passive_during_rejection FROM st")
 def transitions(spark, root):
-    """W6, F26."""
+    """What each decision did, by a parser's rules and by a shop's."""
     coarse = lambda c: F.split_part(c, F.lit("|"), F.lit(1))
-    return graph.kind(steps(spark, root)).select("task", "rep", "t", "action", "key_before", "key_after", (F.col("key_before") != F.col("key_after")).alias("changed"), (coarse("key_before") != coarse("key_after")).alias("coarse_changed"), "kind")
+    rows = graph.kind(steps(spark, root), graph.SHOP).withColumnRenamed("kind", "shop_kind").drop("is_binding", "is_observation", "passive_during_rejection")
+    rows = graph.kind(rows)
+    return rows.select("task", "rep", "t", "command", "key_before", "key_after", (F.col("key_before") != F.col("key_after")).alias("changed"), (coarse("key_before") != coarse("key_after")).alias("coarse_changed"), "kind", "shop_kind", "is_binding", "is_observation", "passive_during_rejection")

@@ -28,7 +28,7 @@ FROM refs r JOIN pl p ON p.task = r.task AND p.rep = CASE WHEN r.source_rep < 0
 def render_evidence(spark, root):
     """The text of all references of a decision."""
     s = steps(spark, root)
-    refs = retrieval.references(s, adapters.executions(table(spark, root, "events")))
+    refs = retrieval.references(s)
     return render.evidence(refs, render.runs(s, False)).select("task", "rep", "t", "n_references", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -49,10 +49,18 @@ def explanations(spark, root):
     return retrieval.four_case(steps(spark, root)).select("task", "rep", "t", render.explanation(F.col("case"), F.col("selected"), F.col("selected_cost")).alias("said"))
 
 
-@registry.add(None)
+@registry.add(
+    STEPS.replace("WITH num", "WITH RECURSIVE num", 1)
+    + """, own AS (SELECT task, rep, t, n, executed, shown, CASE WHEN shown LIKE 'Ambiguous%' THEN '0=open door ' || band || ';1=b' ELSE '' END AS opts, rejection IS NOT NULL AS no FROM st),
+p AS (SELECT task, rep, t, executed, CASE WHEN executed AND opts <> '' THEN 'pending_menu' ELSE 'normal' END AS mode, CASE WHEN executed THEN opts ELSE '' END AS options, '' AS last_known, CAST(NULL AS VARCHAR) AS previous_mode FROM own WHERE t = 0
+  UNION ALL SELECT o.task, o.rep, o.t, o.executed, CASE WHEN NOT o.executed THEN p.mode WHEN o.no AND p.mode <> 'normal' THEN 'unknown' WHEN o.opts <> '' THEN 'pending_menu' ELSE 'normal' END, CASE WHEN NOT o.executed THEN p.options WHEN o.no AND p.mode <> 'normal' THEN '' ELSE o.opts END,
+    CASE WHEN NOT o.executed THEN p.last_known WHEN o.no AND p.mode <> 'normal' THEN CASE WHEN p.options <> '' THEN p.options ELSE p.last_known END ELSE '' END, CASE WHEN NOT o.executed THEN p.previous_mode WHEN o.no AND p.mode <> 'normal' THEN p.mode END FROM own o JOIN p ON o.task = p.task AND o.rep = p.rep AND o.t = p.t + 1)
+SELECT task, rep, t, mode, options, last_known, previous_mode, NOT executed AS preserved FROM p"""
+)
 def interaction_state_machine(spark, root):
-    """The parser's mode after each decision."""
-    return history.interaction(steps(spark, root))
+    """The parser after each decision; the SQL takes one decision after the other."""
+    said = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return history.interaction(steps(spark, root)).select("task", "rep", "t", "mode", said("options").alias("options"), said("last_known").alias("last_known"), "previous_mode", "preserved")
 
 
 @registry.add(STEPS + ", o AS (SELECT task, rep, list({'t': t, 'k': key_before, 'a': action} ORDER BY t) AS l FROM st GROUP BY task, rep) SELECT task, rep, list_reduce(list_concat([sha256('start')], list_transform(l, lambda x: x.k || '|' || x.a)), lambda d, x: sha256(d || '|' || x)) AS digest FROM o")

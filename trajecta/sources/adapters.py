@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions import identity as I
+from trajecta.functions import text as T
+
 #: Most decisions of an execution; the next event of the user begins another one.
 CAP = 30
 TASKS = 8
@@ -20,13 +23,40 @@ BAND = 40
 ODD = 97
 
 
+#: What an event did, as a command; `band` stands for the event's band of values.
+COMMAND = """CASE action WHEN 'view' THEN 'look around' WHEN 'click' THEN 'open door ' || band WHEN 'purchase' THEN 'pick up item ' || band
+  WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN '0' ELSE 'focus on thing ' || band END ELSE 'use thing ' || band END"""
+#: What the environment answered; `nl` stands for a new line.
+SHOWN = """CASE WHEN action = 'error' AND event_id % 2 = 0 THEN 'No known action matches that input.' WHEN action = 'error' THEN 'I''m not sure how to use that.'
+  WHEN action = 'click' AND event_id % 5 = 0 THEN 'Ambiguous request: Please enter the number' || nl || '0: open  door ' || band || nl || '1: b'
+  WHEN action = 'signup' AND event_id % 2 = 1 THEN 'You focus on the thing ' || band || '. It is near.' WHEN action = 'purchase' AND event_id % 29 = 0 THEN 'You reset the goal progress and focus.' ELSE 'You see ' || key_after || '.' END"""
+
+
+def texts(rows: DataFrame) -> DataFrame:
+    """Adds what a parser's log would say: command, shown (its answer), rejection, format_error, executed; they follow
+    from the event and its id, so every rule over texts has decisions to hold for."""
+    rows = rows.withColumn("band", F.split_part("key_after", F.lit("|"), F.lit(2))).withColumn("nl", F.lit("\n"))
+    rows = rows.withColumn("command", F.expr(COMMAND)).withColumn("shown", F.expr(SHOWN)).drop("band", "nl")
+    return rows.withColumn("rejection", T.rejection(F.col("shown"))).withColumn("format_error", F.expr("CASE WHEN event_id % 41 = 0 THEN 'tags' END")).withColumn("executed", F.expr("event_id % 23 <> 0"))
+
+
+def state_locator(key: Column, event_id: Column, shown: Column) -> Column:
+    """The locator, as text, of the state after an event; null where it wasn't captured (event_id % 7 = 0), can't be
+    matched (event_id % 11 = 0) or its parser is unknown (event_id % 13 = 0)."""
+    options = T.menu(shown)
+    mode = F.when(event_id % 13 == 0, "unknown").when(F.size(options) > 0, I.PENDING).otherwise(I.NORMAL)
+    found = I.locator(key, F.lit(None).cast("string"), event_id % 7 != 0, event_id % 11 != 0, mode, options)
+    return F.when(found.isNotNull(), F.concat_ws("~", found["key"], found["signature"]))
+
+
 def steps(events: DataFrame, cap: int = CAP) -> DataFrame:
-    """One row per decision of each execution (task, rep), in order of t.
+    """One row per decision of each execution (task, rep), in order of t, with its texts and locators.
 
     The first executions of all users are tasks 0 to 7 (by user_id), the second ones tasks 8 to 15, and so on; rep tells
     the users of a task apart. n: decisions; won: the last one wins; key_before, key_after: states; rejected; feedback
     and observation: what was shown after and before (they differ where a recording has a gap); student: executions to
-    be annotated. All windows share one partitioning by user, so the events are shuffled once.
+    be annotated; complete: no decision's replay differs from its record; loc_before, loc_after: by what the states are
+    matched; positive: neither rejected nor malformed. All windows share one partitioning by user, so the events are shuffled once.
     """
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     before = by_user.rowsBetween(Window.unboundedPreceding, -1)
@@ -53,12 +83,17 @@ def steps(events: DataFrame, cap: int = CAP) -> DataFrame:
         F.count("*").over(whole).alias("n"),
         F.when(F.col("event_id") % ODD == 0, F.concat(key, F.lit("?"))).otherwise(key).alias("feedback"),
     )
-    return out.withColumn("observation", F.col("key_before")).withColumn("student", F.col("rep") % 4 == 0)
+    out = texts(out.withColumn("observation", F.col("key_before")).withColumn("student", F.col("rep") % 4 == 0))
+    by_run = Window.partitionBy("task", "rep")
+    out = out.withColumn("complete", F.bool_and(F.col("feedback") == F.col("key_after")).over(by_run)).withColumn("loc_after", state_locator(F.col("key_after"), F.col("event_id"), F.col("shown")))
+    # a struct tells a state without identity from the first one
+    before = F.lag(F.struct("loc_after")).over(by_run.orderBy("t"))
+    return out.withColumn("loc_before", F.when(before.isNull(), 'start~["normal",[]]').otherwise(before["loc_after"])).withColumn("positive", F.col("rejection").isNull() & F.col("format_error").isNull())
 
 
 def executions(events: DataFrame) -> DataFrame:
     """One row per execution: task, rep, n, won, student."""
-    return steps(events).groupBy("task", "rep").agg(F.max("n").alias("n"), F.bool_or("won").alias("won"), F.bool_or("student").alias("student"))
+    return steps(events).where("t = 0").select("task", "rep", "n", "won", "student")
 
 
 def turns(conversations: DataFrame, limit: int = 32_000) -> DataFrame:
