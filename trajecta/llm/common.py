@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -80,6 +81,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver let go of what nothing refers to any more, so that the shuffle files of ended steps are deleted now
+    and not whenever its memory happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """stored(), for tables that only what is computed meanwhile reads: they are deleted at the end."""
@@ -87,6 +95,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(stored(df))
+        swept(df.sparkSession)
         return kept[-1]
 
     try:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajecta.llm.common import blocks, cut, released, scratch, small, small_batches, stored
+from trajecta.llm.common import blocks, cut, released, scratch, small, small_batches, stored, swept
 from trajecta.llm.components import components
 
 WORDS = 3
@@ -246,6 +246,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, keep: Callable[[DataFra
     near = posted.join(centres, "token").where(F.col("x") != F.col("y")).where(_possible(num, den))
     first = near.groupBy("x").agg(F.min(F.struct("own", "y")).alias("c")).select("x", F.col("c.y").alias("y"))
     links = cut(verified(meet(first, reps), docs, n, num, den).unionByName(together))
+    swept(docs.sparkSession)
 
     found = cut(components(links, "x", "y"))
     placed = posted.join(found.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
