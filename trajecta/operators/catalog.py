@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions import text as T
+
 
 def matches(products: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
     """(goal, asin, price): products that cost no more than the goal allows and cover all its options.
@@ -42,13 +46,18 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def cleaned(phrase: str) -> str:
+    """The phrase without characters beyond ASCII, signs as blanks, in lower case: so phrases are compared."""
+    return re.sub(r"[^0-9A-Za-z_]", " ", phrase.encode("ascii", "ignore").decode()).lower().strip()
+
+
 def token_set_ratio(a: str, b: str) -> int:
-    """Likeness of two phrases from 0 to 100, rounded, blind to the order and repeats of words.
+    """Likeness of two phrases from 0 to 100, rounded, blind to signs, case, and the order and repeats of words.
 
     Phrases are taken as the words they share, followed by those of their own; the likeness of two strings is the share
     of characters that stay when one is edited into the other by insertions and deletions alone.
     """
-    x, y = (Counter(s.split()).keys() for s in (a, b))
+    x, y = (Counter(cleaned(s).split()).keys() for s in (a, b))
     if not x or not y:
         return 0
     both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
@@ -80,38 +89,128 @@ def option_masks(values: DataFrame, wanted: list[str], least: float = 85.0, colo
     return values.select("value").where("value IS NOT NULL").distinct().withColumn("mask", mask("value"))
 
 
-def cover(groups: Column, n: int, fewest: bool = False) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def cover(groups: Column, n: int | Column, fewest: bool = False) -> Column:
     """The values that together cover n options, at most one of each group; null if none do.
 
     groups: array of arrays of struct(mask, value), in order. Of several choices that reach the same options, the first
     one found stays; with fewest, the one of the fewest values. Reached masks are kept in the order in which they were
-    reached, so which one is first doesn't depend on how Spark runs this.
+    reached, so which one is first doesn't depend on how Spark runs this. A step sorts what it reaches, so it takes
+    n log n of it.
     """
-    start = F.array(F.struct(F.lit(0).cast("long").alias("mask"), F.array().cast("array<string>").alias("plan")))
+    size = (lambda x: F.size(x["plan"])) if fewest else (lambda x: F.lit(0))
 
     def join(had: Column, choice: Column) -> Column:
         return F.struct(had["mask"].bitwiseOR(choice["mask"]).cast("long").alias("mask"), F.concat(had["plan"], F.array(choice["value"])).alias("plan"))
 
+    def firsts(every: Column) -> Column:
+        """Of each mask the one that stays, in order."""
+        placed = F.array_sort(F.transform(every, lambda x, i: F.struct(x["mask"].alias("m"), size(x).alias("s"), i.alias("i"))))
+        kept = _let(placed, lambda p: F.filter(p, lambda x, k: (k == 0) | (F.get(p, F.greatest(k - 1, F.lit(0)))["m"] != x["m"])))
+        return F.transform(F.array_sort(F.transform(kept, lambda x: x["i"])), lambda i: F.get(every, i))
+
     def grow(reached: Column, group: Column) -> Column:
         made = F.flatten(F.transform(reached, lambda had: F.transform(F.filter(group, lambda c: c["mask"] != 0), lambda c: join(had, c))))
-        every = F.concat(reached, made)
-        size = (lambda x: F.size(x["plan"])) if fewest else (lambda x: F.lit(0))
-        return F.filter(every, lambda x, i: ~F.exists(F.transform(every, lambda y, k: F.struct(y["mask"].alias("mask"), size(y).alias("s"), k.alias("k"))), lambda y: (y["mask"] == x["mask"]) & (F.struct(y["s"], y["k"]) < F.struct(size(x), i))))
+        return _let(F.concat(reached, made), firsts)
 
-    reached = F.aggregate(groups, start, grow)
-    return F.try_element_at(F.filter(reached, lambda x: x["mask"] == (1 << n) - 1), F.lit(1))["plan"]
+    # an empty plan of the type that plans have
+    none = F.slice(F.flatten(F.transform(groups, lambda g: F.transform(g, lambda c: c["value"]))), 1, 0)
+    start = F.array(F.struct(F.lit(0).cast("long").alias("mask"), none.alias("plan")))
+    full = (F.call_function("shiftleft", F.lit(1).cast("long"), n) if isinstance(n, Column) else F.lit(1 << n)) - 1
+    return F.try_element_at(F.filter(F.aggregate(groups, start, grow), lambda x: x["mask"] == full), F.lit(1))["plan"]
 
 
-def plans(choices: DataFrame, n: int, fewest: bool = False) -> DataFrame:
-    """(asin, plan) of products with (asin, grp, ord, mask, value) choices: the values that cover n options, if any.
+def plans(choices: DataFrame, n: int | str, fewest: bool = False, keys: tuple[str, ...] = ("asin",)) -> DataFrame:
+    """(keys, plan) of products with (keys, grp, ord, mask, value) choices: the values that cover n options, if any.
 
-    n is at most 16. What is gathered is one product's own options; of values with one mask in a group only the first
-    can be chosen, so at most 2^n of a group are kept.
+    n is a number, or the name of a column of choices that is the same for equal keys; at most 16. What is gathered is
+    one product's own options; of values with one mask in a group only the first can be chosen, so at most 2^n of a group
+    are kept.
     """
-    if not 0 < n <= 16:
+    if isinstance(n, int) and not 0 < n <= 16:
         raise ValueError("between 1 and 16 options")
-    first = choices.where("mask <> 0").groupBy("asin", "grp", "mask").agg(F.min(F.struct("ord", "value")).alias("v"))
-    groups = first.groupBy("asin", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("v.ord").alias("ord"), F.col("mask").cast("long").alias("mask"), F.col("v.value").alias("value")))).alias("g"))
-    rows = groups.groupBy("asin").agg(F.array_sort(F.collect_list(F.struct("grp", "g"))).alias("l"))
-    made = rows.select("asin", cover(F.transform("l", lambda x: x["g"]), n, fewest).alias("plan"))
+    given = choices.withColumn("n_", F.lit(n) if isinstance(n, int) else F.col(n)).where("mask <> 0 AND n_ BETWEEN 1 AND 16")
+    first = given.groupBy(*keys, "n_", "grp", "mask").agg(F.min(F.struct("ord", "value")).alias("v"))
+    groups = first.groupBy(*keys, "n_", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("v.ord").alias("ord"), F.col("mask").cast("long").alias("mask"), F.col("v.value").alias("value")))).alias("g"))
+    rows = groups.groupBy(*keys, "n_").agg(F.array_sort(F.collect_list(F.struct("grp", "g"))).alias("l"))
+    made = rows.select(*keys, cover(F.transform("l", lambda x: x["g"]), F.col("n_"), fewest).alias("plan"))
     return made.where("plan IS NOT NULL")
+
+
+def _named(value: Column, colours: list[str]) -> Column:
+    out = F.when(F.lit(False), value)
+    for c in colours:
+        out = out.when(F.contains(value, F.lit(c)), F.lit(c))
+    return out.otherwise(value) if colours else value
+
+
+def likes(values: DataFrame, wanted: DataFrame, least: float = 85.0, colours: list[str] | None = None) -> DataFrame:
+    """(value, option): distinct values with the wanted options that they are like (by more than `least`).
+
+    values: value; wanted: option. Only pairs that share a word, or two letters next to each other once their words are
+    in order, are compared. That loses none: phrases without a common word are edited into each other as a whole, an edit
+    changes two pairs of neighbours at most, and at a likeness over 5/6 there are fewer edits than half the pairs.
+    """
+    if least < 84:
+        raise ValueError("a likeness of 84 at least")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.select(name).where(F.col(name).isNotNull()).distinct().withColumn("said", _named(F.lower(name), colours or []))
+        plain = F.lower(F.regexp_replace(F.regexp_replace("said", r"[^\x00-\x7F]", ""), "[^0-9A-Za-z_]", " "))
+        words = F.array_distinct(F.array_remove(F.split(plain, " +"), ""))
+        line = F.array_join(F.array_sort(words), " ")
+        pairs = _let(line, lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substring(x, k, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+        return own.select(name, F.col("said").alias(f"{name}_said"), F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), pairs))).alias("part"))
+
+    @F.pandas_udf("boolean")
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x, y) > least for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    met = keyed(values, "value").join(keyed(wanted, "option"), "part").select("value", "option", "value_said", "option_said").distinct()
+    return met.where(like("value_said", "option_said")).select("value", "option")
+
+
+def offered(products: DataFrame, owners: bool) -> DataFrame:
+    """(asin, grp, name, ord, value): the option values of products, by group. Names are lowered, and a later group of
+    one name takes the earlier one's place; values are lowered, with blanks around a slash's bar. owners: a value that
+    several groups have belongs to the last of them alone."""
+    listed = products.select("asin", F.posexplode("groups").alias("g", "e")).where("e.values IS NOT NULL").select("asin", "g", F.lower("e.name").alias("name"), F.col("e.values").alias("values"))
+    one = listed.groupBy("asin", "name").agg(F.min("g").alias("grp"), F.max_by("values", "g").alias("values"))
+    rows = one.select("asin", "grp", "name", F.posexplode("values").alias("ord", "v")).select("asin", "grp", "name", "ord", F.lower(F.replace(T.strip(F.col("v")), F.lit("/"), F.lit(" | "))).alias("value"))
+    if not owners:
+        return rows
+    last = rows.groupBy("asin", "value").agg(F.max("grp").alias("grp"))
+    return rows.join(last, ["asin", "value", "grp"], "left_semi")
+
+
+def priced(products: DataFrame, goals: DataFrame, most: int | None = 10_000, owners: bool = False, least: float = 85.0, colours: list[str] | None = None, worth: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """(goal, asin, price, names, plan): products that cost no more than a goal allows and whose options cover
+    all that it wants, with the group and value chosen for each.
+
+    products: asin, place (their order), price, groups (array of struct(name, values)); goals: goal, price_upper, wanted
+    (array of 1 to 16 options). One pass takes a lower bound of the price (text.price_floor) and all options, the exact
+    one the real price with owners. worth: a condition on the joined rows (a reward); most: so many of each goal, the
+    first by place. A goal meets the products that have a value like its rarest wanted option, by a count of all, and the
+    price bounds them in the same join; the search for a cover runs on those alone. `most` is a limit within groups, which
+    every task applies before it sends rows, so the result and what is sent for it are bounded by goals times most.
+    """
+    values = offered(products, owners)
+    wanted = goals.select("goal", "price_upper", F.size("wanted").alias("n"), F.posexplode("wanted").alias("j", "option"))
+    alike = likes(values, wanted, least, colours)
+    holders = values.join(alike, "value").groupBy("option").agg(F.approx_count_distinct("asin").alias("c"))
+    rare = wanted.join(holders, "option", "left").groupBy("goal", "price_upper", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "option")).alias("r")).where("r.c > 0")
+    having = values.select("asin", "value").join(alike, "value").select("asin", "option").distinct().join(products.select("asin", "place", "price"), "asin")
+    met = having.join(rare.select("goal", "price_upper", "n", F.col("r.option").alias("option")), "option").where("price <= price_upper")
+    met = met.where(worth(met)) if worth else met
+    met = met.select("goal", "asin", "place", "price", "n")
+    choices = met.join(values, "asin").join(wanted.select("goal", "option", "j").join(alike, "option"), ["goal", "value"])
+    masks = choices.groupBy("goal", "asin", "place", "price", "n", "grp", "name", "ord", "value").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask"))
+    chosen = plans(masks.withColumn("value", F.struct("name", "value")), "n", keys=("goal", "asin", "place", "price"))
+    if most is not None:
+        first = Window.partitionBy("goal").orderBy("place", "asin")
+        chosen = chosen.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
+    return chosen.select("goal", "asin", "price", F.transform("plan", lambda p: p["name"]).alias("names"), F.transform("plan", lambda p: p["value"]).alias("plan"))

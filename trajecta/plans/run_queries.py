@@ -244,3 +244,49 @@ def extra_pricing_summary(spark, root):
 def extra_hourly_events(spark, root):
     """Not of the reference: tumbling windows."""
     return table(spark, root, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+#: Parts as products with option groups, and as goals; every fifth has a range of prices, every seventh none.
+_PRICING = "CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN concat('$', CAST(p_retailprice AS {text}), ' to $', CAST(p_retailprice - 50 AS {text})) ELSE concat('$', CAST(p_retailprice AS {text})) END"
+
+
+def shelf(spark: SparkSession, root: str) -> DataFrame:
+    """asin, place, pricing, real (price), groups: brand, type, size, and for every third part its type once more."""
+    group = lambda name, *values: F.struct(F.lit(name).alias("name"), F.array(*values).alias("values"))
+    size = F.concat(F.lit("Size "), F.col("p_size").cast("string"))
+    own = F.array(group("Brand", "p_brand", F.lit("plain/any")), group("TYPE", "p_type"), group("Size", size))
+    return table(spark, root, "part").select(F.col("p_partkey").alias("asin"), F.col("p_partkey").alias("place"), F.expr(_PRICING.replace("{text}", "STRING")).alias("pricing"), F.col("p_retailprice").alias("real"), F.when(F.col("p_partkey") % 3 == 0, F.concat(own, F.array(group("Extra", "p_type")))).otherwise(own).alias("groups"))
+
+
+def wishes(spark: SparkSession, root: str) -> DataFrame:
+    """Every part as a goal: its size, brand and type, written in another way, at its price."""
+    return table(spark, root, "part").select(F.col("p_partkey").alias("goal"), F.col("p_retailprice").alias("price_upper"), F.array(F.concat(F.col("p_size").cast("string"), F.lit(" size")), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lower("p_type")).alias("wanted"))
+
+
+def _priced(rows: DataFrame) -> DataFrame:
+    return rows.select("goal", "asin", "price", F.array_join("names", ",").alias("names"), F.array_join("plan", ",").alias("plan"))
+
+
+_SAME = "FROM part g JOIN part p ON p.p_brand = g.p_brand AND p.p_type = g.p_type AND p.p_size = g.p_size"
+
+
+@registry.add(f"""WITH q AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 100 WHEN p_partkey % 5 = 0 THEN least(p_retailprice, p_retailprice - 50) ELSE p_retailprice END AS price FROM part)
+SELECT g.p_partkey AS goal, p.p_partkey AS asin, p.price, 'brand,type,size' AS names, lower(p.p_brand) || ',' || lower(p.p_type) || ',size ' || p.p_size AS plan {_SAME.replace('JOIN part p', 'JOIN q p')} WHERE p.price <= g.p_retailprice QUALIFY row_number() OVER (PARTITION BY g.p_partkey ORDER BY p.p_partkey) <= 3""")
+def catalog_price_theta(spark, root):
+    """The first three products of each goal by a lower bound of their prices; likeness 100 alone, which SQL
+    can tell."""
+    rows = shelf(spark, root).withColumn("price", T.price_floor(F.col("pricing")))
+    return _priced(catalog.priced(rows, wishes(spark, root), most=3, least=99.5))
+
+
+@registry.add(f"SELECT g.p_partkey AS goal, p.p_partkey AS asin, p.p_retailprice AS price, CASE WHEN p.p_partkey % 3 = 0 THEN 'brand,size,extra' ELSE 'brand,type,size' END AS names, CASE WHEN p.p_partkey % 3 = 0 THEN lower(p.p_brand) || ',size ' || p.p_size || ',' || lower(p.p_type) ELSE lower(p.p_brand) || ',' || lower(p.p_type) || ',size ' || p.p_size END AS plan {_SAME} WHERE p.p_retailprice <= g.p_retailprice")
+def catalog_owned(spark, root):
+    """The exact pass: real prices, and values that belong to the last group that has them."""
+    return _priced(catalog.priced(shelf(spark, root).withColumn("price", F.col("real")), wishes(spark, root), owners=True, least=99.5))
+
+
+@registry.add(None)
+def catalog_fuzzy(spark, root):
+    """Likeness over 85; the tests look at every pair."""
+    rows = shelf(spark, root).withColumn("price", T.price_floor(F.col("pricing")))
+    return _priced(catalog.priced(rows, wishes(spark, root), most=10))
