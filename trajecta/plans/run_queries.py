@@ -10,7 +10,7 @@ from trajecta.operators import batching, catalog, history, metrics, render, retr
 from trajecta.plans.event_queries import REFERENCES, STEPS, science, steps
 from trajecta.plans.names import Registry
 from trajecta.session import table
-from trajecta.sources import adapters, store
+from trajecta.sources import adapters, files, store
 
 registry = Registry()
 RUNS = STEPS + ", runs AS (SELECT task, rep, max(n) AS n, bool_or(won) AS won, bool_or(student) AS student, max(value) AS progress FROM st GROUP BY task, rep)"
@@ -290,3 +290,26 @@ def catalog_fuzzy(spark, root):
     """Likeness over 85; the tests look at every pair."""
     rows = shelf(spark, root).withColumn("price", T.price_floor(F.col("pricing")))
     return _priced(catalog.priced(rows, wishes(spark, root), most=10))
+
+
+_RANGE = lambda keys, rest: f"('0x' || substr(md5({keys}), 1, 15))::BIGINT % 64 AS r, ('0x' || substr(md5({rest}), 1, 15))::BIGINT AS d"
+_SIDES = """a AS (SELECT r, count(*) AS n_base, sum(d::HUGEINT) AS da FROM b0 GROUP BY r), b AS (SELECT r, count(*) AS n_other, sum(d::HUGEINT) AS db FROM o0 GROUP BY r)
+SELECT r AS range, coalesce(n_base, 0) AS n_base, coalesce(n_other, 0) AS n_other FROM a FULL JOIN b USING (r) WHERE da IS DISTINCT FROM db OR coalesce(n_base, 0) <> coalesce(n_other, 0)"""
+
+
+def changed_orders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and orders of which every 3001st is gone and every 2003rd has another status."""
+    base = table(spark, root, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return base, base.where("o_orderkey % 3001 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2003 == 0, "X").otherwise(F.col("o_orderstatus")))
+
+
+@registry.add(f"""WITH b0 AS (SELECT {_RANGE('o_orderkey::VARCHAR', "o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority")} FROM orders), o0 AS (SELECT {_RANGE('o_orderkey::VARCHAR', "o_orderkey || '|' || CASE WHEN o_orderkey % 2003 = 0 THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority")} FROM orders WHERE o_orderkey % 3001 <> 0), {_SIDES}""")
+def merge_guard(spark, root):
+    """The ranges of keys in which two tables differ, by fingerprints."""
+    return files.guard(*changed_orders(spark, root), ["o_orderkey"])
+
+
+@registry.add(f"WITH b0 AS (SELECT {_RANGE('o_orderkey::VARCHAR', 'o_orderkey::VARCHAR')} FROM orders), o0 AS (SELECT {_RANGE('o_orderkey::VARCHAR', 'o_orderkey::VARCHAR')} FROM orders WHERE o_orderkey % 3001 <> 0), {_SIDES}")
+def key_guard(spark, root):
+    """The same for the keys alone."""
+    return files.guard(*changed_orders(spark, root), ["o_orderkey"], columns=[])
