@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths of tables made within collected(), if that is open.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_table(spark: SparkSession) -> str:
     """A path in the shared folder for a table that the application owns: it is deleted when the driver ends, since a
-    lazy result may be read until then."""
+    lazy result may be read until then, or at the end of collected()."""
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def collected(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made meanwhile are deleted at the end: for a step whose result is written before that."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get() or []
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
+        swept(spark)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a columnar table of its own, for wide rows of which later steps read a few columns."""
     path = new_table(df.sparkSession)
@@ -102,10 +128,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for df in kept:
-            jvm = df.sparkSession._jvm
-            for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                place = jvm.org.apache.hadoop.fs.Path(file)
-                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                delete(df.sparkSession, folder)
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
