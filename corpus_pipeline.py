@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trajecta.llm import decontaminate, jaccard, packing, pii, quality
-from trajecta.llm.common import stored
+from trajecta.llm.common import collected, delete, new_table
 from trajecta.llm.queries import pii_key, tokenizer
 from trajecta.session import table
 
@@ -63,11 +63,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else stored(out)
-    return docs
+    """All stages. What a stage keeps for itself, and what it read, are deleted when its result is written; the last
+    stage's result reads the table before it, which stays until the driver ends."""
+    docs, read = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = new_table(spark)
+        with collected(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if read is not None:
+            delete(spark, read)
+        read = path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL can express neither the classifier nor the packing; the tests hold run() against a brute-force version.
