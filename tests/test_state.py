@@ -216,3 +216,140 @@ def test_a_strict_budget_raises(spark):
     assert render.budgeted(long, short, 4, ["k"], size=F.length).first()["over"]
     with pytest.raises(Exception, match="needs 3, budget 2"):
         render.budgeted(long, short, 2, ["k"], strict=True).collect()
+
+
+def test_prompts_equal_formatted_templates(spark):
+    from trajecta.operators import prompts
+
+    rows = [(1, rep, t, f"task {rep}", f"  seen [SEP] task {rep} [SEP] page {t} \n" if t % 2 else f" room {t}", ["take", None, "go"][t % 3], ["help", f"go {t}", "look"], ["a", "b"], t % 2 == 0, ["Buy Now", "x"]) for rep in (1, 2) for t in range(8)]
+    steps = spark.createDataFrame(rows, "task long, rep long, t long, instruction string, observation string, action string, commands array<string>, objects array<string>, search boolean, clickables array<string>").repartition(3)
+    for environment, first, later, most in (("science", prompts.SCIENCE_FIRST, prompts.SCIENCE_LATER, 5), ("household", prompts.HOUSEHOLD_FIRST, prompts.HOUSEHOLD_LATER, 5), ("shop", prompts.SHOP_FIRST, prompts.SHOP_LATER, 2)):
+        got = {(r["rep"], r["t"]): r["prompt"] for r in prompts.prompts(steps, environment).collect()}
+        for _, rep, t, instruction, observation, _, commands, objects, search, clickables in rows:
+            past = [r for r in rows if r[1] == rep and r[2] < t]
+            entries = [f"[Observation {k + 1}: '{r[4] if environment == 'shop' else r[4].strip()}', Action {k + 1}: '{r[5]}']" for k, r in enumerate(past)]
+            offered = [f"'{c}'" for c in commands if c != "help"]
+            parts = observation.split(" [SEP] ")
+            page = " [SEP] ".join(f"'{p}'" for p in parts[parts.index(instruction) + 1 :]) if instruction in parts else observation
+            actions = (["search[<your query>]"] if search else []) + [f"click[{c}]" for c in clickables]
+            fields = {"task_description": instruction, "current_observation": page if environment == "shop" else observation.strip(), "action_templates": ", ".join(offered), "objects": ", ".join(f"'{o}'" for o in objects), "admissible_actions": "\n ".join(offered), "available_actions": "\n".join(f"'{a}'," for a in actions)}
+            fields |= {"step_count": t, "current_step": t + 1, "history_length": min(most, t), "action_history": "\n".join(entries[-most:])}
+            assert got[rep, t] == (later if past else first).format(**fields)
+
+
+def test_advantages_of_groups_with_one_and_without_a_name(spark):
+    from trajecta.operators import batching
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", 1.0), ("b", 2.0), (None, 1.0), (None, 3.0)], "g string, r double")
+    got = sorted(((r["g"] or "", r["r"], round(r["advantage"], 5)) for r in batching.group_advantage(rows, "g", "r").collect()))
+    assert got == [("", 1.0, -0.70711), ("", 3.0, 0.70711), ("a", 0.0, -1.1547), ("a", 1.0, 0.57735), ("a", 1.0, 0.57735), ("b", 2.0, 2.0)]
+
+
+def test_given_widths_hold_or_raise(spark):
+    from trajecta.operators import batching
+
+    turns = spark.createDataFrame([(1, 0, "user", [1, 2]), (1, 1, "assistant", [3]), (1, 2, "user", [4]), (1, 3, "assistant", [5, 6])], "episode long, step int, role string, ids array<int>")
+    rows = batching.expand(turns, 4, (6, 3)).collect()
+    assert len(rows) == 4 and {(len(r["prompts"]), len(r["responses"]), len(r["attention_mask"])) for r in rows} == {(6, 3, 9)}
+    with pytest.raises(Exception, match="longer than the given widths"):
+        batching.expand(turns, 4, (3, 3)).collect()
+
+
+def test_micro_batches_keep_the_budget_and_the_balance(spark):
+    from trajecta.operators import batching
+    from trajecta.plans import registry
+
+    root = "/root/testdata/sf0.001"
+    rows = registry.QUERIES["microbatch_partitions"](spark, root).collect()
+    assert rows
+    made = spark.createDataFrame([(b, k, 50 + (k * 37 + b * 11) % 400 if k else 1500) for b in range(3) for k in range(40)], "block long, row long, n long")
+    size = {(r["block"], r["row"]): r["n"] for r in made.collect()}
+    batches = {}
+    for r in batching.micro_batches(made, 1000).collect():
+        batches.setdefault((r["block"], r["batch"]), []).append(size[r["block"], r["row"]])
+    assert sum(map(len, batches.values())) == 120
+    for (block, _), own in batches.items():
+        assert sum(own) <= 1000 or own == [1500]
+    for block in range(3):
+        work = [sum(24576 * n + n * n for n in own) for (b, _), own in batches.items() if b == block and own != [1500]]
+        heaviest = max(24576 * n + n * n for n in size.values() if n <= 1000)
+        assert max(work) - min(work) <= 2 * heaviest and len(work) <= -(-sum(n for (b, _), n in size.items() if b == block and n <= 1000) // 1000) + 1
+
+
+def test_trees_deeper_than_a_hundred_levels(spark):
+    from trajecta.operators import objects
+
+    rows = [(1, 0, None, "root")] + [(1, k, k - 1, f"o{k}") for k in range(1, 130)]
+    got = {r["id"]: r["room"] for r in objects.rooms(spark, spark.createDataFrame(rows, "state long, id long, parent long, name string")).collect()}
+    assert got == {0: None} | {k: "o1" for k in range(1, 130)}
+
+
+def test_prompts_equal_formatted_templates(spark):
+    from trajecta.operators import prompts
+
+    rows = [(1, rep, t, f"task {rep}", f"  seen [SEP] task {rep} [SEP] page {t} \n" if t % 2 else f" room {t}", ["take", None, "go"][t % 3], ["help", f"go {t}", "look"], ["a", "b"], t % 2 == 0, ["Buy Now", "x"]) for rep in (1, 2) for t in range(8)]
+    steps = spark.createDataFrame(rows, "task long, rep long, t long, instruction string, observation string, action string, commands array<string>, objects array<string>, search boolean, clickables array<string>").repartition(3)
+    for environment, first, later, most in (("science", prompts.SCIENCE_FIRST, prompts.SCIENCE_LATER, 5), ("household", prompts.HOUSEHOLD_FIRST, prompts.HOUSEHOLD_LATER, 5), ("shop", prompts.SHOP_FIRST, prompts.SHOP_LATER, 2)):
+        got = {(r["rep"], r["t"]): r["prompt"] for r in prompts.prompts(steps, environment).collect()}
+        for _, rep, t, instruction, observation, _, commands, objects_, search, clickables in rows:
+            past = [r for r in rows if r[1] == rep and r[2] < t]
+            entries = [f"[Observation {k + 1}: '{r[4] if environment == 'shop' else r[4].strip()}', Action {k + 1}: '{r[5]}']" for k, r in enumerate(past)]
+            offered = [f"'{c}'" for c in commands if c != "help"]
+            parts = observation.split(" [SEP] ")
+            page = " [SEP] ".join(f"'{p}'" for p in parts[parts.index(instruction) + 1 :]) if instruction in parts else observation
+            actions = (["search[<your query>]"] if search else []) + [f"click[{c}]" for c in clickables]
+            fields = {"task_description": instruction, "current_observation": page if environment == "shop" else observation.strip(), "action_templates": ", ".join(offered), "objects": ", ".join(f"'{o}'" for o in objects_), "admissible_actions": "\n ".join(offered), "available_actions": "\n".join(f"'{a}'," for a in actions)}
+            fields |= {"step_count": t, "current_step": t + 1, "history_length": min(most, t), "action_history": "\n".join(entries[-most:])}
+            assert got[rep, t] == (later if past else first).format(**fields)
+
+
+def test_advantages_of_groups_with_one_and_without_a_name(spark):
+    from trajecta.operators import batching
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", 1.0), ("b", 2.0), (None, 1.0), (None, 3.0)], "g string, r double")
+    got = sorted((r["g"] or "", r["r"], round(r["advantage"], 4)) for r in batching.group_advantage(rows, "g", "r").collect())
+    assert got == [("", 1.0, -0.7071), ("", 3.0, 0.7071), ("a", 0.0, -1.1547), ("a", 1.0, 0.5773), ("a", 1.0, 0.5773), ("b", 2.0, 2.0)]
+
+
+def test_given_widths_hold_or_raise(spark):
+    from trajecta.operators import batching
+
+    turns = spark.createDataFrame([(1, 0, "user", [1, 2]), (1, 1, "assistant", [3]), (1, 2, "user", [4]), (1, 3, "assistant", [5, 6])], "episode long, step int, role string, ids array<int>")
+    rows = batching.expand(turns, 4, (6, 3)).collect()
+    assert len(rows) == 4 and {(len(r["prompts"]), len(r["responses"]), len(r["attention_mask"])) for r in rows} == {(6, 3, 9)}
+    with pytest.raises(Exception, match="longer than the given widths"):
+        batching.expand(turns, 4, (3, 3)).collect()
+
+
+def test_micro_batches_keep_the_budget_and_the_balance(spark):
+    from trajecta.operators import batching
+
+    made = spark.createDataFrame([(b, k, 50 + (k * 37 + b * 11) % 400 if k else 1500) for b in range(3) for k in range(40)], "block long, row long, n long")
+    size = {(r["block"], r["row"]): r["n"] for r in made.collect()}
+    batches = {}
+    for r in batching.micro_batches(made, 1000).collect():
+        batches.setdefault((r["block"], r["batch"]), []).append(size[r["block"], r["row"]])
+    assert sum(map(len, batches.values())) == 120
+    for own in batches.values():
+        assert sum(own) <= 1000 or own == [1500]
+    for block in range(3):
+        work = [sum(24576 * n + n * n for n in own) for (b, _), own in batches.items() if b == block and own != [1500]]
+        heaviest = max(24576 * n + n * n for n in size.values() if n <= 1000)
+        assert max(work) - min(work) <= 2 * heaviest and len(work) <= -(-sum(n for (b, _), n in size.items() if b == block and n <= 1000) // 1000) + 1
+
+
+def test_trees_deeper_than_a_hundred_levels(spark):
+    rows = [(1, 0, None, "root")] + [(1, k, k - 1, f"o{k}") for k in range(1, 130)]
+    got = {r["id"]: r["room"] for r in objects.rooms(spark, spark.createDataFrame(rows, "state long, id long, parent long, name string")).collect()}
+    assert got == {0: None} | {k: "o1" for k in range(1, 130)}
+
+
+def test_sources_show_their_limits_bindings_and_statuses(spark):
+    steps = spark.createDataFrame([(1, 2, 0, "1", "choice:open", "hall", "seen", None, "refused")], "task long, rep long, t long, action string, semantic_action string, observation string, feedback string, format_error string, rejection string")
+    none = spark.createDataFrame([], "task long, rep long, seq long, step long, type string, action string, raw_output string, feedback string, reason string")
+    events = A.merged(steps, none).withColumnRenamed("kind", "kind_of_event")
+    source = spark.createDataFrame([(1, 2, "teacher", "f", "selected", False, False, None, 1, "hall", "Not certified.")], "task long, rep long, kind string, file string, role string, won boolean, trusted boolean, anchor long, n_steps long, initial string, replay_limit string")
+    lines = records.source_records(events, source).first()["text"].split("\n")
+    at = lines.index("Not certified.")
+    assert lines[at + 1 : at + 3] == [records.SOURCE_INITIAL, "hall"]
+    assert lines[at + 3 : at + 11] == ["Source event 1; committed-step slot 0 [unanchored history; committed]", records.SOURCE_INPUT, "hall", "Recorded action: 1", "Recorded action binding: choice:open", "Recorded event status: refused", records.SOURCE_FEEDBACK, "seen"]

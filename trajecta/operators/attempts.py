@@ -41,20 +41,24 @@ def verified_prefix(rows: DataFrame, ok: str = "aligned") -> DataFrame:
 def merged(steps: DataFrame, attempts: DataFrame) -> DataFrame:
     """All events of each execution in order: attempts, of which accepted ones show the committed decision.
 
-    An execution without attempts has its decisions as events. error: why an execution can't be read, null if it can.
+    An execution without attempts has its decisions as events, with what was wrong with them as their reason. steps may
+    have semantic_action (what a number of a menu stood for), format_error and rejection. error: why an execution can't be
+    read, null if it can.
     """
+    for c in ("semantic_action", "format_error", "rejection"):
+        steps = steps if c in steps.columns else steps.withColumn(c, F.lit(None).cast("string"))
     n = steps.groupBy(*RUN).agg(F.count("*").alias("n"))
     own = Window.partitionBy(*RUN)
     placed = attempts.join(n, RUN).withColumn("source_step", F.col("step") - 1).withColumn("committed", F.col("type") == "accepted")
     inside = F.col("committed") & F.col("source_step").between(0, F.col("n") - 1)
     error = F.when(F.count_if(F.col("step").isNull()).over(own) > 0, NO_SLOT).when(F.count_if(F.col("committed") & ~inside).over(own) > 0, OUTSIDE).when(F.size(F.collect_set(F.when(inside, F.col("source_step"))).over(own)) != F.col("n"), NOT_COVERED)
     tried = placed.withColumn("error", error)
-    committed = steps.select(*RUN, F.col("t").alias("source_step"), F.col("action").alias("step_action"), F.col("observation"), F.col("feedback").alias("step_feedback"))
+    committed = steps.select(*RUN, F.col("t").alias("source_step"), F.col("action").alias("step_action"), F.col("semantic_action").alias("step_binding"), F.col("observation"), F.col("feedback").alias("step_feedback"))
     tried = tried.join(committed, [*RUN, "source_step"], "left")
     shown = F.when(F.col("committed"), F.col("step_action")).otherwise(proposed_action(F.col("action"), F.col("raw_output")))
-    events = tried.select(*RUN, "seq", "source_step", F.when(F.col("committed"), "committed").otherwise(F.coalesce("type", F.lit("noncommitted"))).alias("kind"), "committed", shown.alias("action"), F.when(F.col("committed"), F.col("observation")).alias("observation_before"), F.when(F.col("committed"), F.col("step_feedback")).otherwise(F.col("feedback")).alias("feedback"), F.when(~F.col("committed"), F.col("reason")).alias("reason"), "error")
+    events = tried.select(*RUN, "seq", "source_step", F.when(F.col("committed"), "committed").otherwise(F.coalesce("type", F.lit("noncommitted"))).alias("kind"), "committed", shown.alias("action"), F.when(F.col("committed"), F.col("step_binding")).alias("semantic_action"), F.when(F.col("committed"), F.col("observation")).alias("observation_before"), F.when(F.col("committed"), F.col("step_feedback")).otherwise(F.col("feedback")).alias("feedback"), F.when(~F.col("committed"), F.col("reason")).alias("reason"), "error")
     plain = steps.join(attempts.select(*RUN).distinct(), RUN, "left_anti")
-    plain = plain.select(*RUN, F.col("t").alias("seq"), F.col("t").alias("source_step"), F.lit("committed").alias("kind"), F.lit(True).alias("committed"), "action", F.col("observation").alias("observation_before"), "feedback", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("error"))
+    plain = plain.select(*RUN, F.col("t").alias("seq"), F.col("t").alias("source_step"), F.lit("committed").alias("kind"), F.lit(True).alias("committed"), "action", "semantic_action", F.col("observation").alias("observation_before"), "feedback", F.coalesce("format_error", "rejection").alias("reason"), F.lit(None).cast("string").alias("error"))
     return events.unionByName(plain)
 
 

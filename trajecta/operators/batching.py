@@ -35,17 +35,22 @@ def right_padded(ids: Column, width: Column, pad: int = PAD) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), width - F.size(ids)))
 
 
-def expand(turns: DataFrame, multiple: int = 8) -> DataFrame:
+def expand(turns: DataFrame, multiple: int = 8, widths: tuple[int, int] | None = None) -> DataFrame:
     """Rows of equal width, with filling rows up to a multiple: prompts padded on the left, responses on the right,
-    attention, positions, response mask, and each row's weight (0 for filling rows)."""
+    attention, positions, response mask, and each row's weight (0 for filling rows). widths: of prompts and responses, as
+    the trainer sets them; a longer row is an error. Without them, the longest rows set them, which takes one more pass."""
     rows = token_weights(episodes(turns), multiple)
     count = rows.agg(F.count("*").alias("R0"))
     fill = count.select(F.explode(F.sequence(F.lit(1), F.when(F.col("R0") % multiple == 0, F.lit(None)).otherwise(multiple - F.col("R0") % multiple).cast("int"))).alias("k"))
     filling = fill.select(F.lit(None).cast("long").alias("episode"), (-F.col("k")).cast("long").alias("step"), F.array(F.lit(PAD_PROMPT)).alias("prompt_ids"), F.array(F.lit(PAD_RESPONSE)).alias("response_ids"), F.lit(0.0).alias("weight"))
     full = rows.select("episode", F.col("step").cast("long").alias("step"), "prompt_ids", "response_ids", "weight").unionByName(filling)
-    widths = full.agg(F.max(F.size("prompt_ids")).alias("P"), F.max(F.size("response_ids")).alias("L"))
     a, b = F.size("prompt_ids"), F.size("response_ids")
-    wide = full.crossJoin(F.broadcast(widths))
+    if widths is None:
+        longest = full.agg(F.max(a).alias("P"), F.max(b).alias("L"))
+        wide = full.crossJoin(F.broadcast(longest))
+    else:
+        fits = (a <= widths[0]) & (b <= widths[1])
+        wide = full.withColumn("P", F.when(fits, F.lit(widths[0])).otherwise(F.raise_error(F.lit("a row is longer than the given widths")).cast("int"))).withColumn("L", F.lit(widths[1]))
     attention = F.concat(F.array_repeat(F.lit(0), F.col("P") - a), F.array_repeat(F.lit(1), a + b), F.array_repeat(F.lit(0), F.col("L") - b))
     position = F.transform(F.sequence(F.lit(1), F.col("P") + F.col("L")), lambda i: F.greatest(F.least(i - (F.col("P") - a), a + b) - 1, F.lit(0)))
     own = F.when(F.col("episode").isNull(), 0).otherwise(1)
@@ -56,11 +61,13 @@ def expand(turns: DataFrame, multiple: int = 8) -> DataFrame:
 def group_advantage(rewards: DataFrame, group: str, reward: str, by_spread: bool = True, eps: float = 1e-6, has_teacher: bool = False) -> DataFrame:
     """Adds `advantage`: the reward against its group's mean, over the group's spread. A group of one keeps its reward
     (over 1 + eps); with teacher scores all advantages are 0."""
-    own = Window.partitionBy(group)
-    one = F.count("*").over(own) == 1
-    mean = F.when(one, 0.0).otherwise(F.avg(reward).over(own))
-    spread = F.when(one, 1.0).otherwise(F.stddev_samp(reward).over(own)) if by_spread else F.lit(1.0 - eps)
-    return rewards.withColumn("advantage", F.lit(0.0) if has_teacher else (F.col(reward) - mean) / (spread + eps))
+    # partial sums by task, joined back: a group of very many rows is neither sorted nor gathered
+    facts = rewards.groupBy(group).agg(F.count("*").alias("n_"), F.avg(reward).alias("mean_"), F.stddev_samp(reward).alias("spread_"))
+    one = F.col("n_") == 1
+    mean = F.when(one, 0.0).otherwise(F.col("mean_"))
+    spread = F.when(one, 1.0).otherwise(F.col("spread_")) if by_spread else F.lit(1.0 - eps)
+    joined = rewards.join(facts.withColumnRenamed(group, "group_"), F.col(group).eqNullSafe(F.col("group_")))
+    return joined.withColumn("advantage", F.lit(0.0) if has_teacher else (F.col(reward) - mean) / (spread + eps)).drop("group_", "n_", "mean_", "spread_")
 
 
 def micro_batches(rows: DataFrame, budget: int, block: str = "block") -> DataFrame:

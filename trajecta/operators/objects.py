@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 def rooms(spark: SparkSession, objects: DataFrame) -> DataFrame:
     """(state, id, room): the name of the ancestor that lies directly in a root, for itself and all below it. A
-    recursive query: one join a level for all states at once."""
+    recursive query: one join a level for all states at once, however many objects there are and however deep they lie."""
     return spark.sql(
-        """WITH RECURSIVE placed(state, id, depth, room) AS (
+        """WITH RECURSIVE placed(state, id, depth, room) MAX RECURSION LEVEL 100000 AS (
              SELECT state, id, 0, CAST(NULL AS STRING) FROM {o} WHERE parent IS NULL
              UNION ALL SELECT o.state, o.id, p.depth + 1, CASE WHEN p.depth = 0 THEN o.name ELSE p.room END FROM {o} o JOIN placed p ON o.state = p.state AND o.parent = p.id)
-           SELECT state, id, room FROM placed""",
+           SELECT state, id, room FROM placed LIMIT ALL""",
         o=objects,
     )
 

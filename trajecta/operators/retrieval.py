@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.functions.identity import source_label
 from trajecta.operators.attempts import trust
 from trajecta.operators.graph import SCIENCE, Variant, continuous, visits
 
@@ -141,3 +142,25 @@ def references(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
     listed = rows.select(*keys, F.posexplode(shown).alias("ord", "r")).where("r.source_rep IS NOT NULL").select(*keys, "ord", "r.*")
     first = Window.partitionBy(*keys, "source_rep").orderBy("ord")
     return listed.withColumn("k", F.row_number().over(first)).where("k = 1").select(*keys, "role", "source_rep", "source_at")
+
+
+# How a failed source is related to a decision.
+HERE, EARLIER, SAME_TASK = "current_exact_visit", "latest_shared_student_history_visit", "same_task_only_no_reliable_shared_anchor"
+
+
+def scopes(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
+    """What the sentences about a decision's choice need: (task, rep, t, case, outside, selected, selected_cost,
+    selected_rep, selected_at, historical, demonstrated, failure); see records.scope_explained."""
+    keys = ["task", "rep", "t"]
+    own = chosen(anchored(matched(steps, variant)), variant).select(*_choice(), F.col("loc_before").isNull().alias("outside"), F.col("a.anchor_t").alias("h_t"), F.col("a.source_rep").alias("h_rep"), F.col("a.source_t").alias("h_at"))
+    failed = failure_anchor(steps).select(*keys, F.col("anchor_t").alias("f_t"), F.col("source_rep").alias("f_rep"), F.col("source_t").alias("f_at"))
+    known = starts(steps)
+    claims = known.where("NOT student").groupBy("task").agg(F.bool_or("won").alias("demonstrated"))
+    rows = own.join(failed, keys).join(fallbacks(known, variant), "task", "left").join(claims, "task", "left")
+    inside, without, outside_won, outside_failed = (F.col("case") == c for c in CASES[variant.self_needs_match])
+    label = lambda rep: source_label(F.lit("teacher"), rep)
+    h_rep, f_rep = F.coalesce("h_rep", "success_rep"), F.coalesce("f_rep", "failure_rep")
+    historical = F.when(~inside & ~outside_won & h_rep.isNotNull(), F.struct(F.col("h_t").alias("anchor_t"), label(h_rep).alias("label"), F.coalesce("h_at", F.lit(0).cast("long")).alias("source_t")))
+    relation = F.when(F.col("f_t") == F.col("t"), HERE).when(F.col("f_t").isNotNull(), EARLIER).otherwise(SAME_TASK)
+    failure = F.when((without | outside_failed) & f_rep.isNotNull(), F.struct(label(f_rep).alias("label"), relation.alias("relation"), F.col("f_t").alias("anchor_t"), F.col("f_at").alias("source_t")))
+    return rows.select(*keys, "case", "outside", "selected", "selected_cost", "selected_rep", "selected_at", historical.alias("historical"), F.coalesce("demonstrated", F.lit(False)).alias("demonstrated"), failure.alias("failure"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.operators import graph, retrieval, verify
+from trajecta.operators import prompts as P
+from trajecta.operators import records as R
 from trajecta.operators.graph import HOUSEHOLD, SCIENCE, SHOP
 from trajecta.plans.names import Registry
 from trajecta.session import table
@@ -256,3 +260,69 @@ def transitions(spark, root):
     rows = graph.kind(steps(spark, root), graph.SHOP).withColumnRenamed("kind", "shop_kind").drop("is_binding", "is_observation", "passive_during_rejection")
     rows = graph.kind(rows)
     return rows.select("task", "rep", "t", "command", "key_before", "key_after", (F.col("key_before") != F.col("key_after")).alias("changed"), (coarse("key_before") != coarse("key_after")).alias("coarse_changed"), "kind", "shop_kind", "is_binding", "is_observation", "passive_during_rejection")
+
+
+_CASES = retrieval.CASES[False]
+_HIST = f"""CASE WHEN j."case" NOT IN ('{_CASES[0]}', '{_CASES[2]}') AND coalesce(j.h_rep, j.success_rep) IS NOT NULL THEN CASE WHEN sa2.h_t IS NULL THEN 'Source original_qwen32b_k16:' || coalesce(j.h_rep, j.success_rep) || '{R.SAME_TASK}' ELSE '{R.COMMON}' || sa2.h_t || ', source original_qwen32b_k16:' || coalesce(j.h_rep, j.success_rep) || ' position ' || coalesce(j.h_at, 0) || '{R.COMMON_END}' END
+  WHEN j.selected IS NULL THEN CASE WHEN cl.d THEN '{R.NO_TRUSTED}' ELSE '{R.NO_DEMONSTRATION}' END END"""
+_FAILED = f"""CASE WHEN j."case" IN ('{_CASES[1]}', '{_CASES[3]}') AND coalesce(j.f_rep, j.failure_rep) IS NOT NULL THEN '{R.FAILED}original_qwen32b_k16:' || coalesce(j.f_rep, j.failure_rep) || '; relation=' || CASE WHEN fa.anchor_t = j.t THEN '{retrieval.HERE}' WHEN fa.anchor_t IS NOT NULL THEN '{retrieval.EARLIER}' ELSE '{retrieval.SAME_TASK}' END || '{R.FAILED_AT}' || coalesce(fa.anchor_t::VARCHAR, 'None') || '{R.FAILED_FROM}' || coalesce(fa.source_t::VARCHAR, 'None') || '{R.FAILED_END}' ELSE '{R.NO_FAILED}' END"""
+_PICK = f"""CASE WHEN j.selected IS NOT NULL THEN '{R.SELECTED}{{''kind'': ''' || CASE j.selected WHEN 'source' THEN 'catalog_source' ELSE 'student_self' END || ''', ''rep'': ' || CASE j.selected WHEN 'source' THEN j.selected_rep::VARCHAR ELSE 'None' END || ', ''anchor_state_t'': ' || j.selected_at || ', ''decision_cost'': ' || j.selected_cost || ', ''committed_suffix_cost'': ' || j.selected_cost || ', ''cost_scope'': ''' || CASE j.selected WHEN 'source' THEN '{R.COST_SCOPE["catalog_source"]}' ELSE '{R.COST_SCOPE["student_self"]}' END || ''', ''source_collection_attempt_cost'': ' || CASE j.selected WHEN 'source' THEN 'None' ELSE j.selected_cost::VARCHAR END || ', ''shortest_scope'': ''{R.SHORTEST_SCOPE}''}}{R.RANKED}' END"""
+
+
+@registry.add(science(REFERENCES + f""", sa2 AS (SELECT task, rep, t, a.t AS h_t FROM (SELECT *, last_value(CASE WHEN best IS NOT NULL THEN {{'t': t, 'best': best}} END IGNORE NULLS) OVER (PARTITION BY task, rep ORDER BY t) AS a FROM m)),
+cl AS (SELECT task, bool_or(won) AS d FROM st WHERE NOT student GROUP BY task)
+SELECT j.task, j.rep, j.t, concat_ws(chr(10), '{R.SCOPE}', '{R.CATEGORY}' || j."case" || '.', CASE WHEN st.loc_before IS NULL THEN '{R.NO_LOCATOR}' END, {_PICK}, CASE WHEN j.selected = 'source' THEN '{R.SELECTED_SOURCE.replace("'", "''")}' END, {_HIST}, {_FAILED}) AS said
+FROM j JOIN st USING (task, rep, t) JOIN sa2 USING (task, rep, t) JOIN fa USING (task, rep, t) LEFT JOIN cl ON cl.task = j.task"""))
+def scope_notes(spark, root):
+    """The sentences about each decision's case, choice, history and failed source."""
+    rows = retrieval.scopes(steps(spark, root))
+    mine = F.col("selected") == "source"
+    picked = F.when(F.col("selected").isNotNull(), R.choice_summary(F.when(mine, "catalog_source").otherwise("student_self"), F.col("selected_rep"), F.col("selected_at"), F.col("selected_cost"), F.lit(None)))
+    text = R.scope_explained(F.col("case"), F.col("outside"), picked, mine, F.col("historical"), F.col("demonstrated"), F.lit(False), F.col("failure"))
+    return rows.select("task", "rep", "t", text.alias("said"))
+
+
+def _entries(most: int) -> str:
+    """The last entries of a history in SQL; decisions of an execution are numbered without gaps."""
+    entry = "'[Observation ' || (t + 1) || ': ''' || key_before || ''', Action ' || (t + 1) || ': ''' || action || ''']'"
+    return f"list({entry}) OVER (PARTITION BY task, rep ORDER BY t ROWS BETWEEN {most} PRECEDING AND 1 PRECEDING)"
+
+
+def _template(text: str, fields: dict[str, str]) -> str:
+    """A template in SQL, with its fields as expressions."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return " || ".join(fields[p] if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(parts) if k % 2 or p)
+
+
+def _prompt_sql(first: str, later: str, most: int, fields: dict[str, str]) -> str:
+    fields = {"task_description": "'do it ' || band", "current_observation": "key_before", "step_count": "t", "history_length": "len(h)", "current_step": "(t + 1)", "action_history": "array_to_string(h, chr(10))"} | fields
+    return STEPS + f", hs AS (SELECT *, {_entries(most)} AS h FROM st) SELECT task, rep, t, md5(CASE WHEN t = 0 THEN {_template(first, fields)} ELSE {_template(later, fields)} END) AS digest FROM hs"
+
+
+def asked(spark: SparkSession, root: str) -> DataFrame:
+    """Steps with what a prompt needs: instruction, commands (with the one that asks for help), objects, clickables."""
+    rows = steps(spark, root).withColumn("band", F.split_part("key_after", F.lit("|"), F.lit(2)))
+    more = {"instruction": "'do it ' || band", "commands": "array('help', command, 'look around')", "objects": "array('thing ' || band, action)", "clickables": "array(action, 'next >')", "search": "event_id % 2 = 0"}
+    return rows.withColumns({k: F.expr(v) for k, v in more.items()})
+
+
+def _digest(rows: DataFrame) -> DataFrame:
+    return rows.select("task", "rep", "t", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@registry.add(_prompt_sql(P.SCIENCE_FIRST, P.SCIENCE_LATER, 5, {"action_templates": "'''' || command || ''', ''look around'''", "objects": "'''thing ' || band || ''', ''' || action || ''''"}))
+def science_prompts(spark, root):
+    """R21."""
+    return _digest(P.prompts(asked(spark, root), "science"))
+
+
+@registry.add(_prompt_sql(P.HOUSEHOLD_FIRST, P.HOUSEHOLD_LATER, 5, {"admissible_actions": "'''' || command || '''' || chr(10) || ' ''look around'''"}))
+def household_prompts(spark, root):
+    """R21."""
+    return _digest(P.prompts(asked(spark, root), "household"))
+
+
+@registry.add(_prompt_sql(P.SHOP_FIRST, P.SHOP_LATER, 2, {"available_actions": "CASE WHEN event_id % 2 = 0 THEN '''search[<your query>]'',' || chr(10) ELSE '' END || '''click[' || action || ']'',' || chr(10) || '''click[next >]'','"}))
+def shop_prompts(spark, root):
+    """R21."""
+    return _digest(P.prompts(asked(spark, root), "shop"))

@@ -103,7 +103,7 @@ def tried(spark, root) -> tuple[DataFrame, DataFrame]:
     """Decisions with their answers, and 1 to 3 attempts at each (event_id % 3 + 1), of which the last was accepted; where
     event_id % 43 = 0 also the one before, where % 47 = 0 with another answer; executions of rep % 6 = 1 recorded none."""
     answer = F.concat(F.lit("<action>"), "action", F.lit(" "), F.col("t").cast("string"), F.lit("</action>"))
-    rows = steps(spark, root).withColumn("raw_output", answer)
+    rows = steps(spark, root).withColumn("raw_output", answer).withColumn("semantic_action", F.expr("CASE WHEN event_id % 11 = 0 THEN concat('menu ', action) ELSE action END"))
     each = rows.where("rep % 6 <> 1").withColumn("k", F.explode(F.expr("sequence(0, CAST(event_id % 3 AS int))")))
     last = F.col("k") == F.col("event_id") % 3
     accepted = last | ((F.col("event_id") % 43 == 0) & (F.col("k") == F.col("event_id") % 3 - 1))
@@ -124,8 +124,8 @@ def attempt_alignment(spark, root):
 
 
 @registry.add(_TRIED + """, ev AS (SELECT task, rep, seq, t AS source_step, CASE WHEN accepted THEN 'committed' ELSE 'not_executable' END AS kind, accepted AS committed, CASE WHEN accepted THEN action WHEN raw_output LIKE '%<action>' THEN NULL ELSE regexp_extract(raw_output, '<action>(.*?)</action>', 1) END AS action,
-  CASE WHEN accepted THEN key_before END AS observation_before, CASE WHEN accepted THEN feedback END AS feedback, CASE WHEN NOT accepted THEN 'no' END AS reason, NULL AS error FROM tr
-  UNION ALL SELECT task, rep, t, t, 'committed', true, action, key_before, feedback, NULL, NULL FROM an WHERE rep % 6 = 1) SELECT * FROM ev""")
+  CASE WHEN accepted THEN key_before END AS observation_before, CASE WHEN accepted THEN feedback END AS feedback, CASE WHEN NOT accepted THEN 'no' END AS reason, NULL AS error, CASE WHEN accepted THEN CASE WHEN event_id % 11 = 0 THEN 'menu ' || action ELSE action END END AS semantic_action FROM tr
+  UNION ALL SELECT task, rep, t, t, 'committed', true, action, key_before, feedback, coalesce(format_error, rejection), NULL, CASE WHEN event_id % 11 = 0 THEN 'menu ' || action ELSE action END FROM an WHERE rep % 6 = 1) SELECT * FROM ev""")
 def event_merge(spark, root):
     """Attempts and committed decisions in one order."""
     return A.merged(*tried(spark, root))
@@ -345,7 +345,7 @@ def source_records(spark, root):
     """Each source with all its events, committed or not."""
     rows, tries = tried(spark, root)
     facts = rows.where("NOT student").groupBy("task", "rep").agg(F.bool_or("won").alias("won"), F.max("n").alias("n_steps"), F.min_by("observation", "t").alias("initial"))
-    facts = facts.withColumns({"kind": F.lit("teacher"), "file": F.concat(F.col("rep").cast("string"), F.lit(".json")), "role": F.lit("selected"), "trusted": F.expr("rep % 5 <> 4"), "anchor": F.expr("CASE WHEN rep % 3 <> 0 THEN 1 END")})
+    facts = facts.withColumns({"kind": F.lit("teacher"), "file": F.concat(F.col("rep").cast("string"), F.lit(".json")), "role": F.lit("selected"), "replay_limit": F.expr("CASE WHEN rep % 5 = 4 THEN 'Not certified.' END"), "trusted": F.expr("rep % 5 <> 4"), "anchor": F.expr("CASE WHEN rep % 3 <> 0 THEN 1 END")})
     events = A.merged(rows, tries).withColumnRenamed("kind", "kind_of_event")
     out = records.source_records(events, facts, True)
     return out.select("task", "rep", F.md5(F.col("text").cast("binary")).alias("text"))
