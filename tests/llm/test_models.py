@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm import hmm, html, language, quality
+from trajecta.llm import hmm, html, language, quality, queries
 from trajecta.llm.boost import Boosted
 from trajecta.llm.common import bounded_sample, flat_bytes, held_out, padded_rows
 
@@ -403,3 +403,25 @@ def ancestors(page, k):
 def test_padded_rows():
     rows, units = padded_rows(*flat_bytes(pa.array(["abc", None, "x" * 5])), 4, 1)
     assert units.tolist() == [1, 1, 2] and bytes(rows.reshape(-1)) == b"abc\0" + b"\0" * 4 + b"xxxxx\0\0\0"
+
+
+def test_quality_query_equals_a_plain_convolution(spark):
+    """The fitted network's scores, byte by byte and filter by filter."""
+    root = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs.where(~held_out("doc_id", 5, 0)), labels)
+    e, w, b, v, c = (model.w[k] for k in "EWbvc")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_quality"](spark, root).collect()}
+    rows = sorted(docs.collect(), key=lambda r: len(r["text"] or ""))[:40]
+    for r in rows:
+        data = (r["text"] or "").encode()
+        padded = data + bytes(quality.CHUNK + quality.SPAN)
+        pooled = []
+        for a in range(0, max(1, len(data) + quality.SPAN - 1), quality.CHUNK):
+            best = np.full(quality.FILTERS, -np.inf)
+            for k in range(a, min(a + quality.CHUNK, len(data))):
+                best = np.maximum(best, sum(e[padded[k + j]] @ w[j] for j in range(quality.SPAN)))
+            pooled.append(np.maximum(best + b, 0))
+        features = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)])
+        score = 1 / (1 + np.exp(-np.clip(features @ v + c, -60, 60)))[0]
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-4 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
