@@ -212,3 +212,11 @@ def teacher_is(model_id: Column, path: Column, name: str) -> Column:
     """Whether a record is of the named model: by its id, or where none was recorded, by the end of its path."""
     end = F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", "")
     return F.coalesce(model_id == name, F.endswith(end, F.lit("/" + name.split("/")[-1])))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """whether two JSON texts hold the same value at any depth: objects whatever the order of their names, lists in
+    order, numbers by value; a text that isn't JSON equals nothing, and null equals null."""
+    whole = lambda x: F.to_json(F.try_parse_json(x))
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, F.coalesce(whole(a) == whole(b), F.lit(False))).otherwise(a.isNull() & b.isNull())

@@ -122,3 +122,12 @@ def terminal_failure(steps: DataFrame, outcomes: DataFrame) -> DataFrame:
     # Fixed value: the sentence that begins the note.
     note = F.format_string('CURRENT ACTION AND ITS OBSERVED CONSEQUENCE: The recorded action "%s" immediately ended this task with FAILURE (score %s).', F.col("l.action"), F.regexp_replace(F.col("final_score").cast("string"), r"\.0$", ""))
     return rows.select(*RUN, F.when(asked & finite & failed & fits, note).alias("note"), error.alias("error"))
+
+
+def attempt_counts(attempts: DataFrame) -> DataFrame:
+    """A10: (task, rep, n_attempts, n_accepted, n_retried, types): attempts of each execution, decisions that took more
+    than one, and how often each type was recorded."""
+    by_type = attempts.groupBy(*RUN, F.coalesce("type", F.lit("(none)")).alias("type")).agg(F.count("*").alias("c"))
+    types = by_type.groupBy(*RUN).agg(F.sum("c").alias("n_attempts"), F.sum(F.when(F.col("type") == "accepted", F.col("c")).otherwise(0)).alias("n_accepted"), F.array_sort(F.collect_list(F.struct("type", "c"))).alias("l"))
+    retried = attempts.groupBy(*RUN, "step").agg(F.count("*").alias("c")).groupBy(*RUN).agg(F.count_if(F.col("c") > 1).alias("n_retried"))
+    return types.join(retried, RUN).select(*RUN, "n_attempts", "n_accepted", "n_retried", F.map_from_entries("l").alias("types"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import identity as I
+from trajecta.functions import text as T
 
 
 @dataclass(frozen=True)
@@ -82,8 +83,8 @@ def edges(steps: DataFrame, variant: Variant = SCIENCE) -> DataFrame:
 
 
 def internal_observations(steps: DataFrame) -> DataFrame:
-    """Decisions that leave the state as it is, equal (action, feedback) merged."""
-    return steps.where("key_before = key_after").groupBy("task", F.col("key_before").alias("node"), "action", "feedback").agg(F.count("*").alias("n_members"), F.min("t").alias("min_t"))
+    """Decisions that leave the state as it is; equal actions with equal feedback, up to white space, are merged."""
+    return steps.where("key_before = key_after").groupBy("task", F.col("key_before").alias("node"), "action", T.norm(F.col("feedback")).alias("feedback")).agg(F.count("*").alias("n_members"), F.min("t").alias("min_t"))
 
 
 # The kinds of decisions by a parser's rules.
@@ -102,3 +103,14 @@ def stats(steps: DataFrame) -> DataFrame:
 def coarse_index(steps: DataFrame) -> DataFrame:
     """Coarse states (the action alone) with how many fine states they hold."""
     return visits(steps).withColumn("coarse", F.split_part("key", F.lit("|"), F.lit(1))).groupBy("task", "coarse").agg(F.count_distinct("key").alias("n_strict"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("strict_keys"))
+
+
+def shop_stats(steps: DataFrame) -> DataFrame:
+    """One row per task: executions, untrusted ones, mean decisions, states of two executions or more, coarse states
+    with several strict ones, and visits by page (the first part of a key)."""
+    runs = steps.where("t = 0").groupBy("task").agg(F.count("*").alias("n_runs"), F.count_if(~F.col("complete")).alias("n_untrusted"), F.avg(F.col("n").cast("double")).alias("mean_steps"))
+    seen = nodes(steps, SHOP).withColumn("coarse", F.split_part("key", F.lit("|"), F.lit(1)))
+    shared = seen.groupBy("task").agg(F.count_if(F.col("n_reps") >= 2).alias("n_shared"))
+    coarse = seen.groupBy("task", "coarse").agg(F.count("*").alias("n"), F.sum("n_visits").alias("v"))
+    pages = coarse.groupBy("task").agg(F.count_if(F.col("n") > 1).alias("n_coarse_groups"), F.array_sort(F.collect_list(F.struct("coarse", "v"))).alias("l"))
+    return runs.join(shared, "task").join(pages.select("task", "n_coarse_groups", F.map_from_entries("l").alias("pages")), "task")

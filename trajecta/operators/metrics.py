@@ -40,3 +40,28 @@ def coverage(found: DataFrame, tasks: DataFrame, reps: int) -> DataFrame:
     counted = found.groupBy("task", "rep").agg(F.count("*").alias("n"))
     both = grid.withColumn("expected", F.lit(True)).join(counted, ["task", "rep"], "full")
     return both.select("task", "rep", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("expected", F.lit(False)).alias("expected")).where("n <> 1 OR NOT expected")
+
+
+def episode_metrics(steps: DataFrame, runs: DataFrame, full_score: float = 100.0, must_end: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """(task, rep, best_score, final_score, length, won, n_format_errors, n_rejections) of each execution.
+
+    steps: task, rep, t, score, done, format_error, rejection; runs: task, rep, initial_score. The best score is the
+    largest ever seen, the first one included. A household or science task is won by its final score, a shop's
+    (must_end) only if it also ended; the score may fall short by the tolerance. An execution without decisions has the
+    initial score, and isn't won unless that is enough.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    own = steps.groupBy("task", "rep").agg(F.max("score").alias("top"), F.max_by(F.struct("score", "done"), "t").alias("last"), F.count("*").alias("length"), F.count_if(said("format_error")).alias("n_format_errors"), F.count_if(said("rejection")).alias("n_rejections"))
+    rows = runs.select("task", "rep", "initial_score").join(own, ["task", "rep"], "left")
+    final = F.when(F.col("last").isNotNull(), F.col("last.score")).otherwise(F.col("initial_score"))
+    ended = F.coalesce(F.col("last.done"), F.lit(False)) if must_end else F.lit(True)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("task", "rep", F.greatest("initial_score", "top").alias("best_score"), final.alias("final_score"), zero("length"), (ended & F.coalesce(final >= full_score - tolerance, F.lit(False))).alias("won"), zero("n_format_errors"), zero("n_rejections"))
+
+
+def several_settings(found: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, first, last) of the columns, such as the model and the backend, in which results differ that are
+    to be summarised together; a null counts as a value."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    long = found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns))).alias("x")).select("x.*")
+    return long.groupBy("column").agg(F.count_distinct("value").alias("n"), F.min("value").alias("first"), F.max("value").alias("last")).where("n > 1")

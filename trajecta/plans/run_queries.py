@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.functions import identity as I
 from trajecta.functions import text as T
-from trajecta.operators import batching, catalog, history, metrics, render, retrieval, verify
+from trajecta.operators import batching, catalog, graph, history, metrics, render, retrieval, verify
 from trajecta.plans.event_queries import REFERENCES, STEPS, science, steps
 from trajecta.plans.names import Registry
 from trajecta.session import table
@@ -313,3 +314,53 @@ def merge_guard(spark, root):
 def key_guard(spark, root):
     """The same for the keys alone."""
     return files.guard(*changed_orders(spark, root), ["o_orderkey"], columns=[])
+
+
+@registry.add("WITH t AS (SELECT DISTINCT p_type || p_brand AS task FROM part), g AS (SELECT task, r AS rep FROM t, range(3) AS x(r)), n AS (SELECT row_number() OVER (ORDER BY task, rep) - 1 AS idx, task, rep FROM g) SELECT idx, task, rep FROM n WHERE idx % 4 = 1")
+def job_shards(spark, root):
+    """One of four shards of the grid of jobs, by place."""
+    tasks = table(spark, root, "part").select(F.concat("p_type", "p_brand").alias("task")).distinct()
+    return store.nth_shard(store.grid(tasks, 3), ["task", "rep"], 4, 1).select("idx", "task", "rep")
+
+
+_SCORED = STEPS + ", sc AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 120 ELSE value END AS score, t = n - 1 AND event_id % 3 <> 0 AS done FROM st), ag AS (SELECT task, rep, max(score) AS top, arg_max(score, t) AS final_score, arg_max(done, t) AS done, count(*) AS length, count(*) FILTER (format_error IS NOT NULL) AS n_format_errors, count(*) FILTER (rejection IS NOT NULL) AS n_rejections FROM sc GROUP BY task, rep)"
+
+
+@registry.add(_SCORED + " SELECT task, rep, greatest(top, CAST(rep % 200 AS DOUBLE)) AS best_score, final_score, length, final_score >= 100 AS won, done AND final_score >= 100 - 1e-9 AS won_if_ended, n_format_errors, n_rejections FROM ag")
+def episode_metrics(spark, root):
+    """Best and final scores, lengths, wins by either rule, errors."""
+    rows = steps(spark, root).withColumn("score", F.expr("CASE WHEN event_id % 7 = 0 THEN 120D ELSE value END")).withColumn("done", F.expr("t = n - 1 AND event_id % 3 <> 0"))
+    starts = rows.where("t = 0").select("task", "rep", (F.col("rep") % 200).cast("double").alias("initial_score"))
+    ended = metrics.episode_metrics(rows, starts, 100.0, True, 1e-9).select("task", "rep", F.col("won").alias("won_if_ended"))
+    return metrics.episode_metrics(rows, starts).join(ended, ["task", "rep"])
+
+
+@registry.add("SELECT 'model' AS column, count(DISTINCT p_brand) AS n, min(p_brand) AS first, max(p_brand) AS last FROM part HAVING count(DISTINCT p_brand) > 1 UNION ALL SELECT 'backend', count(DISTINCT p_type), min(p_type), max(p_type) FROM part HAVING count(DISTINCT p_type) > 1")
+def mixed_settings(spark, root):
+    """Settings in which results differ that one summary would hold; here brands and types stand for them."""
+    rows = table(spark, root, "part").select(F.col("p_brand").alias("model"), F.col("p_type").alias("backend"), F.lit("v1").alias("version"))
+    return metrics.several_settings(rows, ["model", "backend", "version"])
+
+
+@registry.add(
+    STEPS
+    + """, r AS (SELECT task, count(*) AS n_runs, count(*) FILTER (NOT complete) AS n_untrusted, avg(n) AS mean_steps FROM st WHERE t = 0 GROUP BY task),
+nd AS (SELECT task, key, split_part(key, '|', 1) AS coarse, count(*) AS v, count(DISTINCT rep) AS reps FROM vis GROUP BY task, key),
+sh AS (SELECT task, count(*) FILTER (reps >= 2) AS n_shared FROM nd GROUP BY task),
+co AS (SELECT task, coarse, count(*) AS n, sum(v) AS v FROM nd GROUP BY task, coarse),
+pg AS (SELECT task, count(*) FILTER (n > 1) AS n_coarse_groups, string_agg(coarse || '=' || v, ',' ORDER BY coarse) AS pages FROM co GROUP BY task)
+SELECT task, n_runs, n_untrusted, round(mean_steps, 9) AS mean_steps, n_shared, n_coarse_groups, pages FROM r JOIN sh USING (task) JOIN pg USING (task)"""
+)
+def shop_stats(spark, root):
+    """A8."""
+    rows = graph.shop_stats(steps(spark, root))
+    pages = F.array_join(F.transform(F.array_sort(F.map_entries("pages")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.withColumn("mean_steps", F.round("mean_steps", 9)).withColumn("pages", pages)
+
+
+@registry.add("""SELECT event_id, props = CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"k": ' || (event_id % 100) || '}' END IS TRUE AS same FROM events""")
+def same_values(spark, root):
+    """properties against other writings of them: with blanks and zeros, with another number, and no JSON."""
+    number = F.get_json_object("props", "$.k")
+    other = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{ "k" :'), number, F.lit(".0 }"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"k": '), (F.col("event_id") % 100).cast("string"), F.lit("}"))).otherwise(F.lit("{k"))
+    return table(spark, root, "events").select("event_id", I.same_value(F.col("props"), other).alias("same"))

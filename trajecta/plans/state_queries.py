@@ -359,3 +359,10 @@ def planner_verdicts(spark, root):
     again = rows.withColumn("reward", F.when(F.col("event_id") % 59 == 0, 0.5).otherwise(1.0 + 1e-12))
     ends = rows.groupBy("task", "rep").agg(F.count("*").alias("n")).select("task", "rep", F.expr("rep % 9 <> 8").alias("complete"), F.lit(True).alias("done"), F.lit(1.0).alias("score"), F.expr("rep % 7 <> 6").alias("won"))
     return verify.planner_verdict(rows.drop("n", "event_id"), again.select("task", "rep", "t", "observation", "key", "done", "reward"), ends)
+
+
+@registry.add(_TRIED + ", c AS (SELECT task, rep, count(*) AS n_attempts, count(*) FILTER (accepted) AS n_accepted FROM tr GROUP BY task, rep), s AS (SELECT task, rep, count(*) FILTER (k > 1) AS n_retried FROM (SELECT task, rep, t, count(*) AS k FROM tr GROUP BY task, rep, t) GROUP BY task, rep) SELECT task, rep, n_attempts, n_accepted, n_retried, concat_ws(',', 'accepted=' || n_accepted, CASE WHEN n_attempts > n_accepted THEN 'not_executable=' || (n_attempts - n_accepted) END) AS types FROM c JOIN s USING (task, rep)")
+def attempt_counts(spark, root):
+    """A10: attempts by type, and decisions that were tried more than once."""
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return A.attempt_counts(tried(spark, root)[1]).withColumn("types", said)

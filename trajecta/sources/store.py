@@ -66,22 +66,32 @@ def shard(rows: DataFrame, keys: list[str], shards: int, own: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*keys), F.lit(shards)) == own)
 
 
-def padded_tasks(tasks: DataFrame, multiple: int) -> DataFrame:
-    """(idx, task, padding): tasks in order, then filling rows up to a multiple, which repeat no task.
-
-    Tasks are numbered by their place among all, from counts per range, so no task sees them all.
-    """
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `idx`: the place of each row among all in the order of its keys, which are unique. Places come from counts per
+    range of keys, so no task sees all rows."""
     from pyspark.sql import Window
 
     # a given number of ranges isn't merged at run time, so both uses below see the same ones
-    n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tasks.select("task").distinct().repartitionByRange(n, "task").sortWithinPartitions("task").withColumn("p", F.spark_partition_id())
-    counts = ranged.groupBy("p").agg(F.count("*").alias("c"))
-    before = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
-    numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("task")) - 1).join(F.broadcast(before), "p").select((F.col("base") + F.col("k")).alias("idx"), "task", F.lit(False).alias("padding"))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("p_", F.spark_partition_id())
+    counts = ranged.groupBy("p_").agg(F.count("*").alias("c_"))
+    before = counts.withColumn("base_", F.coalesce(F.sum("c_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p_", "base_")
+    own = F.row_number().over(Window.partitionBy("p_").orderBy(*keys)) - 1
+    return ranged.withColumn("k_", own).join(F.broadcast(before), "p_").withColumn("idx", F.col("base_") + F.col("k_")).drop("p_", "k_", "base_")
+
+
+def nth_shard(rows: DataFrame, keys: list[str], shards: int, own: int) -> DataFrame:
+    """Every `shards`-th row in the order of the keys, from the row numbered `own` on."""
+    return numbered(rows, keys).where(F.pmod("idx", F.lit(shards)) == own)
+
+
+def padded_tasks(tasks: DataFrame, multiple: int) -> DataFrame:
+    """(idx, task, padding): tasks in order, then filling rows up to a multiple, which repeat no task."""
+    one = tasks.select("task").distinct()
+    total = one.agg(F.count("*").alias("n"))
     fill = total.where(F.col("n") % multiple != 0).select("n", F.explode(F.sequence(F.col("n"), F.col("n") + (multiple - F.col("n") % multiple) - 1)).alias("idx"))
-    return numbered.unionByName(fill.select("idx", F.concat(F.lit("__padding__"), (F.col("idx") - F.col("n")).cast("string")).alias("task"), F.lit(True).alias("padding")))
+    known = numbered(one, ["task"]).select("idx", "task", F.lit(False).alias("padding"))
+    return known.unionByName(fill.select("idx", F.concat(F.lit("__padding__"), (F.col("idx") - F.col("n")).cast("string")).alias("task"), F.lit(True).alias("padding")))
 
 
 def task_rows(padded: DataFrame, source: str) -> DataFrame:
