@@ -170,7 +170,8 @@ class HMM:
         return out / math.log(10)
 
     def expected(self, flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        """Expected counts of starts, moves and emissions (the E step) over sequences of symbols, exactly.
+        """Expected counts of starts, moves and emissions (the E step) over sequences of symbols, up to single precision:
+        nothing is left out, but messages within and across pieces have about seven digits.
 
         Pieces of a long sequence run at the same time here too: the messages at their borders come first, from what
         each piece does to every state, and then each piece runs once between the messages on its two sides.
