@@ -226,15 +226,18 @@ def linked(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DEN
 
 
 def _linked(docs: DataFrame, n: int, num: int, den: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    feats = stored(features(docs, frequent_tokens(docs, n), n, num, den))
-    full = feats.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("class"))
-    sets = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
-    # ids with several sets: their classes belong together, and their sets are told apart by a part of their digests
-    several = keep(full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id"))
-    own = sets.where("class IS NOT NULL").join(small(several), "doc_id", "left_semi").select("doc_id", "class").distinct()
-    together = own.join(own.groupBy("doc_id").agg(F.min("class").alias("x")), "doc_id").where("x <> class").select("x", F.col("class").alias("y"))
-    reps = keep(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").join(small(several.withColumn("some", F.lit(True))), "doc_id", "left").withColumn("which", F.when(F.col("some"), F.xxhash64("key")).otherwise(F.lit(0).cast("long"))).drop("some"))
+    # the prefixes of all rows are the widest table; once the classes' own are copied, it goes
+    with scratch() as first:
+        feats = first(features(docs, frequent_tokens(docs, n), n, num, den))
+        full = feats.where("n > 0 AND doc_id IS NOT NULL")
+        classes = keep(full.groupBy("key", "n").agg(F.min("doc_id").alias("class")))
+        placed = feats.select("doc_id", "n", "key").join(classes.drop("n"), "key", "left")
+        sets = stored(placed.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class")))
+        # ids with several sets: their classes belong together, and their sets are told apart by a part of their digests
+        several = keep(full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id"))
+        own = sets.where("class IS NOT NULL").join(small(several), "doc_id", "left_semi").select("doc_id", "class").distinct()
+        together = keep(own.join(own.groupBy("doc_id").agg(F.min("class").alias("x")), "doc_id").where("x <> class").select("x", F.col("class").alias("y")))
+        reps = keep(full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").join(small(several.withColumn("some", F.lit(True))), "doc_id", "left").withColumn("which", F.when(F.col("some"), F.xxhash64("key")).otherwise(F.lit(0).cast("long"))).drop("some", "key"))
 
     entries = reps.select(F.col("doc_id").alias("x"), "n", "which", F.posexplode_outer("p0").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
