@@ -166,3 +166,14 @@ def test_every_event_is_a_decision(spark):
     ends = {(r["task"], r["rep"]): r for r in got if r["t"] == r["n"] - 1}
     assert len(ends) == len({(r["task"], r["rep"]) for r in got})
     assert {r["event_id"] for r in ends.values() if r["won"]} == {20, 21, 130} and all(r["key_before"] == "start" for r in got if r["t"] == 0)
+
+
+def test_page_results_of_parts_with_one_id(spark, tmp_path):
+    from tests.oracle import duck, spark_rows
+    from trajecta.plans import registry
+
+    # the first ten digits of both hashes are CDD90F30AD; the last two are equal entries of one page
+    parts = [(805733, "bolt"), (1090164, "ring"), (5, "nut"), (9, "nut"), (9, "nut")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").toPandas().to_parquet(f"{tmp_path}/part.parquet")
+    got = spark_rows(registry.QUERIES["page_results"](spark, str(tmp_path)))
+    assert got == duck(str(tmp_path), registry.ORACLES["page_results"]) and len(got[1]) == 2

@@ -7,7 +7,7 @@ unknown where event_id % 13 = 0, and the state before a decision is unrecorded w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import identity as I
@@ -260,8 +260,11 @@ def page_results(spark, root):
     rows = table(spark, root, "part").select((F.col("p_partkey") % 50).alias("page"), (F.col("p_partkey") % 20).alias("goal"), "p_partkey", F.upper(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 10)).alias("asin"), "p_name")
     entry = F.concat(F.lit("[button] "), "asin", F.lit(" [button_]\n"), "p_name")
     text = rows.groupBy("page").agg(F.concat(F.lit("[button] Back to Search [button_]\nPage 1\n"), F.array_join(F.array_sort(F.collect_list(entry)), "\n"), F.lit("\n[button] ABCDEFGHIJ [button_]")).alias("text"))
-    found = catalogs.page_results(text).join(rows.select("asin", "goal"), "asin")
-    return catalogs.untried(found, rows.where("p_partkey % 4 = 1"), rows.where("p_partkey % 3 = 0")).select("page", "goal", "asin", "title")
+    # these ids are parts of hashes, and two parts may have the same: the n-th of equal entries of a page is the n-th such part
+    nth = lambda title, order: F.row_number().over(Window.partitionBy("page", "asin", title).orderBy(order))
+    shown = catalogs.page_results(text).withColumn("nth", nth("title", "place"))
+    found = shown.join(rows.withColumn("nth", nth("p_name", "p_partkey")).withColumnRenamed("p_name", "title"), ["page", "asin", "title", "nth"])
+    return catalogs.untried(found, rows.where("p_partkey % 4 = 1"), rows.where("p_partkey % 3 = 0"), ["goal", "p_partkey"]).select("page", "goal", "asin", "title")
 
 
 @registry.add("SELECT o_custkey AS goal, stage, asin FROM (SELECT o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'initial' WHEN 1 THEN 'query' ELSE 'catalog' END AS stage, CAST(o_orderkey AS VARCHAR) AS asin, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O') WHERE k = 1")

@@ -5,7 +5,7 @@ Guards that look at a whole table do it with one aggregate, never by collecting
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,9 +131,9 @@ def page_results(pages: DataFrame) -> DataFrame:
     return rows.select("page", "place", asin.alias("asin"), F.col("x.next").alias("title")).where("asin <> '' AND title IS NOT NULL")
 
 
-def untried(results: DataFrame, candidates: DataFrame, tried: DataFrame) -> DataFrame:
-    """Results that are candidates of the page's goal and weren't tried yet."""
-    return results.join(candidates.select("goal", "asin").distinct(), ["goal", "asin"], "left_semi").join(tried.select("goal", "asin"), ["goal", "asin"], "left_anti")
+def untried(results: DataFrame, candidates: DataFrame, tried: DataFrame, keys: Sequence[str] = ("goal", "asin")) -> DataFrame:
+    """Results that are candidates of the page's goal and weren't tried yet; keys tell the goal and its product."""
+    return results.join(candidates.select(*keys).distinct(), list(keys), "left_semi").join(tried.select(*keys), list(keys), "left_anti")
 
 
 def first_stage(attempts: DataFrame, stages: list[str]) -> DataFrame:
