@@ -462,6 +462,54 @@ def test_the_table_goes_through_every_part_of_the_format(monkeypatch):
     assert min(seen[k] for k in ("undo_prediction", "undo_palette", "subtract_green", "cross", "_copy", "cache read")) > 0
 
 
+def test_pixels_of_many_channels_take_one_look_each(monkeypatch):
+    from trajecta.llm import webp
+
+    rng = np.random.default_rng(6)
+    pixels = rng.integers(0, 1 << 32, (64, 64), dtype=np.uint64).astype(np.uint32)
+    for options in ({}, {"tile_bits": 3, "cache_bits": 4}, {"transforms": [PREDICT], "tile_bits": 2}):
+        file, calls, read = encode(pixels, **options), [], webp.Code.read
+        monkeypatch.setattr(webp.Code, "read", lambda code, bits, read=read, calls=calls: calls.append(1) or read(code, bits))
+        assert (decode(file) == pixels).all() and len(calls) < pixels.size
+        monkeypatch.setattr(webp.Code, "read", read)
+
+
+def test_rows_of_packed_pixels_follow_the_predictors():
+    from trajecta.llm import webp
+
+    rng = np.random.default_rng(7)
+    rest, top, corner, right = rng.integers(0, 1 << 32, (4, 300), dtype=np.uint64).astype(np.uint32)
+    for mode in range(16):
+        left, want = 0xFF010203, []
+        for k in range(300):
+            own = [webp.split(np.array([x], np.uint32))[0] for x in (left, top[k], corner[k], right[k])]
+            p = webp.predicted(mode, own[0], own[1], own[2], own[3])
+            left = int(webp.merge((webp.split(rest[k : k + 1])[0] + p)[None])[0])
+            want.append(left)
+        assert webp.follow(mode, 0xFF010203, *(x.tolist() for x in (rest, top, corner, right))) == want, mode
+
+
+def test_one_channel_is_read_as_many_are(monkeypatch):
+    from trajecta.llm import webp
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[::5]
+    files = [media.store(media.payload((t or "").encode())) for t in [*texts, "ab" * 3000, "", "x"]]
+    quick, single, used = [decode(f) for f in files], webp._read_single, []
+
+    def general(bits, green, distance, fill, width, total):
+        at = bits.at
+        want = single(bits, green, distance, fill, width, total)
+        end, bits.at = bits.at, at
+        others = [webp._alone(fill >> s & 255) for s in (16, 0, 24)]
+        own = np.array(webp._read_several(bits, [[green, *others, distance]], None, 0, 0, width, total), np.uint32)
+        assert bits.at == end and (own == want).all()
+        used.append(total)
+        return own
+
+    monkeypatch.setattr(webp, "_read_single", general)
+    assert all((decode(f) == q).all() for f, q in zip(files, quick, strict=True)) and len(used) > len(texts)
+
+
 def test_long_payload_is_one_animation():
     p = media.payload(bytes(range(256)) * 5000)
     stored = media.store(p)
