@@ -41,6 +41,24 @@ def test_likelihood_of_pieces_is_exact(tiny, monkeypatch):
     assert m.log10_likelihood(np.concatenate(seqs), offsets) == pytest.approx([plain(s) for s in seqs], abs=1e-10)
 
 
+def test_scaling_after_few_symbols_changes_no_likelihood(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = hmm.HMM(np.array([1 - 3e-30, 1e-30, 1e-30, 1e-30]), 3)
+    lengths = [0, 1, 7, 8, 9, 16, 40, 3000]
+    flat, offsets = rng.integers(1, 4, sum(lengths)).astype(np.int32), np.cumsum([0, *lengths])
+    assert hmm.UNSCALED > 1
+    got = m.log10_likelihood(flat, offsets)
+    monkeypatch.setattr(hmm, "UNSCALED", 1)
+    assert np.isfinite(got).all() and np.allclose(got, m.log10_likelihood(flat, offsets), rtol=1e-12, atol=0)
+    for k, n in enumerate(lengths[:7]):
+        own, log = m.start, 0.0
+        for t, s in enumerate(flat[offsets[k] : offsets[k] + n]):
+            own = (own if t == 0 else own @ m.move) * m.emit[s]
+            log, own = log + np.log10(own.sum()), own / own.sum()
+        assert abs(got[k] - log) <= 1e-10 * max(1, abs(log))
+
+
+
 def test_expected_counts_equal_all_paths(tiny):
     m, seqs = tiny
     s, total = seqs[1], 0.0

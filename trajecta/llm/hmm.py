@@ -33,6 +33,8 @@ SUFFIX = 3
 GUESS_DOCUMENTS, GUESS_ROUNDS, ROUNDS = 400, 12, 3
 #: Longer texts run as pieces of so many tokens at the same time, whose messages are combined exactly.
 PIECE = 1024
+#: Symbols after which double messages that aren't kept are scaled: in double precision so many factors are far from underflow.
+UNSCALED = 8
 #: Weight of the corpus-wide distribution in each state's, in tokens.
 SMOOTH = 50.0
 #: Distinct words that a counting task keeps before it hands them on.
@@ -104,7 +106,8 @@ class HMM:
 
     def _forward(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, keep: bool):
         """Scaled forward messages of many sequences at once, the longest first; first: distributions before each. They
-        are as precise as those are."""
+        are as precise as those are. Double ones that aren't kept are scaled after every few symbols and at the end, which
+        changes no result: what is scaled by cancels out."""
         move, emit = self.move.astype(first.dtype), self.emit.astype(first.dtype)
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -113,21 +116,28 @@ class HMM:
         messages = np.empty((total, len(self.start)), np.float32) if keep else None
         scales, seen = (np.empty(total, np.float32), np.empty(total, np.int64)) if keep else (None, None)
         alpha, base = first, 0
-        last = np.empty((len(lengths), len(self.start)), first.dtype)
+        last, one = np.empty((len(lengths), len(self.start)), first.dtype), np.ones(len(self.start), first.dtype)
         for t in range(steps):
             n = active[t]
             if n < len(alpha):
                 last[n : len(alpha)] = alpha[n:]
             symbols = flat[starts[:n] + t]
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ move) * emit[symbols]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            logs[:n] += np.log(scale)
+            alpha = alpha[:n] * emit.take(symbols, 0) if t == 0 else alpha[:n] @ move
+            if t:
+                alpha *= emit.take(symbols, 0)
+            if keep or first.dtype == np.float32 or t % UNSCALED == UNSCALED - 1:
+                scale = alpha @ one
+                alpha /= scale[:, None]
+                logs[:n] += np.log(scale)
             if keep:
                 messages[base : base + n], scales[base : base + n], seen[base : base + n] = alpha, scale, symbols
             base += n
         if steps:
             last[: len(alpha)] = alpha
+        if steps and not keep:
+            scale = last @ one
+            last /= scale[:, None]
+            logs += np.log(scale)
         return logs, last, messages, scales, seen, active
 
     def _pieces(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
