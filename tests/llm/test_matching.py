@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -510,6 +511,34 @@ def test_one_channel_is_read_as_many_are(monkeypatch):
     assert all((decode(f) == q).all() for f, q in zip(files, quick, strict=True)) and len(used) > len(texts)
 
 
+def test_images_are_made_together_as_they_are_alone():
+    rng = np.random.default_rng(8)
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[::9]]
+    texts += [b"", b"x", b"a" * 4101 + b"b" + b"a" * 9000, b"ab" * 9000, b"abc" * 30, bytes(range(256)) * 200, texts[0] + bytes(64) + texts[0], b"a" * 40_000]
+    texts += [rng.integers(0, values, n).astype(np.uint8).tobytes() for values in (2, 17, 256) for n in (63, 64, 65, 700)]
+    payloads = [media.payload(t) for t in [*texts, texts[0] * 900, *texts[::-1]]]
+    stored = media.stores(payloads)
+    assert stored == [media.store(p) for p in payloads] and media.stores([]) == []
+    assert all(b"".join(media.samples(i).tobytes() for i in media.images(s)) == p for s, p in zip(stored, payloads, strict=True))
+
+
+def test_an_image_takes_few_calls():
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    payloads = [p for p in map(media.payload, texts) if zlib.crc32(p) % media.FULL and 1000 < len(p) < 4000][:100]
+    calls = Counter()
+
+    def counted(what, run):
+        sys.setprofile(lambda frame, event, arg: calls.update([what]) if event in ("call", "c_call") else None)
+        try:
+            return run()
+        finally:
+            sys.setprofile(None)
+
+    stored = counted("encode", lambda: media.stores(payloads))
+    counted("decode", lambda: [list(media.images(s)) for s in stored])
+    assert len(payloads) == 100 and calls["encode"] < 40_000 and calls["decode"] < 100_000, calls
+
+
 def test_long_payload_is_one_animation():
     p = media.payload(bytes(range(256)) * 5000)
     stored = media.store(p)
